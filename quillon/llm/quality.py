@@ -50,11 +50,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def hash_words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the code points of each word, in order."""
+def hash_words(text: str, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the code points of each word, in order. gaps: 1 for each byte that separates words."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     padded = np.ones(len(raw) + 2, np.int8)
-    padded[1:-1] = _SPACE[raw]
+    padded[1:-1] = gaps[raw]
     edges = np.flatnonzero(padded[1:] != padded[:-1])
     start, end = edges[::2], edges[1::2]
     prefix = np.zeros(len(raw) + 1, np.uint64)

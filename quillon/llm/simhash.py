@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm.common import materialize, small_batches
 from quillon.llm.components import components
@@ -121,7 +122,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, c
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The first document of each class, with all its columns; of rows with equal ids and texts one stays."""
+    """The first document of each class, with all its columns; of rows with equal ids and texts one stays.
+
+    Rows with a null id have no identity to be linked by, and stay.
+    """
     drop = classes(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     rest = docs.join(drop, docs.doc_id == drop._copy, "left_anti")
-    return rest
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    return rest.withColumn("_again", again).where(F.col("doc_id").isNull() | (F.col("_again") == 1)).drop("_again")
