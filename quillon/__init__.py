@@ -1,0 +1 @@
+"""Retrieval, answering and evaluation over corpora, as Spark DataFrames."""

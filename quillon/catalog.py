@@ -1,10 +1,634 @@
-"""All queries of the retrieval engine, with the SQL that each is compared with."""
+"""All queries of the retrieval engine on the driver's tables, with the SQL that each is compared with.
+
+Documents are the corpus, benchmark texts the queries, events an iteration log (type = method, value = seconds),
+labels give categories, conversations give history.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon import providers
+from quillon.functions import scores as S
+from quillon.operators import analytics as A
+from quillon.operators import answering, chunking, expansion, index, metrics, reranking, retrieval
+from quillon.oracle import ORACLE_SQL
+from quillon.plans.config import Config
+from quillon.plans.pipeline import Pipeline
+from quillon.streaming import latency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.documents.select("doc_id", "text")
+
+    @property
+    def asked(self) -> DataFrame:
+        return self.benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+    @property
+    def runs(self) -> DataFrame:
+        """events as runs: method, experiment (by user), seq, seconds and a measure."""
+        e = self.events
+        return e.select(F.col("event_type").alias("method"), F.concat(F.lit("exp_"), (F.col("user_id") % 7).cast("string")).alias("experiment"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("seconds"), F.when(F.col("event_id") % 11 != 0, F.round(F.col("value") % 1, 4)).alias("metric_mrr"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+
+    @property
+    def vector_queries(self) -> DataFrame:
+        return self.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+
+    def candidates(self, k: int = 10) -> DataFrame:
+        """BM25 candidates with both texts."""
+        found = retrieval.bm25(self.docs, self.asked, k)
+        return found.join(self.docs, "doc_id").join(self.asked.select("query_id", F.col("text").alias("query")), "query_id")
+
+
+def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    return f
+
+
+# Chunking
+
+
+@query
+def chunk_fixed_tokens(t):
+    return chunking.fixed_tokens(t.docs, 64, 0)
+
+
+@query
+def chunk_fixed_overlap(t):
+    return chunking.fixed_tokens(t.docs, 128, 32)
+
+
+@query
+def chunk_paragraph(t):
+    return chunking.paragraphs(t.docs)
+
+
+@query
+def chunk_sentence_pack(t):
+    return chunking.sentence_pack(t.docs, 60)
+
+
+@query
+def chunk_sentence_chars(t):
+    return chunking.sentence_pack(t.docs, 500, "chars")
+
+
+@query
+def chunk_sliding_windows(t):
+    return chunking.sliding_windows(t.docs)
+
+
+@query
+def chunk_semantic_seg(t):
+    return chunking.semantic_segments(t.docs)
+
+
+@query
+def sentence_similarity(t):
+    return chunking.sentence_cosines(t.docs)
+
+
+@query
+def chunk_recursive(t):
+    return chunking.recursive_chars(t.docs)
+
+
+@query
+def chunk_chars(t):
+    return chunking.chars(t.docs)
+
+
+@query
+def chunk_topic_seg(t):
+    # The corpus has no blank lines, so its lines are the paragraphs here.
+    return chunking.topic_segments(t.docs.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+
+
+@query
+def chunk_sliding_coherent(t):
+    return chunking.sliding_coherent(t.docs)
+
+
+@query
+def chunk_estimate(t):
+    n = F.length("text")
+    return t.docs.select("doc_id", chunking.estimated_chunks(n, 1000, 200).cast("long").alias("chunks"))
+
+
+# Index
+
+
+@query
+def term_postings(t):
+    return index.postings(t.docs)
+
+
+@query
+def corpus_stats(t):
+    s = index.corpus_stats(t.docs)
+    return s.select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+
+
+@query
+def idf_table(t):
+    return index.idf(t.docs).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def tfidf_vectors(t):
+    return index.tfidf(t.docs).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def hash_embedding(t):
+    return index.hash_vectors(t.docs).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+# Retrieval
+
+
+@query
+def vector_topk(t):
+    return retrieval.vector_topk(t.vectors, t.vector_queries, 10)
+
+
+@query
+def bm25_topk(t):
+    return retrieval.bm25(t.docs, t.asked, 10)
+
+
+def _vector_text(t: Tables, k: int) -> DataFrame:
+    return retrieval.top(retrieval.sparse_cosine(index.hash_vectors(t.docs), index.hash_vectors(t.asked, "query_id")), k)
+
+
+@query
+def text_vector_topk(t):
+    return _vector_text(t, 10)
+
+
+@query
+def hybrid_topk(t):
+    return retrieval.hybrid(_vector_text(t, 20), retrieval.bm25(t.docs, t.asked, 20), 0.5, 10)
+
+
+@query
+def hybrid_alpha_sweep(t):
+    v, b = _vector_text(t, 20), retrieval.bm25(t.docs, t.asked, 20)
+    parts = [retrieval.hybrid(v, b, a, 10).withColumn("alpha", F.lit(a)) for a in (0.3, 0.5, 0.7)]
+    return A.union_runs(parts)
+
+
+@query
+def mmr_retrieve(t):
+    found = retrieval.vector_topk(t.vectors, t.vector_queries, 20)
+    return reranking.mmr_vectors(found, t.vectors, 0.5, 5).select("query_id", "doc_id", "place")
+
+
+@query
+def mmr_scaled(t):
+    found = retrieval.vector_topk(t.vectors, t.vector_queries, 20)
+    return reranking.mmr_vectors(found, t.vectors, 0.7, 5, scale=True).select("query_id", "doc_id", "place")
+
+
+@query
+def multi_query_dedup(t):
+    v = expansion.rules(t.asked).withColumn("id", F.col("query_id") * 10 + F.col("variant"))
+    found = retrieval.bm25(t.docs, v.select(F.col("id").alias("query_id"), F.col("variant_text").alias("text")), 10)
+    return retrieval.merge_variants(found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).alias("variant"), "doc_id", "rank"), 10)
+
+
+@query
+def union_dedup(t):
+    """Vector hits, then lexical ones, each text once."""
+    both = _vector_text(t, 10).withColumn("variant", F.lit(0).cast("long")).unionByName(retrieval.bm25(t.docs, t.asked, 10).withColumn("variant", F.lit(1).cast("long")))
+    return retrieval.merge_variants(both.select("query_id", "variant", "doc_id", "rank"), 20)
+
+
+@query
+def hyde_mean_vector(t):
+    e = t.embeddings.where("label is not null").select(F.col("label").cast("long").alias("query_id"), "embedding")
+    out = expansion.mean_vector(e)
+    return out.select("query_id", F.posexplode("embedding").alias("d", "x")).select("query_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
+
+
+@query
+def hybrid_hyde_topk(t):
+    means = expansion.mean_vector(t.embeddings.select(F.col("label").cast("long").alias("label"), "embedding").withColumnRenamed("label", "query_id")).withColumnRenamed("query_id", "label")
+    hypothetical = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("label")).join(means, "label").select("query_id", "embedding")
+    return retrieval.vector_topk(t.vectors, expansion.blend_vectors(t.vector_queries, hypothetical, 0.3), 10)
+
+
+# Query processing
+
+
+@query
+def classify_query(t):
+    return t.documents.select("doc_id", S.query_type(F.col("text")).alias("query_type"))
+
+
+@query
+def hyde_prompts(t):
+    return expansion.hyde_prompt(t.asked)
+
+
+@query
+def expand_templates(t):
+    return expansion.templates(t.asked)
+
+
+@query
+def multi_query_rules(t):
+    return expansion.rules(t.asked, 3)
+
+
+def _synonyms(t: Tables) -> DataFrame:
+    """Part names' words as a synonym table: the corpus has none of its own."""
+    pairs = [("this", "that", 1), ("this", "such", 2), ("that", "this", 1), ("that", "which_one", 2), ("with", "with", 1), ("with", "by", 2), ("from", "out", 1), ("the", "a", 1), ("there", "here", 1), ("there", "yonder", 2), ("there", "thither", 3)]
+    return t.spark.createDataFrame(pairs, "term string, synonym string, rank int")
+
+
+@query
+def expand_synonyms(t):
+    return expansion.synonyms(t.asked, _synonyms(t))
+
+
+@query
+def llm_line_parse(t):
+    return expansion.parse_lines(t.asked, F.concat(F.lit("1. first "), F.substring("text", 1, 10), F.lit("\n2. \"second\"\n\n3. first "), F.substring("text", 1, 10)), 3)
+
+
+# Reranking
+
+
+@query
+def jaccard_rerank(t):
+    return reranking.jaccard(t.candidates(20), 10)
+
+
+@query
+def keyword_rerank(t):
+    return reranking.keywords(t.candidates(20), 10)
+
+
+@query
+def llm_rating(t):
+    return t.asked.select("query_id", F.round(providers.reply_score(F.concat(F.lit("Score: "), (F.col("query_id") % 15).cast("string"))), 6).alias("score"))
+
+
+@query
+def contextual_query(t):
+    return reranking.contextual_query(t.conversations)
+
+
+@query
+def contextual_rerank(t):
+    """Each assistant turn of a conversation against the user turns before it."""
+    history = reranking.contextual_query(t.conversations)
+    pairs = A.turn_pairs(t.conversations).withColumn("turn", F.col("turn") - 1).join(history, ["conv_id", "turn"])
+    rows = pairs.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("doc_id"), "query", F.col("answer").alias("text"))
+    return reranking.jaccard(rows)
+
+
+@query
+def rrf_fusion(t):
+    parts = _vector_text(t, 20).select("query_id", "doc_id", "rank").unionByName(retrieval.bm25(t.docs, t.asked, 20).select("query_id", "doc_id", "rank"))
+    return reranking.rrf(parts, 10)
+
+
+@query
+def multi_stage_fused(t):
+    return reranking.multi_stage(t.candidates(20), _vector_text(t, 1000), k=10)
+
+
+@query
+def multi_stage_sequential(t):
+    return reranking.multi_stage(t.candidates(20), stages=("keyword", "cross_encoder"), k=10, mode="sequential")
+
+
+@query
+def diversity_mmr(t):
+    return reranking.mmr_words(t.candidates(20), 0.5, 5).select("query_id", "doc_id", "place")
+
+
+# Answers and metrics
+
+
+@query
+def extractive_sentences(t):
+    return answering.sentences(t.candidates(5)).where("place <= 3")
+
+
+@query
+def extractive_answer(t):
+    return answering.extractive(t.candidates(5))
+
+
+@query
+def prompt_assembly(t):
+    return answering.prompt(t.candidates(3))
+
+
+@query
+def answer_compare(t):
+    pairs = A.turn_pairs(t.conversations).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "answer", F.col("question").alias("other"))
+    return answering.compare(pairs)
+
+
+@query
+def lexical_diversity(t):
+    return t.docs.select("doc_id", F.round(S.lexical_diversity(F.col("text")), 6).alias("diversity"))
+
+
+@query
+def precision_recall_mrr(t):
+    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    qrels = e.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "label").join(e, "label").select("query_id", "doc_id")
+    return metrics.ranking_metrics(retrieval.vector_topk(t.vectors, t.vector_queries, 10), qrels, t.vector_queries)
+
+
+@query
+def pseudo_qrels(t):
+    return metrics.pseudo_qrels(t.docs, t.asked, 12)
+
+
+@query
+def containment_qrels(t):
+    return metrics.containment_qrels(t.docs, t.asked)
+
+
+def _answers(t: Tables) -> DataFrame:
+    """Assistant turns as answers, with the question as expectation and the conversation so far as context."""
+    p = A.turn_pairs(t.conversations)
+    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "answer", F.col("question").alias("expected"), F.concat("question", F.lit(" "), F.substring("answer", 1, 200)).alias("context"))
+
+
+@query
+def rouge_overlap(t):
+    return _answers(t).select("id", F.round(S.overlap_f1(F.col("answer"), F.col("expected")), 6).alias("rouge1"))
+
+
+@query
+def rouge_ngrams(t):
+    a, e = F.col("answer"), F.col("expected")
+    return _answers(t).select("id", F.round(S.ngram_f1(a, e, 1), 6).alias("rouge1"), F.round(S.ngram_f1(a, e, 2), 6).alias("rouge2"))
+
+
+@query
+def rouge_lcs(t):
+    return metrics.rouge_l(_answers(t)).select("id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+@query
+def faithfulness(t):
+    return _answers(t).select("id", F.round(S.faithfulness(F.col("answer"), F.col("context")), 6).alias("faithfulness"))
+
+
+@query
+def relevance_precision(t):
+    return t.candidates(5).groupBy("query_id").agg(F.round(F.avg(S.relevance_precision(F.col("query"), F.col("text"))), 6).alias("relevance"))
+
+
+@query
+def mean_relevance(t):
+    return t.candidates(5).groupBy("query_id").agg(F.round(F.avg(S.jaccard(F.col("query"), F.col("text"))), 6).alias("relevance"))
+
+
+@query
+def answer_heuristics(t):
+    return metrics.answer_metrics(_answers(t))
+
+
+def _details(t: Tables) -> DataFrame:
+    """Ranking metrics per vector query, with a failure and a category each."""
+    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    qrels = e.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "label").join(e, "label").select("query_id", "doc_id")
+    m = metrics.ranking_metrics(retrieval.vector_topk(t.vectors, t.vector_queries, 10), qrels, t.vector_queries)
+    return m.withColumn("error", F.when(F.col("query_id") % 9 == 4, "failed")).withColumn("category", F.when(F.col("query_id") % 3 == 0, "definition").otherwise("general"))
+
+
+@query
+def eval_aggregate(t):
+    return metrics.aggregate_run(_details(t), ["p_at_5", "r_at_5", "mrr"])
+
+
+@query
+def eval_by_category(t):
+    return metrics.by_group(_details(t), "category")
+
+
+# Analytics
+
+
+@query
+def union_runs(t):
+    first = t.runs.where("seq % 2 = 0").select("experiment", "seq", "seconds")
+    second = t.runs.where("seq % 2 = 1").select("experiment", "seq", "metric_mrr", "method")
+    return A.union_runs([first, second])
+
+
+@query
+def group_mean(t):
+    return A.group_mean(t.runs, ["experiment", "method"], ["seconds", "metric_mrr"])
+
+
+@query
+def summary_mean_std(t):
+    return A.summary(t.runs, ["method"], ["seconds", "metric_mrr"])
+
+
+@query
+def group_size(t):
+    return t.runs.groupBy("experiment", "method").agg(F.count("*").alias("n"))
+
+
+@query
+def group_first(t):
+    return A.group_first(t.runs, ["method"], "seconds", "seq")
+
+
+@query
+def left_join_attach(t):
+    mean = A.group_mean(t.runs, ["method"], ["metric_mrr"])
+    return mean.join(A.group_first(t.runs.where("method <> 'click'"), ["method"], "seconds", "seq"), "method", "left")
+
+
+@query
+def derived_columns(t):
+    return t.runs.select("seq", F.round(1 / F.greatest("seconds", F.lit(0.001)), 6).alias("per_second"), F.concat_ws("_", "experiment", "method").alias("config"), A.lookup(F.col("method"), {"click": 1.0, "view": 0.5}).alias("efficiency"))
+
+
+@query
+def describe_stats(t):
+    return A.describe(t.runs, ["seconds", "metric_mrr"])
+
+
+@query
+def describe_lineitem(t):
+    return A.describe(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query
+def pivot_mean(t):
+    return A.pivot_mean(t.lineitem, "l_returnflag", "l_linestatus", ["F", "O"], "l_extendedprice")
+
+
+@query
+def melt_metrics(t):
+    return A.melt(t.runs.select("seq", F.col("seconds").alias("metric_run_time"), "metric_mrr"), ["seq"], ["metric_run_time", "metric_mrr"])
+
+
+@query
+def best_config(t):
+    return A.best(t.runs, "metric_mrr", "seq").select("method", "experiment", "seq", "metric_mrr")
+
+
+@query
+def best_config_per_group(t):
+    return A.best(t.runs, "metric_mrr", "seq", ["method"]).select("method", "experiment", "seq", "metric_mrr")
+
+
+@query
+def metric_fallback(t):
+    name = A.fallback_metric(t.runs.withColumn("metric_other", F.lit(None).cast("double")), "metric_other")
+    return A.best(t.runs, name, "seq").select("seq", F.lit(name).alias("metric"))
+
+
+@query
+def min_max_balance(t):
+    mean = A.group_mean(t.runs, ["method", "experiment"], ["seconds", "metric_mrr"])
+    return A.balance(mean, "metric_mrr", "seconds").select("method", "experiment", "balance")
+
+
+@query
+def improvement_over_baseline(t):
+    return A.improvement(t.runs, "method", "click", "metric_mrr")
+
+
+@query
+def improvement_per_second(t):
+    return A.improvement(t.runs, "method", "click", "metric_mrr", "seconds")
+
+
+@query
+def pareto_frontier(t):
+    return A.pareto(t.runs.where("metric_mrr is not null").select("method", "seq", "seconds", "metric_mrr"), "seconds", "metric_mrr", ["method"], "seq")
+
+
+@query
+def ci95(t):
+    return A.confidence(t.runs, "method", "metric_mrr")
+
+
+@query
+def time_metric_corr(t):
+    return A.correlation(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"])
+
+
+@query
+def median_quadrants(t):
+    mean = A.group_mean(t.runs, ["method", "experiment"], ["seconds", "metric_mrr"])
+    return A.quadrants(mean, "seconds", "metric_mrr").select("method", "experiment", "quadrant")
+
+
+@query
+def config_grid(t):
+    return A.config_grid(chunking=["fixed", "paragraph", "sentence"], retrieval=["vector", "bm25", "hybrid"], rerank=["none", "jaccard"])
+
+
+@query
+def turn_pairing(t):
+    return A.turn_pairs(t.conversations)
+
+
+@query
+def latest_run_best(t):
+    day = t.runs.withColumn("day", F.to_date("ts"))
+    last = day.agg(F.max("day").alias("day"))
+    return A.best(day.join(F.broadcast(last), "day"), "metric_mrr", "seq").select("seq", "method", "metric_mrr")
+
+
+@query
+def dedup_keep_first(t):
+    return A.keep_first(t.runs.select("method", "experiment", "seq", "seconds"), ["method", "experiment"], "seq")
+
+
+@query
+def missing_metric_count(t):
+    return A.missing(t.runs, ["seconds", "metric_mrr"])
+
+
+@query
+def seeded_sample(t):
+    return A.sample(t.docs.select("doc_id"), "doc_id", 50)
+
+
+@query
+def best_across_experiments(t):
+    return A.best_per_experiment(t.runs, ["seconds", "metric_mrr"])
+
+
+@query
+def run_timeline(t):
+    return A.timeline(t.runs.select("method", "seq", "ts"), "method", "ts").select("method", "seq", "place", "place_in_type")
+
+
+@query
+def ordered_categories(t):
+    return t.runs.select("method").distinct().select("method", A.ordered(F.col("method"), ["view", "click"]).cast("long").alias("place"))
+
+
+@query
+def upsert_by_name(t):
+    old = t.customer.select("c_custkey", "c_mktsegment")
+    return A.upsert(old, old.where("c_custkey % 5 = 0").withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
+
+
+@query
+def question_profile(t):
+    q = t.documents.select(F.col("lang").alias("category"), F.col("source").alias("difficulty"))
+    return A.profile(q)
+
+
+@query
+def question_filter(t):
+    return t.labels.where("quality = 1 and toxic = 0")
+
+
+@query
+def display_missing(t):
+    return A.display(t.runs.where("seq < 500").select("seq", "metric_mrr"), ["metric_mrr"])
+
+
+@query
+def recommendation_json(t):
+    return A.recommendation(t.runs, "metric_mrr", "seq", ["method", "experiment"])
+
+
+@query
+def latency_windows(t):
+    return latency.latency(t.events)
+
+
+@query
+def rag_pipeline(t):
+    """The whole pipeline over all queries: chunks, hybrid retrieval, reranking, answers."""
+    out = Pipeline(Config(chunking_strategy="fixed_tokens", chunk_size=128, chunk_overlap=0, retrieval_top_k=3), t.docs).run(t.asked)
+    return out.select("query_id", "answer", F.transform("contexts", lambda c: c.chunk_id).alias("chunk_ids"))
