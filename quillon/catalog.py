@@ -272,7 +272,8 @@ def expand_synonyms(t):
 
 @query
 def llm_line_parse(t):
-    return expansion.parse_lines(t.asked, F.concat(F.lit("1. first "), F.substring("text", 1, 10), F.lit("\n2. \"second\"\n\n3. first "), F.substring("text", 1, 10)), 3)
+    name = F.concat(F.lit("first of q"), F.col("query_id").cast("string"), F.lit("x"))
+    return expansion.parse_lines(t.asked, F.concat(F.lit("1. "), name, F.lit('\n2. "second"\n\n3. '), name), 3)
 
 
 # Reranking

@@ -28,7 +28,7 @@ def jaccard_sets(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return jaccard_sets(T.word_set(a), T.word_set(b))
+    return T.let(T.word_set(a), lambda x: T.let(T.word_set(b), lambda y: jaccard_sets(x, y)))
 
 
 def query_type(query: Column) -> Column:
@@ -43,46 +43,57 @@ def keyword_density(query: Column, text: Column) -> Column:
 
     Phrases are the query's two- and three-token sequences; keywords its tokens without stop words.
     """
-    low = F.lower(text)
-    asked = T.tokens(query)
-    keywords = F.filter(asked, lambda w: ~w.isin(*KEYWORD_STOP))
-    phrases = F.concat(T.ngrams(asked, 2), T.ngrams(asked, 3))
-    total = lambda items: F.aggregate(items, F.lit(0.0), lambda acc, p: acc + T.count_of(low, p))
     length = F.greatest(F.lit(1), F.size(T.words(text)))
-    bonus = F.when(F.contains(low, F.lower(query)), 5.0).otherwise(0.0)
-    return 10 * (total(keywords) + 2 * total(phrases)) / length + bonus
+    bonus = F.when(F.contains(F.lower(text), F.lower(query)), 5.0).otherwise(0.0)
+
+    def counted(asked: Column) -> Column:
+        keywords = F.filter(asked, lambda w: ~w.isin(*KEYWORD_STOP))
+        phrases = F.concat(T.ngrams(asked, 2), T.ngrams(asked, 3))
+        total = lambda low, items: F.aggregate(items, F.lit(0.0), lambda acc, p: acc + T.count_of(low, p))
+        return T.let(F.lower(text), lambda low: total(low, keywords) + 2 * total(low, phrases))
+
+    return 10 * T.let(T.tokens(query), counted) / length + bonus
 
 
 def lexical_diversity(text: Column) -> Column:
     """Distinct words per word; 0 for a text without words."""
-    own = T.words(F.lower(text))
-    return F.when(F.size(own) > 0, F.size(F.array_distinct(own)) / F.size(own)).otherwise(0.0)
+    ratio = lambda own: F.when(F.size(own) > 0, F.size(F.array_distinct(own)) / F.size(own)).otherwise(0.0)
+    return T.let(T.words(F.lower(text)), ratio)
 
 
 def overlap_f1(answer: Column, expected: Column) -> Column:
     """F1 of the two word sets (the set form of ROUGE-1)."""
-    a, b = T.word_set(answer), T.word_set(expected)
-    both = F.size(F.array_intersect(a, b))
-    return F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+
+    def f1(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+
+    return T.let(T.word_set(answer), lambda a: T.let(T.word_set(expected), lambda b: f1(a, b)))
 
 
 def ngram_f1(answer: Column, expected: Column, n: int) -> Column:
     """F1 over n-gram multisets, the full form of ROUGE-n."""
-    a, b = T.ngrams(T.tokens(answer), n), T.ngrams(T.tokens(expected), n)
-    times = lambda items, g: F.size(F.filter(items, lambda x: x == g))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
-    return F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+
+    def f1(a: Column, b: Column) -> Column:
+        times = lambda items, g: F.size(F.filter(items, lambda x: x == g))
+        both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
+        return F.when(both > 0, 2 * both / (F.size(a) + F.size(b))).otherwise(0.0)
+
+    grams = lambda text: T.ngrams(T.tokens(text), n)
+    return T.let(grams(answer), lambda a: T.let(grams(expected), lambda b: f1(a, b)))
 
 
 def faithfulness(answer: Column, context: Column) -> Column:
     """Mean share of the answer's bigrams and trigrams that the context has; bigrams only if there is no trigram; 1 without either."""
-    own, other = T.tokens(answer), T.tokens(context)
 
-    def share(n: int) -> Column:
-        grams, known = T.ngrams(own, n), F.array_distinct(T.ngrams(other, n))
-        return F.size(F.filter(grams, lambda g: F.array_contains(known, g))) / F.size(grams)
+    def share(own: Column, other: Column, n: int) -> Column:
+        among = lambda grams, known: F.size(F.filter(grams, lambda g: F.array_contains(known, g))) / F.size(grams)
+        return T.let(T.ngrams(own, n), lambda grams: T.let(F.array_distinct(T.ngrams(other, n)), lambda known: among(grams, known)))
+
+    def both(own: Column, other: Column) -> Column:
+        return F.when(F.size(own) < 2, 1.0).when(F.size(own) == 2, share(own, other, 2)).otherwise((share(own, other, 2) + share(own, other, 3)) / 2)
 
-    return F.when(F.size(own) < 2, 1.0).when(F.size(own) == 2, share(2)).otherwise((share(2) + share(3)) / 2)
+    return T.let(T.tokens(answer), lambda own: T.let(T.tokens(context), lambda other: both(own, other)))
 
 
 def relevance_precision(query: Column, text: Column) -> Column:

@@ -6,6 +6,8 @@ A token is a run of letters, digits and underscores; a word is what white space
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"[.!?]+\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once per row; a plain reference inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
 
@@ -31,9 +38,13 @@ def sentences(text: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """The n-grams of an array as blank-joined strings, repeats included."""
-    last = F.size(items) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i + 1, n), " "))
+
+    def make(own: Column) -> Column:
+        last = F.size(own) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, n), " "))
+
+    return let(items, make)
 
 
 def count_of(text: Column, part: Column) -> Column:

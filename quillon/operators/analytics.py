@@ -175,7 +175,7 @@ def timeline(runs: DataFrame, key: str, ts: str) -> DataFrame:
     """Each run's place between the first and the last of its type and of all, from 0 to 1."""
     own = runs.groupBy(key).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
     all_ = runs.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    s = lambda c: F.unix_micros(F.col(c)).cast("double")
+    s = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
     place = lambda a, b: F.round((s(ts) - s(a)) / F.nullif(s(b) - s(a), F.lit(0.0)), 6)
     return runs.join(own, key).crossJoin(F.broadcast(all_)).withColumn("place", place("_a", "_b")).withColumn("place_in_type", place("first", "last")).drop("_a", "_b", "first", "last")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,9 +75,6 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
 def rouge_l(rows: DataFrame) -> DataFrame:
     """(id, rouge_l): F1 of the longest common token sequence of answer and expected."""
-    import re
-
-    import pandas as pd
 
     def lcs(a: list[str], b: list[str]) -> int:
         row = [0] * (len(b) + 1)
@@ -85,7 +85,7 @@ def rouge_l(rows: DataFrame) -> DataFrame:
         return row[-1]
 
     @F.pandas_udf("double")
-    def run(answers: "pd.Series", expected: "pd.Series") -> "pd.Series":
+    def run(answers: pd.Series, expected: pd.Series) -> pd.Series:
         out = []
         for a, e in zip(answers.fillna(""), expected.fillna(""), strict=True):
             x, y = re.findall(r"\w+", a.lower()), re.findall(r"\w+", e.lower())

@@ -118,7 +118,7 @@ def multi_stage(candidates: DataFrame, semantic: DataFrame | None = None, stages
     """Several scorers over the best candidates: fused by reciprocal ranks, or each reranking what the one before kept."""
     first = Window.partitionBy("query_id").orderBy("rank", "doc_id")
     capped = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CANDIDATES).drop("n")
-    scorers = {"keyword": keywords, "cross_encoder": cross_encoder, "semantic": lambda c: top(c.join(semantic.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).select("query_id", "doc_id", "score"), CANDIDATES) if semantic is not None else jaccard(c)}
+    scorers = {"keyword": keywords, "cross_encoder": cross_encoder, "semantic": lambda c: top(semantic.select("query_id", "doc_id", "score").join(c.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), CANDIDATES) if semantic is not None else jaccard(c)}
     if mode == "sequential":
         out = None
         for stage in stages:

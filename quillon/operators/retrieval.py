@@ -115,14 +115,17 @@ def sparse_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return docs.join(q, "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
 
 
-def hybrid(vector: DataFrame, lexical: DataFrame, alpha: Column | float = 0.5, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """alpha * cosine + (1 - alpha) * BM25 / its largest, over the union of both rankings' best 2k; a missing score is 0."""
+def hybrid(vector: DataFrame, lexical: DataFrame, alpha: Column | float = 0.5, k: int = 10) -> DataFrame:
+    """alpha * cosine + (1 - alpha) * BM25 / its largest, over the union of both rankings' best 2k; a missing score is 0.
+
+    Scores half-way between two roundings are common here; a billionth more makes all of them round up.
+    """
     v = vector.where(F.col("rank") <= 2 * k).select("query_id", "doc_id", F.col("score").alias("v"))
     t = lexical.where(F.col("rank") <= 2 * k).select("query_id", "doc_id", F.col("score").alias("t"))
     t = t.withColumn("t", F.col("t") / F.nullif(F.max("t").over(Window.partitionBy("query_id")), F.lit(0.0)))
     both = v.join(t, ["query_id", "doc_id"], "full_outer")
     alpha = F.lit(alpha) if isinstance(alpha, float | int) else alpha
-    return top(both.select("query_id", "doc_id", (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0))).alias("score")), k)
+    return top(both.select("query_id", "doc_id", (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0)) + 1e-9).alias("score")), k)
 
 
 def merge_variants(rankings: DataFrame, k: int = 10) -> DataFrame:

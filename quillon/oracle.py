@@ -81,7 +81,7 @@ from q join {IDF} i using (term) join tf using (term), st group by query_id, doc
 
 def hybrid(alpha: str, k: int = 10) -> str:
     scored = f"""(with v as {text_vector(2 * k)}, b as (select query_id, doc_id, score / nullif(max(score) over (partition by query_id), 0) as t from {bm25(2 * k)})
-select query_id, doc_id, round({alpha} * coalesce(v.score, 0) + (1 - {alpha}) * coalesce(b.t, 0), 6) as score from v full join b using (query_id, doc_id))"""
+select query_id, doc_id, round({alpha} * coalesce(v.score, 0) + (1 - {alpha}) * coalesce(b.t, 0) + 1e-9, 6) as score from v full join b using (query_id, doc_id))"""
     return top(scored, k)
 
 
@@ -136,9 +136,9 @@ size as (select doc_id, count(*) as n from z group by doc_id),
 brk as (select doc_id, b, row_number() over (partition by doc_id order by b) as k from (
   select doc_id, b from low union all
   select doc_id, unnest(range(250, n, 250)) from size where doc_id not in (select doc_id from low)) join size using (doc_id) where n > 3),
-r(doc_id, k, at, keep) as (select doc_id, 0::bigint, 0::bigint, false from size
-  union all select r.doc_id, b.k, case when b.b - r.at < 10 then r.at else b.b end, b.b - r.at >= 10 from r join brk b on b.doc_id = r.doc_id and b.k = r.k + 1),
-cut as (select doc_id, at as c from r where keep),
+r(doc_id, k, start, keep) as (select doc_id, 0::bigint, 0::bigint, false from size
+  union all select r.doc_id, b.k, case when b.b - r.start < 10 then r.start else b.b end, b.b - r.start >= 10 from r join brk b on b.doc_id = r.doc_id and b.k = r.k + 1),
+cut as (select doc_id, start as c from r where keep),
 part as (select z.doc_id, z.pos, any_value(z.sentence) as sentence, count(c.c) as i from z left join cut c on c.doc_id = z.doc_id and c.c <= z.pos group by z.doc_id, z.pos)
 select doc_id, doc_id || '_semantic' || i as chunk_id, i as chunk_index, string_agg(sentence, ' ' order by pos) as text from part group by doc_id, i"""
 
@@ -196,10 +196,12 @@ def gram_size(n: int) -> str:
 
 
 def share(n: int) -> str:
-    return f"len(list_filter({grams(tok('answer'), n)}, lambda g: list_contains({grams(tok('context'), n)}, g)))::double / len({grams(tok('answer'), n)})"
+    return f"len(list_filter(a{n}, lambda g: list_contains(c{n}, g)))::double / len(a{n})"
 
 
-FAITH = f"case when len({tok('answer')}) < 2 then 1.0 when len({tok('answer')}) = 2 then {share(2)} else ({share(2)} + {share(3)}) / 2 end"
+_TOKENS = f"(select id, answer, expected, {tok('answer')} as own, {tok('context')} as other from {ANSWERS})"
+GRAMS = f"(select id, answer, expected, len(own) as size, {grams('own', 2)} as a2, {grams('own', 3)} as a3, list_distinct({grams('other', 2)}) as c2, list_distinct({grams('other', 3)}) as c3 from {_TOKENS})"
+FAITH = f"case when size < 2 then 1.0 when size = 2 then {share(2)} else ({share(2)} + {share(3)}) / 2 end"
 DIVERSITY = "case when len({0}) > 0 then len(list_distinct({0}))::double / len({0}) else 0.0 end"
 QRELS = "(select q.vec_id as query_id, e.vec_id as doc_id from embeddings q join embeddings e using (label) where q.vec_id < 20)"
 METRICS = f"""(select query_id, {', '.join(f'round(coalesce(h{k}, 0)::double / least({k}, n), 6) as p_at_{k}' for k in (1, 3, 5))},
@@ -263,7 +265,7 @@ select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) a
     "bm25_topk": f"select * from {bm25(10)}",
     "text_vector_topk": f"select * from {text_vector(10)}",
     "hybrid_topk": f"select * from {hybrid('0.5')}",
-    "hybrid_alpha_sweep": " union all ".join(f"select *, {a}::double as alpha from {hybrid(a)}" for a in ("0.3", "0.5", "0.7")),
+    "hybrid_alpha_sweep": " union all ".join(f"select *, {a}::double as alpha from {hybrid(a + '::double')}" for a in ("0.3", "0.5", "0.7")),
     "mmr_retrieve": greedy(vector(20), f"(select a.query_id, a.doc_id as a, b.doc_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as s from {vector(20)} a join {vector(20)} b using (query_id) join embeddings x on x.vec_id = a.doc_id join embeddings y on y.vec_id = b.doc_id)", 0.5, 5),
     "mmr_scaled": greedy(f"(select query_id, doc_id, score / max(score) over (partition by query_id) as score from {vector(20)})", f"(select a.query_id, a.doc_id as a, b.doc_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as s from {vector(20)} a join {vector(20)} b using (query_id) join embeddings x on x.vec_id = a.doc_id join embeddings y on y.vec_id = b.doc_id)", 0.7, 5),
     "multi_query_dedup": merged(f"(select query_id // 10 as query_id, query_id % 10 as variant, doc_id, rank from {bm25(10, f'(select query_id * 10 + variant as query_id, variant_text as text from {RULES})')})", 10),
@@ -277,7 +279,7 @@ select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) a
     "expand_synonyms": f"""select item_id as query_id, 0::bigint as variant, text as variant_text from benchmark
 union all select query_id, pos * 100 + rank, array_to_string(list_concat(t[1:pos], [synonym], t[pos + 2:]), ' ') from (select query_id, t, unnest(range(len(t))) as pos, unnest(t) as term from (select item_id as query_id, {tok('text')} as t from benchmark)) p join {SYNONYMS} using (term)
 where length(term) > 3 and rank <= 2 and not contains(synonym, '_') and synonym <> term""",
-    "llm_line_parse": "select item_id as query_id, unnest(range(3)) as variant, unnest([text, 'first ' || trim(substr(text, 1, 10), '0123456789. \"''-'), 'second']) as variant_text from benchmark",
+    "llm_line_parse": "select item_id as query_id, unnest(range(3)) as variant, unnest([text, 'first of q' || item_id || 'x', 'second']) as variant_text from benchmark",
     "jaccard_rerank": f"select * from {reranked(jacc(wset('query'), wset('text')), 10)}",
     "keyword_rerank": f"select * from {reranked(keyword('query', 'text'), 10)}",
     "llm_rating": "select item_id as query_id, round(least(greatest(item_id % 15, 1), 10) / 10.0, 6)::double as score from benchmark",
@@ -296,17 +298,17 @@ from (select distinct query_id from {candidates(5)}) q left join b using (query_
     "lexical_diversity": f"select doc_id, round({DIVERSITY.format(words('lower(text)'))}, 6) as diversity from documents",
     "precision_recall_mrr": f"select * from {METRICS}",
     "pseudo_qrels": f"""with q as (select item_id as query_id, list_distinct({tok('text')}) as t from benchmark), s as (select query_id, doc_id, any_value(size) as size, count(*) as shared from (select query_id, len(t) as size, unnest(t) as term from q) join (select doc_id, unnest(list_distinct({tok('text')})) as term from documents) using (term) group by query_id, doc_id)
-select query_id, doc_id, shared from (select *, shared >= least(12, size) as enough, max((shared >= least(12, size))::int) over (partition by query_id) as some, row_number() over (partition by query_id order by shared desc, doc_id) as place from s) where enough or some = 0 and place <= 2""",
+select query_id, doc_id, shared from (select *, shared >= least(12, size) as enough, max((shared >= least(12, size))::int) over (partition by query_id) as met, row_number() over (partition by query_id order by shared desc, doc_id) as place from s) where enough or met = 0 and place <= 2""",
     "containment_qrels": f"select b.item_id as query_id, d.doc_id from (select item_id, array_to_string({words('text')}, ' ') as q from benchmark) b join (select doc_id, array_to_string({words('text')}, ' ') as t from documents) d on contains(d.t, b.q)",
     "rouge_overlap": f"select id, round({f1('answer', 'expected')}, 6) as rouge1 from {ANSWERS}",
     "rouge_ngrams": f"select a.id, round(coalesce(2.0 * x.both / {gram_size(1)}, 0), 6) as rouge1, round(coalesce(2.0 * y.both / nullif({gram_size(2)}, 0), 0), 6) as rouge2 from {ANSWERS} a left join {gram_f1(1)} x using (id) left join {gram_f1(2)} y using (id)",
-    "faithfulness": f"select id, round({FAITH}, 6) as faithfulness from {ANSWERS}",
+    "faithfulness": f"select id, round({FAITH}, 6) as faithfulness from {GRAMS}",
     "relevance_precision": f"select query_id, round(avg(case when len(q) > 0 then len(list_intersect(q, t))::double / len(q) else 0 end), 6) as relevance from (select query_id, {wset('query')} as q, {wset('text')} as t from {candidates(5)}) group by query_id",
     "mean_relevance": f"select query_id, round(avg({jacc('q', 't')}), 6) as relevance from (select query_id, {wset('query')} as q, {wset('text')} as t from {candidates(5)}) group by query_id",
     "answer_heuristics": f"""select id, round(r, 6) as rouge1, round(r * 0.8, 6) as rouge2, round(r * 0.9, 6) as rougel, round(f, 6) as faithfulness, round((r + f) / 2, 6) as answer_correctness,
 case when contains(answer, '[') and contains(answer, ']') then 1.0 when contains(lower(answer), 'according to') or contains(lower(answer), 'mentioned in') then 0.8 else 0.0 end::double as citation_rate,
 case when o > 5 then 0.8 when o > 2 then 0.6 else 0.5 end::double as correctness, round(d, 6) as lexical_diversity
-from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list_intersect({wset('answer')}, {wset('expected')})) as o, {DIVERSITY.format(words('lower(answer)'))} as d from {ANSWERS})""",
+from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list_intersect({wset('answer')}, {wset('expected')})) as o, {DIVERSITY.format(words('lower(answer)'))} as d from {GRAMS})""",
     "eval_aggregate": "select " + ", ".join(f"round(avg(case when error is null then {m} end), 6) as avg_{m}" for m in ("p_at_5", "r_at_5", "mrr")) + f", count(*) as question_count, count(error) as failed_count from {DETAILS}",
     "eval_by_category": "select category, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in ("p_at_1", "p_at_3", "p_at_5", "r_at_1", "r_at_3", "r_at_5", "mrr")) + f", count(*) as n_queries from {DETAILS} group by category",
     "union_runs": f"select experiment, seq, seconds, null::double as metric_mrr, null::varchar as method from {RUNS} where seq % 2 = 0 union all select experiment, seq, null, metric_mrr, method from {RUNS} where seq % 2 = 1",

@@ -77,7 +77,7 @@ def embed(text: Column, name: str = "hash") -> Column:
     load = EMBEDDERS[name]
 
     @F.pandas_udf("array<double>")
-    def run(batches: "pd.Series") -> "pd.Series":
+    def run(batches: pd.Series) -> pd.Series:
         model = _once("embedder", name, load)
         return pd.Series(list(np.asarray(model(batches.fillna("").tolist()), dtype="float64")))
 
@@ -88,7 +88,7 @@ def generate(prompt: Column, name: str = "echo") -> Column:
     load = MODELS[name]
 
     @F.pandas_udf("string")
-    def run(prompts: "pd.Series") -> "pd.Series":
+    def run(prompts: pd.Series) -> pd.Series:
         model = _once("model", name, load)
         return pd.Series(model(prompts.fillna("").tolist()))
 
@@ -104,7 +104,7 @@ def pair_score(query: Column, text: Column, name: str | None = None) -> Column:
     load = SCORERS[name]
 
     @F.pandas_udf("double")
-    def run(queries: "pd.Series", texts: "pd.Series") -> "pd.Series":
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
         model = _once("scorer", name, load)
         return pd.Series(model(queries.tolist(), texts.tolist()), dtype="float64")
 
