@@ -34,7 +34,8 @@ from quillon.llm.common import crc_mod, materialize, small_batches
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_500_000
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... and from 2**14 on.
 CONTEXTS = 16
-ROUNDS = 60
+#: Rounds of EM, and tokens that each component is taken to have explained beforehand, so no weight vanishes.
+ROUNDS, PRIOR = 60, 0.5
 HELD, DELETED, KEPT = 0, 1, 2
 START, END = np.uint64(1), np.uint64(2)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -204,7 +205,7 @@ def _weights(cells: np.ndarray, vocabulary: int) -> np.ndarray:
         part *= (n / part.sum(1))[:, None]
         total = np.stack([np.bincount(k, part[:, i], CONTEXTS) for i in range(3)], 1)
         seen = total.sum(1) > 0
-        weights[seen] = (total[seen] + 1e-6) / (total[seen] + 1e-6).sum(1, keepdims=True)
+        weights[seen] = (total[seen] + PRIOR) / (total[seen] + PRIOR).sum(1, keepdims=True)
     for i in range(1, CONTEXTS):  # a context bucket without held-out tokens takes the weights of the one below
         if not (k == i).any():
             weights[i] = weights[i - 1]

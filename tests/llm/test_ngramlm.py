@@ -49,7 +49,7 @@ def brute(rows, fold_of):
         part /= part.sum(1, keepdims=True)
         total = np.stack([np.bincount(k, part[:, i], N.CONTEXTS) for i in range(3)], 1)
         seen = total.sum(1) > 0
-        weights[seen] = total[seen] / total[seen].sum(1, keepdims=True)
+        weights[seen] = (total[seen] + N.PRIOR) / (total[seen] + N.PRIOR).sum(1, keepdims=True)
     for i in range(1, N.CONTEXTS):
         if not (k == i).any():
             weights[i] = weights[i - 1]
