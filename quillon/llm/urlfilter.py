@@ -81,7 +81,8 @@ def _generalise(tree: DataFrame, level: int) -> DataFrame:
     both = child.join(parent, ["host", "above"]).where("children > 1")
     for c in ("n", "labelled", "bad", "ends"):
         both = both.withColumn(f"all_{c}", F.col(f"all_{c}") - F.col(c))
-    alike = (_z("bad", "labelled", "all_bad", "all_labelled") < DIFFERS) & (_z("ends", "n", "all_ends", "all_n") < DIFFERS)
+    proven = (F.col("labelled") >= EVIDENCE) & (F.col("all_labelled") >= EVIDENCE)
+    alike = (~proven | (_z("bad", "labelled", "all_bad", "all_labelled") < DIFFERS)) & (_z("ends", "n", "all_ends", "all_n") < DIFFERS)
     thin = (F.col("children") > MANY) & (F.col("labelled") < EVIDENCE)
     merged = both.where(alike | thin).select("host", "above", "segment", F.lit(True).alias("merged"))
     start, end = F.slice("template", 1, level), F.expr(f"slice(template, {level + 2}, size(template))")
