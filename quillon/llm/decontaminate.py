@@ -33,7 +33,7 @@ WINDOW, AGREE = 13, 0.8
 #: Positions that a seed reads. Together they meet all 13-token windows with up to two substitutions.
 SEEDS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
-#: Bits of the bitmap, as a power of two: it never takes more than 8 MB.
+#: Bits of the bitmap, as a power of two: 8 MB, however many test hashes there are. A hash sets two of them.
 BITMAP_BITS = 26
 #: Test hashes up to this number are broadcast for the join, more are shuffled.
 BROADCAST_ROWS = 100_000
@@ -100,15 +100,16 @@ def _stretches(docs: DataFrame, bitmap, around: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, bits = bitmap.value
-        drop = np.uint64(64 - bits)
+        high, low = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        marked = lambda place: marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
                 found = []
                 for hashes in seed_hashes(words):
-                    place = hashes >> drop
-                    at = np.flatnonzero(marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    at = np.flatnonzero(marked(hashes >> high))
+                    at = at[marked(hashes[at] & low) == 1]
                     found.append((at, hashes[at]))
                 at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(at):
@@ -129,12 +130,12 @@ def _stretches(docs: DataFrame, bitmap, around: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, begin long, words binary, ats array<long>, hashes array<long>")
 
 
-def _bitmap(test: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    bits = min(BITMAP_BITS, max(16, (64 * rows).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    words = test.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("b"))
+def _bitmap(test: DataFrame) -> tuple[np.ndarray, int]:
+    bits = BITMAP_BITS
+    place = F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))))
+    words = test.select(place.alias("place")).selectExpr("shiftright(place, 6) w", "shiftleft(1L, cast(place & 63 as int)) b")
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2**20 rows at most
-    out = np.zeros(1 << (bits - 6), np.int64)
+    out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out.view(np.uint8), bits
 
@@ -147,7 +148,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     test = materialize(_test_hashes(items))
     rows, longest = test.agg(F.count("*"), F.max("n_item")).first()
-    marks = spark.sparkContext.broadcast(_bitmap(test, rows))
+    marks = spark.sparkContext.broadcast(_bitmap(test))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(_stretches(texts, marks, longest or 0))
     hits = found.select("doc_id", "begin", F.xxhash64("words").alias("mark"), F.explode(F.arrays_zip("ats", "hashes")).alias("h"))

@@ -56,7 +56,7 @@ def test_joined_and_broadcast_hashes_agree(spark, monkeypatch):
     rows = [(i, data.text(90 + i, 30) + " " + data.text(i % 7, 30)) for i in range(20)]
     some = [sorted(map(tuple, D.overlaps(data.docs(spark, rows), items(spark, tests)).collect()))]
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(D, "BITMAP_BITS", 7)
+    monkeypatch.setattr(D, "BITMAP_BITS", 9)
     some.append(sorted(map(tuple, D.overlaps(data.docs(spark, rows), items(spark, tests)).collect())))
     assert some[0] == some[1] and {r[0] for r in some[0]} == {i for i in range(20) if i % 7 < 5}
 
