@@ -40,7 +40,7 @@ def fixed_tokens(docs: DataFrame, size: int = 64, overlap: int = 0) -> DataFrame
 
 def paragraphs(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """Parts between blank lines, else between line ends, else the whole text as one chunk without an id."""
-    full = lambda sep: F.filter(F.transform(F.split(F.col("text"), sep), F.trim), lambda p: p != "")
+    full = lambda sep: F.filter(F.transform(F.split(F.col("text"), sep), lambda s: F.trim(s)), lambda p: p != "")
     own = docs.select("doc_id", "text", full("\n\n").alias("blank"), full("\n").alias("line"))
     own = own.withColumn("parts", F.when(F.size("blank") > 1, F.col("blank")).when(F.size("line") > 1, F.col("line")))
     numbered = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("text"))), lambda p: F.size(T.words(p.text)) >= least_words)

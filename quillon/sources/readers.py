@@ -24,7 +24,7 @@ def _documents(rows: DataFrame, *place: str) -> DataFrame:
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Plain text, split at blank lines; titles count the parts."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parts = F.filter(F.transform(F.split("value", "\n\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("value", "\n\n"), lambda s: F.trim(s)), lambda p: p != "")
     rows = files.select("file", F.posexplode(parts).alias("i", "text"))
     return _documents(rows.withColumn("title", F.concat(F.lit("Paragraph_"), (F.col("i") + 1).cast("string"))), "file", "i")
 
@@ -60,7 +60,7 @@ def register_pdf(pages: Callable[[bytes], list[str]]) -> None:
 
 def split_pages(pages: DataFrame) -> DataFrame:
     """(file, page, text) to documents: a long page becomes its parts between blank lines."""
-    parts = F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda s: F.trim(s)), lambda p: p != "")
     long = pages.where(F.length("text") > LONG_PAGE).select("file", "page", F.posexplode(parts).alias("i", "text"))
     long = long.withColumn("title", F.format_string("Page_%d_Section_%d", F.col("page"), F.col("i") + 1))
     short = pages.where((F.length("text") <= LONG_PAGE) & (F.trim("text") != "")).withColumn("i", F.lit(0)).withColumn("title", F.format_string("Page_%d", F.col("page")))
@@ -101,7 +101,7 @@ def questions_csv(spark: SparkSession, path: str) -> DataFrame:
     if lacking := {"question", "expected_answer"} - set(df.columns):
         raise ValueError(f"columns are missing: {sorted(lacking)}")
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    docs = F.filter(F.transform(F.split(have("relevant_docs"), r"\|"), F.trim), lambda d: d != "")
+    docs = F.filter(F.transform(F.split(have("relevant_docs"), r"\|"), lambda s: F.trim(s)), lambda d: d != "")
     return df.select("question", "expected_answer", F.coalesce(docs, F.array().cast("array<string>")).alias("relevant_docs"), F.coalesce(have("category"), F.lit("general")).alias("category"), F.coalesce(have("difficulty"), F.lit("medium")).alias("difficulty"))
 
 

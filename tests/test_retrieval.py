@@ -41,9 +41,9 @@ def test_padding_fills_with_zero_scores(spark):
 
 def test_vector_search_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(1)
-    rows = [(i, r.normal(size=4).tolist()) for i in range(50)] + [(50, [0.0] * 4), (51, [1.0, 0, 0, 0]), (52, [2.0, 0, 0, 0])]
+    rows = [(i, r.normal(size=4).tolist()) for i in range(50)] + [(50, [0.0] * 4), (51, [1.0, 0.0, 0.0, 0.0]), (52, [2.0, 0.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
-    queries = spark.createDataFrame([(9, [1.0, 0, 0, 0]), (8, [0.0] * 4), (7, [0.0, 1, 0, 0])], "query_id long, embedding array<double>")
+    queries = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0]), (8, [0.0] * 4), (7, [0.0, 1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
     once = sorted(map(tuple, retrieval.vector_topk(vectors, queries, 5).collect()))
     monkeypatch.setattr(retrieval, "BLOCK", 1)
     assert sorted(map(tuple, retrieval.vector_topk(vectors, queries, 5).collect()), key=str) == sorted(once, key=str)
@@ -108,7 +108,7 @@ def test_mmr_equals_brute_force(spark):
 def test_mmr_on_words(spark):
     rows = [(1, i, "a b c", t) for i, t in enumerate(["a b c", "a b c", "a x y", "z"])]
     frame = spark.createDataFrame(rows, "query_id long, doc_id long, query string, text string")
-    assert [r.doc_id for r in reranking.mmr_words(frame, 0.5, 4).orderBy("place").collect()] == [0, 2, 3, 1]
+    assert [r.doc_id for r in reranking.mmr_words(frame, 0.4, 4).orderBy("place").collect()] == [0, 3, 2, 1]
 
 
 def test_multi_stage_modes(spark):
