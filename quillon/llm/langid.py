@@ -80,16 +80,27 @@ class Model:
         return labels, scores
 
 
-def solve(grams: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fits on the presence rows of labelled texts. Landmarks are the first texts of each language in turn."""
+def _unpack(rows: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8)).reshape(len(rows), PLACES).astype(np.float32)
+
+
+def solve(rows: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fits on the packed presence rows of labelled texts. Landmarks are the first texts of each language in turn.
+
+    Rows are unpacked a few at a time, so memory holds the packed rows and their kernels with the landmarks.
+    """
     names = sorted(set(languages))
     turn: dict[str, int] = {}
-    order = sorted(range(len(languages)), key=lambda i: (turn.setdefault(languages[i], 0), turn.update({languages[i]: turn[languages[i]] + 1}))[0])
-    chosen = grams[order[:landmarks]]
-    marks = (chosen / np.sqrt(np.maximum(chosen.sum(1), 1))[:, None]).T.astype(np.float32)
-    model = Model(names, marks, np.zeros((marks.shape[1], len(names)), np.float32))
-    k = np.concatenate([model.kernel(grams[i : i + 256]) for i in range(0, len(grams), 256)]).astype(np.float64)
-    values, vectors = np.linalg.eigh(k[order[:landmarks]])
+    place = []
+    for i, name in enumerate(languages):
+        place.append((turn.get(name, 0), i))
+        turn[name] = turn.get(name, 0) + 1
+    order = [i for _, i in sorted(place)][:landmarks]
+    chosen = _unpack([rows[i] for i in order])
+    chosen /= np.sqrt(np.maximum(chosen.sum(1), 1))[:, None]
+    model = Model(names, np.ascontiguousarray(chosen.T), np.zeros((len(order), len(names)), np.float32))
+    k = np.concatenate([model.kernel(_unpack(rows[i : i + ROWS])) for i in range(0, len(rows), ROWS)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(k[order])
     usable = values > 1e-6 * values.max()
     whiten = vectors[:, usable] / np.sqrt(values[usable])
     x = k @ whiten
@@ -120,8 +131,7 @@ def fit(docs: DataFrame, held_out: Column, train: int = TRAIN, landmarks: int =
     chosen = docs.sparkSession.createDataFrame(sorted((i,) for i in wanted), "_id long")
     picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long"), "lang", "text")
     got = sorted(picked.mapInArrow(bits, "doc_id long, lang string, bits binary").collect())
-    grams = np.concatenate([np.unpackbits(np.frombuffer(r.bits, np.uint8))[None].astype(np.uint8) for r in got])
-    return solve(grams.astype(np.float32), [r.lang for r in got], landmarks)
+    return solve([bytes(r.bits) for r in got], [r.lang for r in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
