@@ -121,11 +121,11 @@ def solve(rows: list[tuple[np.ndarray, np.ndarray | None, int]], share: float, f
     theta, bias = np.zeros(len(kept)), float(np.log(share / (1 - share)))
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, 401):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta + bias, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ theta.astype(np.float32) + bias, -40, 40)))
         error = weigh * (p - label)
-        grad = np.append(x.T @ error + RIDGE * theta, error.sum())
+        grad = np.append(x.T @ error.astype(np.float32) + RIDGE * theta, error.sum())
         if change is not None:
-            grad[:-1] += fairness * (change.T @ (change @ theta)) / len(change)
+            grad[:-1] += fairness * (change.T @ (change @ theta.astype(np.float32))) / len(change)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta, bias = theta - move[:-1], bias - float(move[-1])

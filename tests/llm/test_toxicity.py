@@ -72,4 +72,4 @@ def test_edges(spark):
     by = {r.doc_id: r for r in got}
     assert by[1000].score == by[1001].score < 0.5 and by[None].held_out is False and by[1003].predicted == 1
     assert X.classify(data.docs(spark, []), labels_of(spark, [])).count() == 0
-    assert {r.score for r in X.classify(data.docs(spark, [(1, "a")]), labels_of(spark, [])).collect()} <= {0.0, 1e-9} or True
+    assert X.classify(data.docs(spark, [(1, "a")]), labels_of(spark, [])).first().score < 1e-6
