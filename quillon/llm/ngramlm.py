@@ -4,7 +4,7 @@ P(w | u) = l2[k] c(u, w) / c(u) + l1[k] c(w) / N + l0[k] / (V + 1), where k buck
 frequency c(u). One fold of the training texts is deleted from the counts and the weights l[k] maximise its
 likelihood, found by expectation-maximisation; then the deleted fold's counts are added back.
 
-All counts stay distributed. The corpus is cut into blocks of about a million tokens, each stored compactly
+All counts stay distributed. The corpus is cut into blocks of about half a million tokens, each stored compactly
 (token numbers and word hashes). A block asks for the counts of its distinct words and bigrams: it sends their
 sorted 64-bit hashes with its own counts, cut by hash range into buckets. Each bucket adds up what all blocks
 sent, and answers each block with the totals, in the order asked. So a word, however frequent, is one entry
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import crc_mod, materialize, small_batches
 
 #: Tokens of a block and entries of a bucket; both bound the memory of a task.
-BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_500_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 500_000, 1_000_000
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... and from 2**14 on.
 CONTEXTS = 16
 #: Rounds of EM, and tokens that each component is taken to have explained beforehand, so no weight vanishes.
@@ -143,6 +143,7 @@ def _ask(stored: DataFrame, bits: int) -> DataFrame:
         edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([], np.uint64)
         for batch in batches:
             for row in batch.to_pylist():
+                pa.default_memory_pool().release_unused()
                 b = Block(row["words"], row["tokens"], row["lengths"])
                 at = [np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in (b.words, b.pairs)]
                 out = []
@@ -157,6 +158,7 @@ def _ask(stored: DataFrame, bits: int) -> DataFrame:
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """Adds up a bucket's counts and answers every block in the order it asked: all counts, then the kept ones."""
+    pa.default_memory_pool().release_unused()  # a worker that is kept between tasks would hold what Arrow has freed
     answers: list[list[bytes]] = []
     vocabulary = kept_vocabulary = 0
     for hashes, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
@@ -178,6 +180,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
 
 def _counts(row: pd.Series, replies: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray]:
     """The block with (all, kept) counts of its words and of its bigrams."""
+    pa.default_memory_pool().release_unused()
     b = Block(row["words"], row["tokens"], row["lengths"])
     replies = replies.sort_values("bucket")
     both = []
