@@ -19,6 +19,7 @@ import base64
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _SPECIAL = "<|endoftext|>"
 #: White space other than one space or line end between two other characters.
 _OTHER_SPACE = re.compile(r"\s{2}|[^\S \n]|^\s|\s\Z")
-_CACHE = 300_000
+#: Stretches whose ids a worker keeps.
+_CACHE = 500_000
 
 
 class Encoder:
@@ -68,14 +70,26 @@ class Encoder:
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         if len(self.known) > _CACHE:
             self.known.clear()
-        known, encode, parts = self.known, self.fast.encode_ordinary, []
-        for n, stretch in enumerate(text.replace("\n", " \n").split(" ")):
-            key = stretch if not n or stretch[:1] == "\n" else " " + stretch
-            ids = known.get(key)
-            if ids is None:
-                ids = known[key] = np.array(encode(key), np.uint32).tobytes()
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.uint32)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        parts = list(map(self.known.get, rest))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    stretch = rest[i]
+                    ids = self.fast.encode_ordinary(stretch if stretch[0] == "\n" else " " + stretch)
+                    parts[i] = self.known[stretch] = array("I", ids).tobytes()
+        return np.frombuffer(array("I", self.fast.encode_ordinary(first)).tobytes() + b"".join(parts), np.uint32)
+
+
+_encoders: dict[tuple[str, str, str], Encoder] = {}
+
+
+def encoder(path: str, ranks_path: str, pattern: str) -> Encoder:
+    """One encoder per worker, so its table and the words it knows serve all tasks."""
+    key = (path, ranks_path, pattern)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -120,7 +134,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, ranks_path, pattern)
+        encode = encoder(path, ranks_path, pattern)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 34
         rows: list[tuple] = []
