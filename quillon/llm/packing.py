@@ -99,23 +99,33 @@ def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, i
     if total % room and room & (room - 1):
         sizes = [room] * (total // room) + [total % room]
     free, out = list(sizes), []
-    heap = [(0.0, s) for s in range(len(sizes))]
-    heapq.heapify(heap)
     put = lambda piece, start, n, s: (out.append((piece, start, n, s, sizes[s] - free[s])), free.__setitem__(s, free[s] - n))
+    # Pieces only get shorter: the heap holds the sequences with room for the next one, the others wait by their room.
+    parked: list[list[tuple[float, int]]] = [[] for _ in range(room + 1)]
+    for s, size in enumerate(sizes):
+        parked[size].append((0.0, s))
+    heap: list[tuple[float, int]] = []
     cut: list[int] = []
+    least = room + 1
     for piece in np.argsort(-lengths, kind="stable").tolist():
-        n, passed = int(lengths[piece]), []
-        while heap and free[heap[0][1]] < n and len(passed) < 24:
-            passed.append(heapq.heappop(heap))
-        if heap and free[heap[0][1]] >= n:
-            cost, s = heapq.heappop(heap)
-            put(piece, 0, n, s)
-            if free[s]:
-                passed.append((cost + n + QUADRATIC * n * n, s))
-        else:
+        n = int(lengths[piece])
+        while least > n:
+            least -= 1
+            for entry in parked[least]:
+                heapq.heappush(heap, entry)
+            parked[least] = []
+        if not heap:
             cut.append(piece)
-        for entry in passed:
-            heapq.heappush(heap, entry)
+            continue
+        cost, s = heap[0]
+        put(piece, 0, n, s)
+        entry = (cost + n + QUADRATIC * n * n, s)
+        if free[s] >= n:
+            heapq.heapreplace(heap, entry)
+        else:
+            heapq.heappop(heap)
+            parked[free[s]].append(entry)
+    heap += [entry for wait in parked for entry in wait]
     open_ = [s for _, s in sorted(heap) if free[s]][::-1]
     for piece in cut:
         start, n = 0, int(lengths[piece])

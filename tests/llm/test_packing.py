@@ -63,6 +63,28 @@ def test_cost_is_balanced():
     assert all(n == lengths[p] for p, _, n, _, _ in parts)
 
 
+def test_a_piece_is_cut_only_where_no_sequence_has_room():
+    lengths = np.minimum(1023, np.random.default_rng(3).lognormal(5, 1, 2500).astype(np.int64) + 1)
+    parts = packing.fill(lengths)
+    whole = [(p, s, o) for p, start, n, s, o in parts if n == lengths[p]]
+    total = int(lengths.sum())
+    free = {s: 1024 for s in range(total // 1024)} | {total // 1024 + i: 1 << b for i, b in enumerate(b for b in range(11) if total % 1024 >> b & 1)}
+    cost, at = dict.fromkeys(free, 0.0), {p: s for p, s, _ in whole}
+    cuts = 0
+    for p in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[p])
+        roomy = [s for s in free if free[s] >= n]
+        if not roomy:
+            cuts += 1
+            assert sum(q == p for q, *_ in parts) >= 2
+            continue
+        best = min(roomy, key=lambda s: (cost[s], s))
+        assert at[p] == best
+        free[best] -= n
+        cost[best] += n + packing.QUADRATIC * n * n
+    assert cuts
+
+
 def test_edges(spark, slow):
     rows = data.edge_rows()
     got = packing.pack(data.docs(spark, rows).repartition(3), *PATHS, public_tokenizers.PATTERN, buffer=3000).collect()
