@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, langid, packing, quality, simhash
+from quillon.llm import decontaminate, langid, neardup, packing, quality
 from quillon.llm.common import crc_mod, materialize, table
 
 
@@ -20,8 +20,8 @@ def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group stays."""
-    return simhash.keep_one(docs)
+    """The first of the documents linked by five-word shingles with a similarity of 0.8 or more stays."""
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
