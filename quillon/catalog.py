@@ -316,7 +316,9 @@ def rrf_fusion(t):
 
 @query
 def multi_stage_fused(t):
-    return reranking.multi_stage(t.candidates(20), _vector_text(t, 1000), k=10)
+    found = t.candidates(20)
+    semantic = retrieval.pair_cosine(found, index.hash_vectors(t.docs), index.hash_vectors(t.asked, "query_id"))
+    return reranking.multi_stage(found, semantic, k=10)
 
 
 @query
