@@ -318,7 +318,7 @@ def rrf_fusion(t):
 def multi_stage_fused(t):
     found = t.candidates(20)
     semantic = retrieval.pair_cosine(found, index.hash_vectors(t.docs), index.hash_vectors(t.asked, "query_id"))
-    return reranking.multi_stage(found, semantic, k=10)
+    return reranking.multi_stage(found, semantic, ("semantic", "keyword", "cross_encoder", "diversity"), k=10)
 
 
 @query
