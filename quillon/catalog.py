@@ -369,7 +369,7 @@ def precision_recall_mrr(t):
 
 @query
 def pseudo_qrels(t):
-    return metrics.pseudo_qrels(t.docs, t.asked, 12)
+    return metrics.pseudo_qrels(t.docs, t.asked)
 
 
 @query
