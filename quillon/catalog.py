@@ -176,7 +176,7 @@ def bm25_topk(t):
 
 
 def _vector_text(t: Tables, k: int) -> DataFrame:
-    return retrieval.top(retrieval.sparse_cosine(index.hash_vectors(t.docs), index.hash_vectors(t.asked, "query_id")), k)
+    return retrieval.text_topk(t.docs, t.asked, k)
 
 
 @query
@@ -219,7 +219,7 @@ def multi_query_dedup(t):
 def union_dedup(t):
     """Vector hits, then lexical ones, each text once."""
     both = _vector_text(t, 10).withColumn("variant", F.lit(0).cast("long")).unionByName(retrieval.bm25(t.docs, t.asked, 10).withColumn("variant", F.lit(1).cast("long")))
-    return retrieval.merge_variants(both.select("query_id", "variant", "doc_id", "rank"), 20)
+    return retrieval.union_by_text(both.select("query_id", "variant", "doc_id", "rank"), t.docs, 20)
 
 
 @query

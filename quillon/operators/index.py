@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,25 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf(docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms."""
-    n = docs.agg(F.count("*").alias("n_docs"))
-    raw = document_frequency(docs).crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, df), and in the row without a term how many documents and tokens there are: one pass over the texts."""
+    own = docs.select(T.tokens(F.col("text")).alias("t"))
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.coalesce(F.greatest(F.size("t"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    terms = F.transform(F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n")))
+    return own.select(F.inline(F.concat(F.array(none), terms))).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+
+
+def idf(docs: DataFrame, epsilon: float = 0.25, sizes: bool = False) -> DataFrame:
+    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms.
+
+    ``sizes`` adds avgdl, the documents' mean number of tokens.
+    """
+    counted = _counted(docs)
+    size = counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl"))
+    raw = counted.where("term is not null").crossJoin(F.broadcast(size)).select("term", "df", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    out = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    return out if sizes else out.drop("avgdl")
 
 
 def tfidf(docs: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -52,3 +68,15 @@ def tfidf(docs: DataFrame, id: str = "doc_id") -> DataFrame:
 def hash_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, bucket, weight): the offline embedding, sparse, at length one."""
     return providers.hashed_terms(docs.select(id, F.explode(T.tokens(F.col(text))).alias("term")), [id])
+
+
+def dense_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, embedding): the offline embedding of each text, dense, by one pass over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = providers.hash_embed(batch.column(1).to_pylist())
+            ends = pa.array(range(0, rows.size + 1, providers.DIMENSIONS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], [id, "embedding"])
+
+    return docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{id} long, embedding array<double>")

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions import text as T
 from quillon.operators import index
 
-#: Query rows that may be broadcast, and queries of one matrix product.
-BROADCAST_QUERIES, BLOCK = 200_000, 1024
+#: Query rows that may be broadcast, bytes of query vectors that may be, and rows of one side of a block where they may not.
+BROADCAST_QUERIES, BROADCAST_BYTES, BLOCK = 200_000, 64 << 20, 50_000
+#: Scores held at once while a batch of vectors meets the queries.
+_CELLS = 8_000_000
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
@@ -35,28 +38,22 @@ def top(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") ->
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine search. vectors: (doc_id, embedding); queries: (query_id, embedding).
 
-    Blocks of queries meet each Arrow batch in one matrix product; each batch passes on only its k best per
-    query, so what is shuffled does not grow with the vectors' size. Zero vectors score null and come last.
+    Query vectors of a checked size are broadcast: one scan multiplies each Arrow batch with all of them. More are
+    cut into blocks that meet blocks of the vectors, so neither side is ever gathered whole. Every task passes on
+    only its k best per query. Zero vectors score null and come last.
     """
-    out = None
-    ids = queries.select("query_id").orderBy("query_id")
-    rows = [(r.query_id, r.embedding) for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()] if ids.limit(BLOCK + 1).count() <= BLOCK else None
-    blocks = [rows] if rows is not None else _blocks(queries)
-    for block in blocks:
-        part = _block_topk(vectors, block, k)
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
-
-
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    block: list = []
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        block.append((r.query_id, r.embedding))
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    vectors = vectors.selectExpr("cast(doc_id as long) doc_id", "embedding").where("embedding is not null")
+    queries = queries.selectExpr("cast(query_id as long) query_id", "embedding").where("embedding is not null")
+    first = queries.selectExpr("size(embedding) n").first()
+    most = max(1, BROADCAST_BYTES // (8 * first.n)) if first and first.n else BLOCK
+    few = queries.limit(most + 1).toPandas()
+    if len(few) <= most:
+        return top(_scan_topk(vectors, few["query_id"].to_numpy(np.int64), _stack(few["embedding"]), k), k)
+    return top(_block_topk(vectors, queries, k), k)
+
+
+def _stack(rows) -> np.ndarray:
+    return np.array(list(rows), np.float64).reshape(len(rows), -1 if len(rows) else 1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -64,39 +61,89 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, np.nan, norm)
 
 
-def _block_topk(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    ids = np.array([q for q, _ in block], np.int64)
-    matrix = _unit(np.array([v for _, v in block], np.float64).reshape(len(block), -1))
+class _Best:
+    """The k best documents of each query so far; ties go to the smaller id, scores without a value come last."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int):
+        self.ids, self.units, self.k = ids, units, k
+        self.q, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, docs: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, _CELLS // max(1, len(self.ids)))
+        for at in range(0, len(docs), step):
+            scores = np.round(_unit(vectors[at : at + step]) @ self.units.T, 6)
+            scores[np.isnan(scores)] = -2.0
+            bar = self.least
+            if len(scores) > self.k:
+                bar = np.maximum(bar, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+            row, q = np.nonzero(scores >= bar)
+            q, doc, score = (np.concatenate(x) for x in ((self.q, q), (self.doc, docs[at + row]), (self.score, scores[row, q])))
+            order = np.lexsort((doc, -score, q))
+            q = q[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            kept = order[place < self.k]
+            self.q, self.doc, self.score = q[place < self.k], doc[kept], score[kept]
+            full = place == self.k - 1
+            self.least[q[full]] = score[order[full]]
+
+    def batch(self) -> pa.RecordBatch:
+        scores = np.where(self.score == -2.0, np.nan, self.score)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.doc), pa.array(scores, from_pandas=True)], ["query_id", "doc_id", "score"])
+
+
+_RANKED = "query_id long, doc_id long, score double"
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _scan_topk(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    asked = vectors.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*asked.value, k)
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(docs) or not len(ids):
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(_unit(flat.reshape(len(docs), -1)) @ matrix.T, 6)
-            order = np.lexsort((docs[:, None] + np.zeros(len(ids), np.int64), np.where(np.isnan(scores), np.inf, -scores)), axis=0)[:k]
-            best = np.take_along_axis(scores, order, 0)
-            columns = [np.broadcast_to(ids, order.shape).ravel(), docs[order].ravel()]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(best.ravel(), from_pandas=True)], ["query_id", "doc_id", "score"])
+            if batch.num_rows and len(best.ids):
+                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+        yield best.batch()
+
+    return vectors.mapInArrow(run, _RANKED)
+
+
+def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Every block of queries with every block of vectors, each pair of blocks in a task of its own."""
+    n_docs, n_asked = (max(1, -(-df.count() // BLOCK)) for df in (vectors, queries))
+    block = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = vectors.select(block("doc_id", n_docs).alias("v"), every(n_asked).alias("q"), "doc_id", "embedding")
+    right = queries.select(every(n_docs).alias("v"), block("query_id", n_asked).alias("q"), "query_id", "embedding")
 
-    return vectors.selectExpr("cast(doc_id as long) doc_id", "embedding").where("embedding is not null").mapInArrow(run, "query_id long, doc_id long, score double")
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        docs, asked = docs.combine_chunks(), asked.combine_chunks()
+        flat = lambda t, c: t.column(c).chunk(0) if t.num_rows else None
+        ids = asked.column("query_id").to_numpy() if asked.num_rows else np.zeros(0, np.int64)
+        best = _Best(ids, _unit(_matrix(flat(asked, "embedding"))) if len(ids) else np.zeros((0, 1)), k)
+        if docs.num_rows and len(ids):
+            best.add(docs.column("doc_id").to_numpy(), _matrix(flat(docs, "embedding")))
+        return pa.Table.from_batches([best.batch()])
+
+    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(run, _RANKED)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 by an inverted index. docs: (doc_id, text); queries: (query_id, text).
 
-    Only postings of the queries' terms are shuffled. Documents without a query term are not ranked.
+    One pass over the texts counts terms and lengths, a second one meets the queries' terms; only postings of
+    these are shuffled. Documents without a query term are not ranked.
     """
     asked = _small(index.postings(queries, "query_id").withColumnRenamed("tf", "qtf"))
     wanted = _small(asked.select("term").distinct())
-    stats = index.lengths(docs).agg(F.avg("dl").alias("avgdl"))
-    weights = index.idf(docs, epsilon).join(wanted, "term", "left_semi").select("term", "idf")
-    from quillon.functions import text as T
-
+    weights = index.idf(docs, epsilon, sizes=True).join(wanted, "term", "left_semi").select("term", "idf", "avgdl")
     terms = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     hits = terms.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    scored = hits.join(weights, "term").crossJoin(F.broadcast(stats)).join(asked, "term")
+    scored = hits.join(asked.join(weights, "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return out.withColumn("score", F.round("score", 6)) if k is None else top(out, k)
@@ -109,14 +156,13 @@ def pad_zero(ranking: DataFrame, docs: DataFrame, queries: DataFrame, k: int) ->
     return top(ranking.select("query_id", "doc_id", "score").unionByName(some.withColumn("score", F.lit(0.0))), k)
 
 
-def sparse_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) from rows (id, bucket, weight) of unit vectors, for all pairs that share a bucket."""
-    q = _small(queries.select("query_id", "bucket", F.col("weight").alias("qw")))
-    return docs.join(q, "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+def text_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``vector_topk`` on the offline embedding of texts. docs: (doc_id, text); queries: (query_id, text)."""
+    return vector_topk(index.dense_vectors(docs), index.dense_vectors(queries, "query_id"), k)
 
 
 def pair_cosine(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``sparse_cosine`` for exactly the given pairs (query_id, doc_id), those that share no bucket at zero."""
+    """The cosine of exactly the given pairs (query_id, doc_id), from rows (id, bucket, weight) of unit vectors."""
     pairs = pairs.select("query_id", "doc_id").distinct()
     q = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
     found = docs.join(pairs, "doc_id").join(q, ["query_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
@@ -136,6 +182,14 @@ def hybrid(vector: DataFrame, lexical: DataFrame, alpha: Column | float = 0.5, k
     return top(both.select("query_id", "doc_id", (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0)) + 1e-9).alias("score")), k)
 
 
+def union_by_text(rankings: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """As ``merge_variants``, but a text counts where it comes first, whichever documents have it."""
+    texts = docs.select("doc_id", F.md5("text").alias("same"))
+    first = rankings.join(texts, "doc_id").groupBy("query_id", "same").agg(F.min(F.struct("variant", "rank", "doc_id")).alias("f"))
+    order = Window.partitionBy("query_id").orderBy("f")
+    return first.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k).select("query_id", "f.doc_id", "place")
+
+
 def merge_variants(rankings: DataFrame, k: int = 10) -> DataFrame:
     """Rankings of a query's variants (query_id, variant, doc_id, rank) one after the other; a document counts where it comes first."""
     first = rankings.groupBy("query_id", "doc_id").agg(F.min(F.struct("variant", "rank")).alias("f"))

@@ -63,8 +63,8 @@ def text_vector(k: int, asked: str = ASKED) -> str:
     return top(pairs, k)
 
 
-IDF = f"""(with d as (select {tok('text')} as t from documents), n as (select count(*) as n from d),
-df as (select term, count(*) as df from (select unnest(list_distinct(t)) as term from d) group by term),
+IDF = f"""(with d as materialized (select {tok('text')} as t from documents), n as (select count(*) as n from d),
+df as materialized (select term, count(*) as df from (select unnest(list_distinct(t)) as term from d) group by term),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, n)
 select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
 
@@ -89,7 +89,7 @@ def candidates(k: int) -> str:
     return f"(select c.query_id, c.doc_id, c.score, c.rank, d.text, b.text as query from {bm25(k)} c join documents d using (doc_id) join benchmark b on b.item_id = c.query_id)"
 
 
-QV = "(select vec_id as query_id, embedding::double[] as e from embeddings where vec_id < 20)"
+QV = "(select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 50 = 0)"
 
 
 def vector(k: int, q: str = QV) -> str:
@@ -175,7 +175,7 @@ def reranked(score: str, k: int, fetch: int = 20) -> str:
 
 HISTORY = "(select conv_id, turn, coalesce(string_agg(text, ' ') over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) || ' ', '') || text as query from conversations where role = 'user')"
 PAIRS = "(select conv_id, turn, question, text as answer from (select *, lag(role) over w as before, lag(text) over w as question from conversations window w as (partition by conv_id order by turn)) where role = 'assistant' and before = 'user')"
-ANSWERS = f"(select conv_id * 1000 + turn as id, answer, question as expected, question || ' ' || substr(answer, 1, 200) as context from {PAIRS})"
+ANSWERS = f"(select conv_id * 1000 + turn as id, answer, question as expected, question || ' ' || answer as context from {PAIRS})"
 EXTRACT = f"""(select query_id, place, sentence, score from (select *, row_number() over (partition by query_id order by score desc, rank, pos) as place from (
 select query_id, rank, pos, sentence, round(len(list_intersect(sw, q)) / (1 + 0.1 * abs(len(sw) - len(q))), 6) as score from (
 select query_id, rank, q, pos, sentence, {wset('sentence')} as sw from (select query_id, rank, {wset('query')} as q, unnest(range(len(ss))) as pos, unnest(ss) as sentence from (select *, {sents('text')} as ss from {candidates(5)}))) where len(list_intersect(sw, q)) > 0)))"""
@@ -203,7 +203,7 @@ _TOKENS = f"(select id, answer, expected, {tok('answer')} as own, {tok('context'
 GRAMS = f"(select id, answer, expected, len(own) as size, {grams('own', 2)} as a2, {grams('own', 3)} as a3, list_distinct({grams('other', 2)}) as c2, list_distinct({grams('other', 3)}) as c3 from {_TOKENS})"
 FAITH = f"case when size < 2 then 1.0 when size = 2 then {share(2)} else ({share(2)} + {share(3)}) / 2 end"
 DIVERSITY = "case when len({0}) > 0 then len(list_distinct({0}))::double / len({0}) else 0.0 end"
-QRELS = "(select q.vec_id as query_id, e.vec_id as doc_id from embeddings q join embeddings e using (label) where q.vec_id < 20)"
+QRELS = "(select q.vec_id as query_id, e.vec_id as doc_id from embeddings q join embeddings e using (label) where q.vec_id % 50 = 0)"
 METRICS = f"""(select query_id, {', '.join(f'round(coalesce(h{k}, 0)::double / least({k}, n), 6) as p_at_{k}' for k in (1, 3, 5))},
 {', '.join(f'round(coalesce(h{k}, 0)::double / n_relevant, 6) as r_at_{k}' for k in (1, 3, 5))}, round(coalesce(1.0 / first, 0), 6) as mrr from (
 select query_id, count(*) as n, min(case when hit then rank end) as first, {', '.join(f'count(distinct case when hit and rank <= {k} then doc_id end) as h{k}' for k in (1, 3, 5))}
@@ -226,8 +226,10 @@ def gains(extra: str = "") -> str:
 
 
 BEST = f"(select * from {RUNS} where metric_mrr is not null order by metric_mrr desc, seq limit 1)"
-FUSED_PARTS = f"""(select query_id, doc_id, rank from {top(f"(select query_id, doc_id, v.score from {text_vector(1000)} v join {candidates(20)} c using (query_id, doc_id))", 100)}
+PAIR_COSINES = f"(select query_id, doc_id, round(sum(d.weight * q.weight), 6) as score from {hash_vectors(DOCS, 'doc_id')} d join {hash_vectors(ASKED, 'query_id')} q using (bucket) group by query_id, doc_id)"
+FUSED_PARTS = f"""(select query_id, doc_id, rank from {top(f"(select c.query_id, c.doc_id, coalesce(v.score, 0) as score from {candidates(20)} c left join {PAIR_COSINES} v using (query_id, doc_id))", 100)}
 union all select query_id, doc_id, rank from {reranked(keyword('query', 'text'), 100)} union all select query_id, doc_id, rank from {reranked(jacc(wset('query'), wset('text')), 100)})"""
+TEXT_PAIRS = f"(with v as materialized {hash_vectors(DOCS, 'doc_id')}, c as materialized {candidates(20)}, p as (select a.query_id, a.doc_id as a, b.doc_id as b from c a join c b using (query_id)) select query_id, a, b, round(coalesce((select sum(x.weight * y.weight) from v x join v y using (bucket) where x.doc_id = a and y.doc_id = b), 0), 6) as s from p)"
 
 
 def rrf(parts: str, k: int = 10) -> str:
@@ -269,7 +271,8 @@ select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) a
     "mmr_retrieve": greedy(vector(20), f"(select a.query_id, a.doc_id as a, b.doc_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as s from {vector(20)} a join {vector(20)} b using (query_id) join embeddings x on x.vec_id = a.doc_id join embeddings y on y.vec_id = b.doc_id)", 0.5, 5),
     "mmr_scaled": greedy(f"(select query_id, doc_id, score / max(score) over (partition by query_id) as score from {vector(20)})", f"(select a.query_id, a.doc_id as a, b.doc_id as b, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as s from {vector(20)} a join {vector(20)} b using (query_id) join embeddings x on x.vec_id = a.doc_id join embeddings y on y.vec_id = b.doc_id)", 0.7, 5),
     "multi_query_dedup": merged(f"(select query_id // 10 as query_id, query_id % 10 as variant, doc_id, rank from {bm25(10, f'(select query_id * 10 + variant as query_id, variant_text as text from {RULES})')})", 10),
-    "union_dedup": merged(f"(select query_id, 0 as variant, doc_id, rank from {text_vector(10)} union all select query_id, 1, doc_id, rank from {bm25(10)})", 20),
+    "union_dedup": f"""with u as (select r.*, d.text from (select query_id, 0 as variant, doc_id, rank from {text_vector(10)} union all select query_id, 1, doc_id, rank from {bm25(10)}) r join documents d using (doc_id))
+select query_id, doc_id, place from (select *, row_number() over (partition by query_id order by variant, rank, doc_id) as place from u a where not exists (select 1 from u b where b.query_id = a.query_id and b.text = a.text and (b.variant, b.rank) < (a.variant, a.rank))) where place <= 20""",
     "hyde_mean_vector": f"select query_id, unnest(range(len(e))) as d, round(unnest(e), 6) as x from {MEANS}",
     "hybrid_hyde_topk": f"select * from {vector(10, BLEND)}",
     "classify_query": f"select doc_id, {query_type('text')} as query_type from documents",
@@ -286,7 +289,8 @@ where length(term) > 3 and rank <= 2 and not contains(synonym, '_') and synonym
     "contextual_query": f"select * from {HISTORY}",
     "contextual_rerank": f"select * from {top(f'''(select p.conv_id as query_id, p.turn - 1 as doc_id, round({jacc(wset('query'), wset('answer'))}, 6) as score from {PAIRS} p join {HISTORY} h on h.conv_id = p.conv_id and h.turn = p.turn - 1)''', 100)}",
     "rrf_fusion": f"select * from {rrf(f'(select query_id, doc_id, rank from {text_vector(20)} union all select query_id, doc_id, rank from {bm25(20)})')}",
-    "multi_stage_fused": f"select * from {rrf(FUSED_PARTS)}",
+    "multi_stage_fused": f"""with f as materialized {rrf(FUSED_PARTS, 100)}, m as ({greedy("(select query_id, doc_id, score / max(score) over (partition by query_id) as score from f)", TEXT_PAIRS, 0.7, 20)})
+select query_id, doc_id, f.score, m.place as rank from m join f using (query_id, doc_id) where m.place <= 10""",
     "multi_stage_sequential": f"select * from {reranked(jacc(wset('query'), wset('text')), 10)}",
     "diversity_mmr": greedy(f"(select query_id, doc_id, round({jacc(wset('query'), wset('text'))}, 6) as score from {candidates(20)})", f"(with c as materialized (select query_id, doc_id, {wset('text')} as w from {candidates(20)}) select a.query_id, a.doc_id as a, b.doc_id as b, round({jacc('a.w', 'b.w')}, 6) as s from c a join c b using (query_id))", 0.5, 5),
     "extractive_sentences": f"select * from {EXTRACT} where place <= 3",
@@ -298,7 +302,7 @@ from (select distinct query_id from {candidates(5)}) q left join b using (query_
     "lexical_diversity": f"select doc_id, round({DIVERSITY.format(words('lower(text)'))}, 6) as diversity from documents",
     "precision_recall_mrr": f"select * from {METRICS}",
     "pseudo_qrels": f"""with q as (select item_id as query_id, list_distinct({tok('text')}) as t from benchmark), s as (select query_id, doc_id, any_value(size) as size, count(*) as shared from (select query_id, len(t) as size, unnest(t) as term from q) join (select doc_id, unnest(list_distinct({tok('text')})) as term from documents) using (term) group by query_id, doc_id)
-select query_id, doc_id, shared from (select *, shared >= least(12, size) as enough, max((shared >= least(12, size))::int) over (partition by query_id) as met, row_number() over (partition by query_id order by shared desc, doc_id) as place from s) where enough or met = 0 and place <= 2""",
+select query_id, doc_id, shared from (select *, shared >= least(3, size) as enough, max((shared >= least(3, size))::int) over (partition by query_id) as met, row_number() over (partition by query_id order by shared desc, doc_id) as place from s) where enough or met = 0 and place <= 2""",
     "containment_qrels": f"select b.item_id as query_id, d.doc_id from (select item_id, array_to_string({words('text')}, ' ') as q from benchmark) b join (select doc_id, array_to_string({words('text')}, ' ') as t from documents) d on contains(d.t, b.q)",
     "rouge_overlap": f"select id, round({f1('answer', 'expected')}, 6) as rouge1 from {ANSWERS}",
     "rouge_ngrams": f"select a.id, round(coalesce(2.0 * x.both / {gram_size(1)}, 0), 6) as rouge1, round(coalesce(2.0 * y.both / nullif({gram_size(2)}, 0), 0), 6) as rouge2 from {ANSWERS} a left join {gram_f1(1)} x using (id) left join {gram_f1(2)} y using (id)",
@@ -344,7 +348,7 @@ from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list
     "upsert_by_name": "select c_custkey, case when c_custkey % 5 = 0 then 'NEW' else c_mktsegment end as c_mktsegment from customer",
     "question_profile": "select count(*) as questions, (select string_agg(x, ',' order by x) from (select distinct lang as x from documents)) as category, (select string_agg(x, ',' order by x) from (select distinct source as x from documents)) as difficulty from documents",
     "question_filter": "select * from labels where quality = 1 and toxic = 0",
-    "display_missing": f"select seq, coalesce(printf('%.4f', metric_mrr), 'N/A') as metric_mrr from {RUNS} where seq < 500",
+    "display_missing": f"select seq, coalesce(printf('%.4f', metric_mrr), 'N/A') as metric_mrr from {RUNS}",
     "recommendation_json": f"""select '{{"best_config":{{"method":"' || method || '","experiment":"' || experiment || '"}},"score":' || round(metric_mrr, 6) || ',"metric":"metric_mrr"}}' as recommendation from {BEST}""",
     "latency_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by all",
 }

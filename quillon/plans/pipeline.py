@@ -40,8 +40,7 @@ class Pipeline:
     def _vector(self, queries: DataFrame, k: int) -> DataFrame:
         c = self.config
         if c.embedding_model == "hash":
-            found = retrieval.sparse_cosine(index.hash_vectors(self.chunks), index.hash_vectors(queries, "query_id"))
-            return retrieval.top(found, k)
+            return retrieval.text_topk(self.chunks, queries, k)
         own = self.chunks.select("doc_id", providers.embed(F.col("text"), c.embedding_model).alias("embedding"))
         return retrieval.vector_topk(own, queries.select("query_id", providers.embed(F.col("text"), c.embedding_model).alias("embedding")), k)
 

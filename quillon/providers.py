@@ -39,13 +39,27 @@ def hashed_terms(terms: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(norms, keys).where("norm > 0 and x <> 0").select(*keys, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
 
 
+_places: dict[str, tuple[int, int]] = {}
+#: Terms whose place and sign a worker keeps.
+_PLACES = 500_000
+
+
+def _place(term: str) -> tuple[int, int]:
+    if (got := _places.get(term)) is None:
+        if len(_places) >= _PLACES:
+            _places.clear()
+        digest = hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()
+        got = _places[term] = int(digest[:8], 16) % DIMENSIONS, 1 if int(digest[8], 16) % 2 == 0 else -1
+    return got
+
+
 def hash_embed(texts: list[str]) -> np.ndarray:
     """The same vectors in numpy, dense."""
     out = np.zeros((len(texts), DIMENSIONS))
     for row, text in zip(out, texts, strict=True):
-        for term in _TOKEN.findall((text or "").lower()):
-            digest = hashlib.md5(term.encode()).hexdigest()
-            row[int(digest[:8], 16) % DIMENSIONS] += 1 if int(digest[8], 16) % 2 == 0 else -1
+        if terms := _TOKEN.findall((text or "").lower()):
+            at, sign = zip(*map(_place, terms), strict=True)
+            row += np.bincount(at, sign, DIMENSIONS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 

@@ -45,7 +45,8 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
     queries = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0]), (8, [0.0] * 4), (7, [0.0, 1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
     once = sorted(map(tuple, retrieval.vector_topk(vectors, queries, 5).collect()))
-    monkeypatch.setattr(retrieval, "BLOCK", 1)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
     assert sorted(map(tuple, retrieval.vector_topk(vectors, queries, 5).collect()), key=str) == sorted(once, key=str)
     nine = [x for x in once if x[0] == 9]
     assert [(x[1], x[2]) for x in sorted(nine, key=lambda x: x[3])][:2] == [(51, 1.0), (52, 1.0)]
@@ -59,7 +60,7 @@ def test_vector_search_in_blocks(spark, monkeypatch):
 def test_hybrid_ends_are_the_single_rankings(spark):
     docs, queries = frames(spark)
     lexical = retrieval.bm25(docs, queries, 20)
-    vector = retrieval.top(retrieval.sparse_cosine(index.hash_vectors(docs), index.hash_vectors(queries, "query_id")), 20)
+    vector = retrieval.text_topk(docs, queries, 20)
     order = lambda df: [(r.query_id, r.doc_id) for r in df.where("score > 0").orderBy("query_id", "rank").collect()]
     assert order(retrieval.hybrid(vector, lexical, 1.0)) == order(vector.where("rank <= 10"))
     assert order(retrieval.hybrid(vector, lexical, 0.0)) == order(lexical.where("rank <= 10"))
