@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows and bytes of one Arrow batch. Long texts come in small batches, so a worker's memory stays bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -20,12 +22,16 @@ def small_batches(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows once to the shared checkpoint folder and cuts the lineage there.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset, as in a local test, a
-    temporary one is taken.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken on a single
+    machine; on a cluster, whose machines would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -37,3 +43,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """The CRC-32 of the id written as text, modulo n (null ids: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Rows of up to some 16 bytes that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast in joins if a bounded look shows that it has few enough narrow rows."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the rows do not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def least_hashed(rows: DataFrame, group: str, id: str, k: int) -> DataFrame:
+    """(group, id, rank): of each group the k ids that come first by their hash, ranked from 1.
+
+    Ids are counted first, so only as many as are surely needed, about 2 k of each group, reach the ranking task.
+    """
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(id).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * k + 100) / F.greatest(F.col("n"), F.lit(1)))
+    bound = sizes.select(group, (share * F.lit(2.0**64) - F.lit(2.0**63)).alias("bound"))
+    low = rows.join(F.broadcast(bound), group).where(F.xxhash64(id) <= F.col("bound")).groupBy(group, id).agg(F.first("bound").alias("bound"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id), id))
+    return low.withColumn("rank", rank).where(F.col("rank") <= k).select(group, id, "rank")

@@ -9,8 +9,9 @@ Fitting takes at most ``train`` labelled texts and ``landmarks`` of them, chosen
 the order of a hash of their ids; these two bounds are parameters and everything else reads all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; texts of any length are read
-whole; rows with a null language are never learned from; without any labelled row every text is ``und``; an
-empty table gives no rows; further columns are ignored.
+whole; rows with a null language or id are never learned from; repeated rows get equal results and are learned from
+once; of languages with equal scores the first by name is taken; without any labelled row every text is ``und``; an
+empty table gives no rows; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import crc_mod, small_batches
+from quillon.llm.common import crc_mod, least_hashed, small_batches
 
 PLACES = 1 << 15
 LENGTHS = (1, 2, 3, 4)
@@ -113,13 +113,11 @@ def solve(rows: list[bytes], languages: list[str], landmarks: int = LANDMARKS, r
 
 
 def fit(docs: DataFrame, held_out: Column, train: int = TRAIN, landmarks: int = LANDMARKS) -> Model:
-    """Learns from rows with text and language that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= train)
-    ids = ids.orderBy("rank", F.xxhash64("lang")).limit(train).select("doc_id", "lang").collect()
-    wanted = {r.doc_id for r in ids}
-    if not wanted:
+    """Learns from rows with text and language that are not held out; of the rows of one id and language from one."""
+    rows = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.dropna()
+    ids = least_hashed(rows, "lang", "doc_id", train).orderBy("rank", F.xxhash64("lang")).limit(train).select("doc_id", "lang").collect()
+    if not ids:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros((0, 0), np.float32))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +126,10 @@ def fit(docs: DataFrame, held_out: Column, train: int = TRAIN, landmarks: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
 
     small_batches(docs.sparkSession)
-    chosen = docs.sparkSession.createDataFrame(sorted((i,) for i in wanted), "_id long")
-    picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long"), "lang", "text")
-    got = sorted(picked.mapInArrow(bits, "doc_id long, lang string, bits binary").collect())
+    chosen = docs.sparkSession.createDataFrame(sorted((r.doc_id, r.lang) for r in ids), "doc_id long, lang string")
+    picked = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    got = picked.mapInArrow(bits, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
+    got = sorted(got.collect())
     return solve([bytes(r.bits) for r in got], [r.lang for r in got], landmarks)
 
 
@@ -147,15 +146,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
-    """The rows whose text is in a learned language with at least this score, with all their columns."""
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text is in a learned language, with all their columns. Only ``und`` goes, whatever the score."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = shared.value(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores, strict=True)], pa.bool_()))
+            labels, _ = shared.value(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,7 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import langid
-from quillon.llm.common import crc_mod
+from quillon.llm.common import crc_mod, least_hashed
 from tests.llm import data
 
 
@@ -54,3 +55,51 @@ def test_filter(spark):
     kept = langid.keep_known(docs, langid.fit(docs, crc_mod("doc_id", 3) == 1))
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(120))
+
+
+def test_short_texts_in_a_learned_language_stay(spark):
+    docs = corpus(spark, [(1000, "k", "xa"), (1001, "mq zz", "ya"), (1002, "漢", None)])
+    kept = langid.keep_known(docs, langid.fit(docs, crc_mod("doc_id", 3) == 1))
+    assert {1000, 1001, 1002} < {r.doc_id for r in kept.collect()}
+
+
+def test_clashing_columns_and_repeated_ids(spark, monkeypatch):
+    taken = {}
+    solve = langid.solve
+    monkeypatch.setattr(langid, "solve", lambda rows, languages, *a: taken.setdefault("n", len(rows)) and solve(rows, languages, *a))
+    docs = corpus(spark, [(4, data.text(9, 20), "xa")] * 500 + [(4, data.text(10, 20), "xa")]).selectExpr("*", "1 _id", "2 rank", "3 bound", "4 n")
+    got = langid.identify(docs).where("doc_id = 4").collect()
+    assert len(got) == 502 and len({r.score for r in got if r.lang_pred == "xa"}) == 3
+    assert taken["n"] == sum(not r.held_out for r in langid.identify(corpus(spark)).collect())
+    stage = langid.keep_known(docs, langid.fit(docs, crc_mod("doc_id", 3) == 1))
+    assert stage.columns == docs.columns and stage.count() == 621
+
+
+def test_the_bound_holds_for_each_language(spark):
+    rows = [(i, data.text(i, 5), "xa" if i % 50 else "ya") for i in range(2000)]
+    got = [(r.lang, r.doc_id) for r in least_hashed(data.docs(spark, rows).select("doc_id", "lang").union(data.docs(spark, rows).select("doc_id", "lang")), "lang", "doc_id", 30).collect()]
+    marks = {r.doc_id: r.h for r in data.docs(spark, rows).select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = [(lang, i) for lang in ("xa", "ya") for i in sorted((d for d, _, x in rows if x == lang), key=lambda d: marks[d])[:30]]
+    assert sorted(got) == sorted(want)
+
+
+def test_scores_equal_a_plain_kernel_regression():
+    """Nystrom features by the landmarks' kernel matrix and one ridge regression per language, written out."""
+    texts = [data.text(i, 12, lang) for i in range(30) for lang in ("xa", "ya")]
+    names = ["xa", "ya"] * 30
+    asked = [data.text(100 + i, 9, lang) for i in range(5) for lang in ("xa", "ya")] + ["kalo öbüv"]
+    grams = {t: {i for i, x in enumerate(langid.presence([t])[0]) if x} for t in texts + asked}
+    kernel = lambda a, b: len(grams[a] & grams[b]) / np.sqrt(len(grams[a]) * len(grams[b]))
+    marks = texts[:16]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
+    features = lambda ts: np.array([[kernel(t, m) for m in marks] for t in ts]) @ root
+    x, want = features(texts), []
+    for name in ("xa", "ya"):
+        y = np.array([float(n == name) for n in names])
+        want.append(features(asked) @ np.linalg.solve(x.T @ x + langid.RIDGE * len(x) / 100 * np.eye(16), x.T @ y))
+    model = langid.solve([np.packbits(langid.presence([t])[0].astype(bool)).tobytes() for t in texts], names, 16)
+    labels, scores = model(asked)
+    assert labels == [("xa", "ya")[i] for i in np.argmax(want, 0)]
+    assert np.allclose(scores, np.clip(np.max(want, 0), 0, 1), atol=2e-3)
