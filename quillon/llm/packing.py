@@ -4,13 +4,16 @@ Every document becomes token ids plus an end id. Pieces of a full sequence lengt
 of each document waits in a buffer of bounded size. A full buffer of T tokens is packed into T // 1024 full
 sequences and, for the remainder, one sequence per binary digit of it, so no token of padding is needed:
 pieces go in descending length to the sequence of lowest cost (linear plus quadratic attention) that has
-room, and a piece that fits nowhere whole is cut.
+room, and a piece that fits nowhere whole is cut, mostly once. Only the last pieces of a buffer, which fill its
+sequences of one, two, four tokens and so on, may be cut more often, into twelve parts at most.
 
 The work is a single pass without a shuffle: memory is bounded by the buffer and a task that is run again
 gives the same rows.
 
 Defined results: a null text counts as empty (its one id is the end id); texts of any length are packed whole;
-repeated rows are packed as often as they occur; an empty table gives no rows; further columns are ignored.
+repeated rows are packed as often as they occur; of equal lengths the one that comes first in the buffer, and of
+equal costs the sequence with the smaller number, is taken; an empty table gives no rows; further columns, of whatever
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -93,49 +96,57 @@ def encoder(path: str, ranks_path: str, pattern: str) -> Encoder:
 
 
 def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """Packs pieces: (piece, start in it, length, sequence, offset there) for each part."""
+    """Packs pieces: (piece, start in it, length, sequence, offset there) for each part.
+
+    The longest piece goes next, to the sequence of lowest cost among those with room. If none has room, the piece
+    is cut: its beginning fills up the sequence with the most room, what is left goes where it fits best. Only where
+    it fits nowhere either is it cut again.
+    """
     total = int(lengths.sum())
     sizes = [room] * (total // room) + [1 << b for b in range(room.bit_length()) if total % room >> b & 1]
     if total % room and room & (room - 1):
         sizes = [room] * (total // room) + [total % room]
-    free, out = list(sizes), []
-    put = lambda piece, start, n, s: (out.append((piece, start, n, s, sizes[s] - free[s])), free.__setitem__(s, free[s] - n))
+    free, cost, out = list(sizes), [0.0] * len(sizes), []
+
+    def put(piece: int, start: int, n: int, s: int) -> None:
+        out.append((piece, start, n, s, sizes[s] - free[s]))
+        free[s] -= n
+        cost[s] += n + QUADRATIC * n * n
+
     # Pieces only get shorter: the heap holds the sequences with room for the next one, the others wait by their room.
-    parked: list[list[tuple[float, int]]] = [[] for _ in range(room + 1)]
+    waiting: list[list[tuple[float, int]]] = [[] for _ in range(room + 1)]
     for s, size in enumerate(sizes):
-        parked[size].append((0.0, s))
-    heap: list[tuple[float, int]] = []
-    cut: list[int] = []
-    least = room + 1
+        waiting[size].append((0.0, s))
+    roomy: list[tuple[float, int]] = []
+    least = widest = room + 1
     for piece in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[piece])
+        n, start = int(lengths[piece]), 0
         while least > n:
             least -= 1
-            for entry in parked[least]:
-                heapq.heappush(heap, entry)
-            parked[least] = []
-        if not heap:
-            cut.append(piece)
+            for entry in waiting[least]:
+                heapq.heappush(roomy, entry)
+            waiting[least] = []
+        if roomy:
+            _, s = roomy[0]
+            put(piece, 0, n, s)
+            if free[s] >= n:
+                heapq.heapreplace(roomy, (cost[s], s))
+            else:
+                heapq.heappop(roomy)
+                if free[s]:
+                    heapq.heappush(waiting[free[s]], (cost[s], s))
             continue
-        cost, s = heap[0]
-        put(piece, 0, n, s)
-        entry = (cost + n + QUADRATIC * n * n, s)
-        if free[s] >= n:
-            heapq.heapreplace(heap, entry)
-        else:
-            heapq.heappop(heap)
-            parked[free[s]].append(entry)
-    heap += [entry for wait in parked for entry in wait]
-    open_ = [s for _, s in sorted(heap) if free[s]][::-1]
-    for piece in cut:
-        start, n = 0, int(lengths[piece])
-        while n:
-            s = open_[-1]
-            take = min(n, free[s])
+        widest = min(widest, least - 1)
+        while start < n:
+            while not waiting[widest]:
+                widest -= 1
+            gap = next((f for f in range(n - start, widest + 1) if waiting[f]), widest)
+            _, s = heapq.heappop(waiting[gap])
+            take = min(gap, n - start)
             put(piece, start, take, s)
-            start, n = start + take, n - take
-            if not free[s]:
-                open_.pop()
+            if free[s]:
+                heapq.heappush(waiting[free[s]], (cost[s], s))
+            start += take
     return out
 
 
