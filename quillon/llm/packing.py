@@ -2,10 +2,10 @@
 
 Every document becomes token ids plus an end id. Pieces of a full sequence length stand alone. What remains
 of each document waits in a buffer of bounded size. A full buffer of T tokens is packed into T // 1024 full
-sequences and, for the remainder, one sequence per binary digit of it, so no token of padding is needed:
+sequences and, for the remainder, one sequence per binary digit of it, so that short sequences need no padding:
 pieces go in descending length to the sequence of lowest cost (linear plus quadratic attention) that has
-room, and a piece that fits nowhere whole is cut, mostly once. Only the last pieces of a buffer, which fill its
-sequences of one, two, four tokens and so on, may be cut more often, into twelve parts at most.
+room, and a piece that fits nowhere whole is cut into two or three parts. Pieces that not even three gaps hold fill
+the short sequences at the end; the gaps that they leave, a few tokens in a thousand, are padded.
 
 The work is a single pass without a shuffle: memory is bounded by the buffer and a task that is run again
 gives the same rows.
@@ -38,6 +38,8 @@ END_ID = 0
 BUFFER = 2_000_000
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 512
+#: Parts that a piece without room is cut into at most, before it waits for the end.
+PARTS = 3
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SPECIAL = "<|endoftext|>"
 #: White space other than one space or line end between two other characters.
@@ -95,17 +97,21 @@ def encoder(path: str, ranks_path: str, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+def _sizes(total: int, room: int) -> list[int]:
+    """Full sequences, then one for each binary digit of the rest, so that none has to be padded."""
+    rest = total % room
+    return [room] * (total // room) + ([1 << b for b in range(room.bit_length()) if rest >> b & 1] if room & (room - 1) == 0 else [rest] if rest else [])
+
+
 def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """Packs pieces: (piece, start in it, length, sequence, offset there) for each part.
 
     The longest piece goes next, to the sequence of lowest cost among those with room. If none has room, the piece
-    is cut: its beginning fills up the sequence with the most room, what is left goes where it fits best. Only where
-    it fits nowhere either is it cut again.
+    is cut: its beginning fills up the sequence with the most room, what is left goes where it fits best. What would
+    need more than ``PARTS`` parts waits: it fills what is left of the short sequences, and then sequences of its own.
     """
     total = int(lengths.sum())
-    sizes = [room] * (total // room) + [1 << b for b in range(room.bit_length()) if total % room >> b & 1]
-    if total % room and room & (room - 1):
-        sizes = [room] * (total // room) + [total % room]
+    sizes = _sizes(total, room)
     free, cost, out = list(sizes), [0.0] * len(sizes), []
 
     def put(piece: int, start: int, n: int, s: int) -> None:
@@ -118,9 +124,10 @@ def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, i
     for s, size in enumerate(sizes):
         waiting[size].append((0.0, s))
     roomy: list[tuple[float, int]] = []
+    rest: list[tuple[int, int]] = []
     least = widest = room + 1
     for piece in np.argsort(-lengths, kind="stable").tolist():
-        n, start = int(lengths[piece]), 0
+        n = int(lengths[piece])
         while least > n:
             least -= 1
             for entry in waiting[least]:
@@ -137,16 +144,42 @@ def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, i
                     heapq.heappush(waiting[free[s]], (cost[s], s))
             continue
         widest = min(widest, least - 1)
-        while start < n:
-            while not waiting[widest]:
+        gaps: list[tuple[int, tuple[float, int]]] = []
+        left = n
+        while left > 0 and len(gaps) < PARTS:
+            while widest and not waiting[widest]:
                 widest -= 1
-            gap = next((f for f in range(n - start, widest + 1) if waiting[f]), widest)
-            _, s = heapq.heappop(waiting[gap])
-            take = min(gap, n - start)
-            put(piece, start, take, s)
+            if not widest:
+                break
+            gap = next((f for f in range(left, widest + 1) if waiting[f]), widest)
+            gaps.append((gap, heapq.heappop(waiting[gap])))
+            left -= gap
+        if left > 0:
+            rest.append((piece, n))
+            for gap, entry in gaps:
+                heapq.heappush(waiting[gap], entry)
+                widest = max(widest, gap)
+            continue
+        start = 0
+        for gap, (_, s) in gaps:
+            put(piece, start, min(gap, n - start), s)
+            start += min(gap, n - start)
             if free[s]:
                 heapq.heappush(waiting[free[s]], (cost[s], s))
+    ends = [s for s in range(total // room, len(sizes)) if free[s]]
+    own = _sizes(sum(n for _, n in rest) - sum(free[s] for s in ends), room)
+    ends += range(len(sizes), len(sizes) + len(own))
+    sizes, free, cost = sizes + own, free + own, cost + [0.0] * len(own)
+    at = iter(ends)
+    s = next(at, -1)
+    for piece, n in rest:
+        start = 0
+        while start < n:
+            take = min(n - start, free[s])
+            put(piece, start, take, s)
             start += take
+            if not free[s]:
+                s = next(at, -1)
     return out
 
 

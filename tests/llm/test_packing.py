@@ -37,7 +37,7 @@ def test_special_strings_and_long_texts(slow, fast):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 1023), max_size=60))
-def test_sequences_fill_without_gap_or_padding(lengths):
+def test_sequences_fill_without_gap_and_with_little_padding(lengths):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for piece, start, n, s, offset in packing.fill(np.array(lengths, np.int64)):
         assert n > 0
@@ -49,12 +49,15 @@ def test_sequences_fill_without_gap_or_padding(lengths):
             assert start == at
             at += m
         assert at == n
+    padding = 0
     for parts in sequences.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
-        assert at <= 1024 and at & (at - 1) == 0
+        assert at <= 1024
+        padding += 1024 - at if at & (at - 1) else 0
+    assert padding <= 512 + sum(lengths) // 50
 
 
 def test_cost_is_balanced():
@@ -64,26 +67,32 @@ def test_cost_is_balanced():
 
 
 def brute(lengths):
-    """Every choice by looking at all sequences."""
-    total = int(lengths.sum())
-    free = {s: 1024 for s in range(total // 1024)} | {total // 1024 + i: 1 << b for i, b in enumerate(b for b in range(11) if total % 1024 >> b & 1)}
-    size, cost, out = dict(free), dict.fromkeys(free, 0.0), []
-
-    def put(p, start, n, s):
-        out.append((p, start, n, s, size[s] - free[s]))
-        free[s] -= n
-        cost[s] += n + packing.QUADRATIC * n * n
-
+    """Every choice by looking at all sequences; what needs more than three parts comes last, as (piece, length)."""
+    sizes = packing._sizes(int(lengths.sum()), 1024)
+    free, cost, out, rest = dict(enumerate(sizes)), dict.fromkeys(range(len(sizes)), 0.0), [], []
     for p in np.argsort(-lengths, kind="stable").tolist():
-        n, start = int(lengths[p]), 0
-        while start < n:
-            left = n - start
-            fits = [f for f in free.values() if f >= left]
-            roomy = [s for s in free if free[s] >= left] if not start else [s for s in free if free[s] == (min(fits) if fits else max(free.values()))]
-            s = min(roomy or [s for s in free if free[s] == max(free.values())], key=lambda s: (cost[s], s))
-            put(p, start, min(left, free[s]), s)
-            start += out[-1][2]
-    return out
+        n, plan, used = int(lengths[p]), [], set()
+        roomy = [s for s in free if free[s] >= n]
+        if roomy:
+            plan = [(min(roomy, key=lambda s: (cost[s], s)), n)]
+        left = 0 if roomy else n
+        while left and len(plan) < 3 and any(free[s] for s in free if s not in used):
+            gaps = {s: f for s, f in free.items() if f and s not in used}
+            best = min((f for f in gaps.values() if f >= left), default=max(gaps.values()))
+            s = min((s for s in gaps if gaps[s] == best), key=lambda s: (cost[s], s))
+            plan.append((s, min(left, best)))
+            used.add(s)
+            left -= min(left, best)
+        if left:
+            rest.append((p, n))
+            continue
+        start = 0
+        for s, m in plan:
+            out.append((p, start, m, s, sizes[s] - free[s]))
+            free[s] -= m
+            cost[s] += m + packing.QUADRATIC * m * m
+            start += m
+    return out, rest, free
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -91,9 +100,13 @@ def test_lowest_cost_with_room_and_few_cuts(seed):
     r = np.random.default_rng(seed)
     lengths = [np.minimum(1023, r.lognormal(5, 1, 2500).astype(np.int64) + 1), r.integers(1, 1024, 400), r.integers(1, 30, 300), np.sort(r.integers(1, 1024, 500))][seed]
     parts = packing.fill(lengths)
-    assert parts == brute(lengths)
+    out, rest, free = brute(lengths)
+    assert parts[: len(out)] == out
+    assert sorted({p for p, *_ in parts[len(out) :]}) == sorted(p for p, _ in rest)
     times = np.bincount([p for p, *_ in parts])
-    assert times.max() <= 12 and (times > 6).sum() <= 2 and (times > 1).mean() < 0.4
+    assert (times > 3).sum() <= 3 and (times > 1).mean() < 0.4
+    gaps = sum(f for s, f in free.items() if s < lengths.sum() // 1024)
+    assert gaps <= 0.005 * lengths.sum()
 
 
 def test_edges(spark, slow):
