@@ -2,8 +2,8 @@
 
 Every page is parsed into its element tree and each subtree is hashed. Spark counts, per host, on how many
 pages a subtree occurs; subtrees that recur across many pages of their host are deleted, as are elements that
-name themselves boilerplate (by tag, role, class or id). What remains of the article, or of the body where a
-page marks no article, is its text.
+name themselves boilerplate (by tag, role, class or id; inside an article only by whole, unambiguous names). What
+remains of the article and of the main part around it, or of the body where a page marks neither, is its text.
 
 A copied article also recurs. So inside an article a subtree must recur on most pages of a host before it is
 deleted, outside on a smaller share.
@@ -35,8 +35,11 @@ LEAST_PAGES, SHARE_OUTSIDE, LEAST_INSIDE, SHARE_INSIDE = 5, 0.1, 20, 0.6
 #: Template subtrees that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A comment, a declaration, or the name of a tag; what of a tag follows its name. Quotes delimit only after ``=``, and
+#: no part is ever tried twice, so broken markup takes linear time.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_REST = re.compile(r"""(?>[^=>]++|=\s*+(?>"[^"]*+"|'[^']*+')?)*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -54,6 +57,15 @@ DROPPED_WORDS = set(
     "share sharing social follow related recommended recommendations trending popular widget pagination pager search skip copyright legal disclaimer".split()
 )
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "commentlist", "respond"}
+#: Inside an article only whole class names and ids like these mark boilerplate, as any part of a name
+#: may be a part of the article (search-results, related-work, discussion).
+INSIDE_NAMES = set(
+    "ad ads adv advert adverts advertisement advertising ad-slot adslot ad-banner ad-container adsense adsbygoogle sponsored sponsored-content promo "
+    "sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer pagination pager toolbar "
+    "notice notices cookie-notice cookie-banner cookie-consent consent gdpr popup modal overlay paywall "
+    "newsletter newsletter-signup newsletter-form subscribe signup share sharing social share-buttons share-bar social-share social-buttons share-links "
+    "related related-posts related-articles related-links recommended disqus disqus-thread disqus_thread".split()
+)
 
 
 class Node:
@@ -64,10 +76,19 @@ class Node:
         self.digest, self.holds = 0, False
 
 
+_CLOSE_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+
+
 def parse(page: str) -> Node:
     """The element tree. Text children are strings with their character references decoded."""
     root = Node("", "")
-    stack, at, low = [root], 0, None
+    stack, at = [root], 0
+    opened: Counter = Counter()  # open elements by name, so a tag that closes nothing looks at none
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -78,39 +99,40 @@ def parse(page: str) -> Node:
         at = found.end()
         if found[2] is None:
             continue
-        tag = found[2].lower()
+        rest = _REST.match(page, at)
+        if not rest:  # a tag that does not end has the rest of the page in it
+            return root
+        tag, attributes, at = found[2].lower(), rest[0][:-1], rest.end()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE and tag not in SCOPE:
                     break
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and any(opened[t] > 0 for t in CLOSED_BY):
             for i in range(len(stack) - 1, 0, -1):
                 if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     if stack[-1].tag not in CLOSED_BY:
                         break
                 elif stack[i].tag in SCOPE:
                     break
-        node = Node(tag, found[3])
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            if low is None:
-                low = page.lower() if len(page.lower()) == len(page) else page
-            end = low.find("</" + tag, at)
-            end = len(page) if end < 0 else end
-            node.children.append(page[at:end])
-            close = page.find(">", end)
-            at = len(page) if close < 0 else close + 1
-        elif tag not in VOID and not found[3].rstrip().endswith("/"):
+            end = _CLOSE_RAW[tag].search(page, at)
+            node.children.append(page[at : end.start() if end else len(page)])
+            at = end.end() if end else len(page)
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
 
 
 def _attributes(node: Node) -> dict[str, str]:
-    return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(node.attributes)}
+    unquoted = lambda v: v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) > 1 else v
+    return {k.lower(): entities.unescape(unquoted(v)) for k, v in reversed(_ATTRIBUTE.findall(node.attributes))}
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
@@ -130,7 +152,10 @@ def _boilerplate(node: Node, inside: bool) -> bool:
         return not node.holds
     if tag in ("html", "body", "main", "article") or node.holds:
         return False
-    return own.get("role", "").lower() in DROPPED_ROLES or bool(words & DROPPED_WORDS)
+    if own.get("role", "").lower() in DROPPED_ROLES:
+        return True
+    names = {n.lower() for k in ("class", "id") for n in own.get(k, "").split()}
+    return bool(names & INSIDE_NAMES if inside else words & DROPPED_WORDS)
 
 
 def _is_article(node: Node) -> bool:
@@ -184,21 +209,20 @@ def extract(page: str | None, host: str, outside: set[int] | frozenset, everywhe
             blocks.append(text)
         open_.clear()
 
-    articles: list[Node] = []
+    tops: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
         if node is not root and _boilerplate(node, False):
             continue
-        if node.tag == "article" or _is_article(node) and not any(not isinstance(c, str) and (c.tag == "article" or c.holds) for c in node.children):
-            articles.append(node)
+        if _is_article(node):
+            tops.append(node)
         else:
             todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
-    marked = bool(articles)
-    for top in articles or [root]:
-        work: list = [top]
+    for top in tops or [root]:
+        work: list = [(top, False)]
         while work:
-            node = work.pop()
+            node, inside = work.pop()
             if node is None:
                 end()
             elif isinstance(node, str):
@@ -210,17 +234,19 @@ def extract(page: str | None, host: str, outside: set[int] | frozenset, everywhe
                     end()
             else:
                 if node is not top:
-                    if _boilerplate(node, marked):
+                    if _boilerplate(node, inside):
                         continue
                     if node.digest and not node.holds and (outside or everywhere):
                         key = key_of(host, node.digest)
-                        if key in everywhere or not marked and key in outside:
+                        if key in everywhere or not inside and key in outside:
                             continue
+                # Of nested marks the inner one is the article; what stands beside it is kept unless it names itself.
+                inside = inside or _is_article(node) and not node.holds
                 block = node.tag not in INLINE
                 if block:
                     end()
-                    work.append(None)
-                work.extend(reversed(node.children))
+                    work.append((None, inside))
+                work.extend((c, inside) for c in reversed(node.children))
         end()
     return " ".join(blocks)
 

@@ -1,3 +1,9 @@
+import random
+import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 from quillon.llm import htmltext as H
 
 PAGES = "page_id long, url string, html string, text string, key long"
@@ -29,6 +35,132 @@ def test_pages_without_an_article():
     assert text("<main><p>in main</p></main><p>outside</p>") == "in main"
 
 
+def test_main_text_around_an_article_stays():
+    assert text("<main><h1>Head</h1><div class='sidebar-left'>Side</div><article><p>Story</p></article><p>After</p></main><p>outside</p>") == "Head Story After"
+
+
+def test_names_inside_an_article():
+    for name in ("search-results", "related-work", "discussion", "share-price", "menu-engineering"):
+        assert text(f"<article><p>One</p><div class='{name}'>Two</div><section id='{name}'>Three</section></article>") == "One Two Three"
+    assert text("<article><p>One</p><section id='legal-analysis'>Two</section></article>") == "One Two"
+    for name in ("ad", "share-buttons", "newsletter", "Cookie-Notice", "big sidebar", "comment-list"):
+        assert text(f"<article><p>One</p><div class='{name}'>Two</div></article>") == "One"
+    assert text("<div class='related-work'>Two</div><p>One</p>") == "One"
+
+
+def test_quotes_delimit_only_values():
+    assert text("<article><p title=it's>One two</p><p>Three it's ok</p><p>Four</p></article>") == "One two Three it's ok Four"
+    assert text('<article><p data-x=5"tall>One two</p><p>Three</p></article>') == "One two Three"
+    assert text("<article><p title='a > b' class=\"x>y\">One</p></article>") == "One"
+    assert text("<article><p title = '<p>no</p>'>One</p><p 'odd' \"x\">Two</article>") == "One Two"
+    assert text("<article><p>One<!--> two --><!-- no --!> three</p></article>") == "One two --> three"
+
+
+def test_broken_markup_takes_linear_time():
+    for part in ("<a ", "<a b=", "<a b = \"", "<!-- ", "<b></i>", "<p '", "</x", "<div><b>"):
+        began = time.time()
+        text("<article>kept</article>" + part * (5_000_000 // len(part)))
+        assert time.time() - began < 60, part
+    assert text("<article>kept</article>" + "<a " * 10) == "kept"
+
+
+# An independent version: a tree by the standard library's parser, subtrees compared as strings.
+
+
+class Tree(HTMLParser):
+    def __init__(self, source):
+        super().__init__()
+        self.root = self.at = ("", {}, [], None)
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [], self.at)
+        self.at[2].append(node)
+        if tag != "br":
+            self.at = node
+
+    def handle_endtag(self, tag):
+        self.at = self.at[3]
+
+    def handle_data(self, data):
+        self.at[2].append(data)
+
+
+def flat(node):
+    inner = [" ".join(c.split()) if isinstance(c, str) else flat(c) for c in node[2]]
+    return f"<{node[0]}>" + "|".join(x for x in inner if x) + "</>"
+
+
+def nodes(node):
+    return [node, *(x for c in node[2] if not isinstance(c, str) for x in nodes(c))]
+
+
+def said(node):
+    return any((c if isinstance(c, str) else said(c) and "x").strip() if isinstance(c, str) else said(c) for c in node[2])
+
+
+def brute_texts(rows):
+    trees = [(re.match(r"http://([^/]*)", u)[1], Tree(h).root) for _, u, h in rows]
+    on, all_pages = Counter(), Counter(h for h, _ in trees)
+    for host, root in trees:
+        on.update({(host, flat(n)) for n in nodes(root)})
+    out = []
+    for host, root in trees:
+        articles = [n for n in nodes(root) if n[0] == "article"]
+        blocks = [""]
+
+        def walk(node, inside):
+            for c in node[2]:
+                if isinstance(c, str):
+                    blocks[-1] += c
+                    continue
+                names = set(c[1].get("class", "").split())
+                n = on[host, flat(c)]
+                dropped = c[0] in ("nav", "footer", "aside", "form", "script", "style", "head") or c[0] == "header" and not inside
+                dropped |= bool(names & ({"ad", "share-buttons"} if inside else {"ad", "share-buttons", "related-work"}))
+                holds = any(x[0] == "article" for x in nodes(c))
+                if said(c) and not holds:
+                    dropped |= n >= 20 and n >= 0.6 * all_pages[host] or not inside and n >= 5 and n >= 0.1 * all_pages[host]
+                if dropped and not holds:
+                    continue
+                if c[0] == "br":
+                    blocks[-1] += " "
+                    continue
+                if c[0] not in ("b", "span"):
+                    blocks.append("")
+                walk(c, inside)
+                if c[0] not in ("b", "span"):
+                    blocks.append("")
+
+        for top in articles or [root]:
+            walk(top, bool(articles))
+            blocks.append("")
+        out.append(" ".join(x for x in (" ".join(b.split()) for b in blocks) if x))
+    return out
+
+
+def made_page(r, i):
+    parts = []
+    for _ in range(r.randint(1, 6)):
+        words = r.choice([f"common {r.randrange(3)}", f"own {i} {r.randrange(9)} &amp; &eacute;"])
+        kind = r.choice(["span", "div", "nav", "aside", "ul", "header", "form", "section"])
+        name = r.choice(["", "", " class=ad", " class='related-work x'", ' class="share-buttons"'])
+        parts.append(f"<{kind}{name}>{words}<b>bold</b> x<br>y <div>in {r.choice(['every', str(i)])}</div></{kind}>")
+    body = " ".join(parts)
+    if i % 2:
+        cut = r.randrange(len(parts) + 1)
+        body = " ".join(parts[:cut]) + "<article><h1>Head</h1>" + " ".join(parts[cut:]) + "</article>"
+    return f"<html><head><style>p > b</style></head><body>{body}<footer>end</footer></body></html>"
+
+
+def test_texts_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, f"http://h{i % 3}.example/{i}", made_page(r, i)) for i in range(240)]
+    got = {x.page_id: x.text for x in H.main_text(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(240)] == brute_texts(rows)
+
+
 def test_broken_markup():
     assert text("<article><p><b>One<br><p>Two</article>tail") == "One Two"
     assert text("<article><p>5 < 6 and 7 > 2</p></article>") == "5 < 6 and 7 > 2"
@@ -63,10 +195,10 @@ def test_copied_articles_stay(spark):
 
 def test_edges(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
-    rows = [(1, None, None), (2, "", ""), (3, "http://x/1", "<html></html>"), (None, "http://x/2", "<p>a</p>"), (4, "http://x/3", deep), (5, "no scheme", "<article><p>" + "word " * 50_000 + "</article>"), (6, "http://x/4", "<p>a</p>"), (6, "http://x/4", "<p>a</p>")]
+    rows = [(1, None, None), (2, "", ""), (3, "http://x/1", "<html></html>"), (None, "http://x/2", "<p>a</p>"), (4, "http://x/3", deep), (5, "no scheme", "<article><p>" + "word " * 50_000 + "</article>"), (6, "http://x/4", "<p>a</p>"), (6, "http://x/4", "<p>a</p>")] + [(7, "http://y/1", "<article><p>a</p></article><p>b</p>")] * 6
     got = H.main_text(pages(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
-    assert [by[i].text for i in (1, 2, 3)] == [""] * 3 and by[4].text == "deep" and by[None].text == "a"
+    assert [by[i].text for i in (1, 2, 3)] == [""] * 3 and by[4].text == "deep" and by[None].text == "a" and by[7].text == "a"
     assert all(r.n_chars == len(r.text) for r in got) and by[5].n_chars == 5 * 50_000 - 1
     assert H.main_text(pages(spark, [])).count() == 0
