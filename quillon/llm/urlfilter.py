@@ -12,9 +12,13 @@
 An explicit rule that fits a url's host (or a parent domain) and the start of its path decides before the
 template does; of several, the longest.
 
-Defined results: null urls and urls without ``://`` have empty host and path; repeated rows count as often as
-they occur; rows whose label is null count as unlabelled; an empty table gives no rows; further columns are kept
-out of the result.
+Labels, if none are given, are weak ones from the text of each page; the words of a url are never looked at, so a url
+is blocked only by its template.
+
+Defined results: null urls and urls without ``://`` have empty host and path; very long urls are read whole, to their
+deepest segment; repeated rows count as often as they occur; rows whose label is null count as unlabelled, as do pages
+of few words, null or empty; a difference or share that equals its bound does not exceed it, so the child merges and
+the template is allowed; an empty table gives no rows; further columns, of whatever names, are kept out of the result.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
 
-#: Segments that the tree tells apart; what lies deeper is one tail.
-DEPTH = 6
 #: A node with more children than this is variable; |z| from which two shares differ; labels that are evidence.
 MANY, DIFFERS, EVIDENCE = 16, 2.6, 5
 #: Pseudo-labels of the smoothing, and the share of bad labels that rejects a template.
 SMOOTHING, REJECT = 2.0, 0.5
-#: Words in a host or path that mark a url as bad, as weak labels.
+#: A page is labelled from so many words on; it is bad from these signs, or suspect words, per word on.
+LEAST_WORDS, SIGNS, SUSPECTS = 20, 0.1, 0.02
+#: Words that mark a page's text as bad, as weak labels.
 SUSPECT = "ad ads adserver advert banner tracker track tracking spam adult porn sex casino gambling bet poker viagra pills phishing malware warez torrent".split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,17 +55,21 @@ def rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Colu
     return found, verdict
 
 
-def weak_label(host: Column, path: Column) -> Column:
-    """1 if a word of the host or path is suspect, else 0; null for an empty host."""
-    words = F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+")
-    return F.when(host != "", F.arrays_overlap(words, F.array(*map(F.lit, SUSPECT))).cast("int"))
+def weak_label(html: Column) -> Column:
+    """1 if the page's text has many signs or suspect words, 0 if not, null if it has few words. Its url plays no part."""
+    outside = F.filter(F.split(html, r"(?i)</?(?:script|style)\b[^<>]*+>"), lambda x, i: i % 2 == 0)
+    text = F.lower(F.regexp_replace(F.array_join(outside, " "), r"<[^<>]*+>|&[a-z]+;|&#[0-9]+;", " "))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    signs = F.regexp_count(text, F.lit("[#*$%|^~]"))
+    suspects = F.size(F.filter(F.split(text, "[^a-z]+"), lambda w: w.isin(*SUSPECT)))
+    many = (signs > SIGNS * F.size(words)) | (suspects > SUSPECTS * F.size(words))
+    return F.when(F.size(words) >= LEAST_WORDS, many.cast("int"))
 
 
 def shape(path: Column) -> Column:
-    """The path's segments, numbers and codes generalised, the rest below DEPTH as one tail."""
+    """The path's segments, numbers and codes generalised."""
     tidy = F.regexp_replace(path, "[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|[0-9a-fA-F]{16,}|[0-9]+", "#")
-    parts = F.filter(F.split(tidy, "/"), lambda s: s != "")
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**"))))
+    return F.filter(F.split(tidy, "/"), lambda s: s != "")
 
 
 def _z(x: str, n: str, all_x: str, all_n: str) -> Column:
@@ -96,8 +104,12 @@ def templates(urls: DataFrame) -> DataFrame:
     """From rows (host, shape, bad): host, shape, template and purity (smoothed share of bad labels)."""
     label = F.col("bad").cast("long")
     tree = materialize(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("bad")).withColumn("template", F.col("shape")).select("host", "shape", "template", "n", "labelled", "bad"))
-    deepest, labelled, bad = tree.agg(F.max(F.size("shape")), F.sum("labelled"), F.sum("bad")).first()
-    for level in range(deepest or 0):
+    labelled, bad = tree.agg(F.sum("labelled"), F.sum("bad")).first()
+    # A level has siblings only where a host has two templates that reach it: the second deepest of each host counts.
+    sizes = tree.groupBy("host", F.size("shape").alias("depth")).agg(F.count("*").alias("n"))
+    ends = sizes.groupBy("host").agg(F.max(F.struct("depth", "n")).alias("top"), F.sort_array(F.collect_set("depth"), False).alias("all"))
+    second = F.when(F.col("top.n") > 1, F.col("top.depth")).otherwise(F.coalesce(F.get("all", F.lit(1)), F.lit(0)))
+    for level in range(ends.agg(F.max(second)).first()[0] or 0):
         tree = materialize(_generalise(tree, level))
     overall = (bad or 0) / max(1, labelled or 0)
     ratio = lambda prior: (F.sum("bad") + SMOOTHING * prior) / (F.sum("labelled") + SMOOTHING)
@@ -108,14 +120,13 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], label: Column | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity per row. label: 1 bad, 0 good, null unknown; weak labels if left out."""
+    """page_id, host, path, rule, verdict, template and purity per row. label: 1 bad, 0 good, null unknown; weak labels
+    from the pages' html if left out."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), *([] if label is None else [label.alias("bad")]))
-    rows = rows.withColumn("shape", shape(F.col("path")))
-    if label is None:
-        rows = rows.withColumn("bad", weak_label(F.col("host"), F.col("path")))
+    bad = label if label is not None else weak_label(F.col("html").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), shape(path).alias("shape"), bad.cast("int").alias("bad"))
     found, verdict = rule(F.col("host"), F.col("path"), rules)
     named = templates(rows).select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
-    out = rows.join(named, ["host", "shape"], "left")
+    out = rows.drop("bad").join(named, ["host", "shape"], "left")
     own = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", found.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
