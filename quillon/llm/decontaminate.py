@@ -12,9 +12,10 @@ compared, and a text overlaps an item where 13 tokens in a row agree in 80 % or
 
 Tokens are runs of ASCII letters and digits and of all other non-ASCII characters, in lower case.
 
-Defined results: null and empty texts overlap nothing; items of under 13 tokens must occur whole and
-unchanged, those of under 8 tokens are not tested; repeated rows and equal items are each reported; empty tables
-give no rows; further columns are ignored.
+Defined results: null and empty texts and items overlap nothing; items of under 13 tokens must occur whole and
+unchanged (those too short for a seed are hashed whole); very long texts are read whole, only the stretches around
+hits are kept; of equally long overlaps the one with more agreeing tokens, then the first, is reported; repeated rows
+and equal items are each reported; empty tables give no rows; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, small_batches
+from quillon.llm.common import few, fresh, materialize, small_batches
 from quillon.llm.quality import hash_words
 
 WINDOW, AGREE = 13, 0.8
@@ -37,6 +38,8 @@ SPAN = 8
 BITMAP_BITS = 26
 #: Test hashes up to this number are broadcast for the join, more are shuffled.
 BROADCAST_ROWS = 100_000
+#: Characters of all items up to which they are broadcast for the comparison.
+BROADCAST_CHARS = 8 << 20
 
 _GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)], np.int8)
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
@@ -59,6 +62,15 @@ def seed_hashes(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def whole_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every window of n tokens, for items too short for a seed."""
+    acc = np.full(max(len(words) - n + 1, 0), len(SEEDS) + n, np.uint64)
+    for p in range(n if len(acc) else 0):
+        acc = (acc ^ words[p : p + len(acc)]) * _STEP
+        acc ^= acc >> np.uint64(32)
+    return acc
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
     """Along doc[diagonal + i] against item[i]: tokens covered by agreeing windows, the best window's agreeing
     tokens, and where the cover begins in the text and in the item."""
@@ -85,7 +97,7 @@ def _test_hashes(items: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
-                for hashes in seed_hashes(words):
+                for hashes in seed_hashes(words) if len(words) >= SPAN else [whole_hashes(words, len(words))][: len(words)]:
                     out[0] += [item] * len(hashes)
                     out[1] += hashes.view(np.int64).tolist()
                     out[2] += range(len(hashes))
@@ -95,8 +107,9 @@ def _test_hashes(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, hash long, item_at long, n_item long")
 
 
-def _stretches(docs: DataFrame, bitmap, around: int) -> DataFrame:
-    """Rows (doc_id, row, begin, words, hits): for texts with hits, the tokens around them."""
+def _stretches(docs: DataFrame, bitmap, around: int, short: list[int]) -> DataFrame:
+    """Rows (doc_id, begin, words, ats, hashes): for texts with hits, the tokens around them. short: lengths of items
+    without a seed; of their equal hits in a text the first counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, bits = bitmap.value
@@ -111,6 +124,10 @@ def _stretches(docs: DataFrame, bitmap, around: int) -> DataFrame:
                     at = np.flatnonzero(marked(hashes >> high))
                     at = at[marked(hashes[at] & low) == 1]
                     found.append((at, hashes[at]))
+                for n in short:
+                    hashes, at = np.unique(whole_hashes(words, n), return_index=True)
+                    some = (marked(hashes >> high) & marked(hashes & low)) == 1
+                    found.append((at[some], hashes[some]))
                 at, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(at):
                     continue
@@ -147,10 +164,11 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     small_batches(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     test = materialize(_test_hashes(items))
-    rows, longest = test.agg(F.count("*"), F.max("n_item")).first()
+    rows, longest, short = test.agg(F.count("*"), F.max("n_item"), F.collect_set(F.when(F.col("n_item") < SPAN, F.col("n_item")))).first()
+    chars = items.agg(F.sum(F.length("text") + F.lit(64))).first()[0] or 0
     marks = spark.sparkContext.broadcast(_bitmap(test))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(_stretches(texts, marks, longest or 0))
+    found = materialize(_stretches(texts, marks, longest or 0, sorted(short or [])))
     hits = found.select("doc_id", "begin", F.xxhash64("words").alias("mark"), F.explode(F.arrays_zip("ats", "hashes")).alias("h"))
     hits = hits.select("doc_id", "begin", "mark", F.col("h.ats").alias("at"), F.col("h.hashes").alias("hash"))
     own = F.broadcast(test) if rows <= BROADCAST_ROWS else test
@@ -159,7 +177,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", "begin", "mark")]
     lines = lines.alias("l").join(whole.alias("s"), same).select("l.*", "s.words")
     item = items.select(F.col("item_id").alias("_item"), F.col("text").alias("item_text"))
-    item = F.broadcast(item) if rows <= BROADCAST_ROWS else item
+    item = F.broadcast(item) if chars <= BROADCAST_CHARS else item
     lines = lines.join(item, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "begin", "item_id", "diagonal", "words", "item_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +198,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_unseen(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows that overlap no item, with all their columns."""
-    seen = overlaps(docs, items).select(F.col("doc_id").alias("_seen")).distinct()
-    return docs.join(seen, F.col("doc_id").cast("long").eqNullSafe(F.col("_seen")), "left_anti")
+    """The rows whose text overlaps no item, with all their columns. Each text is judged for itself, whatever its id."""
+    mark, text = fresh(docs, "text_mark"), F.col("text").cast("string")
+    seen = few(overlaps(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), items).select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(seen, F.xxhash64(text) == F.col(mark), "left_anti")

@@ -12,14 +12,14 @@ def items(spark, rows):
 
 
 def brute(docs, tests):
-    """All pairs with 13 aligned tokens in a row of which 80 % agree; short items whole."""
+    """All pairs with 13 aligned tokens in a row of which 80 % agree; items with fewer whole."""
     out = set()
     for d, text, *_ in docs:
         a = D.tokens(text)
         for i, other in tests:
             b = D.tokens(other)
             width = min(13, len(b))
-            if len(b) < D.SPAN or len(a) < width:
+            if not len(b) or len(a) < width:
                 continue
             need = 11 if len(b) >= 13 else width
             if any((a[x : x + width] == b[y : y + width]).sum() >= need for x in range(len(a) - width + 1) for y in range(len(b) - width + 1)):
@@ -38,11 +38,12 @@ def test_seeds_meet_all_windows_with_two_substitutions():
 
 def test_pairs_equal_brute_force(spark):
     r = random.Random(1)
-    tests = [(i, data.text(100 + i, n)) for i, n in enumerate((40, 25, 13, 12, 9, 7, 60))] + [(50, None), (51, ""), (52, data.text(100, 40))]
+    tests = [(i, data.text(100 + i, n)) for i, n in enumerate((40, 25, 13, 12, 9, 7, 60))] + [(20 + n, data.text(300 + n, n)) for n in range(1, 8)] + [(30, "kalo")] + [(50, None), (51, ""), (52, data.text(100, 40))]
     rows = [*data.edge_rows()]
     for n in range(60):
         words = tests[n % 7][1].split()
-        a = r.randrange(len(words))
+        words = words if n % 3 else tests[7 + n % 8][1].split()
+        a = r.randrange(max(1, len(words) - 8))
         part = words[a : a + r.randint(8, 40)]
         part = changed(part, set(r.sample(range(len(part)), min(len(part), r.randint(0, len(part) // 5 + 1)))))
         rows.append((1000 + n, " ".join([*data.words(n, r.randint(0, 60)), *part, *data.words(n + 500, r.randint(0, 60))])))
@@ -56,6 +57,7 @@ def test_joined_and_broadcast_hashes_agree(spark, monkeypatch):
     rows = [(i, data.text(90 + i, 30) + " " + data.text(i % 7, 30)) for i in range(20)]
     some = [sorted(map(tuple, D.overlaps(data.docs(spark, rows), items(spark, tests)).collect()))]
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "BROADCAST_CHARS", 0)
     monkeypatch.setattr(D, "BITMAP_BITS", 9)
     some.append(sorted(map(tuple, D.overlaps(data.docs(spark, rows), items(spark, tests)).collect())))
     assert some[0] == some[1] and {r[0] for r in some[0]} == {i for i in range(20) if i % 7 < 5}
@@ -70,8 +72,17 @@ def test_spans(spark):
 
 def test_empty_tables_and_filter(spark):
     item = data.text(1, 30)
-    docs = data.docs(spark, [(1, item), (2, data.text(5, 50)), (2, data.text(5, 50)), (None, data.text(6, 50)), (3, None), (None, item)])
+    docs = data.docs(spark, [(1, item), (2, data.text(5, 50)), (2, data.text(5, 50)), (None, data.text(6, 50)), (3, None), (None, item), (2, item), (None, None)])
     assert D.overlaps(docs, items(spark, [])).count() == 0
     assert D.overlaps(data.docs(spark, []), items(spark, [(1, item)])).count() == 0
-    kept = D.keep_unseen(docs.where("doc_id is not null"), items(spark, [(7, item)]))
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
+    kept = D.keep_unseen(docs, items(spark, [(7, item)]))
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 2, 3]
+    named = docs.selectExpr("*", "1 _seen", "2 TEXT_MARK", "3 item_id", "4 begin")
+    kept = D.keep_unseen(named, items(spark, [(7, item)]))
+    assert kept.columns == named.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 2, 3]
+
+
+def test_a_short_item_is_found_whole(spark):
+    docs = data.docs(spark, [(1, data.text(1, 40) + " The secret answer is forty-two. " + data.text(2, 40)), (2, "the secret answer is forty three"), (3, "the SECRET answer is forty two"), (4, data.text(3, 30))])
+    got = D.overlaps(docs, items(spark, [(1, "the secret answer is forty two"), (2, "a"), (3, "!!"), (4, None)])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 1)}
