@@ -8,11 +8,14 @@ All counts stay distributed. The corpus is cut into blocks of about half a milli
 (token numbers and word hashes). A block asks for the counts of its distinct words and bigrams: it sends their
 sorted 64-bit hashes with its own counts, cut by hash range into buckets. Each bucket adds up what all blocks
 sent, and answers each block with the totals, in the order asked. So a word, however frequent, is one entry
-per block, and what is moved grows with the corpus and not with the square of anything.
-
-Defined results: a null text counts as empty (its one token is the end); rows with a null id are scored but
-not learned from; repeated rows are counted as often as they occur; with nothing to learn from, the model is
-uniform; an empty table gives no rows; further columns are ignored.
+per block. A block asks only buckets for which it has entries, so messages never outnumber entries and what is moved
+grows with the corpus; from some 10^9 tokens on, where buckets outnumber the entries of a block by and by, a message
+holds few entries and costs more bytes for each.
+
+Defined results: a null text counts as empty (its one token is the end); very long texts are scored whole; rows with a
+null id are scored but not learned from; repeated rows are counted as often as they occur; ties cannot occur; with
+nothing to learn from, the model is uniform; an empty table gives no rows; further columns, of whatever names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -140,17 +143,17 @@ def _ask(stored: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in ASK_SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([], np.uint64)
         for batch in batches:
             for row in batch.to_pylist():
                 pa.default_memory_pool().release_unused()
                 b = Block(row["words"], row["tokens"], row["lengths"])
-                at = [np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in (b.words, b.pairs)]
+                of = [x >> np.uint64(64 - bits) for x in (b.words, b.pairs)]
+                present = np.union1d(*of)
+                at = [(np.searchsorted(x, present), np.searchsorted(x, present, "right")) for x in of]
                 out = []
-                for bucket in range(1 << bits):
-                    w, p = (slice(a[bucket], a[bucket + 1]) for a in at)
-                    if w.stop > w.start or p.stop > p.start:
-                        out.append((bucket, row["block"], row["kind"], _shrink_sorted(b.words[w]), _shrink(b.word_counts[w].astype(np.uint32)), _shrink_sorted(b.pairs[p]), _shrink(b.pair_counts[p].astype(np.uint32))))
+                for i, bucket in enumerate(present.tolist()):
+                    w, p = (slice(lo[i], hi[i]) for lo, hi in at)
+                    out.append((bucket, row["block"], row["kind"], _shrink_sorted(b.words[w]), _shrink(b.word_counts[w].astype(np.uint32)), _shrink_sorted(b.pairs[p]), _shrink(b.pair_counts[p].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return stored.select("block", "kind", "lengths", "words", "tokens").mapInArrow(run, ASK_SCHEMA)
