@@ -63,6 +63,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPERATORS = (op1_urls, op2_decontamination, op3_main_text, op4_language, op5_chat, op6_simhash, op7_repetition, op8_toxicity, op9_language_model, op10_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
-#: What the other operators compute is hashed or learned in ways that SQL cannot express; tests compare them with
-#: brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _repetition_sql() -> str:
+    """op7 from its definition: every n-gram as a list of words, windows counted per text."""
+    covers = (3, *quality.MAX_COVER)
+    grams = " union all ".join(f"select doc_id, i, {n} as n, w[i:i + {n - 1}] as g from p where i <= len(w) - {n - 1}" for n in covers)
+    cover = lambda n: f"coalesce(r{n}.chars, 0)::double / greatest(word_chars, 1)"
+    joins = " ".join(f"left join (select * from r where n = {n}) r{n} using (doc_id)" for n in covers)
+    base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+    kept = " and ".join([f"not ({base})", f"line_cover <= {quality.MAX_LINE_COVER}", *(f"cover_{n} <= {most}" for n, most in quality.MAX_COVER.items())])
+    return rf"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+g as ({grams}),
+again as (select doc_id, n, i from (select *, count(*) over (partition by doc_id, n, g) as times from g) where times > 1),
+inside as (select distinct doc_id, n, unnest(range(i, i + n)) as i from again),
+r as (select x.doc_id, x.n, count(*) as words, sum(length(p.w[x.i])) as chars from inside x join p using (doc_id, i) group by x.doc_id, x.n),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from d),
+dup as (select doc_id, count(*) as lines, sum(bare) as chars from (select doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as bare, row_number() over (partition by doc_id, line order by i) as k from l) where k > 1 and bare > 0 group by doc_id),
+f as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+coalesce(dup.lines, 0) as n_dup_lines, coalesce(r3.words, 0) as n_repeat_words, coalesce(dup.chars, 0)::double / greatest(word_chars, 1) as line_cover, {", ".join(f"{cover(n)} as cover_{n}" for n in quality.MAX_COVER)} from d left join dup using (doc_id) {joins})
+select *, {base} as base_failed, {kept} as kept from f"""
+
+
+def _chat_sql() -> str:
+    """op5 from its definition: windows turn by turn, texts escaped, all counted and hashed."""
+    esc = lambda c: rf"replace(replace(replace({c}, '\', '\s'), '<turn', '\lturn'), '</turn', '\l/turn')"
+    role = lambda c: rf"replace({esc(c)}, '>', '\g')"
+    extra = " union all ".join(f"select {c}, {t}, '{r}', '{x}'" for c, t, r, x in EXTRA_CONVERSATION)
+    return rf"""with recursive a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations union all {extra})),
+b as (select *, row_number() over w as i, count(*) over (partition by conv_id) as n_turns, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')) + {chatformat.OVERHEAD} as n from a window w as (partition by conv_id order by turn, role, text)),
+s as (select conv_id, n as sys, length('<turn:system>' || {esc("text")} || '</turn>') + 2 as head from b where i = 1 and role = 'system' and n_turns > 1),
+t as (select b.*, coalesce(sys, 0) as sys, coalesce(head, 0) as head, row_number() over (partition by b.conv_id order by i) as k, length('<turn:' || {role("role")} || '>' || {esc("text")} || '</turn>') + 2 as size from b left join s using (conv_id) where not (i = 1 and s.conv_id is not null)),
+f(conv_id, k, win, used) as (select conv_id, k, 1, n from t where k = 1
+  union all select t.conv_id, t.k, case when f.used + t.n > greatest(1, greatest(1, {chatformat.BUDGET} - t.sys) - case when f.win > 1 then {chatformat.HISTORY} else 0 end) then f.win + 1 else f.win end,
+  case when f.used + t.n > greatest(1, greatest(1, {chatformat.BUDGET} - t.sys) - case when f.win > 1 then {chatformat.HISTORY} else 0 end) then t.n else f.used + t.n end from f join t on t.conv_id = f.conv_id and t.k = f.k + 1),
+w as (select t.*, f.win, sum(t.n) over (partition by t.conv_id, f.win order by t.k desc) as "left" from t join f using (conv_id, k)),
+own as (select conv_id, win, sum(n) as n from w group by conv_id, win),
+again as (select w.conv_id, sum(w.size) as size from w join own o on o.conv_id = w.conv_id and o.win = w.win + 1 where w."left" <= least({chatformat.HISTORY}, {chatformat.BUDGET} - w.sys - o.n) group by w.conv_id),
+c as (select conv_id, max(win)::bigint as n_windows, sum(size) + max(head) * max(win) as chars from w group by conv_id)
+select b.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256, (any_value(c.chars) + coalesce(any_value(again.size), 0))::bigint as formatted_chars, any_value(c.n_windows) as n_windows
+from b join c using (conv_id) left join again using (conv_id) group by b.conv_id"""
+
+
+#: What the other operators compute is hashed, learned or searched in ways that SQL cannot express; tests compare them
+#: with brute force.
+ORACLE_SQL: dict[str, str] = {"op5_chat": _chat_sql(), "op7_repetition": _repetition_sql()}
