@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +33,10 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    out.known_rows = seen.get.get("rows")  # counted on the way, for ``few``
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +49,19 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 #: Rows of up to some 16 bytes that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def few(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast in joins if a bounded look shows that it has few enough narrow rows."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Materialised rows, broadcast in joins if there are few enough of them."""
+    most = BROADCAST_ROWS if rows is None else rows
+    n = getattr(df, "known_rows", None)
+    if n is None:
+        df = materialize(df)
+        n = df.count() if df.known_rows is None else df.known_rows
+    out = F.broadcast(df) if n <= most else df
+    out.known_rows = n
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:

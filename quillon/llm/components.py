@@ -1,7 +1,7 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join on the edges that are left, so nothing is gathered on the driver
-but two counters. The number of steps grows with the logarithm of the longest chain.
+Each step is one aggregation and one join on the edges that are left, the smallest neighbours broadcast where they
+are few, so nothing is gathered on the driver but two counters. The number of steps grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import few, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,12 +17,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = around.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m")
+        out = around.where("b > a").join(few(least), "a").select(F.col("b").alias("x"), "m")
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("x"), "m").union(least.select("a", "m"))
-    return out.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+        out = down.join(few(least), "a").select(F.col("b").alias("x"), "m").union(least.select("a", "m"))
+    return out.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b").select("a", "b").distinct())
     seen = _signature(edges)
     while seen[0]:
-        edges = materialize(_star(_star(edges, True), False))
+        edges = materialize(_star(materialize(_star(edges, True)), False).distinct())
         now = _signature(edges)
         if now == seen:
             break

@@ -1,92 +1,80 @@
-"""Exact near-duplicates: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two such sets x and y differ in d <= (|x| + |y|) / 9 shingles. Sets meet by size class: class edges grow by 5/4,
-so similar sets are in one class or in neighbours, and k bounds d there. The range of hashes is cut into
-m = k + 1 + e parts; at least e + 1 of them then hold the same shingles in both sets. A set with at most e empty
-parts has a filled part among these, so only sets with more let empty parts meet too. No pair is missed.
+Candidates come from SimHash (``simhash``: pigeonring over the fingerprints of five-word shingles) and, as texts that
+are 0.8 alike mostly differ in more bits than pigeonring can search, from least hashes: 64 keys, each made of a
+set's least shingles under seven hash functions. Two sets at 0.8 share none with a probability of 3e-7, less if they
+are more alike, while texts that only share a passage hardly ever meet. Every candidate counts only if the whole
+shingle sets are similar.
 
-A meeting key with two sets gives a pair; one with more first links all of them to the smallest. Only where that
-leaves a key's sets in several components are the pairs across components made, inside numpy, and only those go
-on whose parities over 512 buckets differ in at most the allowed d (parities never differ in more than the sets
-do). All pairs are verified on the whole shingle sets before they count.
+A key with at most ``CROWD`` sets pairs them out. A crowded one first links each set to the key's smallest; only where
+that leaves its sets in several components are pairs across components compared, in numpy, by size and by the
+parities of 512 buckets (which never differ in more places than the sets do), and only what may be similar goes on.
 
 Defined results: ASCII letters are lowered and words end at ASCII white space, as in ``simhash``; texts of fewer
-words are one shingle; null, empty and blank texts are equal; rows with null ids are kept; of rows with equal
-ids and texts one stays. Shingles are known by 64-bit hashes, sets by the 64-bit sum of these.
+words are one shingle; null, empty and blank texts are equal; very long texts are compared whole; ties cannot occur,
+as the smallest id of a class stays; rows with null ids are kept; of rows with equal ids and texts one stays, rows
+with equal ids and different texts are judged each by its text; an empty table gives no rows; columns of any name
+come along. Shingles are known by 64-bit hashes, sets by the 64-bit sum of these.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import materialize, small_batches
+from quillon.llm import simhash
+from quillon.llm.common import few, fresh, materialize, small_batches
 from quillon.llm.components import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 512
+#: Keys of a set, and least hashes of a key.
+BANDS, ROWS = 64, 7
+_FACTORS = np.random.default_rng(5).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles hashed at once.
+_STEP = 2048
+#: Sets of a key that are paired out.
+CROWD = 16
 #: Sets a task remembers in order to emit their keys once.
 _SEEN = 500_000
+#: Sets whose sizes and parities (some 90 bytes) may be broadcast.
+BROADCAST_SETS = 50_000
 #: Pairs looked at in one step of a crowded key.
 _BLOCK = 1 << 20
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Smallest size of each class.
-EDGES = [1]
-while EDGES[-1] < 1 << 40:
-    EDGES.append(EDGES[-1] * DEN // NUM + 1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of all shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - SHINGLE + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), 42) for i in range(n)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
 def set_id(hashes: np.ndarray) -> int:
     return int(hashes.sum(dtype=np.uint64).view(np.int64))
 
 
-def apart(total: int) -> int:
-    """The most shingles that similar sets of so many in all can differ in."""
-    return total * (DEN - NUM) // (DEN + NUM)
-
-
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return len(x) == len(y) == 0 or (len(x) + len(y) - both) * NUM <= both * DEN
 
 
 def keys(hashes: np.ndarray) -> np.ndarray:
-    """Meeting keys of a set, for its class and the next."""
-    out = []
-    if len(hashes):
-        own = bisect_right(EDGES, len(hashes)) - 1
-        for c in (own, own + 1):
-            k = apart(2 * (EDGES[c + 1] - 1))
-            empty = k // 6 + 2
-            m = k + 1 + empty
-            part = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            at = np.flatnonzero(np.diff(part, prepend=np.uint64(m)))
-            sums, parts = np.add.reduceat(hashes, at), part[at]
-            if m - len(parts) > empty:
-                none = np.setdiff1d(np.arange(m, dtype=np.uint64), parts)
-                sums, parts = np.append(sums, np.zeros(len(none), np.uint64)), np.append(parts, none)
-            mixed = (sums ^ (parts + np.uint64(1) + np.uint64(c << 40)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(mixed ^ (mixed >> np.uint64(32)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    """The hash of each band of least hashes; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _STEP):
+        np.minimum(least, (hashes[at : at + _STEP, None] * _FACTORS).min(0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -96,46 +84,48 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id, size, sketch and, once a task for each set, its keys."""
+    """doc_id, mark (a hash of the text), set_id, size, sketch, fp and, once a task for each set, its keys."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "mark", "set_id", "size", "sketch", "fp", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, sizes, sketches, own = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingles(text)
-                ids.append(set_id(hashes))
-                sizes.append(len(hashes))
-                sketches.append(sketch(hashes))
-                own.append([] if ids[-1] in seen else keys(hashes))
+            rows = []
+            for text in batch.column(2).to_pylist():
+                every = simhash.shingle_hashes(text, SHINGLE)
+                hashes = np.unique(every)
+                own = set_id(hashes)
+                bands = [] if own in seen else keys(hashes)
+                rows.append((own, len(hashes), sketch(hashes), simhash.signed(simhash.majority(every)), bands))
                 if len(seen) < _SEEN:
-                    seen.add(ids[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "set_id", "size", "sketch", "keys"])
+                    seen.add(own)
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names)
 
-    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, set_id long, size long, sketch binary, keys array<long>")
+    rows = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) mark", "cast(text as string) text")
+    return rows.mapInArrow(run, "doc_id long, mark long, set_id long, size long, sketch binary, fp long, keys array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns of a partition (the first: keys) in order of the first two, and where each key begins."""
+def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
+    """The columns of a partition (the first: keys) in order of the first two, each pair of these once."""
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(columns)]
+    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(n)]
     order = np.lexsort((cols[1], cols[0]))
-    cols = [c[order] for c in cols]
-    if len(order):
-        new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0))
-        cols = [c[new] for c in cols]
-    return cols, np.flatnonzero(np.append(True, np.diff(cols[0]) != 0)) if len(order) else np.zeros(0, np.int64)
+    new = np.append(True, (np.diff(cols[0][order]) != 0) | (np.diff(cols[1][order]) != 0))[: len(order)]
+    return [c[order][new] for c in cols]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set of a key with the key's smallest one; crowded where the key has more than two."""
-    (key, node), at = _groups(batches, 2)
-    if len(at):
-        n = np.diff(np.append(at, len(key)))
-        least = np.repeat(node[at], n)
-        on = node != least
-        yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(least[on]), pa.array(node[on]), pa.array(np.repeat(n > 2, n)[on])], ["key", "a", "b", "crowded"])
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of sets with a key in common whose sizes allow that they are similar. Keys have few sets."""
+    key, node, size = _columns(batches, 3)
+    for lag in range(1, len(key)):
+        same = key[:-lag] == key[lag:]
+        if not same.any():
+            break
+        ok = same & (DEN * np.minimum(size[:-lag], size[lag:]) >= NUM * np.maximum(size[:-lag], size[lag:]))
+        yield pa.RecordBatch.from_arrays([pa.array(node[:-lag][ok]), pa.array(node[lag:][ok])], ["a", "b"])
 
 
 def _matrix(sketches: list[bytes] | np.ndarray) -> np.ndarray:
@@ -150,18 +140,17 @@ def _may(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a key's sets from different components that may be similar."""
-    (key, node, root, size, sketches), at = _groups(batches, 5)
-    for lo, hi in zip(at, np.append(at, len(key))[1:], strict=True):
+    key, node, root, size, sketches = _columns(batches, 5)
+    at = [*np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key)]
+    for lo, hi in zip(at, at[1:], strict=False):
         bits, step = _matrix(sketches[lo:hi]), max(1, _BLOCK // int(hi - lo))
         for first in range(0, int(hi - lo), step):
             i = np.arange(first, min(first + step, int(hi - lo)))[:, None]
             j = np.arange(hi - lo)[None, :]
             left, right = np.nonzero((j > i) & (root[lo + i] != root[lo + j]))
             left += first
-            for x in range(0, len(left), _BLOCK):
-                a, b = left[x : x + _BLOCK], right[x : x + _BLOCK]
-                ok = _may(size[lo + a], bits[a], size[lo + b], bits[b])
-                yield pa.RecordBatch.from_arrays([pa.array(node[lo + a[ok]]), pa.array(node[lo + b[ok]])], ["a", "b"])
+            ok = _may(size[lo + left], bits[left], size[lo + right], bits[right])
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo + left[ok]]), pa.array(node[lo + right[ok]])], ["a", "b"])
 
 
 def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,51 +173,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(map(set_id, found)), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "hashes"])
 
 
+def _hashes(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) of the given sets (node), read again from the texts that first had them."""
+    lead = few(first.join(nodes, first.set_id == nodes.node, "left_semi").select("first_id"))
+    texts = docs.selectExpr("cast(doc_id as long) first_id", "cast(text as string) text").join(lead, "first_id", "left_semi")
+    return texts.select("text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"])
+
+
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar, by their whole sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    lead = first.join(nodes, first.set_id == nodes.node, "left_semi").select(F.col("first_id").alias("_lead")).distinct()
-    texts = docs.selectExpr("cast(doc_id as long) _id", "cast(text as string) text")
-    sets = materialize(texts.join(lead, texts._id == lead._lead, "left_semi").select("text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]))
+    """The pairs (a, b) of sets that are similar: by size and parities, then by their whole sets."""
+    narrow = first.select("set_id", "size", "sketch")
+    narrow = F.broadcast(narrow) if first.known_rows <= BROADCAST_SETS else narrow
+    side = lambda c: narrow.select(F.col("set_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    likely = materialize(likely.mapInArrow(_filter, "a long, b long"))
+    sets = materialize(_hashes(docs, first, likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()))
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
-
-
-def links(docs: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets that connect all similar ones."""
-    met = materialize(found.select(F.explode("keys").alias("key"), "set_id").repartition("key").mapInArrow(_stars, "key long, a long, b long, crowded boolean"))
-    side = lambda c: first.select(F.col("set_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    pairs = met.select("a", "b").distinct()
-    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(_filter, "a long, b long"))
-    stars = _verified(docs, first, likely)
-    crowd = met.where("crowded")
-    crowd = crowd.select("key", F.col("b").alias("set_id")).union(crowd.select("key", "a").distinct())
-    roots = components(stars)
-    crowd = crowd.join(roots, crowd.set_id == roots.node, "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-    crowd = materialize(crowd)
-    split = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = crowd.join(split, "key", "left_semi").join(first, "set_id").select("key", "set_id", "root", "size", "sketch")
-    across = materialize(rest.repartition("key").mapInArrow(_across, "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"))
-    return stars.unionByName(_verified(docs, first, across))
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest id of all documents it is linked to, per row with an id."""
+    return materialize(likely.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+
+
+def _simhash_pairs(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked by pigeonring, one set for each fingerprint."""
+    lead = few(first.groupBy("fp").agg(F.min("set_id").alias("set")))
+    same = first.join(lead, "fp").where("set <> set_id").select(F.col("set").alias("a"), F.col("set_id").alias("b"))
+    near = simhash.links(lead.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    near = near.join(lead.select(F.col("fp").alias("x"), F.col("set").alias("a")), "x").join(lead.select(F.col("fp").alias("y"), F.col("set").alias("b")), "y").select("a", "b")
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(docs: DataFrame, first: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of the sets that have similar ones, root the smallest set that each reaches. first: set_id, first_id, size, sketch, fp, keys."""
+    rows = first.select(F.explode("keys").alias("key"), "set_id", "size")
+    often = few(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+    pairs = rows.join(often, "key", "left_anti").repartition("key").mapInArrow(_pairs, "a long, b long")
+    full = materialize(rows.join(often, "key", "left_semi").select("key", "set_id"))
+    least = few(full.groupBy("key").agg(F.min("set_id").alias("a")))
+    stars = full.join(least, "key").where("set_id <> a").select("a", F.col("set_id").alias("b"))
+    done = _verified(docs, first, _simhash_pairs(first).union(pairs).union(stars))
+    roots = few(components(done))
+    named = full.join(roots, full.set_id == roots.node, "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    split = few(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    rest = named.join(split, "key", "left_semi").join(first, "set_id").select("key", "set_id", "root", "size", "sketch")
+    across = materialize(rest.repartition("key").mapInArrow(_across, "a long, b long").distinct())
+    return roots if across.isEmpty() else components(done.unionByName(_verified(docs, first, across)))
+
+
+def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, mark and component_id, the smallest id of all documents it is linked to, per row with an id."""
     found = materialize(prints(docs))
-    first = materialize(found.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    roots = components(links(docs, found, first))
-    named = first.join(roots, first.set_id == roots.node, "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select("set_id", "component_id")
-    return found.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The first document of each class, with all its columns; of rows with equal ids and texts one stays.
-
-    Rows with a null id have no identity to be linked by, and stay.
-    """
-    drop = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    rest = docs.join(drop, docs.doc_id == drop._copy, "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return rest.withColumn("_again", again).where(F.col("doc_id").isNull() | (F.col("_again") == 1)).drop("_again")
+    same = [F.first(c).alias(c) for c in ("size", "sketch", "fp")]
+    first = materialize(found.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), *same, F.max("keys").alias("keys")))
+    roots = few(links(docs, first, crowd))
+    named = first.select("set_id", "first_id").join(roots, F.col("set_id") == roots.node)
+    least = few(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    linked = few(named.join(least, "root").select("set_id", "component_id"))
+    alone = first.select("set_id", "first_id")
+    alone = F.broadcast(alone) if first.known_rows <= BROADCAST_SETS else alone
+    out = found.select("doc_id", "mark", "set_id").join(alone, "set_id").join(linked, "set_id", "left")
+    return out.select("doc_id", "mark", F.coalesce("component_id", "first_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The first document of each class, with all its columns; of rows with equal ids and texts one stays."""
+    return simhash.first_of(docs, classes(docs, crowd))

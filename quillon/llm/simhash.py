@@ -11,9 +11,9 @@ fingerprints emit all points within one bit of themselves instead. Two fingerpri
 if these balls share a point, all that share a point are within two bits of each other, and at most 65 can,
 so linking each to the smallest loses no link between components.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; ties of a bit (exactly
-half of the shingles) give zero; rows with equal ids or null ids are kept as they are; an empty table gives no
-rows; further columns are ignored.
+Defined results: null and empty texts have fingerprint zero and link like any other; texts of any length are read
+whole; ties of a bit (exactly half of the shingles) give zero; rows with equal ids or null ids are kept as they are;
+an empty table gives no rows; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillon.llm.common import materialize, small_batches
+from quillon.llm.common import few, fresh, materialize, small_batches
 from quillon.llm.components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -37,30 +36,44 @@ CROWD = 24
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits over the hashes of all shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
+    return np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def signed(fingerprint: int) -> int:
+    return fingerprint - (1 << 64) if fingerprint >> 63 else fingerprint
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits over the hashes of all shingles, repeats included; zero without any."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long, per row."""
+    """doc_id, mark (a hash of the text) and fp, the fingerprint's bits as a signed long, per row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) mark", "cast(text as string) text")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _mask(first: int, n: int) -> int:
@@ -84,15 +97,15 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
         raise ValueError("the segments are laid out for a distance of 2 at most")
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(i, 2))).alias("key")) for i in range(m)])).alias("k")).select("fp", "k.i", "k.key")
     sizes = keys.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keys.join(sizes, ["i", "key"]))
-    few = met.where(F.col("n") <= crowd)
+    met = materialize(keys.join(few(sizes), ["i", "key"]))
+    rare = met.where(F.col("n") <= crowd)
     budget = F.lit(True)
     for i in range(m):
         chain = F.lit(True)
         for n in range(3, m):
             chain = chain & (_differ(F.lit(_mask(i, n))) <= n * distance // m)
         budget = F.when(F.col("l.i") == i, chain).otherwise(budget)
-    pairs = few.alias("l").join(few.alias("r"), (F.col("l.i") == F.col("r.i")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))).where(budget).where(_differ() <= distance).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    pairs = rare.alias("l").join(rare.alias("r"), (F.col("l.i") == F.col("r.i")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))).where(budget).where(_differ() <= distance).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     balls = met.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
     least = balls.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
@@ -108,25 +121,43 @@ def _near(balls: DataFrame, least: DataFrame, distance: int) -> DataFrame:
     return pair.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp and component_id, the smallest id of all documents it is linked to, per row."""
-    prints = materialize(fingerprints(docs, shingle))
+def grouped(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """From rows with doc_id and fp: their columns and component_id, the smallest id of all documents each is linked to."""
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = components(links(first.select("fp"), distance, crowd))
-    linked = first.join(roots, first.fp == roots.node)
+    linked = first.join(few(roots), first.fp == roots.node)
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = linked.join(least, "root").select("fp", "component_id")
+    found = linked.join(few(least), "root").select("fp", "component_id")
     alone = first.where("copies > 1").join(found.select("fp"), "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    named = found.unionByName(alone)
-    return prints.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.join(few(found.unionByName(alone)), "fp", "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The first document of each class, with all its columns; of rows with equal ids and texts one stays.
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp and component_id per row."""
+    return grouped(materialize(fingerprints(docs, shingle)), distance, crowd)
+
 
-    Rows with a null id have no identity to be linked by, and stay.
+def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each class in found (doc_id, mark, component_id) the row with the smallest id, with all its columns.
+
+    Rows are told by id and text, so texts under one id are judged each for itself; of equal rows one stays. Rows with
+    a null id have no identity to be linked by, and stay. Only ids are shuffled while few rows go.
     """
-    drop = classes(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    rest = docs.join(drop, docs.doc_id == drop._copy, "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return rest.withColumn("_again", again).where(F.col("doc_id").isNull() | (F.col("_again") == 1)).drop("_again")
+    id, mark = fresh(docs, "copy_id"), fresh(docs, "copy_mark")
+    own = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    named = found.select(F.col("doc_id").alias(id), F.col("mark").alias(mark), F.col("component_id").alias("least"))
+    named = materialize(named.where(F.col(id).isNotNull()).groupBy(id, mark).agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    goes = few(named.where(F.col("least") != F.col(id)).select(id, mark))
+    same = (own[0] == F.col(id)) & (own[1] == F.col(mark))
+    rest = docs.join(goes, same, "left_anti")
+    repeated = named.where((F.col("least") == F.col(id)) & (F.col("n") > 1)).select(id, mark)
+    if repeated.isEmpty():
+        return rest
+    repeated = few(repeated)
+    once = rest.join(repeated, same, "left_semi").withColumns({id: own[0], mark: own[1]}).dropDuplicates([id, mark]).drop(id, mark)
+    return rest.join(repeated, same, "left_anti").unionByName(once)
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The first document of each class; see ``first_of``."""
+    return first_of(docs, classes(docs, **how))

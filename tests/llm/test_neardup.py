@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from quillon.llm import neardup, simhash
+from quillon.llm import common, neardup, simhash
 from tests.llm import data
 from tests.llm.test_simhash import brute_roots
 
@@ -36,13 +36,24 @@ def test_all_similar_texts_are_linked(spark):
     pairs = [(a, b) for a in sets for b in sets if a < b and brute_similar(sets[a], sets[b])]
     far = [p for p in pairs if (simhash.fingerprint(dict(table)[p[0]]) ^ simhash.fingerprint(dict(table)[p[1]])).bit_count() > 2]
     assert len(far) > 20
-    got = {r.doc_id: r.component_id for r in neardup.classes(data.docs(spark, table).repartition(3)).collect()}
-    assert got == brute_roots(list(sets), pairs)
+    roots = brute_roots(list(sets), pairs)
+    for crowd in (neardup.CROWD, 2):
+        got = {r.doc_id: r.component_id for r in neardup.classes(data.docs(spark, table).repartition(3), crowd).collect()}
+        assert got == roots
 
 
-def test_similar_sets_always_share_a_key():
+def test_joins_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    table = [r for r in rows() if r[0] % 100 < 6]
+    sets = {d: brute_set(t) for d, t in table}
+    pairs = [(a, b) for a in sets for b in sets if a < b and brute_similar(sets[a], sets[b])]
+    kept = neardup.keep_one(data.docs(spark, table), 2).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, root in brute_roots(list(sets), pairs).items() if d == root)
+
+
+def test_similar_sets_share_a_key():
     r = random.Random(9)
-    for n in (1, 2, 4, 5, 9, 10, 20, 50, 200, 1000):
+    for n in (1, 2, 4, 5, 9, 10, 20, 50, 200, 1000, 5000):
         for _ in range(60):
             x = {r.getrandbits(64) for _ in range(n)}
             y = set(x)
@@ -65,6 +76,15 @@ def test_edges(spark):
     assert neardup.keep_one(data.docs(spark, [])).count() == 0
 
 
+def test_equal_ids_are_told_by_their_texts(spark):
+    a, b = data.text(1, 80), data.text(2, 80)
+    docs = data.docs(spark, [(1, a), (5, a), (5, b), (6, b), (5, b)]).selectExpr("*", "1 copy_id", "2 copy_mark", "3 COPY_ID_")
+    for keep in (neardup.keep_one, simhash.keep_one):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (5, b)]
+
+
 def test_the_stage_drops_copies_that_differ_in_many_bits(spark):
     words = data.words(3, 300)
     near = [*words[:40], "other", *words[41:150], "another", *words[151:]]

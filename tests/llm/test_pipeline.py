@@ -1,9 +1,10 @@
 """The pipeline against a brute-force version of each stage."""
 
 import corpus_pipeline
-from quillon.llm import decontaminate, quality, simhash
+from quillon.llm import decontaminate, quality
 from tests.llm import data
 from tests.llm.test_decontaminate import brute as overlaps
+from tests.llm.test_neardup import brute_set, brute_similar
 from tests.llm.test_simhash import brute_roots
 
 
@@ -30,8 +31,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
         elif name == "repetition":
             kept = {d: t for d, t in kept.items() if quality.measure(t)["kept"]}
         elif name == "near_duplicates":
-            prints = {d: simhash.fingerprint(t) for d, t in kept.items()}
-            roots = brute_roots(kept, [(a, b) for a in kept for b in kept if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+            sets = {d: brute_set(t) for d, t in kept.items()}
+            roots = brute_roots(kept, [(a, b) for a in kept for b in kept if a < b and brute_similar(sets[a], sets[b])])
             kept = {d: t for d, t in kept.items() if roots[d] == d}
         elif name == "decontamination":
             bad = {d for d, _ in overlaps(list(kept.items()), [(1, item)])}
