@@ -38,7 +38,7 @@ BUCKETS = 512
 BANDS, ROWS = 64, 7
 _FACTORS = np.random.default_rng(5).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at once.
-_STEP = 2048
+_STEP = 512
 #: Sets of a key that are paired out.
 CROWD = 16
 #: Sets a task remembers in order to emit their keys once.
@@ -46,7 +46,7 @@ _SEEN = 500_000
 #: Sets whose sizes and parities (some 90 bytes) may be broadcast.
 BROADCAST_SETS = 50_000
 #: Pairs looked at in one step of a crowded key.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def shingles(text: str | None) -> np.ndarray:

@@ -43,3 +43,20 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(kept)
     assert all(sum(r.length for r in pieces if r.doc_id == d) == next(r.doc_tokens for r in pieces if r.doc_id == d) for d in kept)
     assert decontaminate.SPAN == 8
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    rows = [*data.edge_rows(), *((100 + i, data.text(i, 80, ("xa", "ya")[i % 2]), ("xa", "ya")[i % 2]) for i in range(30))]
+    named = data.docs(spark, rows).selectExpr("*", "1 _id", "2 _seen", "3 _again", "4 copy_id", "5 text_mark", "6 key", "7 rank")
+    for name, docs, items in (("full", named, [(1, data.text(7000, 40))]), ("none", named.limit(0), [(1, data.text(7000, 40))]), ("free", named, [])):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for n, (stage, run) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = run(spark, got, f"{tmp_path}/{name}")
+            assert out.columns == named.columns, stage
+            out.write.parquet(f"{tmp_path}/{name}/{n}")
+            got = spark.read.parquet(f"{tmp_path}/{name}/{n}")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in got.collect()}
+        assert len(pieces) == 0 if name == "none" else {4, 7, 100, 129} <= {r.doc_id for r in pieces}
