@@ -3,8 +3,12 @@ distributed pass without a counter."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -38,19 +42,29 @@ def csv_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_files(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects; those without text go, and the rest are numbered for a default title."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", ty.ArrayType(FIELDS)).alias("a"))
-    rows = files.select("file", F.posexplode(F.filter("a", lambda x: x.text.isNotNull())).alias("i", "d")).select("file", "i", "d.title", "d.text")
-    return _documents(rows.withColumn("title", F.coalesce("title", F.concat(F.lit("Document_"), (F.col("i") + 1).cast("string")))), "file", "i")
+    """A JSON array of objects per file, read object by object; those without text go, the rest are numbered for a default title."""
+    rows = spark.read.schema(FIELDS).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "title", "text")
+    return _numbered(rows.where("text is not null"))
 
 
 def jsonl_files(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line; broken lines are skipped. Default titles number the kept lines of each file."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.from_json("value", FIELDS, {"mode": "PERMISSIVE"}).alias("d"))
-    rows = lines.where("d.text is not null").select("file", "at", "d.title", "d.text")
-    number = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    named = rows.where("title is not null").unionByName(rows.where("title is null").withColumn("title", F.concat(F.lit("Document_"), number.cast("string"))))
-    return _documents(named, "file", "title", "text")
+    return _numbered(lines.where("d.text is not null").select("file", "at", "d.title", "d.text"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Documents of rows (file, at, title, text); a row without a title is named by its number among its file's rows.
+
+    Rows are counted per file and partition first, so a large file is numbered by many tasks.
+    """
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy("file", part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("file", "part", (F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "part").orderBy("at"))
+    every = rows.withColumn("part", part).select("file", "part", "at", "title", "text", own.alias("own")).join(F.broadcast(before), ["file", "part"])
+    title = F.coalesce("title", F.concat(F.lit("Document_"), (F.col("own") + F.col("before")).cast("string")))
+    return _documents(every.select("file", title.alias("title"), "text"), "file", "title", "text")
 
 
 def register_pdf(pages: Callable[[bytes], list[str]]) -> None:
@@ -67,13 +81,61 @@ def split_pages(pages: DataFrame) -> DataFrame:
     return _documents(long.unionByName(short.select(*long.columns)), "file", "page", "i")
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, page, text) of PDF files, by the registered reader on Arrow batches."""
     if not _pdf:
         raise RuntimeError("no PDF reader is registered; see register_pdf")
     read = _pdf[0]
-    pages = F.udf(lambda data: read(bytes(data)), "array<string>")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(pages("content")).alias("p", "text"))
-    return split_pages(files.select("file", (F.col("p") + 1).alias("page"), "text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, i, text) for f, data in zip(batch["path"], batch["content"], strict=True) for i, text in enumerate(read(bytes(data)), 1)]
+            yield pd.DataFrame(rows, columns=["file", "page", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, page int, text string")
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    return split_pages(_pages(spark, path))
+
+
+def pdf_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): all pages of a PDF file, joined by blank lines."""
+    pages = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p.text)
+    return _pages(spark, path).groupBy("file").agg(F.array_join(pages, "\n\n").alias("text"))
+
+
+def docx_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): the paragraphs of a DOCX file, joined by blank lines."""
+
+    def text(data: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(data)) as packed:
+            body = ElementTree.fromstring(packed.read("word/document.xml"))
+        word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        parts = ("".join(t.text or "" for t in p.iter(f"{word}t")) for p in body.iter(f"{word}p"))
+        return "\n\n".join(p for p in parts if p.strip())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["path"], "text": [text(bytes(d)) for d in batch["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, text string")
+
+
+def plain_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): whole text files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+TEXTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": plain_texts, "pdf": pdf_texts, "docx": docx_texts, "doc": docx_texts}
+
+
+def file_texts(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(file, text): each file as one text, by its ending."""
+    kind = kind or path.rpartition(".")[2].lower()
+    if kind not in TEXTS:
+        raise ValueError(f"unsupported format {kind}; known: {sorted(TEXTS)}")
+    return TEXTS[kind](spark, path)
 
 
 def parquet_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -125,3 +187,23 @@ def experiment(folder: Column) -> Column:
 
 def run_time(folder: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.regexp_extract(folder, r"(\d{8}_\d{6})$", 1), "_", " "), F.lit("yyyyMMdd HHmmss"))
+
+
+def list_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, modified, bytes) of the evaluation sets below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, experiment, run_ts, place) of the result folders below a path, newest first; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
+    folders = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+(?:/part-[^/]+)?$", 1).alias("folder")).distinct()
+    return newest_first(folders)
+
+
+def newest_first(folders: DataFrame) -> DataFrame:
+    """(folder, experiment, run_ts, place): result folders by the time in their names; those without a time come last."""
+    rows = folders.select("folder", experiment(F.col("folder")).alias("experiment"), run_time(F.col("folder")).alias("run_ts"))
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("run_ts"), "folder"))
+    return rows.withColumn("place", place.cast("long"))

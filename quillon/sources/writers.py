@@ -32,8 +32,10 @@ def load_index(spark: SparkSession, path: str, fingerprint: str | None = None) -
 
 
 def save_questions(questions: DataFrame, path: str, name: str) -> None:
-    packed = questions.agg(F.collect_list(F.struct(*[c for c in ("question", "expected_answer", "relevant_docs", "category", "difficulty")])).alias("questions"))
-    packed.select(F.lit(name).alias("name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"), "questions").coalesce(1).write.mode("overwrite").json(path)
+    """An evaluation set as JSON, one object of some questions per task; ``readers.questions_json`` puts them together."""
+    fields = ("question", "expected_answer", "relevant_docs", "category", "difficulty")
+    packed = questions.select(F.struct(*fields).alias("q")).groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list("q").alias("questions"))
+    packed.select(F.lit(name).alias("name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"), "questions").write.mode("overwrite").json(path)
 
 
 def save_template(spark: SparkSession, path: str) -> None:
@@ -49,12 +51,14 @@ def append_run(rows: DataFrame, path: str) -> None:
 
 def export_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
-    df.select(*[F.round(c, digits).alias(c) if c in numeric else c for c in df.columns]).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.select(*[F.round(c, digits).alias(c) if c in numeric else c for c in df.columns]).write.mode("overwrite").csv(path, header=True)
 
 
 def latex(df: DataFrame, best: dict[str, str], caption: str = "", digits: int = 3) -> str:
     """A LaTeX table of a small frame; in each column of ``best`` (name to max or min) the best cell is bold."""
-    rows = df.limit(REPORT_ROWS).collect()
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a LaTeX table of over {REPORT_ROWS} rows; aggregate or filter first")
     ends = {c: (max if how == "max" else min)((r[c] for r in rows if r[c] is not None), default=None) for c, how in best.items()}
 
     def cell(column: str, value) -> str:
@@ -68,3 +72,16 @@ def latex(df: DataFrame, best: dict[str, str], caption: str = "", digits: int =
 
 def to_json(value: dict) -> str:
     return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+def from_json(text: str) -> dict:
+    return json.loads(text)
+
+
+def save_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON value in a folder that every machine reaches."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))

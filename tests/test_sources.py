@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 
@@ -40,6 +41,46 @@ def test_pdf_pages_and_dispatch(spark, tmp_path):
         R.read(spark, "a.xyz")
 
 
+def test_files_as_one_text(spark, tmp_path):
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {word}><w:body><w:p><w:r><w:t>One </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>")
+    (tmp_path / "a.txt").write_text("x\n\ny")
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    R.register_pdf(lambda data: ["p1", "p2"])
+    got = {k: R.file_texts(spark, f"{tmp_path}/a.{k}").first().text for k in ("docx", "txt", "pdf")}
+    assert got == {"docx": "One two\n\nthree", "txt": "x\n\ny", "pdf": "p1\n\np2"}
+    with pytest.raises(ValueError):
+        R.file_texts(spark, "a.xyz")
+
+
+def test_default_titles_count_the_kept_objects(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"text": f"{k} {i}"} | ({"title": "T"} if i % 3 == 0 else {})) + "\n" + "broken\n" * (i % 2) for i in range(50)))
+    got = R.jsonl_files(spark, f"{tmp_path}/*.jsonl").collect()
+    assert sorted((r.title, r.text) for r in got) == sorted(("T" if i % 3 == 0 else f"Document_{i + 1}", f"{k} {i}") for k in range(2) for i in range(50))
+
+
+def test_listings(spark, tmp_path):
+    for folder in ("retrieval_experiment_20250419_010203", "chunking_experiment_20250418_171048", "other"):
+        (tmp_path / "runs" / folder).mkdir(parents=True)
+        (tmp_path / "runs" / folder / "results.csv").write_text("a\n1\n")
+    got = R.list_runs(spark, f"{tmp_path}/runs").orderBy("place").collect()
+    assert [(r.experiment, r.place) for r in got] == [("retrieval", 1), ("chunking", 2), ("", 3)]
+    (tmp_path / "sets").mkdir()
+    (tmp_path / "sets" / "one.json").write_text("{}")
+    row = R.list_datasets(spark, f"{tmp_path}/sets").first()
+    assert (row.name, row.bytes) == ("one", 2)
+    W.save_json(spark, {"b": [1], "a": "é"}, f"{tmp_path}/v")
+    assert W.load_json(spark, f"{tmp_path}/v") == {"a": "é", "b": [1]} == W.from_json(W.to_json({"b": [1], "a": "é"}))
+
+
+def test_latex_tables_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(W, "REPORT_ROWS", 2)
+    with pytest.raises(ValueError):
+        W.latex(spark.range(3), {})
+
+
 def test_questions(spark, tmp_path):
     W.save_template(spark, f"{tmp_path}/q")
     row = R.questions_csv(spark, f"{tmp_path}/q").first()
