@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages over the documents table. Each stage gets what its predecessor kept."""
+"""A corpus pipeline of five stages over the documents table. Each stage gets what its predecessor kept.
+
+Defined results, for every stage: a null text counts as empty, and an empty text is in no language, so it goes in the
+first stage; rows with a null id are judged by their text like any other, but never learned from and never dropped as
+a copy; repeated rows are judged alike, and one of them stays after ``near_duplicates``; texts of any length are read
+whole; an empty table of documents gives an empty table, an empty benchmark drops nothing; columns of any further name
+come along up to the last stage, which gives the columns of ``packing.pack``.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from quillon.llm.common import crc_mod, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
+    """Documents without a letter go, as does every one if no language could be learned; a low score drops nothing."""
     return langid.keep_known(docs, langid.fit(docs, crc_mod("doc_id", 3) == 1))
 
 
@@ -20,7 +27,9 @@ def repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of the documents linked by five-word shingles with a similarity of 0.8 or more stays."""
+    """The first of the documents linked by five-word shingles with a similarity of 0.8 or more stays.
+
+    SimHash finds the closest; what differs in more bits than pigeonring can search comes from least hashes."""
     return neardup.keep_one(docs)
 
 

@@ -6,18 +6,24 @@ labels give categories, conversations give history.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon import providers
 from quillon.functions import scores as S
 from quillon.operators import analytics as A
 from quillon.operators import answering, chunking, expansion, index, metrics, reranking, retrieval
 from quillon.oracle import ORACLE_SQL
+from quillon.plans import experiments
 from quillon.plans.config import Config
 from quillon.plans.pipeline import Pipeline
+from quillon.sources import readers, writers
 from quillon.streaming import latency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +58,15 @@ class Tables:
     def vector_queries(self) -> DataFrame:
         return self.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
+    def scratch(self, name: str) -> str:
+        """A fresh folder that driver and executors share: below the session's checkpoint folder, local only on one machine."""
+        base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            base = tempfile.mkdtemp(prefix="quillon-")
+        return f"{base}/{name}-{uuid.uuid4().hex}"
+
     def candidates(self, k: int = 10) -> DataFrame:
         """BM25 candidates with both texts."""
         found = retrieval.bm25(self.docs, self.asked, k)
@@ -273,7 +288,58 @@ def expand_synonyms(t):
 @query
 def llm_line_parse(t):
     name = F.concat(F.lit("first of q"), F.col("query_id").cast("string"), F.lit("x"))
-    return expansion.parse_lines(t.asked, F.concat(F.lit("1. "), name, F.lit('\n2. "second"\n\n3. '), name), 3)
+    return expansion.parse_lines(t.asked, F.concat(F.lit("Generate:\n1. "), name, F.lit('\n2. "second"\n\n3. - '), name))
+
+
+@query
+def llm_line_parse_fallback(t):
+    return expansion.parse_lines(t.asked, F.lit("1.\n2. \"\"\n"))
+
+
+@query
+def hyde_documents(t):
+    """Two hypothetical documents per query, from the offline model."""
+    return expansion.hyde_documents(t.asked, 2).select("query_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query
+def transform_router(t):
+    """Every way to transform a query, and a name that is not known."""
+    return A.union_runs([expansion.transform(t.asked, m).withColumn("method", F.lit(m)) for m in ("none", "multi_query", "templates", "hybrid")])
+
+
+@query
+def multi_query_k5(t):
+    v = expansion.rules(t.asked).withColumn("id", F.col("query_id") * 10 + F.col("variant"))
+    found = retrieval.bm25(t.docs, v.select(F.col("id").alias("query_id"), F.col("variant_text").alias("text")), 5)
+    return retrieval.merge_variants(found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).alias("variant"), "doc_id", "rank"), 10)
+
+
+@query
+def retrieve_dispatch(t):
+    """The same retriever under its three names."""
+    v, b = _vector_text(t, 20), retrieval.bm25(t.docs, t.asked, 20)
+    parts = [retrieval.retrieve(m, v, b, 0.5, 10).select("query_id", "doc_id", "score", "rank").withColumn("method", F.lit(m)) for m in ("vector", "bm25", "hybrid")]
+    return A.union_runs(parts)
+
+
+@query
+def hyde_vector_topk(t):
+    """Search by the mean of two hypothetical documents' vectors."""
+    made = expansion.hyde_documents(t.asked, 2).withColumn("id", F.col("query_id") * 10 + F.col("pos"))
+    own = index.dense_vectors(made, "id").select(F.floor(F.col("id") / 10).alias("query_id"), "embedding")
+    return retrieval.vector_topk(index.dense_vectors(t.docs), expansion.mean_vector(own), 10)
+
+
+@query
+def index_build(t):
+    """The stored index, written to the shared folder and read back, as lengths and first coordinates."""
+    chunks = chunking.fixed_tokens(t.docs, 256, 0)
+    path = t.scratch("index")
+    writers.save_index(index.build(chunks), path, Config().fingerprint())
+    rows = writers.load_index(t.spark, path, Config().fingerprint())
+    v = F.transform("embedding", lambda x: x * x)
+    return rows.select("chunk_id", F.length("text").cast("long").alias("chars"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("norm"))
 
 
 # Reranking
@@ -331,6 +397,30 @@ def diversity_mmr(t):
     return reranking.mmr_words(t.candidates(20), 0.5, 5).select("query_id", "doc_id", "place")
 
 
+@query
+def cross_encoder_rerank(t):
+    """The pair scorer's offline stand-in."""
+    return reranking.cross_encoder(t.candidates(20), None, 10)
+
+
+@query
+def llm_rerank(t):
+    """The offline model's reply begins with the prompt, so its first number is the prompt's."""
+    return reranking.model_rating(t.candidates(20), "echo", 10)
+
+
+@query
+def fusion_vector_bm25(t):
+    return reranking.fuse([_vector_text(t, 20), retrieval.bm25(t.docs, t.asked, 20)], 10)
+
+
+@query
+def fusion_vector_cross_encoder(t):
+    found = _vector_text(t, 20)
+    pairs = found.join(t.docs, "doc_id").join(t.asked.select("query_id", F.col("text").alias("query")), "query_id")
+    return reranking.fuse([found, reranking.cross_encoder(pairs)], 10)
+
+
 # Answers and metrics
 
 
@@ -349,6 +439,24 @@ def prompt_assembly(t):
     return answering.prompt(t.candidates(3))
 
 
+@query
+def prompt_templates(t):
+    parts = [answering.prompt(t.candidates(3), name).withColumn("template", F.lit(name)) for name in ("basic", "instructional", "extractive", "citation")]
+    return A.union_runs(parts)
+
+
+@query
+def generated_answer(t):
+    return answering.generated(t.candidates(3), template="basic")
+
+
+@query
+def answer_contexts(t):
+    """The best three texts of each query, in order."""
+    found = answering.contexts_of(retrieval.bm25(t.docs, t.asked, 3), t.docs)
+    return found.select("query_id", F.array_join(F.transform("contexts", lambda c: F.concat(c["rank"].cast("string"), F.lit(":"), c.doc_id.cast("string"), F.lit(":"), F.length(c.text).cast("string"))), ",").alias("contexts"))
+
+
 @query
 def answer_compare(t):
     pairs = A.turn_pairs(t.conversations).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "answer", F.col("question").alias("other"))
@@ -625,6 +733,199 @@ def recommendation_json(t):
     return A.recommendation(t.runs, "metric_mrr", "seq", ["method", "experiment"])
 
 
+@query
+def metric_columns(t):
+    """The measures by their prefix."""
+    frame = t.runs.withColumn("metric_seconds", F.col("seconds"))
+    return frame.select("seq", *A.metric_columns(frame))
+
+
+@query
+def sort_keys(t):
+    """The first hundred runs by three keys, with their places."""
+    keys = [F.asc("method"), F.desc_nulls_last("metric_mrr"), F.asc("seq")]
+    return A.head(t.runs.select("method", "metric_mrr", "seq"), keys, 100).withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+
+
+@query
+def best_alpha(t):
+    """The discount with the best mean price, as a setting and its measure."""
+    return A.best_value(t.lineitem, "l_discount", "l_extendedprice")
+
+
+@query
+def drop_null(t):
+    return A.drop_incomplete(t.runs.select("seq", "metric_mrr"), ["metric_mrr"])
+
+
+@query
+def head_sample(t):
+    return A.head(t.documents.select("doc_id", "lang"), ["doc_id"], 50)
+
+
+@query
+def empty_guard(t):
+    frames = {"all": t.runs, "none": t.runs.where("seq < 0")}
+    return t.spark.createDataFrame([(n, A.has_rows(f)) for n, f in frames.items()], "name string, has_rows boolean")
+
+
+@query
+def grid_size(t):
+    n = A.grid_size(chunking=["fixed", "paragraph", "sentence"], retrieval=["vector", "bm25", "hybrid"], rerank=["none", "jaccard"])
+    return t.spark.createDataFrame([(n,)], "configurations long")
+
+
+@query
+def plottable_columns(t):
+    frame = t.runs.withColumn("metric_none", F.lit(None).cast("double"))
+    return t.spark.createDataFrame([(c,) for c in A.plottable(frame)], "name string")
+
+
+@query
+def profile_first_five(t):
+    return A.head(t.documents.select("doc_id", F.col("lang").alias("category"), F.col("source").alias("difficulty")), ["doc_id"], 5)
+
+
+@query
+def config_merge(t):
+    """Defaults under user values, as rows of names and JSON values."""
+    merged = json.loads(Config.merged({"chunk_size": 128}, {"retrieval_method": "bm25", "chunk_size": 256}).to_json())
+    return t.spark.createDataFrame([(k, json.dumps(merged[k])) for k in ("chunk_size", "chunk_overlap", "retrieval_method", "retrieval_top_k")], "name string, value string")
+
+
+@query
+def config_diff(t):
+    """Which changes need a new index."""
+    changes = {"chunk_size": 5, "retrieval_alpha": 0.1, "retrieval_method": "bm25", "embedding_model": "other"}
+    return t.spark.createDataFrame([(k, Config().needs_rebuild(Config().with_(**{k: v}))) for k, v in changes.items()], "name string, rebuild boolean")
+
+
+@query
+def embedder_menu(t):
+    return t.spark.createDataFrame(providers.menu(), "tier string, name string, registered boolean")
+
+
+@query
+def experiment_grids(t):
+    """How many configurations each experiment has."""
+    return t.spark.createDataFrame([(name, len(make())) for name, make in experiments.GRIDS.items()], "experiment string, configurations long")
+
+
+@query
+def chunk_validate(t):
+    """Paragraph chunks, those without an id named by their place."""
+    return chunking.validate(chunking.paragraphs(t.docs), "paragraphs", 0, 0)
+
+
+@query
+def config_compare(t):
+    frames = {name: t.runs.where(F.col("method") == name) for name in ("click", "view")}
+    return experiments.compare(frames, ["seconds", "metric_mrr"])
+
+
+@query
+def evaluation_report(t):
+    """Runs with their questions nested, flattened to a row per question, arrays dropped."""
+    question = F.struct(F.col("seq").alias("question"), F.col("metric_mrr").alias("mrr"), F.array("seconds").alias("contexts"))
+    runs = t.runs.groupBy(F.col("method").alias("config_name")).agg(F.collect_list(question).alias("question_results"), F.struct(F.count("*").alias("n")).alias("aggregate_metrics"))
+    summary, details = experiments.report(runs)
+    return details.join(summary, "config_name")
+
+
+# Sources and sinks: written to the shared folder and read back
+
+
+@query
+def source_text(t):
+    path = t.scratch("text")
+    t.docs.where("text is not null").select(F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    return readers.text_files(t.spark, path).select("text")
+
+
+@query
+def source_csv(t):
+    path = t.scratch("csv")
+    t.docs.select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text").write.mode("overwrite").csv(path, header=True, escape='"')
+    return readers.csv_files(t.spark, path).select("title", "text")
+
+
+@query
+def source_jsonl(t):
+    path = t.scratch("jsonl")
+    t.docs.select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text").write.mode("overwrite").json(path)
+    return readers.jsonl_files(t.spark, path).select("title", "text")
+
+
+@query
+def source_parquet(t):
+    path = t.scratch("corpus")
+    writers.save_corpus(t.documents.select("doc_id", "text"), path)
+    return readers.parquet_corpus(t.spark, path)
+
+
+@query
+def document_struct(t):
+    made = readers.document(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string"))))
+    return t.docs.select("doc_id", made.alias("d")).select("doc_id", "d.title", "d.text")
+
+
+def _questions(t: Tables) -> DataFrame:
+    """Question and answer turns as an evaluation set."""
+    p = A.turn_pairs(t.conversations)
+    docs = F.array(F.lit("Doc 1"), F.concat(F.lit("Doc "), F.col("conv_id").cast("string")))
+    return p.select("question", F.col("answer").alias("expected_answer"), docs.alias("relevant_docs"), F.lit("general").alias("category"), F.lit("medium").alias("difficulty"))
+
+
+@query
+def questions_json(t):
+    path = t.scratch("questions_json")
+    writers.save_questions(_questions(t), path, "turns")
+    return readers.questions_json(t.spark, path).select("name", "question", "expected_answer", F.array_join("relevant_docs", "|").alias("relevant_docs"), "category", "difficulty")
+
+
+@query
+def questions_csv(t):
+    path = t.scratch("questions_csv")
+    _questions(t).select("question", "expected_answer", F.array_join("relevant_docs", " | ").alias("relevant_docs")).write.mode("overwrite").csv(path, header=True, escape='"')
+    return readers.questions_csv(t.spark, path).select("question", "expected_answer", F.array_join("relevant_docs", "|").alias("relevant_docs"), "category", "difficulty")
+
+
+@query
+def questions_template(t):
+    path = t.scratch("template")
+    writers.save_template(t.spark, path)
+    return readers.questions_csv(t.spark, path).select("question", "expected_answer", F.array_join("relevant_docs", "|").alias("relevant_docs"), "category", "difficulty")
+
+
+@query
+def runs_csv(t):
+    """Result folders of two experiments, scanned with their names and times."""
+    base = t.scratch("runs")
+    for kind in ("click", "view"):
+        writers.export_csv(t.runs.where(F.col("method") == kind).select("seq", "metric_mrr"), f"{base}/{kind}_experiment_20250418_170853/results.csv")
+    found = readers.runs_csv(t.spark, f"{base}/*/results.csv")
+    return found.select(F.col("seq").cast("long").alias("seq"), "metric_mrr", "experiment", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"))
+
+
+@query
+def runs_parquet(t):
+    """Iterations appended to a results table by experiment."""
+    path = t.scratch("tracked")
+    for kind in ("click", "view"):
+        rows = t.runs.where(F.col("method") == kind)
+        writers.append_run(rows.select(F.lit(kind).alias("experiment"), "seq", *(["seconds"] if kind == "click" else ["metric_mrr"])), path)
+    return t.spark.read.option("mergeSchema", True).parquet(path).select(F.col("experiment").cast("string").alias("experiment"), "seq", "seconds", "metric_mrr")
+
+
+@query
+def run_folders(t):
+    """Folder names as experiment and time, newest first."""
+    day = F.date_format(F.to_date("ts"), "yyyyMMdd")
+    names = t.events.select(F.concat("event_type", F.lit("_experiment_"), day, F.lit("_120000")).alias("folder")).distinct()
+    found = readers.newest_first(names)
+    return found.select("folder", "experiment", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"), "place")
+
+
 @query
 def latency_windows(t):
     return latency.latency(t.events)

@@ -215,3 +215,24 @@ def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
 def display(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values as text with four digits, N/A for null."""
     return df.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.format_number(c, 4), F.lit("N/A")).alias(c) for c in columns])
+
+
+def head(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows in an order of one or several keys."""
+    return df.orderBy(*order).limit(n)
+
+
+def has_rows(df: DataFrame) -> bool:
+    return not df.isEmpty()
+
+
+def grid_size(**options: list) -> int:
+    out = 1
+    for values in options.values():
+        out *= len(values)
+    return out
+
+
+def best_value(df: DataFrame, key: str, measure: str) -> DataFrame:
+    """The value of a setting with the best mean of a measure; of equal ones the smallest."""
+    return best(group_mean(df, [key], [measure]), measure, key)

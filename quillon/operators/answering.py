@@ -13,6 +13,15 @@ from quillon.functions import text as T
 #: What is said where no sentence matches.
 NO_ANSWER = "I couldn't find a specific answer to your question in the available knowledge base."
 
+#: Prompts of the generation experiment.
+TEMPLATES = {
+    "plain": "Context:\n{context}\n\nQuestion: {query}\n\nAnswer:",
+    "basic": "Context: {context}\n\nQuestion: {query}\n\nAnswer:",
+    "instructional": "System: You are a helpful assistant... Use ONLY the following context... If the context doesn't contain the answer, say you don't know.\n\nContext: {context}\n\nUser: {query}",
+    "extractive": "System: You must extract the answer... Quote the relevant parts...\n\nContext: {context}\n\nQuestion: {query}\n\nAnswer:",
+    "citation": "System: You are a helpful assistant... Include citations...\n\nContext: {context}\n\nQuestion: {query}\n\nAnswer with citations:",
+}
+
 
 def sentences(contexts: DataFrame) -> DataFrame:
     """(query_id, place, sentence, score): sentences that share words with the query, best first.
@@ -42,8 +51,9 @@ def contexts_of(ranking: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     return rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "text"))).alias("contexts"))
 
 
-def prompt(contexts: DataFrame, template: str = "Context:\n{context}\n\nQuestion: {query}\n\nAnswer:") -> DataFrame:
-    """(query_id, prompt) from rows (query_id, rank, query, text)."""
+def prompt(contexts: DataFrame, template: str = "plain") -> DataFrame:
+    """(query_id, prompt) from rows (query_id, rank, query, text). template: a name, or a text of its own."""
+    template = TEMPLATES.get(template, template)
     rows = contexts.groupBy("query_id", "query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda s: s.text).alias("t"))
     filled = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.array_join("t", "\n\n")), F.lit("{query}"), F.col("query"))
     return rows.select("query_id", filled.alias("prompt"))

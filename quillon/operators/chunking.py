@@ -5,6 +5,7 @@ The chunk id is the document id and a suffix, so documents of one title cannot c
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -106,11 +107,17 @@ def semantic_segments(docs: DataFrame, target_sentences: int = 250, least_senten
 
 
 def _per_text(docs: DataFrame, split: Callable[[str], list[str]], suffix: str) -> DataFrame:
-    """Chunkers whose state has no column form, on Arrow batches."""
+    """Chunkers whose state has no column form, on Arrow batches. A text that a chunker fails on gives no chunk."""
+
+    def parts(text: str | None) -> list[str]:
+        try:
+            return split(text or "")
+        except Exception:  # noqa: BLE001 - one text must not stop the others
+            return []
 
     def run(batches):
         for batch in batches:
-            rows = [(d, f"{d}{suffix}{i}", i, part) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, part in enumerate(split(t or ""))]
+            rows = [(d, f"{d}{suffix}{i}", i, part) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, part in enumerate(parts(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "chunk_index", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, CHUNK_SCHEMA)
@@ -128,8 +135,8 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     sep, deeper = separators[here], separators[here + 1 :]
     pieces = [p for p in (text.split(sep) if sep else list(text)) if p]
     out: list[str] = []
-    window: list[str] = []
-    length = lambda parts: sum(map(len, parts)) + len(sep) * max(0, len(parts) - 1)
+    window: deque[str] = deque()
+    held = 0  # length of the window, joined
 
     def emit() -> None:
         if joined := sep.join(window).strip():
@@ -139,12 +146,16 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
         if len(piece) > size and deeper:
             emit()
             window.clear()
+            held = 0
             out += split_recursively(piece, size, overlap, deeper)
             continue
-        if window and length([*window, piece]) > size:
+        more = len(piece) + (len(sep) if window else 0)
+        if window and held + more > size:
             emit()
-            while window and (length(window) > overlap or length([*window, piece]) > size):
-                window.pop(0)
+            while window and (held > overlap or held + more > size):
+                held -= len(window.popleft()) + (len(sep) if window else 0)
+                more = len(piece) + (len(sep) if window else 0)
+        held += more
         window.append(piece)
     emit()
     return out

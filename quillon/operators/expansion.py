@@ -12,12 +12,12 @@ from quillon.functions.vectors import blend, unit
 
 #: What a hypothetical document is asked to be, by query type.
 PROMPTS = {
-    "definition": "Write a clear, concise definition that would be a perfect answer to the question: '%s'",
-    "factual": "Write a factual, precise response to the question: '%s'",
-    "procedural": "Write a step-by-step guide that addresses: '%s'",
-    "comparative": "Write a balanced comparison addressing: '%s'",
-    "causal": "Write an explanatory response that addresses the causes and effects related to: '%s'",
-    "exploratory": "Write a comprehensive yet concise overview that addresses: '%s'",
+    "definition": "Write a clear, concise definition that would be a perfect answer to the question: '%s'\nThe definition should include key characteristics and examples where appropriate.\nKeep your answer focused and authoritative, like an encyclopedia entry.",
+    "factual": "Write a factual, precise response to the question: '%s'\nInclude specific details, dates, numbers, or names that would be found in an authoritative reference.\nThe response should be objective and well-supported.",
+    "procedural": "Write a step-by-step guide that addresses: '%s'\nInclude clear instructions, important considerations, and potential challenges.\nStructure the content as an expert how-to guide.",
+    "comparative": "Write a balanced comparison addressing: '%s'\nInclude key similarities and differences, with specific criteria for comparison.\nPresent the information in a structured, objective manner.",
+    "causal": "Write an explanatory response that addresses the causes and effects related to: '%s'\nInclude key factors, mechanisms, and supporting evidence.\nThe explanation should be logical and connect causes to their effects.",
+    "exploratory": "Write a comprehensive yet concise overview that addresses: '%s'\nInclude key facts, concepts, and relevant context.\nThe content should be informative and well-structured, like an educational resource.",
 }
 #: Further angles of a hypothetical document, after the plain one.
 ANGLES = ("", " from a technical perspective", " with practical examples", " with historical context")
@@ -62,12 +62,19 @@ def synonyms(queries: DataFrame, table: DataFrame, per_term: int = 2) -> DataFra
     return queries.select("query_id", F.lit(0).cast("long").alias("variant"), F.col("text").alias("variant_text")).unionByName(made)
 
 
-def parse_lines(queries: DataFrame, reply: Column, n: int = 3) -> DataFrame:
-    """Variants from a model's reply, one per line without numbering or quotes; templates if it has none."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(reply, "\n"), lambda x: F.btrim(x, F.lit("0123456789. \"'-"))), lambda x: x != ""))
+def parse_lines(queries: DataFrame, reply: Column) -> DataFrame:
+    """The query, then a variant per line of a model's reply without numbering or quotes; two templates if it has none."""
+    own = F.filter(F.split(reply, "\n"), lambda x: (x != "") & ~x.startswith("Generate"))
+    lines = F.filter(F.transform(own, lambda x: F.btrim(x, F.lit("0123456789. \"'"))), lambda x: x != "")
     q = F.col("text")
-    plain = F.array(F.concat(F.lit("information about "), q), F.concat(F.lit("explain "), q))
-    return _variants(queries, F.concat(F.array(q), F.slice(F.when(F.size(lines) > 0, lines).otherwise(plain), 1, n)))
+    plain = F.array(F.concat(F.lit("Information about "), q), F.concat(F.lit("Tell me about "), q))
+    return _variants(queries, F.concat(F.array(q), F.when(F.size(lines) > 0, lines).otherwise(plain)))
+
+
+def asked_of_model(queries: DataFrame, model: str = "echo") -> DataFrame:
+    """``parse_lines`` of a language model's reply."""
+    prompt = F.concat(F.lit("Generate 3 different versions of the following question that mean the same thing: '"), F.col("text"), F.lit("'"))
+    return parse_lines(queries.withColumn("reply", providers.generate(prompt, model)), F.col("reply"))
 
 
 def hyde_prompt(queries: DataFrame) -> DataFrame:
@@ -100,9 +107,11 @@ def blend_vectors(queries: DataFrame, hypothetical: DataFrame, weight: float = 0
 
 
 def transform(queries: DataFrame, method: str = "none", **how) -> DataFrame:
-    """By name: none, multi_query, expansion, templates or hyde; the variants of each query."""
+    """By name: none, multi_query, model, expansion, templates or hyde; the variants of each query, the query itself for other names."""
     if method == "multi_query":
         return rules(queries, **how)
+    if method == "model":
+        return asked_of_model(queries, **how)
     if method in ("expansion", "templates"):
         return synonyms(queries, **how) if "table" in how else templates(queries)
     if method == "hyde":

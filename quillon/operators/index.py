@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon import providers
 from quillon.functions import text as T
+from quillon.functions.vectors import unit
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,3 +81,11 @@ def dense_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], [id, "embedding"])
 
     return docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{id} long, embedding array<double>")
+
+
+def build(chunks: DataFrame, model: str = "hash") -> DataFrame:
+    """(chunk_id, text, embedding) of chunks, vectors at length one: what ``writers.save_index`` stores."""
+    if model == "hash":
+        rows = chunks.select(F.xxhash64("chunk_id").alias("id"), "chunk_id", "text")
+        return rows.join(dense_vectors(rows, "id"), "id").select("chunk_id", "text", "embedding")
+    return chunks.select("chunk_id", "text", unit(providers.embed(F.col("text"), model)).alias("embedding"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,6 +57,11 @@ def rrf(rankings: DataFrame, k: int = 10, constant: int = RRF_K) -> DataFrame:
     return top(rankings.groupBy("query_id", "doc_id").agg(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))).alias("score")), k)
 
 
+def fuse(rankings: list[DataFrame], k: int = 10) -> DataFrame:
+    """``rrf`` of several rankings."""
+    return rrf(reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "rank") for r in rankings]), k)
+
+
 def _greedy(relevance: np.ndarray, similarity: np.ndarray, ids: np.ndarray, weight: float, k: int, least: float) -> list[int]:
     """Maximal marginal relevance. Ties go to the smaller id."""
     left, chosen = list(np.argsort(ids, kind="stable")), []

@@ -7,7 +7,7 @@ expression.
 from __future__ import annotations
 
 from quillon.functions.scores import KEYWORD_STOP, QUERY_TYPES
-from quillon.operators.answering import NO_ANSWER
+from quillon.operators.answering import NO_ANSWER, TEMPLATES
 from quillon.operators.expansion import PROMPTS
 
 
@@ -238,6 +238,21 @@ def rrf(parts: str, k: int = 10) -> str:
 
 SYNONYMS = "(values ('this', 'that', 1), ('this', 'such', 2), ('that', 'this', 1), ('that', 'which_one', 2), ('with', 'with', 1), ('with', 'by', 2), ('from', 'out', 1), ('the', 'a', 1), ('there', 'here', 1), ('there', 'yonder', 2), ('there', 'thither', 3)) s(term, synonym, rank)"
 
+HYDE = "(select query_id, 'Response to: ' || prompt as prompt from (" + "select query_id, case " + " ".join(f"when query_type = '{n}' then {text_of(p.split('%s')[0])} || text || {text_of(p.split('%s')[1])}" for n, p in PROMPTS.items()) + f" end as prompt from (select item_id as query_id, text, {query_type('text')} as query_type from benchmark)))"
+HYDE_TEXTS = f"(select query_id, 0 as pos, prompt as text from {HYDE} union all select query_id, 1, prompt || ' from a technical perspective' from {HYDE})"
+HYDE_MEAN = f"""(with v as {hashed(f"(select query_id, pos, unnest({tok('text')}) as term from {HYDE_TEXTS})", "query_id, pos")}, m as (select query_id, bucket, sum(weight) / 2 as x from v group by query_id, bucket)
+select query_id, bucket, x / sqrt(sum(x * x) over (partition by query_id)) as weight from m)"""
+
+
+def prompts(name: str) -> str:
+    """(query_id, prompt) of a template over the best three texts."""
+    filled = f"replace(replace({text_of(TEMPLATES[name])}, '{{context}}', context), '{{query}}', query)"
+    return f"(select query_id, {filled} as prompt from (select query_id, query, string_agg(text, chr(10) || chr(10) order by rank) as context from {candidates(3)} group by query_id, query))"
+
+
+QUESTIONS = f"(select question, answer as expected_answer, 'Doc 1|Doc ' || conv_id as relevant_docs, 'general' as category, 'medium' as difficulty from {PAIRS})"
+_VECTOR20, _BM20 = text_vector(20), bm25(20)
+
 ORACLE_SQL: dict[str, str] = {
     "chunk_fixed_tokens": fixed(64, 0),
     "chunk_fixed_overlap": fixed(128, 32),
@@ -282,7 +297,7 @@ select query_id, doc_id, place from (select *, row_number() over (partition by q
     "expand_synonyms": f"""select item_id as query_id, 0::bigint as variant, text as variant_text from benchmark
 union all select query_id, pos * 100 + rank, array_to_string(list_concat(t[1:pos], [synonym], t[pos + 2:]), ' ') from (select query_id, t, unnest(range(len(t))) as pos, unnest(t) as term from (select item_id as query_id, {tok('text')} as t from benchmark)) p join {SYNONYMS} using (term)
 where length(term) > 3 and rank <= 2 and not contains(synonym, '_') and synonym <> term""",
-    "llm_line_parse": "select item_id as query_id, unnest(range(3)) as variant, unnest([text, 'first of q' || item_id || 'x', 'second']) as variant_text from benchmark",
+    "llm_line_parse": "select item_id as query_id, unnest(range(4)) as variant, unnest([text, 'first of q' || item_id || 'x', 'second', '- first of q' || item_id || 'x']) as variant_text from benchmark",
     "jaccard_rerank": f"select * from {reranked(jacc(wset('query'), wset('text')), 10)}",
     "keyword_rerank": f"select * from {reranked(keyword('query', 'text'), 10)}",
     "llm_rating": "select item_id as query_id, round(least(greatest(item_id % 15, 1), 10) / 10.0, 6)::double as score from benchmark",
@@ -351,4 +366,46 @@ from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list
     "display_missing": f"select seq, coalesce(printf('%.4f', metric_mrr), 'N/A') as metric_mrr from {RUNS}",
     "recommendation_json": f"""select '{{"best_config":{{"method":"' || method || '","experiment":"' || experiment || '"}},"score":' || round(metric_mrr, 6) || ',"metric":"metric_mrr"}}' as recommendation from {BEST}""",
     "latency_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by all",
+    "llm_line_parse_fallback": "select item_id as query_id, unnest(range(3)) as variant, unnest([text, 'Information about ' || text, 'Tell me about ' || text]) as variant_text from benchmark",
+    "hyde_documents": f"select query_id, pos::bigint as pos, text from {HYDE_TEXTS}",
+    "transform_router": f"select *, 'multi_query' as method from {RULES} union all select item_id, unnest(range(3)), unnest([text, 'information about ' || text, 'explain ' || text]), 'templates' from benchmark union all select item_id, 0, text, unnest(['none', 'hybrid']) from benchmark",
+    "multi_query_k5": merged(f"(select query_id // 10 as query_id, query_id % 10 as variant, doc_id, rank from {bm25(5, f'(select query_id * 10 + variant as query_id, variant_text as text from {RULES})')})", 10),
+    "retrieve_dispatch": f"select *, 'vector' as method from {text_vector(10)} union all select *, 'bm25' from {bm25(10)} union all select *, 'hybrid' from {hybrid('0.5')}",
+    "hyde_vector_topk": f"select * from {top(f"(select query_id, doc_id, round(sum(d.weight * q.weight), 6) as score from {hash_vectors(DOCS, 'doc_id')} d join {HYDE_MEAN} q using (bucket) group by query_id, doc_id)", 10)}",
+    "index_build": f"select chunk_id, length(text) as chars, round(1.0::double, 6) as norm from ({fixed(256, 0)})",
+    "cross_encoder_rerank": f"select * from {reranked(jacc(wset('query'), wset('text')), 10)}",
+    "llm_rerank": f"select * from {top(f"(select query_id, doc_id, 0.1::double as score from {candidates(20)})", 10)}",
+    "fusion_vector_bm25": f"select * from {rrf(f'(select query_id, doc_id, rank from {_VECTOR20} union all select query_id, doc_id, rank from {_BM20})')}",
+    "fusion_vector_cross_encoder": f"""with v as materialized {_VECTOR20}, p as (select v.query_id, v.doc_id, d.text, b.text as query from v join documents d using (doc_id) join benchmark b on b.item_id = v.query_id)
+select * from {rrf(f"(select query_id, doc_id, rank from v union all select query_id, doc_id, rank from {top(f"(select query_id, doc_id, round({jacc(wset('query'), wset('text'))}, 6) as score from p)", 100)})")}""",
+    "prompt_templates": " union all ".join(f"select *, '{n}' as template from {prompts(n)}" for n in ("basic", "instructional", "extractive", "citation")),
+    "generated_answer": f"select query_id, 'Response to: ' || prompt as answer from {prompts('basic')}",
+    "answer_contexts": f"select query_id, string_agg(rank || ':' || doc_id || ':' || length(text), ',' order by rank) as contexts from {candidates(3)} group by query_id",
+    "metric_columns": f"select seq, metric_mrr, seconds as metric_seconds from {RUNS}",
+    "sort_keys": f"select *, row_number() over (order by method, metric_mrr desc nulls last, seq) as place from (select method, metric_mrr, seq from {RUNS} order by method, metric_mrr desc nulls last, seq limit 100)",
+    "best_alpha": "select l_discount, round(avg(l_extendedprice), 6) as l_extendedprice from lineitem group by l_discount order by 2 desc, 1 limit 1",
+    "drop_null": f"select seq, metric_mrr from {RUNS} where metric_mrr is not null",
+    "head_sample": "select doc_id, lang from documents order by doc_id limit 50",
+    "empty_guard": f"select 'all' as name, count(*) > 0 as has_rows from {RUNS} union all select 'none', count(*) > 0 from {RUNS} where seq < 0",
+    "grid_size": "select count(*) as configurations from (values (1), (2), (3)) a, (values (1), (2), (3)) b, (values (1), (2)) c",
+    "plottable_columns": "select unnest(['seq', 'seconds', 'metric_mrr']) as name",
+    "profile_first_five": "select doc_id, lang as category, source as difficulty from documents order by doc_id limit 5",
+    "config_merge": """select * from (values ('chunk_size', '256'), ('chunk_overlap', '200'), ('retrieval_method', '"bm25"'), ('retrieval_top_k', '5')) v(name, value)""",
+    "config_diff": "select * from (values ('chunk_size', true), ('retrieval_alpha', false), ('retrieval_method', true), ('embedding_model', true)) v(name, rebuild)",
+    "embedder_menu": "select * from (values ('Offline', 'hash', true), ('Lightweight (Fast)', 'all-MiniLM-L6-v2', false), ('Lightweight (Fast)', 'BAAI/bge-small-en-v1.5', false), ('Balanced', 'all-mpnet-base-v2', false), ('Specialized', 'multi-qa-mpnet-base-dot-v1', false), ('Commercial API', 'text-embedding-ada-002', false)) v(tier, name, registered)",
+    "experiment_grids": "select * from (values ('chunking', 33::bigint), ('embedding', 1), ('retrieval', 8), ('query_processing', 6), ('reranking', 7), ('generation', 12)) v(experiment, configurations)",
+    "config_compare": f"select method as config, round(avg(seconds), 6) as seconds, round(avg(metric_mrr), 6) as metric_mrr from {RUNS} where method in ('click', 'view') group by method",
+    "evaluation_report": f"select method as config_name, seq as question, metric_mrr as mrr, count(*) over (partition by method) as n from {RUNS}",
+    "source_text": "select trim(p) as text from (select unnest(string_split(text, chr(10))) as p from documents) where trim(p) <> ''",
+    "source_csv": "select 'Doc ' || doc_id as title, text from documents",
+    "source_jsonl": "select 'Doc ' || doc_id as title, text from documents where text is not null",
+    "source_parquet": "select doc_id, text from documents",
+    "document_struct": "select doc_id, case when doc_id % 2 = 0 then 'T' || doc_id else 'Untitled Document' end as title, text from documents",
+    "questions_json": f"select 'turns' as name, * from {QUESTIONS}",
+    "questions_csv": f"select * from {QUESTIONS}",
+    "questions_template": "select 'What is retrieval?' as question, 'Finding relevant documents.' as expected_answer, 'Document 1|Document 2' as relevant_docs, 'general' as category, 'medium' as difficulty",
+    "runs_csv": f"select seq, metric_mrr, method as experiment, '2025-04-18 17:08:53' as run_ts from {RUNS} where method in ('click', 'view')",
+    "runs_parquet": f"select method as experiment, seq, case when method = 'click' then seconds end as seconds, case when method = 'view' then metric_mrr end as metric_mrr from {RUNS} where method in ('click', 'view')",
+    "run_folders": "select event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000' as folder, event_type as experiment, strftime(d, '%Y-%m-%d') || ' 12:00:00' as run_ts, row_number() over (order by d desc, event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000') as place from (select distinct event_type, ts::date as d from events)",
 }
+ORACLE_SQL["chunk_validate"] = f"select doc_id, coalesce(chunk_id, 'paragraphs_0_0_' || doc_id || '_' || chunk_index) as chunk_id, chunk_index, text from ({ORACLE_SQL['chunk_paragraph']})"

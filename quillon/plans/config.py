@@ -33,6 +33,7 @@ class Config:
     use_mmr: bool = False
     scorer: str | None = None
     answer_mode: str = "extractive"
+    prompt_template: str = "plain"
     language_model: str = "echo"
     history_turns: int = 3
 

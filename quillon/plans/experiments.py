@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from quillon import providers
 from quillon.operators import analytics, metrics
 from quillon.plans.config import Config
 from quillon.plans.pipeline import Pipeline
@@ -60,19 +61,28 @@ def retrieval_grid() -> list[dict]:
 
 
 def query_grid() -> list[dict]:
-    hyde = {"retrieval_method": "vector", "use_hyde": True}
-    return [{}, {"use_query_expansion": True}, {"query_transformation": "multi_query"}, hyde, hyde | {"hyde_num_docs": 2}, hyde | {"hyde_num_docs": 4}, {"query_transformation": "expansion"}]
+    vector = {"retrieval_method": "vector", "use_reranking": False}
+    hyde = vector | {"use_hyde": True}
+    return [vector, vector | {"use_query_expansion": True}, vector | {"query_transformation": "model"}, hyde, hyde | {"hyde_num_docs": 4, "hyde_method": "hybrid"}, vector | {"query_transformation": "multi_query"}]
+
+
+def embedding_grid() -> list[dict]:
+    """Every registered embedder, by dense retrieval alone."""
+    return [{"embedding_model": name, "retrieval_method": "vector", "use_reranking": False} for name in sorted(providers.EMBEDDERS)]
 
 
 def reranking_grid() -> list[dict]:
-    return [{"use_reranking": False}, *({"reranking_method": m} for m in ("cross_encoder", "keyword", "diversity", "multi_stage", "contextual")), {"reranking_method": "multi_stage", "reranking_mode": "sequential"}]
+    stages = {"multi_stage": ("semantic", "cross_encoder", "diversity"), "keyword_fusion": ("semantic", "keyword", "diversity")}
+    plain = [{"use_reranking": False}, *({"reranking_method": m} for m in ("cross_encoder", "llm", "fusion", "cross_encoder_fusion"))]
+    return plain + [{"reranking_method": "multi_stage", "reranking_stages": s} for s in stages.values()]
 
 
 def generation_grid() -> list[dict]:
-    return grid(answer_mode=("extractive", "model"), retrieval_top_k=(3, 5), use_reranking=(False, True))
+    contexts = [{"retrieval_top_k": 3, "use_reranking": False}, {"retrieval_top_k": 5, "use_reranking": False}, {"retrieval_top_k": 3, "use_reranking": True}]
+    return [{"answer_mode": "model", "prompt_template": t} | c for t in ("basic", "instructional", "extractive", "citation") for c in contexts]
 
 
-GRIDS: dict[str, Callable[[], list[dict]]] = {"chunking": chunking_grid, "retrieval": retrieval_grid, "query_processing": query_grid, "reranking": reranking_grid, "generation": generation_grid}
+GRIDS: dict[str, Callable[[], list[dict]]] = {"chunking": chunking_grid, "embedding": embedding_grid, "retrieval": retrieval_grid, "query_processing": query_grid, "reranking": reranking_grid, "generation": generation_grid}
 
 
 def evaluate(config: Config, docs: DataFrame, queries: DataFrame, qrels: DataFrame | None = None) -> DataFrame:
@@ -124,3 +134,34 @@ def compare(frames: dict[str, DataFrame], measures: list[str]) -> DataFrame:
     return analytics.group_mean(reduce(DataFrame.unionByName, rows), ["config"], measures)
 
 
+
+
+def stage_seconds(config: Config, docs: DataFrame, queries: DataFrame) -> dict[str, float]:
+    """Measured seconds of chunking, ranking and answering, each of the whole batch."""
+    def seconds(frame: DataFrame) -> float:
+        began = time.time()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    pipeline = Pipeline(config, docs)
+    chunking = seconds(pipeline.chunks)
+    ranking = seconds(pipeline.rank(queries))
+    return {"chunking": chunking, "ranking": ranking, "answering": max(0.0, seconds(pipeline.run(queries)) - ranking)}
+
+
+def report(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From evaluation runs (config_name, config struct, question_results array of structs, aggregate_metrics struct): a
+    row per configuration, and a row per question without the array columns."""
+    summary = runs.select("config_name", "aggregate_metrics.*")
+    rows = runs.select("config_name", F.inline("question_results"))
+    return summary, rows.drop(*[f.name for f in rows.schema.fields if isinstance(f.dataType, ty.ArrayType)])
+
+
+def labs(docs: DataFrame, queries: DataFrame, chunkings: list[dict], retrievals: list[dict], rerankings: list[dict]) -> DataFrame:
+    """Every combination of the three lists, all queries each: (config, query_id, doc_id, rank)."""
+    frames = []
+    for a, b, c in itertools.product(chunkings, retrievals, rerankings):
+        pipeline = Pipeline(Config().with_(**a, **b, **c), docs)
+        found = pipeline.rank(queries).join(pipeline.chunks.select("doc_id", "source_id"), "doc_id")
+        frames.append(found.select(F.lit(str(a | b | c)).alias("config"), "query_id", F.col("source_id").alias("doc_id"), "rank"))
+    return reduce(DataFrame.unionByName, frames)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,11 @@ from quillon.operators import answering, chunking, expansion, index, reranking,
 from quillon.plans.config import Config
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """Kept on the executors' disks and memory for the uses to come; lost parts are computed again."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Pipeline:
     """Chunks a corpus (doc_id, text) once; answers queries (query_id, text), optionally with their history.
 
@@ -26,23 +32,39 @@ class Pipeline:
             how = {"size": config.chunk_size, "overlap": config.chunk_overlap}
         chunks = chunking.validate(chunking.chunk(docs, config.chunking_strategy, **how), config.chunking_strategy, config.chunk_size, config.chunk_overlap)
         # The rankers work on one integer id per row.
-        self.chunks = chunks.select(F.xxhash64("chunk_id").alias("doc_id"), F.col("doc_id").alias("source_id"), "chunk_id", "text")
+        self.chunks = chunks.select(F.xxhash64("chunk_id").alias("doc_id"), F.col("doc_id").alias("source_id"), "chunk_id", "text").transform(_stored)
 
     def variants(self, queries: DataFrame) -> DataFrame:
         c = self.config
-        if c.query_transformation != "none":
-            how = {"n": c.num_variations} if c.query_transformation == "multi_query" else {}
+        if c.query_transformation not in ("none", "hyde"):
+            how = {"multi_query": {"n": c.num_variations}, "model": {"model": c.language_model}}.get(c.query_transformation, {})
             return expansion.transform(queries, c.query_transformation, **how)
-        if c.use_hyde:
-            return expansion.transform(queries, "hyde", n=c.hyde_num_docs, model=c.language_model)
         return expansion.templates(queries) if c.use_query_expansion else expansion.transform(queries)
 
+    def _embedded(self, rows: DataFrame, id: str) -> DataFrame:
+        if self.config.embedding_model == "hash":
+            return index.dense_vectors(rows, id)
+        return rows.select(id, providers.embed(F.col("text"), self.config.embedding_model).alias("embedding"))
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """The queries' vectors: their own, or with HyDE the mean of their hypothetical documents, blended with the
+        query's own where the method says so."""
+        c = self.config
+        own = self._embedded(queries, "query_id")
+        if not c.use_hyde and c.query_transformation != "hyde":
+            return own
+        made = expansion.hyde_documents(queries, c.hyde_num_docs, c.language_model).withColumn("id", F.xxhash64("query_id", "pos"))
+        mean = expansion.mean_vector(self._embedded(made, "id").join(made.select("id", "query_id"), "id").select("query_id", "embedding"))
+        return expansion.blend_vectors(own, mean, c.hyde_weight) if c.hyde_method == "hybrid" else mean
+
     def _vector(self, queries: DataFrame, k: int) -> DataFrame:
         c = self.config
-        if c.embedding_model == "hash":
-            return retrieval.text_topk(self.chunks, queries, k)
-        own = self.chunks.select("doc_id", providers.embed(F.col("text"), c.embedding_model).alias("embedding"))
-        return retrieval.vector_topk(own, queries.select("query_id", providers.embed(F.col("text"), c.embedding_model).alias("embedding")), k)
+        chunks = self._embedded(self.chunks, "doc_id")
+        if not c.use_mmr:
+            return retrieval.vector_topk(chunks, self._asked(queries), k)
+        fetch = max(self.FETCH, 2 * k)
+        found = retrieval.vector_topk(chunks, self._asked(queries), fetch)
+        return reranking.mmr_vectors(found, chunks, c.diversity_alpha, k, fetch).withColumnRenamed("place", "rank")
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         c = self.config
@@ -61,7 +83,7 @@ class Pipeline:
         c = self.config
         if not c.use_reranking:
             return self.retrieve(queries, c.retrieval_top_k)
-        found = self.retrieve(queries, max(self.FETCH, c.retrieval_top_k))
+        found = self.retrieve(queries, max(self.FETCH, c.retrieval_top_k)).transform(_stored)
         texts = found.join(self.chunks.select("doc_id", "text"), "doc_id")
         asked = queries.select("query_id", F.col("text").alias("query"))
         if c.reranking_method == "contextual" and history is not None:
@@ -75,6 +97,13 @@ class Pipeline:
             out = reranking.multi_stage(candidates, found, c.reranking_stages, k, c.reranking_mode)
         elif c.reranking_method == "keyword":
             out = reranking.keywords(candidates, k)
+        elif c.reranking_method == "llm":
+            out = reranking.model_rating(candidates, c.language_model, k)
+        elif c.reranking_method == "fusion":
+            lexical = retrieval.bm25(self.chunks, queries, max(self.FETCH, k), c.bm25_k1, c.bm25_b)
+            out = reranking.fuse([found, lexical], k)
+        elif c.reranking_method == "cross_encoder_fusion":
+            out = reranking.fuse([found, reranking.cross_encoder(candidates, c.scorer)], k)
         elif c.reranking_method in ("cross_encoder", "contextual"):
             out = reranking.cross_encoder(candidates, c.scorer, k)
         else:
@@ -85,7 +114,7 @@ class Pipeline:
         """(query_id, query, contexts, answer); contexts keep their chunk and document ids."""
         ranked = self.rank(queries, history)
         rows = ranked.join(self.chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        answers = answering.extractive(rows) if self.config.answer_mode == "extractive" else answering.generated(rows, self.config.language_model)
+        answers = answering.extractive(rows) if self.config.answer_mode == "extractive" else answering.generated(rows, self.config.language_model, template=self.config.prompt_template)
         contexts = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source_id", "chunk_id", "score", "text"))).alias("contexts"))
         out = queries.select("query_id", F.col("text").alias("query")).join(contexts, "query_id", "left").join(answers, "query_id", "left")
         return out.select("query_id", "query", F.coalesce("contexts", F.array().cast("array<struct<rank:bigint,source_id:bigint,chunk_id:string,score:double,text:string>>")).alias("contexts"), F.coalesce("answer", F.lit(answering.NO_ANSWER)).alias("answer"))

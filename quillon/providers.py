@@ -65,6 +65,14 @@ def hash_embed(texts: list[str]) -> np.ndarray:
 
 
 EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"hash": lambda: hash_embed}
+#: Well-known embedders by what they are good for, as a menu. All but ``hash`` must be registered first.
+MENU = {
+    "Offline": ["hash"],
+    "Lightweight (Fast)": ["all-MiniLM-L6-v2", "BAAI/bge-small-en-v1.5"],
+    "Balanced": ["all-mpnet-base-v2"],
+    "Specialized": ["multi-qa-mpnet-base-dot-v1"],
+    "Commercial API": ["text-embedding-ada-002"],
+}
 SCORERS: dict[str, Callable[[], Callable[[list[str], list[str]], list[float]]]] = {}
 MODELS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {"echo": lambda: lambda prompts: [f"Response to: {p}" for p in prompts]}
 _loaded: dict[tuple[str, str], Callable] = {}
@@ -98,6 +106,11 @@ def embed(text: Column, name: str = "hash") -> Column:
     return run(text)
 
 
+def menu() -> list[tuple[str, str, bool]]:
+    """(tier, embedder, whether it is registered) of all in the menu."""
+    return [(tier, name, name in EMBEDDERS) for tier, names in MENU.items() for name in names]
+
+
 def generate(prompt: Column, name: str = "echo") -> Column:
     load = MODELS[name]
 

@@ -18,6 +18,8 @@ UNTITLED = "Untitled Document"
 #: Characters from which a page is split at blank lines.
 LONG_PAGE = 2000
 FIELDS = ty.StructType([ty.StructField("title", ty.StringType()), ty.StructField("text", ty.StringType())])
+#: The folder of a file, or of a folder that Spark wrote as one.
+_FOLDER = r"([^/]+)/[^/]+?(?:/part-[^/]+)?$"
 _pdf: list[Callable[[bytes], list[str]]] = []
 
 
@@ -176,7 +178,7 @@ def questions_json(spark: SparkSession, path: str) -> DataFrame:
 def runs_csv(spark: SparkSession, path: str) -> DataFrame:
     """Results of runs in folders ``{experiment}_experiment_{date}_{time}``; all values as text or double, with experiment and time."""
     df = spark.read.csv(path, header=True, inferSchema=False)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), _FOLDER, 1)
     return df.select(*[F.expr(f"try_cast(`{c}` as double)").alias(c) if c.startswith("metric_") or c.endswith("_sec") else F.col(f"`{c}`") for c in df.columns], experiment(folder).alias("experiment"), run_time(folder).alias("run_ts"))
 
 
@@ -198,7 +200,7 @@ def list_datasets(spark: SparkSession, path: str) -> DataFrame:
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
     """(folder, experiment, run_ts, place) of the result folders below a path, newest first; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
-    folders = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+(?:/part-[^/]+)?$", 1).alias("folder")).distinct()
+    folders = files.select(F.regexp_extract("path", _FOLDER, 1).alias("folder")).distinct()
     return newest_first(folders)
 
 

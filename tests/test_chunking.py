@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -78,3 +80,20 @@ def test_dispatch_validation_estimate(spark):
     assert kept.first().chunk_id == "paragraphs_10_0_0_0"
     n = spark.range(1).select(*[C.estimated_chunks(F.lit(x), 1000, 200).alias(str(x)) for x in (0, 10, 1000, 1900)]).first()
     assert list(n) == [0, 1, 2, 3] or list(n) == [0, 1, 2, 3]
+
+
+def test_a_text_that_fails_does_not_stop_the_others(spark, monkeypatch):
+    def split(text, *rest):
+        if text == "bad":
+            raise ValueError
+        return [text]
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "doc_id long, text string")
+    assert [r.doc_id for r in C._per_text(docs, split, "_x").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_long_texts_split_in_linear_time():
+    began = time.time()
+    parts = C.split_recursively("ab " * 300_000, 1000, 200, ("\n\n", "\n", " ", ""))
+    assert time.time() - began < 20 and len(parts) > 1000
+    assert sum(len(C.split_recursively("x" * 200_000, 1000, 200, ("",)))for _ in range(1)) > 200

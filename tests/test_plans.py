@@ -2,7 +2,8 @@ import pytest
 
 import __spark_entry__
 from quillon.plans.config import Config
-from quillon.plans.experiments import GRIDS, Tracker, compare, evaluate, evaluate_answers, run_experiment
+from quillon import providers
+from quillon.plans.experiments import GRIDS, Tracker, compare, evaluate, evaluate_answers, labs, report, run_experiment, stage_seconds
 from quillon.plans.pipeline import Pipeline
 
 TOPICS = ["the cat sat on the mat and slept all day long.", "dogs run in the park every single morning.", "the sun is a star made of hot burning gas.", "rivers carry water from mountains to the sea."]
@@ -26,7 +27,7 @@ def test_config():
     assert Config().needs_rebuild(Config(retrieval_method="bm25"))
 
 
-@pytest.mark.parametrize("changes", [{"retrieval_method": "vector", "use_reranking": False}, {"retrieval_method": "bm25", "use_query_expansion": True}, {"query_transformation": "multi_query", "reranking_method": "keyword"}, {"reranking_method": "diversity"}, {"reranking_method": "multi_stage"}, {"use_hyde": True, "answer_mode": "model"}])
+@pytest.mark.parametrize("changes", [{"retrieval_method": "vector", "use_reranking": False}, {"retrieval_method": "bm25", "use_query_expansion": True}, {"query_transformation": "multi_query", "reranking_method": "keyword"}, {"reranking_method": "diversity"}, {"reranking_method": "multi_stage"}, {"use_hyde": True, "answer_mode": "model"}, {"use_hyde": True, "hyde_num_docs": 3, "hyde_method": "hybrid", "retrieval_method": "vector"}, {"use_mmr": True, "retrieval_method": "vector", "use_reranking": False}, {"reranking_method": "fusion"}, {"reranking_method": "cross_encoder_fusion"}, {"reranking_method": "multi_stage", "reranking_stages": ("semantic", "keyword", "diversity")}, {"query_transformation": "model", "reranking_method": "keyword"}])
 def test_pipeline_finds_the_right_document(corpus, changes):
     docs, queries = corpus
     got = {r.query_id: r for r in Pipeline(BASE.with_(**changes), docs).run(queries).collect()}
@@ -34,6 +35,32 @@ def test_pipeline_finds_the_right_document(corpus, changes):
     assert all(r.answer for r in got.values())
 
 
+def test_hyde_searches_by_the_mean_of_hypothetical_documents(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setitem(providers.MODELS, "rivers", lambda: lambda prompts: ["rivers carry water to the sea"] * len(prompts))
+    plain = BASE.with_(retrieval_method="vector", use_reranking=False, retrieval_top_k=1, use_hyde=True, language_model="rivers")
+    top = lambda config: {r.query_id: r.contexts[0].source_id for r in Pipeline(config, docs).run(queries).collect()}
+    assert top(plain) == {1: 3, 2: 3}
+    assert top(plain.with_(hyde_method="hybrid", hyde_weight=0.95)) == {1: 0, 2: 2}
+    assert top(plain.with_(hyde_method="hybrid", hyde_weight=0.05, hyde_num_docs=2)) == {1: 3, 2: 3}
+
+
+def test_prompt_templates_reach_the_model(corpus):
+    docs, queries = corpus
+    got = Pipeline(BASE.with_(answer_mode="model", prompt_template="citation"), docs).run(queries).collect()
+    assert all(r.answer.startswith("Response to: System: You are a helpful assistant... Include citations") for r in got)
+
+
+def test_stages_labs_and_reports(spark, corpus):
+    docs, queries = corpus
+    assert set(stage_seconds(BASE, docs, queries)) == {"chunking", "ranking", "answering"}
+    got = labs(docs, queries, [{"chunking_strategy": "sentence_pack"}], [{"retrieval_method": m} for m in ("vector", "bm25")], [{"use_reranking": False}])
+    assert got.select("config").distinct().count() == 2 and got.where("rank = 1").count() >= 3
+    run = spark.createDataFrame([("a", [(1, [1.0])], (0.5,))], "config_name string, question_results array<struct<q: int, list: array<double>>>, aggregate_metrics struct<mrr: double>")
+    summary, details = report(run)
+    assert summary.first().mrr == 0.5 and details.columns == ["config_name", "q"]
+
+
 def test_history_and_other_embedders(spark, corpus):
     docs, queries = corpus
     history = spark.createDataFrame([(1, 0, "user", "cat")], "query_id long, turn long, role string, text string")
