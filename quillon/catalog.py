@@ -29,6 +29,12 @@ from quillon.streaming import latency
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with too few splits for this session's cores, such as one small file, dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -38,7 +44,7 @@ class Tables:
 
     @property
     def docs(self) -> DataFrame:
-        return self.documents.select("doc_id", "text")
+        return spread(self.documents.select("doc_id", "text"))
 
     @property
     def asked(self) -> DataFrame:
@@ -382,9 +388,7 @@ def rrf_fusion(t):
 
 @query
 def multi_stage_fused(t):
-    found = t.candidates(20)
-    semantic = retrieval.pair_cosine(found, index.hash_vectors(t.docs), index.hash_vectors(t.asked, "query_id"))
-    return reranking.multi_stage(found, semantic, ("semantic", "keyword", "cross_encoder", "diversity"), k=10)
+    return reranking.multi_stage(t.candidates(20), stages=("semantic", "keyword", "cross_encoder", "diversity"), k=10)
 
 
 @query

@@ -6,12 +6,13 @@ The chunk id is the document id and a suffix, so documents of one title cannot c
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon import providers
 from quillon.functions import text as T
@@ -75,15 +76,25 @@ def sliding_windows(docs: DataFrame, size: int = 200, stride: int = 100) -> Data
     return _rows(own, F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("text"))), "_sw")
 
 
+def _with_cosines(docs: DataFrame) -> DataFrame:
+    """(doc_id, s, sim): the sentences and each one's hashed-term cosine to the next, null at the end. One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sims = []
+            for sentences in batch.column(1).to_pylist():
+                v = providers.hash_embed(sentences or [])
+                sims.append([*np.round((v[:-1] * v[1:]).sum(1), 6).tolist(), None] if sentences else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.list_(pa.float64()))], ["doc_id", "s", "sim"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.sentences(F.col("text")).alias("s"))
+    return own.mapInArrow(run, "doc_id long, s array<string>, sim array<double>")
+
+
 def sentence_cosines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence, sim): each sentence with its hashed-term cosine to the next; null at the end."""
-    rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    terms = rows.select("doc_id", "pos", F.explode(T.tokens(F.col("sentence"))).alias("term"))
-    vector = providers.hashed_terms(terms, ["doc_id", "pos"])
-    ahead = vector.select("doc_id", (F.col("pos") - 1).alias("pos"), "bucket", F.col("weight").alias("w2"))
-    sims = vector.join(ahead, ["doc_id", "pos", "bucket"]).groupBy("doc_id", "pos").agg(F.sum(F.col("weight") * F.col("w2")).alias("sim"))
-    last = F.max("pos").over(Window.partitionBy("doc_id"))
-    return rows.withColumn("last", last).join(sims, ["doc_id", "pos"], "left").select("doc_id", "pos", "sentence", F.when(F.col("pos") < F.col("last"), F.round(F.coalesce("sim", F.lit(0.0)), 6)).alias("sim"))
+    rows = _with_cosines(docs).select("doc_id", F.posexplode(F.arrays_zip("s", "sim")).alias("pos", "z"))
+    return rows.select("doc_id", "pos", F.col("z.s").alias("sentence"), F.col("z.sim").alias("sim"))
 
 
 def semantic_segments(docs: DataFrame, target_sentences: int = 250, least_sentences: int = 10) -> DataFrame:
@@ -91,18 +102,19 @@ def semantic_segments(docs: DataFrame, target_sentences: int = 250, least_senten
 
     Up to three sentences are one chunk; without a minimum a break comes every ``target_sentences``.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = sentence_cosines(docs).withColumn("low", (F.lag("sim").over(order) > F.col("sim")) & (F.lead("sim").over(order) > F.col("sim")))
-    per_doc = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("low"), F.col("pos") + 1))).alias("minima"))
     n = F.size("s")
+    at = lambda i: F.get("sim", i)
+    inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+    minima = F.transform(F.filter(inner, lambda i: (at(i - 1) > at(i)) & (at(i + 1) > at(i))), lambda i: i + 1)
     regular = F.when(n > target_sentences, F.sequence(F.lit(target_sentences), n - 1, F.lit(target_sentences))).otherwise(F.array().cast("array<int>"))
-    breaks = F.when(F.size("minima") > 0, F.col("minima")).otherwise(regular)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
-    cuts = F.aggregate(breaks, start, lambda acc, b: F.when(b - acc.at < least_sentences, acc).otherwise(F.struct(b.alias("at"), F.concat(acc.cuts, F.array(b)).alias("cuts"))), lambda acc: acc.cuts)
-    own = per_doc.withColumn("cuts", F.when(n <= 3, F.array().cast("array<int>")).otherwise(cuts))
+    apart = lambda breaks: F.aggregate(breaks, start, lambda acc, b: F.when(b - acc.at < least_sentences, acc).otherwise(F.struct(b.alias("at"), F.concat(acc.cuts, F.array(b)).alias("cuts"))), lambda acc: acc.cuts)
+    rows = _with_cosines(docs).where(n > 0).withColumn("minima", minima)
+    breaks = F.when(F.size("minima") > 0, F.col("minima")).otherwise(regular)
+    own = rows.withColumn("cuts", F.when(n <= 3, F.array().cast("array<int>")).otherwise(apart(breaks)))
     edges = F.concat(F.array(F.lit(0)), F.col("cuts"))
     ends = F.concat(F.col("cuts"), F.array(n))
-    parts = F.transform(F.arrays_zip(edges.alias("a"), ends.alias("b")), lambda e, i: F.struct(i.alias("i"), F.array_join(F.transform(F.slice("s", e.a + 1, e.b - e.a), lambda x: x.sentence), " ").alias("text")))
+    parts = F.transform(F.arrays_zip(edges.alias("a"), ends.alias("b")), lambda e, i: F.struct(i.alias("i"), F.array_join(F.slice("s", e.a + 1, e.b - e.a), " ").alias("text")))
     return _rows(own, parts, "_semantic")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,6 @@ from pyspark.sql.window import Window
 from quillon import providers
 from quillon.functions import scores as S
 from quillon.functions import text as T
-from quillon.operators.index import hash_vectors
 from quillon.operators.retrieval import top
 
 RRF_K = 60
@@ -122,30 +122,31 @@ def mmr_words(candidates: DataFrame, weight: float = 0.5, k: int = CANDIDATES) -
     return _mmr(rows.select("query_id", "doc_id", "score", "words"), similarity, weight, k, least=-1.0)
 
 
-def diversify(ranking: DataFrame, texts: DataFrame, weight: float = 0.7) -> DataFrame:
-    """A ranking in the order of greedy MMR: scores over the query's largest, cosines of the texts' hashed vectors."""
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    vectors = hash_vectors(texts.select("doc_id", "text").dropDuplicates(["doc_id"])).groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("weight").alias("weights"))
-    rows = ranking.select("query_id", "doc_id", F.col("score").alias("raw"), F.when(most > 0, F.col("score") / most).otherwise(F.col("score")).alias("score")).join(vectors, "doc_id", "left")
+def semantic(candidates: DataFrame, model: str = "hash", k: int | None = None) -> DataFrame:
+    """The cosine of query and text, of exactly the given pairs."""
+    return score_texts(candidates, providers.pair_cosine(F.col("query"), F.col("text"), model), k)
 
-    def similarity(group: pd.DataFrame) -> np.ndarray:
-        m = [{} if b is None else dict(zip(b, w, strict=True)) for b, w in zip(group["buckets"], group["weights"], strict=True)]
-        return np.round([[sum(w * y.get(b, 0.0) for b, w in x.items()) for y in m] for x in m], 6)
 
-    out = _mmr(rows.select("query_id", "doc_id", "score", "buckets", "weights"), similarity, weight, CANDIDATES * CANDIDATES)
+def diversify(ranking: DataFrame, texts: DataFrame, weight: float = 0.7, model: str = "hash") -> DataFrame:
+    """A ranking in the order of greedy MMR: scores over the query's largest, cosines of the texts' vectors."""
+    vectors = texts.select("doc_id", "text").dropDuplicates(["doc_id"]).select("doc_id", providers.embed(F.col("text"), model).alias("embedding"))
+    out = mmr_vectors(ranking, vectors, weight, CANDIDATES, CANDIDATES, scale=True)
     return out.select("query_id", "doc_id", F.col("place").alias("rank")).join(ranking.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).select("query_id", "doc_id", "score", "rank")
 
 
-def multi_stage(candidates: DataFrame, semantic: DataFrame | None = None, stages: tuple[str, ...] = ("semantic", "keyword", "cross_encoder"), k: int = 10, mode: str = "fused") -> DataFrame:
+def multi_stage(candidates: DataFrame, vector: DataFrame | None = None, stages: tuple[str, ...] = ("semantic", "keyword", "cross_encoder"), k: int = 10, mode: str = "fused") -> DataFrame:
     """Several scorers over the best candidates: fused by reciprocal ranks, or each reranking what the one before kept.
 
-    A stage "diversity" reorders all that was fused, or kept so far, before the cut to k.
+    vector: scores of a vector search (query_id, doc_id, score) for the stage "semantic", which computes them if left out.
+    A stage "diversity" reorders all that was fused, or kept so far, before the cut to k. The candidates with their
+    texts are kept on the executors while the stages use them.
     """
     diverse, stages = "diversity" in stages, tuple(s for s in stages if s != "diversity")
-    cut = lambda ranking: (diversify(ranking, capped) if diverse else ranking).where(F.col("rank") <= k)
     first = Window.partitionBy("query_id").orderBy("rank", "doc_id")
-    capped = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CANDIDATES).drop("n")
-    scorers = {"keyword": keywords, "cross_encoder": cross_encoder, "semantic": lambda c: top(semantic.select("query_id", "doc_id", "score").join(c.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), CANDIDATES) if semantic is not None else jaccard(c)}
+    capped = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CANDIDATES).drop("n").persist(StorageLevel.MEMORY_AND_DISK)
+    cut = lambda ranking: (diversify(ranking, capped) if diverse else ranking).where(F.col("rank") <= k)
+    known = lambda c: top(vector.select("query_id", "doc_id", "score").join(c.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), CANDIDATES)
+    scorers = {"keyword": keywords, "cross_encoder": cross_encoder, "semantic": semantic if vector is None else known}
     if mode == "sequential":
         out = None
         for stage in stages:
@@ -153,9 +154,4 @@ def multi_stage(candidates: DataFrame, semantic: DataFrame | None = None, stages
             out = scorers[stage](here)
         return cut(out)
     parts = [scorers[s](capped).select("query_id", "doc_id", "score", "rank") for s in stages]
-    if len(parts) == 1:
-        return cut(parts[0])
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return cut(rrf(union, CANDIDATES))
+    return cut(parts[0] if len(parts) == 1 else fuse(parts, CANDIDATES))

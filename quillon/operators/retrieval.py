@@ -161,14 +161,6 @@ def text_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return vector_topk(index.dense_vectors(docs), index.dense_vectors(queries, "query_id"), k)
 
 
-def pair_cosine(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """The cosine of exactly the given pairs (query_id, doc_id), from rows (id, bucket, weight) of unit vectors."""
-    pairs = pairs.select("query_id", "doc_id").distinct()
-    q = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
-    found = docs.join(pairs, "doc_id").join(q, ["query_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    return pairs.join(found, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-
-
 def hybrid(vector: DataFrame, lexical: DataFrame, alpha: Column | float = 0.5, k: int = 10) -> DataFrame:
     """alpha * cosine + (1 - alpha) * BM25 / its largest, over the union of both rankings' best 2k; a missing score is 0.
 

@@ -408,4 +408,18 @@ select * from {rrf(f"(select query_id, doc_id, rank from v union all select quer
     "runs_parquet": f"select method as experiment, seq, case when method = 'click' then seconds end as seconds, case when method = 'view' then metric_mrr end as metric_mrr from {RUNS} where method in ('click', 'view')",
     "run_folders": "select event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000' as folder, event_type as experiment, strftime(d, '%Y-%m-%d') || ' 12:00:00' as run_ts, row_number() over (order by d desc, event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000') as place from (select distinct event_type, ts::date as d from events)",
 }
+ORACLE_SQL["chunk_chars"] = """with recursive p as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as ps from documents),
+c as materialized (select doc_id, ps, len(ps) as n, list_transform(range(len(ps) + 1), lambda k: coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0)::bigint) as cum from p where len(ps) > 0),
+r(doc_id, i, lo, ended) as (select doc_id, 0::bigint, 0::bigint, null::bigint from c
+  union all select doc_id, i + 1, case when flush then list_filter(range(lo, i + 1), lambda k: k = i or (cum[i + 1] - cum[k + 1] + i - k - 1 <= 200 and cum[i + 1] - cum[k + 1] + i - k + size <= 1000))[1] else lo end, case when flush then lo end
+  from (select r.doc_id, r.i, r.lo, cum, length(ps[r.i + 1]) as size, r.lo < r.i and cum[r.i + 1] - cum[r.lo + 1] + r.i - r.lo + length(ps[r.i + 1]) > 1000 as flush from r join c using (doc_id) where r.i < c.n)),
+ends as (select doc_id, ended as a, i - 1 as b from r where ended is not null union all select doc_id, lo, i from r join c using (doc_id) where i = n),
+texts as (select doc_id, b, trim(array_to_string(ps[a + 1:b], chr(10)), ' ' || chr(9) || chr(10) || chr(13)) as text from ends join c using (doc_id)),
+numbered as (select *, row_number() over (partition by doc_id order by b) - 1 as i from texts where text <> '')
+select doc_id, doc_id || '_c' || i as chunk_id, i as chunk_index, text from numbered"""
+ORACLE_SQL["rouge_lcs"] = f"""with recursive w as materialized (select id, {tok("answer")} as a, {tok("expected")} as b from {ANSWERS}),
+r(id, i, best) as (select id, 0, list_transform(b, lambda x: 0) from w
+  union all select id, i, list_transform(range(1, len(v) + 1), lambda j: list_max(v[1:j])) from (
+  select r.id, r.i + 1 as i, list_transform(range(1, len(b) + 1), lambda k: case when b[k] = a[r.i + 1] then coalesce(r.best[k - 1], 0) + 1 else r.best[k] end) as v from r join w using (id) where r.i < len(a)))
+select id, round(case when n > 0 then 2.0 * n / (len(a) + len(b)) else 0 end, 6) as rouge_l from (select w.id, a, b, coalesce(r.best[len(b)], 0) as n from r join w using (id) where r.i = len(a))"""
 ORACLE_SQL["chunk_validate"] = f"select doc_id, coalesce(chunk_id, 'paragraphs_0_0_' || doc_id || '_' || chunk_index) as chunk_id, chunk_index, text from ({ORACLE_SQL['chunk_paragraph']})"

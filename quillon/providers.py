@@ -106,6 +106,22 @@ def embed(text: Column, name: str = "hash") -> Column:
     return run(text)
 
 
+def pair_cosine(query: Column, text: Column, name: str = "hash") -> Column:
+    """The cosine of two texts' vectors."""
+    load = EMBEDDERS[name]
+
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        model = _once("embedder", name, load)
+        asked = queries.fillna("")
+        own = {q: i for i, q in enumerate(asked.unique())}
+        a, b = np.asarray(model(list(own)), float)[asked.map(own)], np.asarray(model(texts.fillna("").tolist()), float)
+        norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        return pd.Series((a * b).sum(1) / np.where(norm == 0, np.inf, norm))
+
+    return run(query, text)
+
+
 def menu() -> list[tuple[str, str, bool]]:
     """(tier, embedder, whether it is registered) of all in the menu."""
     return [(tier, name, name in EMBEDDERS) for tier, names in MENU.items() for name in names]

@@ -134,7 +134,7 @@ def test_variants(spark):
     table = spark.createDataFrame([("what", "which", 1), ("what", "a_b", 2), ("what", "third", 3), ("it", "that", 1)], "term string, synonym string, rank int")
     assert got(expansion.synonyms(q, table), 1) == ["what is it", "which is it"]
     assert got(expansion.parse_lines(q, F.lit('1. "one"\n\n2. two\n')), 1) == ["what is it", "one", "two"]
-    assert got(expansion.parse_lines(q, F.lit("")), 1)[1:] == ["information about what is it", "explain what is it"]
+    assert got(expansion.parse_lines(q, F.lit("")), 1)[1:] == ["Information about what is it", "Tell me about what is it"]
     for method in ("none", "multi_query", "expansion", "hyde"):
         assert expansion.transform(q, method).count() >= 2
 
