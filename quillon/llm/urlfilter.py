@@ -57,13 +57,17 @@ def rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Colu
 
 def weak_label(html: Column) -> Column:
     """1 if the page's text has many signs or suspect words, 0 if not, null if it has few words. Its url plays no part."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731 - computes the value once
     outside = F.filter(F.split(html, r"(?i)</?(?:script|style)\b[^<>]*+>"), lambda x, i: i % 2 == 0)
     text = F.lower(F.regexp_replace(F.array_join(outside, " "), r"<[^<>]*+>|&[a-z]+;|&#[0-9]+;", " "))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    signs = F.regexp_count(text, F.lit("[#*$%|^~]"))
-    suspects = F.size(F.filter(F.split(text, "[^a-z]+"), lambda w: w.isin(*SUSPECT)))
-    many = (signs > SIGNS * F.size(words)) | (suspects > SUSPECTS * F.size(words))
-    return F.when(F.size(words) >= LEAST_WORDS, many.cast("int"))
+
+    def judged(text: Column) -> Column:
+        signs = F.regexp_count(text, F.lit("[#*$%|^~]"))
+        suspects = F.regexp_count(text, F.lit(rf"(?<![a-z])(?:{'|'.join(SUSPECT)})(?![a-z])"))
+        many = lambda words: F.when(words >= LEAST_WORDS, ((signs > SIGNS * words) | (suspects > SUSPECTS * words)).cast("int"))
+        return let(F.regexp_count(text, F.lit(r"\S++")), many)
+
+    return let(text, judged)
 
 
 def shape(path: Column) -> Column:
