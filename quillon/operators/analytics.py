@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +33,53 @@ def group_first(df: DataFrame, keys: list[str], column: str, order: str) -> Data
     return df.groupBy(*keys).agg(F.min_by(column, order).alias(column))
 
 
+#: Bins into which a bracket is cut in one pass of the search for a quantile.
+BINS = 1000
+
+
+def quantiles(df: DataFrame, measures: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of each measure, null for one without values.
+
+    Every pass counts the rows in the bins of each wanted rank's bracket and goes on with the bin that holds the rank,
+    so no task and no message ever holds more than some thousand bins, however many values there are.
+    """
+    measures = list(dict.fromkeys(measures))
+    long = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "measure", "value").where("value is not null and not isnan(value)")
+    sizes = {r.measure: r for r in long.groupBy("measure").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    ends = lambda n, p: (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+    open_ = {(m, k): [0, s.lo, s.hi] for m, s in sizes.items() for p in shares for k in ends(s.n, p)}
+    while active := [(m, k, *v) for (m, k), v in open_.items() if v[1] < v[2]]:
+        brackets = F.broadcast(df.sparkSession.createDataFrame(active, "measure string, k long, below long, lo double, hi double"))
+        bin = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
+        inside = long.join(brackets, "measure").where("value between lo and hi").groupBy("measure", "k", bin.alias("bin"))
+        counts: dict[tuple, list] = {}
+        for r in inside.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect():
+            counts.setdefault((r.measure, r.k), []).append((r.bin, r.n, r.lo, r.hi))
+        for key, bins in counts.items():
+            below = open_[key][0]
+            for _, n, lo, hi in sorted(bins):
+                if key[1] < below + n:
+                    open_[key] = [below, lo, hi]
+                    break
+                below += n
+
+    def value(m: str, p: float) -> float | None:
+        if m not in sizes:
+            return None
+        low, high = ends(sizes[m].n, p)
+        part = p * (sizes[m].n - 1) - low
+        return open_[m, low][1] * (1 - part) + open_[m, high][1] * part
+
+    return {m: [value(m, p) for p in shares] for m in measures}
+
+
 def describe(df: DataFrame, measures: list[str]) -> DataFrame:
     """One row per measure: count, mean, std, min, quartiles (interpolated) and max."""
     long = df.unpivot([], measures, "measure", "value")
-    q = lambda p, n: F.round(F.percentile("value", F.lit(p)), 6).alias(n)
-    return long.groupBy("measure").agg(F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max("value").alias("max"))
+    found = quantiles(df, measures, [0.25, 0.5, 0.75])
+    rows = df.sparkSession.createDataFrame([(m, *q) for m, q in found.items()], "measure string, p25 double, p50 double, p75 double")
+    got = long.groupBy("measure").agg(F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return got.join(F.broadcast(rows), "measure").select("measure", "count", "mean", "std", "min", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, values: list, measure: str) -> DataFrame:
@@ -105,13 +148,26 @@ def improvement(df: DataFrame, key: str, baseline: str, measure: str, seconds: s
     return both.select(*out)
 
 
+#: Parts of which each finds its own frontier before the rest meets.
+PARTS = 64
+
+
 def pareto(df: DataFrame, cost: str, value: str, keys: list[str] | None = None, order: str | None = None, floor: float | None = 0.0) -> DataFrame:
-    """Rows that beat every cheaper one: sorted by cost, the strict new maxima above the floor (none: -infinity)."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    w = w.orderBy(cost, *([order] if order else [F.desc(value)])).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max(value).over(w), F.lit(float("-inf") if floor is None else floor))
-    least = before if floor is None else F.greatest(before, F.lit(floor))
-    return df.withColumn("_before", least).where(F.col(value) > F.col("_before")).drop("_before")
+    """Rows that beat every cheaper one: sorted by cost, the strict new maxima above the floor (none: -infinity).
+
+    A row on the frontier is on that of any part of the rows, so parts dealt by a hash are thinned out first; only
+    their frontiers meet in one window.
+    """
+
+    def thin(rows: DataFrame, *by: Column) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(cost, *([order] if order else [F.desc(value)])).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.max(value).over(w), F.lit(float("-inf") if floor is None else floor))
+        least = before if floor is None else F.greatest(before, F.lit(floor))
+        return rows.withColumn("_before", least).where(F.col(value) > F.col("_before")).drop("_before")
+
+    own = [F.col(k) for k in keys or ()]
+    parts = thin(df, *own, F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+    return thin(parts, *(own or [F.lit(1)]))
 
 
 def confidence(df: DataFrame, key: str, measure: str) -> DataFrame:
@@ -127,9 +183,9 @@ def correlation(df: DataFrame, a: str, b: str, keys: list[str] | None = None) ->
 
 def quadrants(df: DataFrame, cost: str, value: str) -> DataFrame:
     """Rows by the medians of both measures: fast or slow, good or poor."""
-    mid = df.agg(F.median(cost).alias("_c"), F.median(value).alias("_v"))
-    name = F.concat_ws("_", F.when(F.col(cost) <= F.col("_c"), "fast").otherwise("slow"), F.when(F.col(value) >= F.col("_v"), "good").otherwise("poor"))
-    return df.crossJoin(F.broadcast(mid)).withColumn("quadrant", name).drop("_c", "_v")
+    middle = {m: F.lit(q[0]).cast("double") for m, q in quantiles(df, [cost, value], [0.5]).items()}
+    name = F.concat_ws("_", F.when(F.col(cost) <= middle[cost], "fast").otherwise("slow"), F.when(F.col(value) >= middle[value], "good").otherwise("poor"))
+    return df.withColumn("quadrant", name)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import scores as S
 from quillon.functions import text as T
+from quillon.operators.retrieval import small
 
 CUTS = (1, 3, 5)
 
@@ -52,10 +53,10 @@ def containment_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.array_join(T.words(F.col("text")), " ").alias("q"), F.array_distinct(T.words(F.col("text"))).alias("terms"))
     wanted = asked.select("query_id", "q", F.explode("terms").alias("term"))
-    spread = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    spread = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term")).join(small(wanted.select("term").distinct()), "term", "left_semi")
     df = spread.groupBy("term").agg(F.count("*").alias("df"))
     rarest = wanted.join(df, "term").groupBy("query_id", "q").agg(F.min(F.struct("df", "term")).alias("m")).select("query_id", "q", F.col("m.term").alias("term"))
-    pairs = spread.join(F.broadcast(rarest), "term").select("query_id", "q", "doc_id")
+    pairs = spread.join(small(rarest), "term").select("query_id", "q", "doc_id")
     texts = docs.select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("t"))
     return texts.join(pairs, "doc_id").where(F.contains("t", F.col("q"))).select("query_id", "doc_id")
 

@@ -23,7 +23,7 @@ BROADCAST_QUERIES, BROADCAST_BYTES, BLOCK = 200_000, 64 << 20, 50_000
 _CELLS = 8_000_000
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
     """Broadcast if a bounded look shows that it is small enough."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -138,8 +138,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.
     One pass over the texts counts terms and lengths, a second one meets the queries' terms; only postings of
     these are shuffled. Documents without a query term are not ranked.
     """
-    asked = _small(index.postings(queries, "query_id").withColumnRenamed("tf", "qtf"))
-    wanted = _small(asked.select("term").distinct())
+    asked = small(index.postings(queries, "query_id").withColumnRenamed("tf", "qtf"))
+    wanted = small(asked.select("term").distinct())
     weights = index.idf(docs, epsilon, sizes=True).join(wanted, "term", "left_semi").select("term", "idf", "avgdl")
     terms = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     hits = terms.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))

@@ -95,3 +95,29 @@ def test_small_helpers(spark, runs):
     assert [(r.question, r.answer) for r in A.turn_pairs(turns).collect()] == [("q", "a")]
     questions = spark.createDataFrame([("x", "easy"), ("y", None)], "category string, difficulty string")
     assert tuple(A.profile(questions).first()) == (2, "x,y", "easy")
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    columns = {"a": r.normal(size=3000), "b": np.exp(r.normal(size=3000) * 30), "c": r.integers(0, 3, 3000).astype(float), "d": np.full(3000, 7.0)}
+    df = spark.createDataFrame([tuple(float(c[i]) for c in columns.values()) for i in range(3000)], "a double, b double, c double, d double").selectExpr("*", "cast(null as double) e")
+    got = A.quantiles(df, [*columns, "e"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    for name, values in columns.items():
+        assert np.allclose(got[name], np.quantile(values, [0, 0.25, 0.5, 0.9, 1]), rtol=1e-12, atol=0)
+    assert got["e"] == [None] * 5 and A.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_frontier_without_keys_equals_one_pass(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, r.randrange(50) / 10, r.randrange(100) / 10) for i in range(400)]
+    got = sorted(x.id for x in A.pareto(spark.createDataFrame(rows, "id long, cost double, value double"), "cost", "value", order="id").collect())
+    best, want = 0.0, []
+    for i, _, v in sorted(rows, key=lambda x: (x[1], x[0])):
+        if v > best:
+            best = v
+            want.append(i)
+    assert got == sorted(want)
