@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.common import small_batches
 
-#: Largest share of word characters inside repeated n-grams of each length, and inside repeated lines.
-MAX_COVER = {5: 0.15, 6: 0.14, 8: 0.12, 10: 0.10}
+#: Largest share of word characters inside repeated n-grams of each length, first occurrences included, and inside lines
+#: that repeat an earlier one.
+MAX_COVER = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
 MAX_LINE_COVER = 0.20
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
