@@ -35,6 +35,7 @@ class Config:
     answer_mode: str = "extractive"
     prompt_template: str = "plain"
     language_model: str = "echo"
+    conversational: bool = False
     history_turns: int = 3
 
     #: A change of one of these needs a new index.

@@ -78,17 +78,26 @@ class Pipeline:
         best = named.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
         return merged.join(best, ["query_id", "doc_id"]).select("query_id", "doc_id", "score", F.col("place").alias("rank"))
 
+    def _with_history(self, queries: DataFrame, history: DataFrame) -> DataFrame:
+        """Queries behind the last user turns of their conversation."""
+        n = self.config.history_turns
+        last = F.slice(F.sort_array(F.collect_list(F.struct("turn", "text")), asc=False), 1, n)
+        earlier = history.where("role = 'user'").groupBy("query_id").agg(F.transform(F.reverse(last), lambda x: x.text).alias("h"))
+        return queries.join(earlier, "query_id", "left").withColumn("text", F.concat_ws(" ", "h", "text")).drop("h")
+
     def rank(self, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) after reranking, cut to the wanted number."""
         c = self.config
+        own = queries
+        if c.conversational and history is not None:
+            queries = self._with_history(queries, history)
         if not c.use_reranking:
             return self.retrieve(queries, c.retrieval_top_k)
         found = self.retrieve(queries, max(self.FETCH, c.retrieval_top_k)).transform(_stored)
         texts = found.join(self.chunks.select("doc_id", "text"), "doc_id")
         asked = queries.select("query_id", F.col("text").alias("query"))
         if c.reranking_method == "contextual" and history is not None:
-            earlier = history.where("role = 'user'").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "text"))), -c.history_turns, c.history_turns).alias("h"))
-            asked = asked.join(earlier, "query_id", "left").select("query_id", F.concat_ws(" ", F.transform("h", lambda x: x.text), "query").alias("query"))
+            asked = self._with_history(own, history).select("query_id", F.col("text").alias("query"))
         candidates = texts.join(asked, "query_id")
         k = c.retrieval_top_k
         if c.reranking_method == "diversity":
@@ -111,7 +120,8 @@ class Pipeline:
         return out.select("query_id", "doc_id", "score", "rank")
 
     def run(self, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """(query_id, query, contexts, answer); contexts keep their chunk and document ids."""
+        """(query_id, query, contexts, answer); contexts keep their chunk and document ids. In a conversation the earlier
+        turns (query_id, turn, role, text) are searched with the query; the answer is to the query alone."""
         ranked = self.rank(queries, history)
         rows = ranked.join(self.chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
         answers = answering.extractive(rows) if self.config.answer_mode == "extractive" else answering.generated(rows, self.config.language_model, template=self.config.prompt_template)

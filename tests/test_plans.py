@@ -65,6 +65,13 @@ def test_history_and_other_embedders(spark, corpus):
     docs, queries = corpus
     history = spark.createDataFrame([(1, 0, "user", "cat")], "query_id long, turn long, role string, text string")
     assert Pipeline(BASE.with_(reranking_method="contextual"), docs).rank(queries, history).count() == 4
+    turns = [(1, 0, "user", "rivers"), (1, 1, "assistant", "dogs park"), (1, 2, "user", "carry water"), (1, 3, "user", "mountains sea"), (1, 4, "user", "to the sea")]
+    earlier = spark.createDataFrame(turns, "query_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, "and then"), (2, "what is the sun made of")], "query_id long, text string")
+    talk = Pipeline(BASE.with_(conversational=True, retrieval_method="bm25"), docs)
+    assert sorted(r.text for r in talk._with_history(asked, earlier).collect()) == ["carry water mountains sea to the sea and then", "what is the sun made of"]
+    got = {r.query_id: r for r in talk.run(asked, earlier).collect()}
+    assert got[1].contexts[0].source_id == 3 and got[1].query == "and then" and got[2].contexts[0].source_id == 2
     assert Pipeline(BASE, docs).run(queries.limit(0)).count() == 0
 
 
