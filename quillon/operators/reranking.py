@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -30,8 +31,36 @@ def jaccard(candidates: DataFrame, k: int | None = None) -> DataFrame:
     return score_texts(candidates, S.jaccard(F.col("query"), F.col("text")), k)
 
 
+_SPACED = re.compile(r"[^ \t\n\x0b\f\r]+")
+_TOKEN = re.compile(r"\w+")
+
+
+def _asked(query: str) -> tuple[list[str], list[str]]:
+    """A query's keywords, and its two- and three-token phrases."""
+    tokens = _TOKEN.findall(query.lower())
+    phrases = [" ".join(tokens[i : i + n]) for n in (2, 3) for i in range(len(tokens) - n + 1)]
+    return [t for t in tokens if t not in S.KEYWORD_STOP], phrases
+
+
+def _keyword_density(queries: pd.Series, texts: pd.Series) -> pd.Series:
+    known: dict[str, tuple[list[str], list[str]]] = {}
+    out = []
+    for query, text in zip(queries, texts, strict=True):
+        if query is not None and query not in known:
+            known[query] = _asked(query)
+        if query is None or text is None:
+            out.append(0.0 if query is not None and not any(known[query]) else None)
+            continue
+        low = text.lower()
+        found = sum(map(low.count, known[query][0])) + 2 * sum(map(low.count, known[query][1]))
+        out.append(10 * found / max(1, len(_SPACED.findall(text))) + (5.0 if query.lower() in low else 0.0))
+    return pd.Series(out, dtype="float64")
+
+
 def keywords(candidates: DataFrame, k: int | None = None) -> DataFrame:
-    return score_texts(candidates, S.keyword_density(F.col("query"), F.col("text")), k)
+    """By ``scores.keyword_density``, counted in Arrow batches: a text is searched for each of a query's hundred
+    keywords and phrases, which as column expressions would copy the text each time."""
+    return score_texts(candidates, F.pandas_udf(_keyword_density, "double")("query", "text"), k)
 
 
 def cross_encoder(candidates: DataFrame, name: str | None = None, k: int | None = None) -> DataFrame:

@@ -115,3 +115,14 @@ def test_providers(spark):
     assert list(df.select(providers.embed(F.col("q"))).first()[0]) == pytest.approx(providers.hash_embed(["a"])[0].tolist())
     with pytest.raises(KeyError):
         providers.embedder("missing")
+
+
+def test_keyword_density_in_batches_equals_the_expression(spark):
+    from quillon.operators import reranking
+
+    texts = ["the cat sat on the mat", "Cat CAT concatenate  cat sat", "", "\n", "what is a cat sat on", None, "é cat\u00a0sat"]
+    rows = [(q, i, query, text) for q, query in enumerate(["cat sat on", "The cat", "", "what is a", "é cat"]) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, query string, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in reranking.keywords(df).collect()}
+    for r in df.select("query_id", "doc_id", F.round(S.keyword_density(F.col("query"), F.col("text")), 6).alias("score")).collect():
+        assert got[r.query_id, r.doc_id] == r.score or got[r.query_id, r.doc_id] is None and r.score is None
