@@ -82,6 +82,6 @@ def least_hashed(rows: DataFrame, group: str, id: str, k: int) -> DataFrame:
     sizes = rows.groupBy(group).agg(F.approx_count_distinct(id).alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * k + 100) / F.greatest(F.col("n"), F.lit(1)))
     bound = sizes.select(group, (share * F.lit(2.0**64) - F.lit(2.0**63)).alias("bound"))
-    low = rows.join(F.broadcast(bound), group).where(F.xxhash64(id) <= F.col("bound")).groupBy(group, id).agg(F.first("bound").alias("bound"))
+    low = rows.join(few(bound), group).where(F.xxhash64(id) <= F.col("bound")).groupBy(group, id).agg(F.first("bound").alias("bound"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id), id))
     return low.withColumn("rank", rank).where(F.col("rank") <= k).select(group, id, "rank")
