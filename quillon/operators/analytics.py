@@ -248,8 +248,15 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return rows.where("role = 'assistant' and before = 'user'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
+def common_measures(df: DataFrame, measures: list[str], key: str = "experiment") -> list[str]:
+    """The measures of which every experiment has a value."""
+    counts = df.groupBy(key).agg(*[F.count(m).alias(m) for m in measures]).agg(*[F.min(m).alias(m) for m in measures]).first()
+    return [m for m in measures if counts[m]]
+
+
 def best_per_experiment(df: DataFrame, measures: list[str]) -> DataFrame:
-    return df.groupBy("experiment").agg(*[F.max(m).alias(m) for m in measures])
+    """Each experiment's best value of the measures that all experiments have."""
+    return df.groupBy("experiment").agg(*[F.max(m).alias(m) for m in common_measures(df, measures)])
 
 
 def recommendation(df: DataFrame, measure: str, order: str, keys: list[str]) -> DataFrame:

@@ -262,6 +262,7 @@ u as (select doc_id, unnest(parts) as t, unnest(range(len(parts))) as i from p w
 select doc_id, doc_id || '_p' || i as chunk_id, i::bigint as chunk_index, t as text from u where len({words('t')}) >= 10
 union all select doc_id, null, 0, text from p where parts is null and text is not null""",
     "chunk_sentence_pack": packed(60, f"len({words('s')})"),
+    "chunk_semantic_units": packed(300, f"len({words('s')})"),
     "chunk_sentence_chars": packed(500, "length(s)"),
     "chunk_sliding_windows": f"""with w as (select doc_id, text, {words('text')} as w from documents), n as (select *, len(w) as n from w where len(w) > 0),
 s as (select doc_id, w, list_concat(range(0, n - 199, 100), case when (n - 200) % 100 <> 0 then [n - 200] else [] end) as st from n where n > 200),
