@@ -19,13 +19,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes the rows once to the shared checkpoint folder and cuts the lineage there.
-
-    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken on a single
-    machine; on a cluster, whose machines would not see it, that is an error.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all machines share; see ``materialize``."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -33,6 +29,16 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes the rows once to the shared checkpoint folder and cuts the lineage there.
+
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary one is taken on a single
+    machine; on a cluster, whose machines would not see it, that is an error.
+    """
+    shared_folder(df.sparkSession)
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
     out.known_rows = seen.get.get("rows")  # counted on the way, for ``few``
@@ -85,3 +91,26 @@ def least_hashed(rows: DataFrame, group: str, id: str, k: int) -> DataFrame:
     low = rows.join(few(bound), group).where(F.xxhash64(id) <= F.col("bound")).groupBy(group, id).agg(F.first("bound").alias("bound"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id), id))
     return low.withColumn("rank", rank).where(F.col("rank") <= k).select(group, id, "rank")
+
+
+#: Rows of one key from which it counts as hot.
+HOT_ROWS = 20_000
+
+
+def join_hot(rows: DataFrame, sums: DataFrame, key: str, n: str, how: str = "left") -> DataFrame:
+    """rows with the columns of sums, which has one materialised row per key and in n how many rows have it.
+
+    Null keys meet each other. Few sums are broadcast. Of more, those of hot keys, at most one in ``HOT_ROWS`` of the
+    rows, meet theirs by a broadcast if they are few, and theirs are dealt over all tasks; only the rest is joined by key.
+    """
+    others = [c for c in sums.columns if c not in (key, n)]
+    sums = few(sums)
+    right = lambda s, tag: s.select(F.col(key).alias(tag), *[F.col(c) for c in others])
+    if sums.known_rows <= BROADCAST_ROWS:
+        tag = fresh(rows, "key_")
+        return rows.join(F.broadcast(right(sums, tag)), F.col(key).eqNullSafe(F.col(tag)), how).drop(tag)
+    hot = few(sums.where(F.col(n) > HOT_ROWS))
+    tag = fresh(rows, "key_")
+    heavy = rows.join(right(hot, tag), F.col(key).eqNullSafe(F.col(tag)), "left_semi")
+    light = rows.join(right(hot, tag), F.col(key).eqNullSafe(F.col(tag)), "left_anti")
+    return heavy.join(right(hot, tag), F.col(key).eqNullSafe(F.col(tag)), how).drop(tag).unionByName(light.join(right(sums.where(F.col(n) <= HOT_ROWS), tag), F.col(key).eqNullSafe(F.col(tag)), how).drop(tag))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chatformat, decontaminate, htmltext, langid, ngramlm, packing, quality, simhash, toxicity, urlfilter
+from quillon.llm import chatformat, codebooks, collocations, decontaminate, htmltext, langid, ngramlm, packing, quality, simhash, toxicity, urlfilter, warczip
 from quillon.llm.common import table
 
 #: The rules of op1 and the extra conversation of op5.
@@ -60,7 +60,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
 
 
-_OPERATORS = (op1_urls, op2_decontamination, op3_main_text, op4_language, op5_chat, op6_simhash, op7_repetition, op8_toxicity, op9_language_model, op10_packing)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.codes(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (op1_urls, op2_decontamination, op3_main_text, op4_language, op5_chat, op6_simhash, op7_repetition, op8_toxicity, op9_language_model, op10_packing, op11_collocations, op12_warc, op13_codes)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 
@@ -107,6 +119,48 @@ sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')
 from b join c using (conv_id) left join again using (conv_id) group by b.conv_id"""
 
 
+def _collocation_sql() -> str:
+    """op11 from its definition: all phrases of up to three words of every piece, counted."""
+    return rf"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+g as materialized (select lang, k, w[i:i + k - 1] as g, count(*) as f from (select lang, w, unnest(range(1, len(w) + 1)) as i from p), (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w) group by all),
+total as (select lang, sum(f)::bigint as n from g where k = 1 group by lang),
+c as materialized (select lang, k, g, f from g where k > 1 and f >= {collocations.LEAST}),
+halves as (select lang, k, g, f, 1 as cut, array_to_string(g[1:1], ' ') as x, array_to_string(g[2:k], ' ') as y from c union all select lang, k, g, f, 2, array_to_string(g[1:2], ' '), array_to_string(g[3:3], ' ') from c where k = 3),
+parts as (select lang, array_to_string(g, ' ') as x, f from g where f >= {collocations.LEAST}),
+cuts as (select h.*, l.f as l, r.f as r, (1000000::hugeint * h.f * h.f) // (l.f::hugeint * r.f) as score from halves h join parts l on l.lang = h.lang and l.x = h.x join parts r on r.lang = h.lang and r.x = h.y),
+best as (select * from (select *, row_number() over (partition by lang, g order by score, cut) as z from cuts) where z = 1),
+longer as (select lang, g, max(f) as f from (select lang, g[1:2] as g, f from c where k = 3 union all select lang, g[2:3], f from c where k = 3) group by lang, g),
+kept as (select b.* from best b left join longer o on o.lang = b.lang and o.g = b.g and b.k = 2 where o.f is null or 100 * o.f < {collocations.COVERED} * b.f),
+ranked as (select lang, array_to_string(g, ' ') as phrase, f as a, l, r, score::bigint as score, row_number() over (partition by lang order by score desc, f desc, encode(array_to_string(g, ' '))) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= {collocations.TOP}"""
+
+
+def _warc_sql() -> str:
+    """op12 from its definition: the first of equal payloads is the response."""
+    return f"""with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as payload_digest, strlen(coalesce(html, '')) as payload_bytes from pages),
+f as (select *, case when payload_bytes >= {warczip.REVISIT} then min(page_id) over (partition by payload_digest) else page_id end as first from p)
+select page_id, payload_bytes, payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from f"""
+
+
+def _codebook_sql() -> str:
+    """op13 from its definition: plain Lloyd rounds over integers."""
+    parts, entries = codebooks.PARTS, codebooks.ENTRIES
+    near = lambda c: f"select r, p, (array_agg(e order by d, e))[1] as e, min(d) as d from (select x.r, x.p, c.e, sum((x.v - c.v) * (x.v - c.v))::bigint as d from x join {c} c using (p, j) group by x.r, x.p, c.e) group by r, p"
+    floored = "(sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*)"
+    rounds = ""
+    for i in range(codebooks.ROUNDS):
+        rounds += f"a{i} as materialized ({near(f'c{i}')}), c{i + 1} as materialized (select p, e, j, coalesce(m.v, c{i}.v) as v from c{i} left join (select x.p, a{i}.e, x.j, ({floored})::bigint as v from x join a{i} using (r, p) group by x.p, a{i}.e, x.j) m using (p, e, j)), "
+    last = f"c{codebooks.ROUNDS}"
+    return f"""with w as (select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::double)::bigint) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as materialized (select r, (i - 1) // (len // {parts}) as p, (i - 1) % (len // {parts}) as j, v[i] as v from (select r, v, len(v) as len, unnest(range(1, len(v) + 1)) as i from w)),
+c0 as materialized (select p, r - 1 as e, j, v from x where r <= {entries}),
+{rounds}z as materialized ({near(last)}),
+t as (select r, string_agg(format('{{:02x}}', e), '' order by p) as code, sum(d)::bigint as error from z group by r)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(v::varchar, ',' order by p, e, j)) from {last}) as codebooks_sha256 from t join w using (r)"""
+
+
 #: What the other operators compute is hashed, learned or searched in ways that SQL cannot express; tests compare them
 #: with brute force.
-ORACLE_SQL: dict[str, str] = {"op5_chat": _chat_sql(), "op7_repetition": _repetition_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_chat": _chat_sql(), "op7_repetition": _repetition_sql(), "op11_collocations": _collocation_sql(), "op12_warc": _warc_sql(), "op13_codes": _codebook_sql()}
