@@ -8,7 +8,9 @@ compared, and a text overlaps an item where 13 tokens in a row agree in 80 % or
 1. The test hashes set bits of a bitmap whose size is bounded, so it may be broadcast. It only keeps hashes
    that cannot meet from being shuffled.
 2. One pass over the training texts emits, for texts with hits, the stretches of token hashes around them.
-3. Hits are joined to the test hashes on the hash; the meeting diagonals are verified against the stretches.
+3. Each stretch's different hashes are joined to the test hashes, which gives pairs of a stretch and an item. A stretch
+   meets its items in one row; there every diagonal on which a hash meets is verified, once, many at a time. So a text
+   that repeats itself costs its length times the item's, and is moved once.
 
 Tokens are runs of ASCII letters and digits and of all other non-ASCII characters, in lower case.
 
@@ -40,6 +42,8 @@ BITMAP_BITS = 26
 BROADCAST_ROWS = 100_000
 #: Characters of all items up to which they are broadcast for the comparison.
 BROADCAST_CHARS = 8 << 20
+#: Tokens that are compared at once.
+CELLS = 1 << 21
 
 _GAP = np.array([c < 128 and not chr(c).isalnum() for c in range(256)], np.int8)
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
@@ -71,24 +75,50 @@ def whole_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
-    """Along doc[diagonal + i] against item[i]: tokens covered by agreeing windows, the best window's agreeing
-    tokens, and where the cover begins in the text and in the item."""
-    first, last = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    width = min(WINDOW, len(item))
-    if last - first < width:
-        return None
-    same = doc[diagonal + first : diagonal + last] == item[first:last]
-    need = width if len(item) < WINDOW else int(np.ceil(AGREE * width))
-    sums = np.cumsum(np.append(0, same))
-    agree = sums[width:] - sums[:-width]
-    good = np.flatnonzero(agree >= need)
-    if not len(good):
-        return None
-    covered = np.zeros(len(same), bool)
-    for at in good:
-        covered[at : at + width] = True
-    return int(covered.sum()), int(agree.max()), int(diagonal + first + good[0]), int(first + good[0])
+def item_hashes(words: np.ndarray) -> list[np.ndarray]:
+    """Of an item: its seeds' hashes, or the hash of the whole if it is too short for a seed."""
+    return seed_hashes(words) if len(words) >= SPAN else [whole_hashes(words, len(words))][: len(words)]
+
+
+def meeting_diagonals(ats: np.ndarray, hashes: np.ndarray, n: int, item: np.ndarray) -> np.ndarray:
+    """Where the item would begin in a text of n tokens whose hits are at ``ats`` (hashes in order), each place once."""
+    met = np.zeros(n + len(item), bool)
+    for own in item_hashes(item):
+        for at, lo, hi in zip(range(len(own)), np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right"), strict=True):
+            if hi > lo:
+                met[ats[lo:hi] - at + len(item)] = True
+    return np.flatnonzero(met) - len(item)
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int, int] | None:
+    """Along doc[d + i] against item[i] for each diagonal d: tokens covered by agreeing windows, the best window's
+    agreeing tokens, and where the cover begins in the text and in the item; of all diagonals the best."""
+    n, m = len(doc), len(item)
+    width = min(WINDOW, m)
+    need = width if m < WINDOW else int(np.ceil(AGREE * width))
+    padded = np.concatenate([np.zeros(m, np.uint64), doc, np.zeros(m, np.uint64)])
+    starts, best = np.arange(m - width + 1), None
+    step = max(1, CELLS // max(m, 1))
+    for lo in range(0, len(diagonals), step):
+        d = diagonals[lo : lo + step]
+        same = padded[(d + m)[:, None] + np.arange(m)] == item
+        sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+        agree = sums[:, width:] - sums[:, :-width]
+        begin = d[:, None] + starts
+        agree[(begin < 0) | (begin + width > n)] = 0  # windows that reach out of the text
+        good = agree >= need
+        some = np.flatnonzero(good.any(1))
+        if not len(some):
+            continue
+        good, agree, d = good[some], agree[some], d[some]
+        ends = np.cumsum(np.pad(good, ((0, 0), (width, width - 1))), axis=1, dtype=np.int32)
+        covered = (ends[:, width:] > ends[:, :-width]).sum(1)
+        first = good.argmax(1)
+        most = agree.max(1)
+        i = np.lexsort((first, d + first, -most, -covered))[0]
+        found = (int(covered[i]), int(most[i]), -int(d[i] + first[i]), -int(first[i]))
+        best = found if best is None else max(best, found)
+    return None if best is None else (best[0], best[1], -best[2], -best[3])
 
 
 def _test_hashes(items: DataFrame) -> DataFrame:
@@ -97,7 +127,7 @@ def _test_hashes(items: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
-                for hashes in seed_hashes(words) if len(words) >= SPAN else [whole_hashes(words, len(words))][: len(words)]:
+                for hashes in item_hashes(words):
                     out[0] += [item] * len(hashes)
                     out[1] += hashes.view(np.int64).tolist()
                     out[2] += range(len(hashes))
@@ -168,31 +198,33 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     chars = items.agg(F.sum(F.length("text") + F.lit(64))).first()[0] or 0
     marks = spark.sparkContext.broadcast(_bitmap(test))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(_stretches(texts, marks, longest or 0, sorted(short or [])))
-    hits = found.select("doc_id", "begin", F.xxhash64("words").alias("mark"), F.explode(F.arrays_zip("ats", "hashes")).alias("h"))
-    hits = hits.select("doc_id", "begin", "mark", F.col("h.ats").alias("at"), F.col("h.hashes").alias("hash"))
-    own = F.broadcast(test) if rows <= BROADCAST_ROWS else test
-    lines = hits.join(own, "hash").select("doc_id", "begin", "mark", "item_id", (F.col("at") - F.col("item_at") - F.col("begin")).alias("diagonal")).distinct()
-    whole = found.withColumn("mark", F.xxhash64("words")).select("doc_id", "begin", "mark", "words").distinct()
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", "begin", "mark")]
-    lines = lines.alias("l").join(whole.alias("s"), same).select("l.*", "s.words")
-    item = items.select(F.col("item_id").alias("_item"), F.col("text").alias("item_text"))
+    found = materialize(_stretches(texts, marks, longest or 0, sorted(short or [])).withColumn("stretch", F.monotonically_increasing_id()))
+    own = test.select("hash", "item_id").distinct()
+    own = F.broadcast(own) if rows <= BROADCAST_ROWS else own
+    item = items.where("text is not null").select("item_id", F.col("text").alias("item_text"))
     item = F.broadcast(item) if chars <= BROADCAST_CHARS else item
-    lines = lines.join(item, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "begin", "item_id", "diagonal", "words", "item_text")
+    pairs = found.select("stretch", F.explode(F.array_distinct("hashes")).alias("hash")).join(own, "hash").select("stretch", F.col("item_id").alias("_item")).distinct()
+    pairs = pairs.join(item, F.col("_item").eqNullSafe(F.col("item_id"))).groupBy("stretch").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    rows_of = found.join(pairs, "stretch").select("doc_id", "begin", "words", "ats", "hashes", "items")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, known = [], {}
-            for doc, begin, item, diagonal, words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text not in known:
-                    known[text] = tokens(text)
-                if got := overlap(np.frombuffer(words, np.uint64), known[text], diagonal):
-                    out.append((doc, item, got[0], got[1], begin + got[2], got[3]))
+            for doc, begin, words, ats, hashes, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, ats, hashes = np.frombuffer(words, np.uint64), np.array(ats, np.int64) - begin, np.array(hashes, np.int64).view(np.uint64)
+                order = np.argsort(hashes, kind="stable")
+                ats, hashes = ats[order], hashes[order]
+                for item in items:
+                    text = item["item_text"]
+                    if text not in known:
+                        known[text] = tokens(text)
+                    if got := best_overlap(words, known[text], meeting_diagonals(ats, hashes, len(words), known[text])):
+                        out.append((doc, item["item_id"], got[0], got[1], begin + got[2], got[3]))
             columns = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     names = ["doc_id", "item_id", "overlap_tokens", "agreeing", "doc_start", "item_start"]
-    checked = lines.mapInArrow(verify, ", ".join(f"{n} long" for n in names))
+    checked = rows_of.mapInArrow(verify, ", ".join(f"{n} long" for n in names))
     best = F.max(F.struct("overlap_tokens", "agreeing", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.overlap_tokens", "best.agreeing", (-F.col("best.d")).alias("doc_start"), (-F.col("best.i")).alias("item_start"))
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -67,7 +68,7 @@ def test_spans(spark):
     item = data.text(1, 40)
     row = D.overlaps(data.docs(spark, [(1, data.text(2, 10) + "\n" + item.upper() + ". " + data.text(3, 9))]), items(spark, [(9, item)])).first()
     assert (row.overlap_tokens, row.agreeing, row.doc_start, row.item_start) == (40, 13, 10, 0)
-    assert D.overlap(np.arange(20, dtype=np.uint64), np.arange(5, 18, dtype=np.uint64), 5) == (13, 13, 5, 0)
+    assert D.best_overlap(np.arange(20, dtype=np.uint64), np.arange(5, 18, dtype=np.uint64), np.array([5])) == (13, 13, 5, 0)
 
 
 def test_empty_tables_and_filter(spark):
@@ -86,3 +87,36 @@ def test_a_short_item_is_found_whole(spark):
     docs = data.docs(spark, [(1, data.text(1, 40) + " The secret answer is forty-two. " + data.text(2, 40)), (2, "the secret answer is forty three"), (3, "the SECRET answer is forty two"), (4, data.text(3, 30))])
     got = D.overlaps(docs, items(spark, [(1, "the secret answer is forty two"), (2, "a"), (3, "!!"), (4, None)])).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 1)}
+
+
+def every_overlap(doc, item):
+    """The best diagonal, token by token."""
+    width = min(D.WINDOW, len(item))
+    need = width if len(item) < D.WINDOW else 11
+    best = None
+    for d in range(-len(item), len(doc)):
+        same = [0 <= d + i < len(doc) and doc[d + i] == item[i] for i in range(len(item))]
+        inside = [0 <= d + s and d + s + width <= len(doc) for s in range(len(item) - width + 1)]
+        agree = [sum(same[s : s + width]) * ok for s, ok in enumerate(inside)]
+        good = [s for s, a in enumerate(agree) if a >= need]
+        if good:
+            covered = len({s + i for s in good for i in range(width)})
+            found = (covered, max(agree), -(d + good[0]), -good[0])
+            best = found if best is None else max(best, found)
+    return best and (best[0], best[1], -best[2], -best[3])
+
+
+def test_best_overlaps_of_repetitive_texts(spark):
+    r = random.Random(5)
+    tests = [(i, " ".join(r.choice("ab") for _ in range(n))) for i, n in enumerate((121, 60, 20, 9, 5))] + [(9, "a b c d " * 30)]
+    rows = [(i, " ".join(r.choice("ab") for _ in range(n))) for i, n in enumerate((300, 40, 13, 8, 200))] + [(8, "a b c d " * 40), (9, "x " * 30 + "c d a b " * 50)]
+    got = {(x.doc_id, x.item_id): (x.overlap_tokens, x.agreeing, x.doc_start, x.item_start) for x in D.overlaps(data.docs(spark, rows), items(spark, tests)).collect()}
+    want = {(d, i): found for d, t in rows for i, other in tests if (found := every_overlap(t.split(), other.split()))}
+    assert got == want and len(want) > 15
+
+
+def test_a_very_long_repetitive_text(spark):
+    began = time.time()
+    got = D.overlaps(data.docs(spark, [(1, "a b c d " * 250_000)]), items(spark, [(i, "a b c d " * 30 + str(i)) for i in range(5)])).collect()
+    assert [(r.overlap_tokens, r.agreeing, r.doc_start, r.item_start) for r in got] == [(121, 13, 0, 0)] * 5
+    assert time.time() - began < 90
