@@ -2,8 +2,10 @@
 
 Every page is parsed into its element tree and each subtree is hashed. Spark counts, per host, on how many
 pages a subtree occurs; subtrees that recur across many pages of their host are deleted, as are elements that
-name themselves boilerplate (by tag, role, class or id; inside an article only by whole, unambiguous names). What
-remains of the article and of the main part around it, or of the body where a page marks neither, is its text.
+name themselves boilerplate (by tag, role, class or id; only by whole names, inside an article only by unambiguous
+ones). What remains of the article and of the main part around it, or of the body where a page marks neither, is its
+text. Where a page marks no article, no element that holds more than half of the page's text goes by its class or id
+alone, unless it names reader comments, nor does a form that holds as much.
 
 A copied article also recurs. So inside an article a subtree must recur on most pages of a host before it is
 deleted, outside on a smaller share.
@@ -11,8 +13,9 @@ deleted, outside on a smaller share.
 The counted subtrees are broadcast if their number is below a checked bound, else joined to the pages.
 
 Defined results: a null or empty page, or one without text, has the text ""; broken markup is closed where a
-browser would; pages of any length are read whole; equal pages get equal texts, and each of them counts; pages
-without a host share one; an empty table gives no rows; further columns are ignored.
+browser would; pages of any length are read whole; equal pages get equal texts, and each of them counts; exactly half
+of a page's text is not more than half, and a subtree on exactly the least share of pages is a template; pages without a
+host share one; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,15 +51,16 @@ CLOSED_BY = {"p": set("address article aside blockquote details dialog div dl fi
 SCOPE = set("article aside body div section main table ul ol dl td th blockquote nav footer header form html".split())
 DROPPED_TAGS = set("head script style noscript template iframe svg math canvas audio video object embed form button input select textarea dialog menu nav footer aside title".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-#: Words in a class or id that mark boilerplate.
+#: Words that mark boilerplate outside an article where a whole class name or id is made of them, words
+#: of reader comments, and words of place that may stand with either.
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promoted promotion promotions "
-    "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar banner "
-    "comment comments commentlist reply replies respond disqus discussion "
+    "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar banner disqus "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login signin paywall "
-    "share sharing social follow related recommended recommendations trending popular widget pagination pager search skip copyright legal disclaimer".split()
+    "share sharing social related recommended recommendations trending widget widgets pagination pager copyright".split()
 )
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "commentlist", "respond"}
+PLACE_WORDS = set("left right top bottom upper lower main site page global primary secondary sub mobile desktop fixed sticky side wrapper wrap container box bar block area section list links link buttons button icons items item inner outer row col column slot message text form post posts user reader thread latest all inline body count title".split())
 #: Inside an article only whole class names and ids like these mark boilerplate, as any part of a name
 #: may be a part of the article (search-results, related-work, discussion).
 INSIDE_NAMES = set(
@@ -69,11 +73,11 @@ INSIDE_NAMES = set(
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "digest", "holds")
+    __slots__ = ("tag", "attributes", "children", "digest", "holds", "size")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes, self.children = tag, attributes, []
-        self.digest, self.holds = 0, False
+        self.digest, self.holds, self.size = 0, False, 0
 
 
 _CLOSE_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for tag in RAW}
@@ -135,18 +139,25 @@ def _attributes(node: Node) -> dict[str, str]:
     return {k.lower(): entities.unescape(unquoted(v)) for k, v in reversed(_ATTRIBUTE.findall(node.attributes))}
 
 
-def _boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element names itself so. One that holds an article is kept, unless it holds reader comments."""
+def _made_of(name: str, words: set[str]) -> bool:
+    """Whether some of the words, and otherwise only words of place and numbers, make up the name."""
+    parts = [w.lower() for w in _NAME.findall(name)]
+    return not words.isdisjoint(parts) and all(w in words or w in PLACE_WORDS for w in parts)
+
+
+def _boilerplate(node: Node, inside: bool, most: bool) -> bool:
+    """Whether an element names itself so. One that holds an article is kept, unless it holds reader comments, and one
+    that holds most of a page without an article does not go by its class or id."""
     tag = node.tag
-    if tag in DROPPED_TAGS and not node.holds:
+    if tag in DROPPED_TAGS and not node.holds and not (most and tag == "form"):
         return True
     if tag == "header" and not inside and not node.holds:
         return True
     if not node.attributes.strip():
         return False
     own = _attributes(node)
-    words = {w.lower() for k in ("class", "id") for w in _NAME.findall(own.get(k, ""))}
-    if words & COMMENT_WORDS and tag not in ("html", "body"):
+    names = {n for k in ("class", "id") for n in own.get(k, "").split()}
+    if tag not in ("html", "body") and any(_made_of(n, COMMENT_WORDS) for n in names):
         return True
     if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
         return not node.holds
@@ -154,8 +165,9 @@ def _boilerplate(node: Node, inside: bool) -> bool:
         return False
     if own.get("role", "").lower() in DROPPED_ROLES:
         return True
-    names = {n.lower() for k in ("class", "id") for n in own.get(k, "").split()}
-    return bool(names & INSIDE_NAMES if inside else words & DROPPED_WORDS)
+    if inside:
+        return not INSIDE_NAMES.isdisjoint(n.lower() for n in names)
+    return not most and any(n.lower() in INSIDE_NAMES or _made_of(n, DROPPED_WORDS) for n in names)
 
 
 def _is_article(node: Node) -> bool:
@@ -175,14 +187,16 @@ def prepare(page: str) -> tuple[Node, list[Node]]:
     root = parse(page)
     nodes = _order(root)
     for node in reversed(nodes):
-        parts, node.holds = [node.tag], False
+        parts, node.holds, node.size = [node.tag], False, 0
         for c in node.children:
             if isinstance(c, str):
                 if c := " ".join(c.split()):
                     parts.append("t" + c)
+                    node.size += len(c) * (node.tag not in RAW)
             else:
                 parts.append(f"e{c.digest:x}")
                 node.holds |= c.holds or _is_article(c)
+                node.size += c.size
         node.digest = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) if len(parts) > 1 else 0
     return root, nodes
 
@@ -209,11 +223,12 @@ def extract(page: str | None, host: str, outside: set[int] | frozenset, everywhe
             blocks.append(text)
         open_.clear()
 
+    most = lambda node: not root.holds and 2 * node.size > root.size
     tops: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is not root and _boilerplate(node, False):
+        if node is not root and _boilerplate(node, False, most(node)):
             continue
         if _is_article(node):
             tops.append(node)
@@ -234,7 +249,7 @@ def extract(page: str | None, host: str, outside: set[int] | frozenset, everywhe
                     end()
             else:
                 if node is not top:
-                    if _boilerplate(node, inside):
+                    if _boilerplate(node, inside, most(node)):
                         continue
                     if node.digest and not node.holds and (outside or everywhere):
                         key = key_of(host, node.digest)

@@ -45,7 +45,24 @@ def test_names_inside_an_article():
     assert text("<article><p>One</p><section id='legal-analysis'>Two</section></article>") == "One Two"
     for name in ("ad", "share-buttons", "newsletter", "Cookie-Notice", "big sidebar", "comment-list"):
         assert text(f"<article><p>One</p><div class='{name}'>Two</div></article>") == "One"
-    assert text("<div class='related-work'>Two</div><p>One</p>") == "One"
+
+
+def test_names_outside_an_article():
+    for name in ("social-science", "search-results", "legal", "related-work", "share-price", "menu-engineering", "discussion", "header-files", "comment-culture", "navigation-history"):
+        for kind in ("class", "id"):
+            assert text(f"<div {kind}='x {name}'>Two</div><p>One and more</p>") == "Two One and more", name
+            assert text(f"<div {kind}='{name}'>Two is all that there is</div>") == "Two is all that there is", name
+    for name in ("related", "sidebar-left", "siteFooter", "cookie_banner", "Share-Buttons", "comments", "comment-list", "comment-12", "user-comments", "main-nav"):
+        assert text(f"<div class='x {name}'>Two</div><p>One and more</p>") == "One and more", name
+
+
+def test_most_of_a_page_does_not_go_by_its_name():
+    assert text("<div class='banner'>Two three</div><p>One</p>") == "Two three One"
+    assert text("<div class='widget'>Two</div><p>One</p>") == "One"  # no more than half
+    assert text("<form><p>Text of the whole page</p><input value=x><button>Send</button></form>") == "Text of the whole page"
+    assert text("<form>Your name</form><p>One and more</p>") == "One and more"
+    assert text("<p>Post</p><div class='comments'>A long thread of what readers say</div>") == "Post"
+    assert text("<article>Post</article><div class='banner'>Much more than the article has</div>") == "Post"
 
 
 def test_quotes_delimit_only_values():
@@ -109,6 +126,8 @@ def brute_texts(rows):
     for host, root in trees:
         articles = [n for n in nodes(root) if n[0] == "article"]
         blocks = [""]
+        size = lambda n: sum((len(" ".join(c.split())) * (n[0] not in ("style", "script", "title"))) if isinstance(c, str) else size(c) for c in n[2])  # noqa: E731, B023
+        most = lambda n: not articles and 2 * size(n) > size(root)  # noqa: E731, B023
 
         def walk(node, inside):
             for c in node[2]:
@@ -117,8 +136,9 @@ def brute_texts(rows):
                     continue
                 names = set(c[1].get("class", "").split())
                 n = on[host, flat(c)]
-                dropped = c[0] in ("nav", "footer", "aside", "form", "script", "style", "head") or c[0] == "header" and not inside
-                dropped |= bool(names & ({"ad", "share-buttons"} if inside else {"ad", "share-buttons", "related-work"}))
+                dropped = c[0] in ("nav", "footer", "aside", "script", "style", "head") or c[0] == "header" and not inside
+                dropped |= c[0] == "form" and not most(c)
+                dropped |= bool(names & ({"ad", "share-buttons", "related-links"} if inside else {"ad", "share-buttons", "related-links", "topBanner"})) and not most(c)
                 holds = any(x[0] == "article" for x in nodes(c))
                 if said(c) and not holds:
                     dropped |= n >= 20 and n >= 0.6 * all_pages[host] or not inside and n >= 5 and n >= 0.1 * all_pages[host]
@@ -145,7 +165,7 @@ def made_page(r, i):
     for _ in range(r.randint(1, 6)):
         words = r.choice([f"common {r.randrange(3)}", f"own {i} {r.randrange(9)} &amp; &eacute;"])
         kind = r.choice(["span", "div", "nav", "aside", "ul", "header", "form", "section"])
-        name = r.choice(["", "", " class=ad", " class='related-work x'", ' class="share-buttons"'])
+        name = r.choice(["", "", " class=ad", " class='related-work x'", ' class="share-buttons"', " class=related-links", " class='y topBanner'", " class=social-science"])
         parts.append(f"<{kind}{name}>{words}<b>bold</b> x<br>y <div>in {r.choice(['every', str(i)])}</div></{kind}>")
     body = " ".join(parts)
     if i % 2:
