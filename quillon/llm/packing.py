@@ -4,8 +4,11 @@ Every document becomes token ids plus an end id. Pieces of a full sequence lengt
 of each document waits in a buffer of bounded size. A full buffer of T tokens is packed into T // 1024 full
 sequences and, for the remainder, one sequence per binary digit of it, so that short sequences need no padding:
 pieces go in descending length to the sequence of lowest cost (linear plus quadratic attention) that has
-room, and a piece that fits nowhere whole is cut into two or three parts. Pieces that not even three gaps hold fill
-the short sequences at the end; the gaps that they leave, a few tokens in a thousand, are padded.
+room, and a piece that fits nowhere whole is cut into two or three parts. Pieces that not even three gaps hold wait
+until all others lie. While the gaps that are left then make up more than ``PADDED`` of a buffer's tokens, waiting
+pieces, the shortest first, are cut into as many parts as the widest gaps ask for; the rest fills the short sequences
+at the end. So at most that share of a buffer is padded, whatever its lengths, and with the few tokens of the last short
+sequence nothing else is.
 
 The work is a single pass without a shuffle: memory is bounded by the buffer and a task that is run again
 gives the same rows.
@@ -40,6 +43,8 @@ BUFFER = 2_000_000
 QUADRATIC = 1 / 512
 #: Parts that a piece without room is cut into at most, before it waits for the end.
 PARTS = 3
+#: Share of a buffer's tokens that may be padded before such a piece is cut into more parts.
+PADDED = 1 / 200
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SPECIAL = "<|endoftext|>"
 #: White space other than one space or line end between two other characters.
@@ -108,7 +113,8 @@ def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, i
 
     The longest piece goes next, to the sequence of lowest cost among those with room. If none has room, the piece
     is cut: its beginning fills up the sequence with the most room, what is left goes where it fits best. What would
-    need more than ``PARTS`` parts waits: it fills what is left of the short sequences, and then sequences of its own.
+    need more than ``PARTS`` parts waits. The shortest of these are cut up until at most ``PADDED`` is left in gaps; the
+    others fill what is left of the short sequences, and then sequences of their own.
     """
     total = int(lengths.sum())
     sizes = _sizes(total, room)
@@ -166,6 +172,22 @@ def fill(lengths: np.ndarray, room: int = LENGTH) -> list[tuple[int, int, int, i
             start += min(gap, n - start)
             if free[s]:
                 heapq.heappush(waiting[free[s]], (cost[s], s))
+    for _, s in roomy:
+        heapq.heappush(waiting[free[s]], (cost[s], s))
+    padded, widest = sum(free[: total // room]), room
+    while rest and padded > PADDED * total:
+        piece, n = rest.pop()
+        start = 0
+        while start < n:
+            while not waiting[widest]:
+                widest -= 1
+            _, s = heapq.heappop(waiting[widest])
+            take = min(n - start, free[s])
+            put(piece, start, take, s)
+            start += take
+            padded -= take * (s < total // room)
+            if free[s]:
+                heapq.heappush(waiting[free[s]], (cost[s], s))
     ends = [s for s in range(total // room, len(sizes)) if free[s]]
     own = _sizes(sum(n for _, n in rest) - sum(free[s] for s in ends), room)
     ends += range(len(sizes), len(sizes) + len(own))

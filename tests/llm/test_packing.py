@@ -102,6 +102,7 @@ def test_lowest_cost_with_room_and_few_cuts(seed):
     parts = packing.fill(lengths)
     out, rest, free = brute(lengths)
     assert parts[: len(out)] == out
+    assert padded(parts) <= packing.PADDED * lengths.sum() + 512
     assert sorted({p for p, *_ in parts[len(out) :]}) == sorted(p for p, _ in rest)
     times = np.bincount([p for p, *_ in parts])
     assert (times > 3).sum() <= 3 and (times > 1).mean() < 0.4
@@ -109,6 +110,29 @@ def test_lowest_cost_with_room_and_few_cuts(seed):
     assert gaps <= 0.005 * lengths.sum()
 
 
+def padded(parts):
+    ends = defaultdict(int)
+    for _, _, n, s, _ in parts:
+        ends[s] += n
+    return sum(1024 - n for n in ends.values() if n & (n - 1))
+
+
+@pytest.mark.parametrize("lengths", [[900] * 1000 + [400] * 1000, [600] * 2000, [924] * 1000, [1000] * 300 + [700] * 300 + [30] * 50, [513] * 777, [1023] * 500, [341] * 999 + [342] * 999, [600, 900], [5] * 2000 + [1020] * 800])
+def test_padding_is_bounded_for_any_lengths(lengths):
+    lengths = np.array(lengths, np.int64)
+    parts = packing.fill(lengths)
+    assert padded(parts) <= packing.PADDED * lengths.sum() + 1024
+    own, sequences = defaultdict(list), defaultdict(list)
+    for piece, start, n, s, offset in parts:
+        own[piece].append((start, n))
+        sequences[s].append((offset, n))
+    for spans in [*own.values(), *sequences.values()]:
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *spans], spans, strict=False))
+    assert [sum(n for _, n in own[i]) for i in range(len(lengths))] == lengths.tolist()
+    assert max(sum(n for _, n in s) for s in sequences.values()) <= 1024
+
+
 def test_edges(spark, slow):
     rows = data.edge_rows()
     got = packing.pack(data.docs(spark, rows).repartition(3), *PATHS, public_tokenizers.PATTERN, buffer=3000).collect()
