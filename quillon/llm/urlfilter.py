@@ -23,15 +23,20 @@ the template is allowed; an empty table gives no rows; further columns, of whate
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import few, materialize
 
 #: A node with more children than this is variable; |z| from which two shares differ; labels that are evidence.
 MANY, DIFFERS, EVIDENCE = 16, 2.6, 5
 #: Pseudo-labels of the smoothing, and the share of bad labels that rejects a template.
 SMOOTHING, REJECT = 2.0, 0.5
+#: Characters of the shapes below one template prefix up to which one task settles them.
+GROUP_CHARS = 8 << 20
 #: A page is labelled from so many words on; it is bad from these signs, or suspect words, per word on.
 LEAST_WORDS, SIGNS, SUSPECTS = 20, 0.1, 0.02
 #: Words that mark a page's text as bad, as weak labels.
@@ -104,17 +109,71 @@ def _generalise(tree: DataFrame, level: int) -> DataFrame:
     return put.select("host", "shape", template.alias("template"), "n", "labelled", "bad")
 
 
+def _differs(x: int, n: int, all_x: int, all_n: int) -> float:
+    """``_z`` of numbers."""
+    p, q = (x + 0.5) / (n + 1), (all_x + 0.5) / (all_n + 1)
+    pooled = (x + all_x + 1) / (n + all_n + 2)
+    return abs(p - q) / math.sqrt(pooled * (1 - pooled) * (1 / (n + 1) + 1 / (all_n + 1)))
+
+
+def _settle(shapes: list[list[str]], counts: list[tuple[int, int, int]], level: int) -> None:
+    """``_generalise`` of shapes that are equal up to a level, at all deeper levels, in place. counts: n, labelled, bad."""
+    todo = [(list(range(len(shapes))), level)]
+    while todo:
+        rows, level = todo.pop()
+        children: dict[str, list[int]] = {}
+        for i in rows:
+            if len(shapes[i]) > level:
+                children.setdefault(shapes[i][level], []).append(i)
+        if len(children) > 1:
+            sums = {}
+            for segment, own in children.items():
+                n, labelled, bad = (sum(counts[i][c] for i in own) for c in range(3))
+                sums[segment] = n, labelled, bad, sum(counts[i][0] for i in own if len(shapes[i]) == level + 1)
+            total = [sum(x) for x in zip(*sums.values(), strict=True)]
+            below: dict[str, list[int]] = {}
+            for segment, (n, labelled, bad, ends) in sums.items():
+                others = [t - x for t, x in zip(total, (n, labelled, bad, ends), strict=True)]
+                proven = labelled >= EVIDENCE and others[1] >= EVIDENCE
+                alike = (not proven or _differs(bad, labelled, others[2], others[1]) < DIFFERS) and _differs(ends, n, others[3], others[0]) < DIFFERS
+                name = "*" if alike or len(children) > MANY and labelled < EVIDENCE else segment
+                below.setdefault(name, []).extend(children[segment])
+                for i in children[segment]:
+                    shapes[i][level] = name
+            children = below
+        todo += [(own, level + 1) for own in children.values() if len(own) > 1]
+
+
+def _settled(tree: DataFrame, level: int) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shapes = [list(t) for t in group["template"]]
+        _settle(shapes, list(zip(group["n"].tolist(), group["labelled"].tolist(), group["bad"].tolist(), strict=True)), level)
+        return group[["host", "shape"]].assign(template=shapes, n=group["n"], labelled=group["labelled"], bad=group["bad"])
+
+    return tree.groupBy("host", "stem").applyInPandas(run, "host string, shape array<string>, template array<string>, n long, labelled long, bad long")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """From rows (host, shape, bad): host, shape, template and purity (smoothed share of bad labels)."""
     label = F.col("bad").cast("long")
     tree = materialize(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("bad")).withColumn("template", F.col("shape")).select("host", "shape", "template", "n", "labelled", "bad"))
     labelled, bad = tree.agg(F.sum("labelled"), F.sum("bad")).first()
-    # A level has siblings only where a host has two templates that reach it: the second deepest of each host counts.
-    sizes = tree.groupBy("host", F.size("shape").alias("depth")).agg(F.count("*").alias("n"))
-    ends = sizes.groupBy("host").agg(F.max(F.struct("depth", "n")).alias("top"), F.sort_array(F.collect_set("depth"), False).alias("all"))
-    second = F.when(F.col("top.n") > 1, F.col("top.depth")).otherwise(F.coalesce(F.get("all", F.lit(1)), F.lit(0)))
-    for level in range(ends.agg(F.max(second)).first()[0] or 0):
-        tree = materialize(_generalise(tree, level))
+    done, level = [], 0
+    while True:
+        done.append(tree.where(F.size("template") <= level))
+        rest = tree.where(F.size("template") > level).withColumn("stem", F.array_join(F.slice("template", 1, level), "/"))
+        chars = F.sum(F.length(F.array_join("template", "/")) + 1)
+        large = few(rest.groupBy("host", "stem").agg(chars.alias("chars")).where(F.col("chars") > GROUP_CHARS).select("host", "stem"))
+        if not large.known_rows:
+            done.append(_settled(rest, level))
+            break
+        done.append(materialize(_settled(rest.join(large, ["host", "stem"], "left_anti"), level)))
+        tree = materialize(_generalise(rest.join(large, ["host", "stem"], "left_semi").drop("stem"), level))
+        level += 1
+    tree = done[0]
+    for part in done[1:]:
+        tree = tree.unionByName(part)
+    tree = materialize(tree)
     overall = (bad or 0) / max(1, labelled or 0)
     ratio = lambda prior: (F.sum("bad") + SMOOTHING * prior) / (F.sum("labelled") + SMOOTHING)
     host = tree.groupBy("host").agg(ratio(F.lit(overall)).alias("host_share"))

@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import urlfilter as U
@@ -117,7 +119,9 @@ def brute_templates(rows):
     return out
 
 
-def test_trees_equal_brute_force(spark):
+@pytest.mark.parametrize("chars", [U.GROUP_CHARS, 1500, 0])
+def test_trees_equal_brute_force(spark, monkeypatch, chars):
+    monkeypatch.setattr(U, "GROUP_CHARS", chars)
     r = random.Random(2)
     rows = []
     for i in range(1500):
@@ -142,3 +146,12 @@ def test_edges(spark):
     got = U.judge(pages(spark, rows).withColumn("html", F.lit(None).cast("string")).selectExpr("*", "1 shape", "2 bad"), RULES).collect()
     assert len(got) == len(rows) and {r.verdict for r in got} == {"allow"}
     assert {r.template for r in got if r.page_id == 4} == {"/a/b" * 30}
+
+
+def test_crawler_traps_of_any_depth(spark):
+    began = time.time()
+    rows = [(1, "http://trap.example" + "/a" * 1000), (2, "http://trap.example" + "/b" * 1000), (3, "http://trap.example" + "/a" * 1200 + "/c")]
+    rows += [(10 + i, "http://other.example" + "".join(f"/{chr(97 + i)}{chr(97 + (i * j) % 26)}" for j in range(600))) for i in range(20)]
+    frame = spark.createDataFrame([(i, u, None) for i, u in rows], "page_id long, url string, label int")
+    got = {r.page_id: r.template for r in U.judge(frame, [], F.col("label")).collect()}
+    assert len(got) == 23 and got[1].count("/") == 1000 and set(got[1].split("/")[1:900]) <= {"*", "a"} and time.time() - began < 60
