@@ -8,7 +8,9 @@ shingle sets are similar.
 
 A key with at most ``CROWD`` sets pairs them out. A crowded one first links each set to the key's smallest; only where
 that leaves its sets in several components are pairs across components compared, in numpy, by size and by the
-parities of 512 buckets (which never differ in more places than the sets do), and only what may be similar goes on.
+parities of 512 buckets (which never differ in more places than the sets do), and only what may be similar goes on. For
+that the sets are dealt to cells of bounded size, by bands of close sizes and, within a large band, by pairs of blocks,
+so no task holds a key; keys are read in order, a few at a time.
 
 Defined results: ASCII letters are lowered and words end at ASCII white space, as in ``simhash``; texts of fewer
 words are one shingle; null, empty and blank texts are equal; very long texts are compared whole; ties cannot occur,
@@ -19,6 +21,7 @@ come along. Shingles are known by 64-bit hashes, sets by the 64-bit sum of these
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +48,10 @@ CROWD = 16
 _SEEN = 500_000
 #: Sets whose sizes and parities (some 90 bytes) may be broadcast.
 BROADCAST_SETS = 50_000
-#: Pairs looked at in one step of a crowded key.
+#: Sets of a cell in which those of a crowded key are compared, and by what factor sizes in neighbouring bands may
+#: differ; a little over DEN / NUM, so rounding loses nothing.
+CELL, BAND = 4096, 1.26
+#: Pairs looked at in one step of a cell.
 _BLOCK = 1 << 17
 
 
@@ -108,24 +114,36 @@ def prints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, mark long, set_id long, size long, sketch binary, fp long, keys array<long>")
 
 
-def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
-    """The columns of a partition (the first: keys) in order of the first two, each pair of these once."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(n)]
-    order = np.lexsort((cols[1], cols[0]))
-    new = np.append(True, (np.diff(cols[0][order]) != 0) | (np.diff(cols[1][order]) != 0))[: len(order)]
-    return [c[order][new] for c in cols]
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of a partition that is sorted by the first one, some whole keys at a time; rows with the same first
+    two values once."""
+    held: list[np.ndarray] = []
+
+    def once(cols: list[np.ndarray]) -> list[np.ndarray]:
+        new = np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0))
+        return [c[new] for c in cols]
+
+    for batch in batches:
+        if batch.num_rows:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield once([c[:end] for c in held])
+                held = [c[end:] for c in held]
+    if held:
+        yield once(held)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of sets with a key in common whose sizes allow that they are similar. Keys have few sets."""
-    key, node, size = _columns(batches, 3)
-    for lag in range(1, len(key)):
-        same = key[:-lag] == key[lag:]
-        if not same.any():
-            break
-        ok = same & (DEN * np.minimum(size[:-lag], size[lag:]) >= NUM * np.maximum(size[:-lag], size[lag:]))
-        yield pa.RecordBatch.from_arrays([pa.array(node[:-lag][ok]), pa.array(node[lag:][ok])], ["a", "b"])
+    for key, node, size in _whole_keys(batches):
+        for lag in range(1, len(key)):
+            same = key[:-lag] == key[lag:]
+            if not same.any():
+                break
+            ok = same & (DEN * np.minimum(size[:-lag], size[lag:]) >= NUM * np.maximum(size[:-lag], size[lag:]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[:-lag][ok]), pa.array(node[lag:][ok])], ["a", "b"])
 
 
 def _matrix(sketches: list[bytes] | np.ndarray) -> np.ndarray:
@@ -138,19 +156,36 @@ def _may(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
     return (np.abs(size_a - size_b) <= most) & (np.bitwise_count(sketch_a ^ sketch_b).sum(-1, dtype=np.int64) <= most)
 
 
+def _cells(rest: DataFrame) -> DataFrame:
+    """Sets of crowded keys (key, set_id, root, size, sketch), dealt to cells in which all that have to be compared meet.
+
+    Only sets of close sizes can be similar, so a key's sets are cut into bands of sizes, and each band meets itself and
+    the one below. A band of many sets is cut into blocks, and each two of its blocks meet in a cell of their own. A
+    column says whether a set is of the band itself, and in which block it lies."""
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)).cast("long")
+    own = rest.withColumn("both", F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
+    own = own.select("key", "set_id", "root", "size", "sketch", F.inline("both"))
+    sizes = own.groupBy("key", "band").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("m > 0")
+    sizes = few(sizes.select("key", "band", F.ceil(F.col("n") / CELL).alias("blocks")))
+    dealt = own.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.select(F.xxhash64("key", "band", low, high).alias("cell"), "set_id", "root", "size", "sketch", "own", "block", (low == high).alias("alone"))
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a key's sets from different components that may be similar."""
-    key, node, root, size, sketches = _columns(batches, 5)
-    at = [*np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key)]
-    for lo, hi in zip(at, at[1:], strict=False):
-        bits, step = _matrix(sketches[lo:hi]), max(1, _BLOCK // int(hi - lo))
-        for first in range(0, int(hi - lo), step):
-            i = np.arange(first, min(first + step, int(hi - lo)))[:, None]
-            j = np.arange(hi - lo)[None, :]
-            left, right = np.nonzero((j > i) & (root[lo + i] != root[lo + j]))
-            left += first
-            ok = _may(size[lo + left], bits[left], size[lo + right], bits[right])
-            yield pa.RecordBatch.from_arrays([pa.array(node[lo + left[ok]]), pa.array(node[lo + right[ok]])], ["a", "b"])
+    """The pairs of a cell's sets from different components that may be similar."""
+    for cell, node, root, size, sketches, own, block, alone in _whole_keys(batches):
+        at = [*np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)]
+        for lo, hi in zip(at, at[1:], strict=False):
+            bits, step = _matrix(sketches[lo:hi]), max(1, _BLOCK // int(hi - lo))
+            for first in range(0, int(hi - lo), step):
+                i = lo + np.arange(first, min(first + step, int(hi - lo)))[:, None]
+                j = lo + np.arange(hi - lo)[None, :]
+                left, right = np.nonzero((j > i) & (root[i] != root[j]) & (own[i] | own[j]) & (alone[i] | (block[i] != block[j])))
+                left += first
+                ok = _may(size[lo + left], bits[left], size[lo + right], bits[right])
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + left[ok]]), pa.array(node[lo + right[ok]])], ["a", "b"])
 
 
 def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +240,7 @@ def links(docs: DataFrame, first: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(node, root) of the sets that have similar ones, root the smallest set that each reaches. first: set_id, first_id, size, sketch, fp, keys."""
     rows = first.select(F.explode("keys").alias("key"), "set_id", "size")
     often = few(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
-    pairs = rows.join(often, "key", "left_anti").repartition("key").mapInArrow(_pairs, "a long, b long")
+    pairs = rows.join(often, "key", "left_anti").repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_pairs, "a long, b long")
     full = materialize(rows.join(often, "key", "left_semi").select("key", "set_id"))
     least = few(full.groupBy("key").agg(F.min("set_id").alias("a")))
     stars = full.join(least, "key").where("set_id <> a").select("a", F.col("set_id").alias("b"))
@@ -214,7 +249,7 @@ def links(docs: DataFrame, first: DataFrame, crowd: int = CROWD) -> DataFrame:
     named = full.join(roots, full.set_id == roots.node, "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     split = few(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
     rest = named.join(split, "key", "left_semi").join(first, "set_id").select("key", "set_id", "root", "size", "sketch")
-    across = materialize(rest.repartition("key").mapInArrow(_across, "a long, b long").distinct())
+    across = materialize(_cells(rest).repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_across, "a long, b long").distinct())
     return roots if across.isEmpty() else components(done.unionByName(_verified(docs, first, across)))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from quillon.llm import common, neardup, simhash
 from tests.llm import data
 from tests.llm.test_simhash import brute_roots
@@ -30,14 +31,15 @@ def rows():
     return out + [(5000 + i, data.text(800 + i, 30) + " " + line) for i in range(60)] + [(6000, None), (6001, ""), (6002, " \n")]
 
 
-def test_all_similar_texts_are_linked(spark):
+def test_all_similar_texts_are_linked(spark, monkeypatch):
     table = rows()
     sets = {d: brute_set(t) for d, t in table}
     pairs = [(a, b) for a in sets for b in sets if a < b and brute_similar(sets[a], sets[b])]
     far = [p for p in pairs if (simhash.fingerprint(dict(table)[p[0]]) ^ simhash.fingerprint(dict(table)[p[1]])).bit_count() > 2]
     assert len(far) > 20
     roots = brute_roots(list(sets), pairs)
-    for crowd in (neardup.CROWD, 2):
+    for crowd, cell in ((neardup.CROWD, neardup.CELL), (2, neardup.CELL), (2, 3)):
+        monkeypatch.setattr(neardup, "CELL", cell)
         got = {r.doc_id: r.component_id for r in neardup.classes(data.docs(spark, table).repartition(3), crowd).collect()}
         assert got == roots
 
@@ -93,3 +95,30 @@ def test_the_stage_drops_copies_that_differ_in_many_bits(spark):
     assert (simhash.fingerprint(texts[1]) ^ simhash.fingerprint(texts[2])).bit_count() > 2
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert sorted(r.doc_id for r in stage(spark, data.docs(spark, texts.items()), "").collect()) == [1, 3]
+
+
+def test_keys_are_read_a_few_at_a_time():
+    r = neardup.np.random.default_rng(1)
+    key = neardup.np.sort(r.integers(0, 400, 5000))
+    node = neardup.np.concatenate([neardup.np.sort(r.integers(0, 30, n)) for n in neardup.np.unique(key, return_counts=True)[1]])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 70]), pa.array(node[i : i + 70]), pa.array(node[i : i + 70])], ["key", "node", "size"]) for i in range(0, 5000, 70)]
+    parts = list(neardup._whole_keys(iter(batches)))
+    assert max(len(p[0]) for p in parts) < 200 and len(parts) > 40
+    got = [pair for p in parts for pair in zip(p[0].tolist(), p[1].tolist(), strict=True)]
+    assert got == sorted(set(zip(key.tolist(), node.tolist(), strict=True)))
+    assert all(a[0][-1] != b[0][0] for a, b in zip(parts, parts[1:], strict=False))
+    assert list(neardup._whole_keys(iter([]))) == []
+
+
+def test_cells_hold_few_sets_and_every_pair_of_close_sizes_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 20)
+    r = random.Random(3)
+    sets = [(7, i, i, r.choice([1, 2, 4, 5, 10, 80, 100, 125, 126, 1000]), bytes(neardup.BUCKETS // 8)) for i in range(200)]
+    cells = neardup._cells(spark.createDataFrame(sets, "key long, set_id long, root long, size long, sketch binary"))
+    rows = sorted(cells.collect(), key=lambda x: (x["cell"], x["set_id"]))
+    assert max(sum(x["cell"] == c for x in rows) for c in {x["cell"] for x in rows}) <= 80
+    columns = [pa.array([x[c] for x in rows]) for c in ("cell", "set_id", "root", "size", "sketch", "own", "block", "alone")]
+    pairs = [pair for b in neardup._across(iter([pa.RecordBatch.from_arrays(columns, list("abcdefgh"))])) for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    size = {i: n for _, i, _, n, _ in sets}
+    want = {(a, b) for a in size for b in size if a < b and abs(size[a] - size[b]) <= (size[a] + size[b]) // 9}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
