@@ -10,19 +10,21 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon import providers
+from quillon import oracle, providers
 from quillon.functions import scores as S
 from quillon.operators import analytics as A
-from quillon.operators import answering, chunking, expansion, index, metrics, reranking, retrieval
+from quillon.operators import answering, chunking, clustered, expansion, index, lexical, metrics, reranking, retrieval
 from quillon.oracle import ORACLE_SQL
 from quillon.plans import experiments
 from quillon.plans.config import Config
-from quillon.plans.pipeline import Pipeline
+from quillon.plans.grid import Chunks
+from quillon.plans.pipeline import Pipeline, embedded
 from quillon.sources import readers, writers
 from quillon.streaming import latency
 
@@ -202,6 +204,30 @@ def bm25_topk(t):
     return retrieval.bm25(t.docs, t.asked, 10)
 
 
+@query
+def bm25_index_topk(t):
+    """The same from a stored index, without the blocks that cannot reach the tenth score."""
+    return lexical.build(t.docs, t.scratch("lexical")).topk(t.asked, 10)
+
+
+@query
+def bm25_index_pruning(t):
+    """How many blocks of a query's postings are scored."""
+    return lexical.build(t.docs, t.scratch("lexical")).pruning(t.asked, 10)
+
+
+@query
+def vector_index_topk(t):
+    """``vector_topk`` from a stored index, without the lists that cannot reach the tenth score."""
+    return clustered.build(t.vectors, t.scratch("clustered")).topk(t.vector_queries, 10)
+
+
+@query
+def vector_index_pruning(t):
+    """How many lists of vectors a query reads."""
+    return clustered.build(t.vectors, t.scratch("clustered")).pruning(t.vector_queries, 10)
+
+
 def _vector_text(t: Tables, k: int) -> DataFrame:
     return retrieval.text_topk(t.docs, t.asked, k)
 
@@ -415,8 +441,8 @@ def cross_encoder_rerank(t):
 
 @query
 def llm_rerank(t):
-    """The offline model's reply begins with the prompt, so its first number is the prompt's."""
-    return reranking.model_rating(t.candidates(20), "echo", 10)
+    """The offline rating model's ratings from 1 to 10."""
+    return reranking.model_rating(t.candidates(20), "rating", 10)
 
 
 @query
@@ -460,11 +486,20 @@ def generated_answer(t):
     return answering.generated(t.candidates(3), template="basic")
 
 
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.array_join(F.transform("contexts", lambda c: F.concat(c["rank"].cast("string"), F.lit(":"), c.doc_id.cast("string"), F.lit(":"), F.length(c.text).cast("string"))), ",").alias("contexts"))
+
+
 @query
 def answer_contexts(t):
     """The best three texts of each query, in order."""
-    found = answering.contexts_of(retrieval.bm25(t.docs, t.asked, 3), t.docs)
-    return found.select("query_id", F.array_join(F.transform("contexts", lambda c: F.concat(c["rank"].cast("string"), F.lit(":"), c.doc_id.cast("string"), F.lit(":"), F.length(c.text).cast("string"))), ",").alias("contexts"))
+    return _listed(answering.contexts_of(retrieval.bm25(t.docs, t.asked, 3), t.docs))
+
+
+@query
+def answer_contexts_reranked(t):
+    """Ten texts of each query, reranked; the best three, in order."""
+    return _listed(answering.contexts_of(reranking.jaccard(t.candidates(10), 3), t.docs))
 
 
 @query
@@ -669,9 +704,14 @@ def median_quadrants(t):
     return A.quadrants(mean, "seconds", "metric_mrr").select("method", "experiment", "quadrant")
 
 
+def _options(t: Tables) -> list[DataFrame]:
+    return [t.events.select("event_type"), t.documents.select(F.coalesce("lang", F.lit("und")).alias("lang")), t.orders.select("o_orderpriority")]
+
+
 @query
 def config_grid(t):
-    return A.config_grid(chunking=["fixed", "paragraph", "sentence"], retrieval=["vector", "bm25", "hybrid"], rerank=["none", "jaccard"])
+    """Every combination of the values that three settings have in the tables."""
+    return A.config_grid(*_options(t))
 
 
 @query
@@ -782,8 +822,7 @@ def empty_guard(t):
 
 @query
 def grid_size(t):
-    n = A.grid_size(chunking=["fixed", "paragraph", "sentence"], retrieval=["vector", "bm25", "hybrid"], rerank=["none", "jaccard"])
-    return t.spark.createDataFrame([(n,)], "configurations long")
+    return A.grid_size(*_options(t))
 
 
 @query
@@ -797,29 +836,41 @@ def profile_first_five(t):
     return A.head(t.documents.select("doc_id", F.col("lang").alias("category"), F.col("source").alias("difficulty")), ["doc_id"], 5)
 
 
+def _settings(t: Tables) -> DataFrame:
+    """Events as layers of settings: a user sets the value of a type."""
+    return t.events.select("user_id", F.col("event_type").alias("name"), "value", F.col("event_id").alias("layer"))
+
+
 @query
 def config_merge(t):
-    """Defaults under user values, as rows of names and JSON values."""
-    merged = json.loads(Config.merged({"chunk_size": 128}, {"retrieval_method": "bm25", "chunk_size": 256}).to_json())
-    return t.spark.createDataFrame([(k, json.dumps(merged[k])) for k in ("chunk_size", "chunk_overlap", "retrieval_method", "retrieval_top_k")], "name string, value string")
+    """What each user's settings are after all of their layers."""
+    return A.merged_settings(_settings(t), "user_id")
 
 
 @query
 def config_diff(t):
-    """Which changes need a new index."""
-    changes = {"chunk_size": 5, "retrieval_alpha": 0.1, "retrieval_method": "bm25", "embedding_model": "other"}
-    return t.spark.createDataFrame([(k, Config().needs_rebuild(Config().with_(**{k: v}))) for k, v in changes.items()], "name string, rebuild boolean")
+    """Settings that the second half of the layers changed."""
+    half = t.events.agg(F.expr("max(event_id) div 2").alias("half"))
+    first = _settings(t).crossJoin(F.broadcast(half)).where("layer <= half")
+    return A.changed_settings(A.merged_settings(first, "user_id"), A.merged_settings(_settings(t), "user_id"), "user_id")
 
 
 @query
 def embedder_menu(t):
-    return t.spark.createDataFrame(providers.menu(), "tier string, name string, registered boolean")
+    """All embedders of the menu; of registered ones how many texts they embed, and how many of these have no term."""
+    menu = t.spark.createDataFrame(providers.menu(), "tier string, name string, registered boolean")
+    rows = []
+    for name in sorted({n for _, n, there in providers.menu() if there}):
+        known = embedded(t.docs, "doc_id", name)
+        rows.append(known.agg(F.lit(name).alias("name"), F.count("*").alias("n_texts"), F.count_if(F.forall("embedding", lambda x: x == 0)).alias("n_empty")))
+    return menu.join(reduce(DataFrame.unionByName, rows), "name", "left")
 
 
 @query
 def experiment_grids(t):
-    """How many configurations each experiment has."""
-    return t.spark.createDataFrame([(name, len(make())) for name, make in experiments.GRIDS.items()], "experiment string, configurations long")
+    """How many configurations each experiment has, and how many queries it answers."""
+    sizes = t.spark.createDataFrame([(name, len(make())) for name, make in experiments.GRIDS.items()], "experiment string, configurations long")
+    return sizes.crossJoin(F.broadcast(t.asked.agg(F.count("*").alias("n")))).select("experiment", "configurations", (F.col("configurations") * F.col("n")).alias("answered"))
 
 
 @query
@@ -828,19 +879,72 @@ def chunk_validate(t):
     return chunking.validate(chunking.paragraphs(t.docs), "paragraphs", 0, 0)
 
 
+def _types(t: Tables) -> list[str]:
+    return sorted(r.event_type for r in t.events.select("event_type").distinct().collect())
+
+
 @query
 def config_compare(t):
-    frames = {name: t.runs.where(F.col("method") == name) for name in ("click", "view")}
+    frames = {name: t.runs.where(F.col("method") == name) for name in _types(t)}
     return experiments.compare(frames, ["seconds", "metric_mrr"])
 
 
+def _experiment(t: Tables, changes: list[dict], base: Config, questions: DataFrame | None = None) -> DataFrame:
+    """Configurations and their mean measures, all in one plan."""
+    work = Chunks(t.docs, t.scratch("grid"))
+    configs = [base.with_(**c) for c in changes]
+    found = experiments.evaluate_grid(configs, work, t.asked, metrics.pseudo_qrels(t.docs, t.asked), _synonyms(t), questions)
+    names = t.spark.createDataFrame([(i, json.dumps(c, sort_keys=True)) for i, c in enumerate(changes)], "config_id int, config string")
+    return found.join(F.broadcast(names), "config_id").drop("config_id")
+
+
+#: A part of the chunking and retrieval grids that SQL can repeat.
+CHUNK_GRID = [c | r | {"use_reranking": False} for c in ({"chunking_strategy": "paragraphs"}, {"chunking_strategy": "fixed_tokens", "chunk_size": 64, "chunk_overlap": 0}, {"chunking_strategy": "fixed_tokens", "chunk_size": 128, "chunk_overlap": 32}) for r in ({"retrieval_method": "bm25"}, {"retrieval_method": "vector"}, {"retrieval_method": "hybrid"})]
+RETRIEVAL_GRID = experiments.retrieval_grid()
+RERANK_GRID = [{"retrieval_method": "bm25", "use_reranking": False}, {"retrieval_method": "bm25", "reranking_method": "cross_encoder"}, {"retrieval_method": "bm25", "reranking_method": "fusion"}, {"retrieval_method": "hybrid", "reranking_method": "cross_encoder"}]
+PLAIN = Config(chunking_strategy="paragraphs")
+
+
+@query
+def experiment_chunking_part(t):
+    """Three chunkings by three retrievals."""
+    return _experiment(t, CHUNK_GRID, PLAIN)
+
+
+@query
+def experiment_chunking(t):
+    """All 33 configurations of the chunking experiment."""
+    return _experiment(t, experiments.chunking_grid(), Config())
+
+
+@query
+def experiment_retrieval(t):
+    """The eight configurations of the retrieval experiment over paragraphs."""
+    return _experiment(t, RETRIEVAL_GRID, PLAIN)
+
+
+@query
+def experiment_reranking(t):
+    """No reranking, word overlap and fusion over paragraphs."""
+    return _experiment(t, RERANK_GRID, PLAIN)
+
+
+@query
+def experiment_generation(t):
+    """Answers of the twelve prompt and context configurations against the question itself as the expected answer."""
+    expected = t.asked.select("query_id", F.col("text").alias("expected_answer"))
+    return _experiment(t, [c | {"language_model": "extractive"} for c in experiments.generation_grid()], PLAIN.with_(retrieval_method="bm25"), expected)
+
+
 @query
 def evaluation_report(t):
-    """Runs with their questions nested, flattened to a row per question, arrays dropped."""
+    """Runs with their questions nested, a bounded batch of them in a row, flattened to a row per question."""
     question = F.struct(F.col("seq").alias("question"), F.col("metric_mrr").alias("mrr"), F.array("seconds").alias("contexts"))
-    runs = t.runs.groupBy(F.col("method").alias("config_name")).agg(F.collect_list(question).alias("question_results"), F.struct(F.count("*").alias("n")).alias("aggregate_metrics"))
-    summary, details = experiments.report(runs)
-    return details.join(summary, "config_name")
+    named = t.runs.withColumn("config_name", F.col("method"))
+    totals = named.groupBy("config_name").agg(F.struct(F.count("*").alias("n")).alias("aggregate_metrics"))
+    batches = named.groupBy("config_name", F.expr("seq div 500").alias("batch")).agg(F.collect_list(question).alias("question_results"))
+    summary, details = experiments.report(batches.join(F.broadcast(totals), "config_name"))
+    return details.join(F.broadcast(summary.distinct()), "config_name")
 
 
 # Sources and sinks: written to the shared folder and read back
@@ -903,8 +1007,10 @@ def questions_csv(t):
 
 @query
 def questions_template(t):
+    """The template with the questions of the tables filled in below its example."""
     path = t.scratch("template")
     writers.save_template(t.spark, path)
+    _questions(t).withColumn("relevant_docs", F.array_join("relevant_docs", "|")).write.mode("append").csv(path, header=True, escape='"')
     return readers.questions_csv(t.spark, path).select("question", "expected_answer", F.array_join("relevant_docs", "|").alias("relevant_docs"), "category", "difficulty")
 
 
@@ -912,7 +1018,7 @@ def questions_template(t):
 def runs_csv(t):
     """Result folders of two experiments, scanned with their names and times."""
     base = t.scratch("runs")
-    for kind in ("click", "view"):
+    for kind in _types(t):
         writers.export_csv(t.runs.where(F.col("method") == kind).select("seq", "metric_mrr"), f"{base}/{kind}_experiment_20250418_170853/results.csv")
     found = readers.runs_csv(t.spark, f"{base}/*/results.csv")
     return found.select(F.col("seq").cast("long").alias("seq"), "metric_mrr", "experiment", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"))
@@ -922,7 +1028,7 @@ def runs_csv(t):
 def runs_parquet(t):
     """Iterations appended to a results table by experiment."""
     path = t.scratch("tracked")
-    for kind in ("click", "view"):
+    for kind in _types(t):
         rows = t.runs.where(F.col("method") == kind)
         writers.append_run(rows.select(F.lit(kind).alias("experiment"), "seq", *(["seconds"] if kind == "click" else ["metric_mrr"])), path)
     return t.spark.read.option("mergeSchema", True).parquet(path).select(F.col("experiment").cast("string").alias("experiment"), "seq", "seconds", "metric_mrr")
@@ -947,3 +1053,6 @@ def rag_pipeline(t):
     """The whole pipeline over all queries: chunks, hybrid retrieval, reranking, answers."""
     out = Pipeline(Config(chunking_strategy="fixed_tokens", chunk_size=128, chunk_overlap=0, retrieval_top_k=3), t.docs).run(t.asked)
     return out.select("query_id", "answer", F.transform("contexts", lambda c: c.chunk_id).alias("chunk_ids"))
+
+
+ORACLE_SQL = ORACLE_SQL | oracle.experiments(CHUNK_GRID, RETRIEVAL_GRID, RERANK_GRID)

@@ -38,16 +38,22 @@ BINS = 1000
 
 
 def quantiles(df: DataFrame, measures: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles of each measure, null for one without values.
+    """Exact interpolated quantiles of each measure, null for one without values; infinities count as the ends they are.
 
     Every pass counts the rows in the bins of each wanted rank's bracket and goes on with the bin that holds the rank,
     so no task and no message ever holds more than some thousand bins, however many values there are.
     """
     measures = list(dict.fromkeys(measures))
     long = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "measure", "value").where("value is not null and not isnan(value)")
-    sizes = {r.measure: r for r in long.groupBy("measure").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    inf, finite = float("inf"), F.abs("value") < float("inf")
+    least, largest = (F.min(F.when(finite, F.col("value"))), F.max(F.when(finite, F.col("value"))))
+    sizes = {r.measure: r for r in long.groupBy("measure").agg(F.count("*").alias("n"), F.count_if(F.col("value") == -inf).alias("low"), F.count_if(F.col("value") == inf).alias("high"), least.alias("lo"), largest.alias("hi")).collect()}
+    long = long.where(F.abs("value") < inf)  # infinities are known by their number
     ends = lambda n, p: (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
-    open_ = {(m, k): [0, s.lo, s.hi] for m, s in sizes.items() for p in shares for k in ends(s.n, p)}
+    open_ = {}
+    for m, s in sizes.items():
+        for k in (k for p in shares for k in ends(s.n, p)):
+            open_[m, k] = [0, -inf, -inf] if k < s.low else [0, inf, inf] if k >= s.n - s.high else [s.low, s.lo, s.hi]
     while active := [(m, k, *v) for (m, k), v in open_.items() if v[1] < v[2]]:
         brackets = F.broadcast(df.sparkSession.createDataFrame(active, "measure string, k long, below long, lo double, hi double"))
         bin = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
@@ -68,7 +74,8 @@ def quantiles(df: DataFrame, measures: list[str], shares: list[float]) -> dict[s
             return None
         low, high = ends(sizes[m].n, p)
         part = p * (sizes[m].n - 1) - low
-        return open_[m, low][1] * (1 - part) + open_[m, high][1] * part
+        a, b = open_[m, low][1], open_[m, high][1]
+        return a if part == 0 or a == b else a * (1 - part) + b * part
 
     return {m: [value(m, p) for p in shares] for m in measures}
 
@@ -200,13 +207,20 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column", "missing")
 
 
-def config_grid(**options: list) -> DataFrame:
-    """The product of all options, one row each."""
-    from pyspark.sql import SparkSession
+def config_grid(*options: DataFrame) -> DataFrame:
+    """The product of all options, one row each. options: frames of one column, whose distinct values they are."""
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [o.distinct() for o in options])
 
-    spark = SparkSession.getActiveSession()
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in options.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+
+def merged_settings(layers: DataFrame, key: str, name: str = "name", value: str = "value", layer: str = "layer") -> DataFrame:
+    """(key, name, value): of each setting the value of its last layer. Layers of equal number: the larger value."""
+    return layers.groupBy(key, name).agg(F.max(F.struct(layer, value)).alias("last")).select(key, name, F.col(f"last.{value}").alias(value))
+
+
+def changed_settings(old: DataFrame, new: DataFrame, key: str, name: str = "name", value: str = "value") -> DataFrame:
+    """(key, name, old, new) of settings that differ, null where one side lacks them."""
+    both = old.select(key, name, F.col(value).alias("old")).join(new.select(key, name, F.col(value).alias("new")), [key, name], "full_outer")
+    return both.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -289,11 +303,11 @@ def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def grid_size(**options: list) -> int:
-    out = 1
-    for values in options.values():
-        out *= len(values)
-    return out
+def grid_size(*options: DataFrame) -> DataFrame:
+    """One row: how many configurations ``config_grid`` has."""
+    sizes = [o.distinct().agg(F.count("*").alias(f"n{i}")) for i, o in enumerate(options)]
+    product = reduce(lambda a, b: a * b, [F.col(f"n{i}") for i in range(len(options))])
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), sizes).select(product.alias("configurations"))
 
 
 def best_value(df: DataFrame, key: str, measure: str) -> DataFrame:

@@ -73,7 +73,7 @@ def parse_lines(queries: DataFrame, reply: Column) -> DataFrame:
 
 def asked_of_model(queries: DataFrame, model: str = "echo") -> DataFrame:
     """``parse_lines`` of a language model's reply."""
-    prompt = F.concat(F.lit("Generate 3 different versions of the following question that mean the same thing: '"), F.col("text"), F.lit("'"))
+    prompt = F.concat(F.lit("Say this question in three other ways, one a line: "), F.col("text"))
     return parse_lines(queries.withColumn("reply", providers.generate(prompt, model)), F.col("reply"))
 
 
@@ -87,9 +87,11 @@ def hyde_prompt(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", kind.alias("query_type"), prompt.alias("prompt"))
 
 
-def hyde_documents(queries: DataFrame, n: int = 1, model: str = "echo") -> DataFrame:
-    """(query_id, pos, text): n (up to four) hypothetical documents per query from a language model."""
-    asked = hyde_prompt(queries).select("query_id", F.posexplode(F.array(*map(F.lit, ANGLES[: max(1, min(n, 4))]))).alias("pos", "angle"), "prompt")
+def hyde_documents(queries: DataFrame, n: int = 1, model: str = "echo", typed: bool = True) -> DataFrame:
+    """(query_id, pos, text): n (up to four) hypothetical documents per query from a language model, asked for by the
+    query's type or in the same words for all."""
+    same = queries.select("query_id", F.concat(F.lit("Write a passage that answers the question: "), "text").alias("prompt"))
+    asked = (hyde_prompt(queries) if typed else same).select("query_id", F.posexplode(F.array(*map(F.lit, ANGLES[: max(1, min(n, 4))]))).alias("pos", "angle"), "prompt")
     return asked.select("query_id", "pos", providers.generate(F.concat("prompt", "angle"), model).alias("text"))
 
 

@@ -36,24 +36,27 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(term, df), and in the row without a term how many documents and tokens there are: one pass over the texts."""
-    own = docs.select(T.tokens(F.col("text")).alias("t"))
+def _counted(docs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, term, df), and in the row without a term how many documents and tokens there are: one pass over the texts."""
+    own = docs.select(*by, T.tokens(F.col("text")).alias("t"))
     none = F.struct(F.lit(None).cast("string").alias("term"), F.coalesce(F.greatest(F.size("t"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
     terms = F.transform(F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n")))
-    return own.select(F.inline(F.concat(F.array(none), terms))).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    return own.select(*by, F.inline(F.concat(F.array(none), terms))).groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
 
-def idf(docs: DataFrame, epsilon: float = 0.25, sizes: bool = False) -> DataFrame:
+def idf(docs: DataFrame, epsilon: float = 0.25, sizes: bool = False, by: str | None = None) -> DataFrame:
     """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean over all terms.
 
-    ``sizes`` adds avgdl, the documents' mean number of tokens.
+    ``sizes`` adds avgdl, the documents' mean number of tokens. ``by`` names a column whose few values are corpora of
+    their own.
     """
-    counted = _counted(docs)
-    size = counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl"))
-    raw = counted.where("term is not null").crossJoin(F.broadcast(size)).select("term", "df", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    out = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    own = [by] if by else []
+    beside = lambda rows, one: rows.join(F.broadcast(one), own) if by else rows.crossJoin(F.broadcast(one))
+    counted = _counted(docs, own)
+    size = counted.where("term is null").select(*own, F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl"))
+    raw = beside(counted.where("term is not null"), size).select(*own, "term", "df", "avgdl", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy(*own).agg(F.avg("raw").alias("mean"))
+    out = beside(raw, mean).select(*own, "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     return out if sizes else out.drop("avgdl")
 
 
@@ -71,21 +74,24 @@ def hash_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return providers.hashed_terms(docs.select(id, F.explode(T.tokens(F.col(text))).alias("term")), [id])
 
 
-def dense_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, embedding): the offline embedding of each text, dense, by one pass over Arrow batches."""
+def dense_vectors(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, embedding): the offline embedding of each text, dense, by one pass over Arrow batches that passes the columns
+    to ``keep`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = providers.hash_embed(batch.column(1).to_pylist())
+            rows = providers.hash_embed(batch.column(batch.num_columns - 1).to_pylist())
             ends = pa.array(range(0, rows.size + 1, providers.DIMENSIONS), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], [id, "embedding"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], [id, *keep, "embedding"])
 
-    return docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{id} long, embedding array<double>")
+    own = docs.select(F.col(id).cast("long").alias(id), *keep, F.col(text).cast("string").alias("_text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[1:-1])
+    return own.mapInArrow(run, f"`{id}` long, {kept}embedding array<double>")
 
 
 def build(chunks: DataFrame, model: str = "hash") -> DataFrame:
     """(chunk_id, text, embedding) of chunks, vectors at length one: what ``writers.save_index`` stores."""
     if model == "hash":
-        rows = chunks.select(F.xxhash64("chunk_id").alias("id"), "chunk_id", "text")
-        return rows.join(dense_vectors(rows, "id"), "id").select("chunk_id", "text", "embedding")
+        rows = chunks.select(F.lit(0).cast("long").alias("id"), "chunk_id", "text")
+        return dense_vectors(rows, "id", keep=("chunk_id", "text")).select("chunk_id", "text", "embedding")
     return chunks.select("chunk_id", "text", unit(providers.embed(F.col("text"), model)).alias("embedding"))

@@ -16,21 +16,24 @@ from quillon.operators.retrieval import small
 CUTS = (1, 3, 5)
 
 
-def ranking_metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """Per query: p_at_k (distinct hits / min(k, returned)), r_at_k (distinct hits / relevant) and mrr."""
+def ranking_metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, cuts: tuple[int, ...] = CUTS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per query: p_at_k (distinct hits / min(k, returned)), r_at_k (distinct hits / relevant) and mrr.
+
+    by: further columns of the ranking, and of the queries, that name whose ranking it is."""
+    keys = [*by, "query_id"]
     marked = qrels.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True))
     rows = ranking.join(marked, ["query_id", "doc_id"], "left")
     relevant = qrels.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     parts: list[Column] = [F.count("*").alias("n"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first")]
     parts += [F.count_distinct(F.when(F.col("hit") & (F.col("rank") <= k), F.col("doc_id"))).alias(f"h{k}") for k in cuts]
-    got = rows.groupBy("query_id").agg(*parts)
+    got = rows.groupBy(*keys).agg(*parts)
     if queries is not None:
-        got = queries.select("query_id").distinct().join(got, "query_id", "left")
+        got = queries.select(*keys).distinct().join(got, keys, "left")
     got = got.join(relevant, "query_id", "left").fillna(0, ["n", "n_relevant", *[f"h{k}" for k in cuts]])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p = [F.round(ratio(F.col(f"h{k}"), F.least(F.lit(k), F.col("n"))), 6).alias(f"p_at_{k}") for k in cuts]
     r = [F.round(ratio(F.col(f"h{k}"), F.col("n_relevant")), 6).alias(f"r_at_{k}") for k in cuts]
-    return got.select("query_id", *p, *r, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+    return got.select(*keys, *p, *r, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
 def pseudo_qrels(docs: DataFrame, queries: DataFrame, least: int = 3) -> DataFrame:
@@ -74,23 +77,31 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     return rows.select("id", *[F.round(x, 6).alias(n) for x, n in ((rouge, "rouge1"), (rouge * 0.8, "rouge2"), (rouge * 0.9, "rougel"), (faith, "faithfulness"), ((rouge + faith) / 2, "answer_correctness"), (S.citation_rate(a), "citation_rate"), (S.correctness(a, e), "correctness"), (S.lexical_diversity(a), "lexical_diversity"))])
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bit vectors: one step per token of the longer side, over all tokens of
+    the shorter one at once. A bit is cleared where a row of the usual table rises."""
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        if met := row & places.get(x, 0):
+            row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
+
+
 def rouge_l(rows: DataFrame) -> DataFrame:
     """(id, rouge_l): F1 of the longest common token sequence of answer and expected."""
 
-    def lcs(a: list[str], b: list[str]) -> int:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
     @F.pandas_udf("double")
     def run(answers: pd.Series, expected: pd.Series) -> pd.Series:
         out = []
         for a, e in zip(answers.fillna(""), expected.fillna(""), strict=True):
             x, y = re.findall(r"\w+", a.lower()), re.findall(r"\w+", e.lower())
-            n = lcs(x, y)
+            n = common_subsequence(x, y)
             out.append(2 * n / (len(x) + len(y)) if n else 0.0)
         return pd.Series(out, dtype="float64")
 

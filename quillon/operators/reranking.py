@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -163,16 +164,16 @@ def diversify(ranking: DataFrame, texts: DataFrame, weight: float = 0.7, model:
     return out.select("query_id", "doc_id", F.col("place").alias("rank")).join(ranking.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).select("query_id", "doc_id", "score", "rank")
 
 
-def multi_stage(candidates: DataFrame, vector: DataFrame | None = None, stages: tuple[str, ...] = ("semantic", "keyword", "cross_encoder"), k: int = 10, mode: str = "fused") -> DataFrame:
+def multi_stage(candidates: DataFrame, vector: DataFrame | None = None, stages: tuple[str, ...] = ("semantic", "keyword", "cross_encoder"), k: int = 10, mode: str = "fused", keep: Callable[[DataFrame], DataFrame] = lambda rows: rows.persist(StorageLevel.MEMORY_AND_DISK)) -> DataFrame:
     """Several scorers over the best candidates: fused by reciprocal ranks, or each reranking what the one before kept.
 
     vector: scores of a vector search (query_id, doc_id, score) for the stage "semantic", which computes them if left out.
     A stage "diversity" reorders all that was fused, or kept so far, before the cut to k. The candidates with their
-    texts are kept on the executors while the stages use them.
+    texts are kept on the executors while the stages use them, or as ``keep`` says.
     """
     diverse, stages = "diversity" in stages, tuple(s for s in stages if s != "diversity")
     first = Window.partitionBy("query_id").orderBy("rank", "doc_id")
-    capped = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CANDIDATES).drop("n").persist(StorageLevel.MEMORY_AND_DISK)
+    capped = candidates.withColumn("n", F.row_number().over(first)).where(F.col("n") <= CANDIDATES).drop("n").transform(keep)
     cut = lambda ranking: (diversify(ranking, capped) if diverse else ranking).where(F.col("rank") <= k)
     known = lambda c: top(vector.select("query_id", "doc_id", "score").join(c.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), CANDIDATES)
     scorers = {"keyword": keywords, "cross_encoder": cross_encoder, "semantic": semantic if vector is None else known}

@@ -35,20 +35,23 @@ def top(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") ->
     return rounded.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
     """Exact cosine search. vectors: (doc_id, embedding); queries: (query_id, embedding).
 
     Query vectors of a checked size are broadcast: one scan multiplies each Arrow batch with all of them. More are
     cut into blocks that meet blocks of the vectors, so neither side is ever gathered whole. Every task passes on
-    only its k best per query. Zero vectors score null and come last.
+    only its k best per query. Zero vectors score null and come last. ``by`` names an integer column of both sides:
+    queries then meet the vectors of their own value.
     """
-    vectors = vectors.selectExpr("cast(doc_id as long) doc_id", "embedding").where("embedding is not null")
-    queries = queries.selectExpr("cast(query_id as long) query_id", "embedding").where("embedding is not null")
+    part = F.col(by).cast("int") if by else F.lit(0)
+    vectors = vectors.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "embedding").where("embedding is not null")
+    queries = queries.select(part.alias("part"), F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding is not null")
     first = queries.selectExpr("size(embedding) n").first()
     most = max(1, BROADCAST_BYTES // (8 * first.n)) if first and first.n else BLOCK
     few = queries.limit(most + 1).toPandas()
     if len(few) <= most:
-        return top(_scan_topk(vectors, few["query_id"].to_numpy(np.int64), _stack(few["embedding"]), k), k)
+        asked = {int(p): (own["query_id"].to_numpy(np.int64), _unit(_stack(own["embedding"]))) for p, own in few.groupby("part")}
+        return top(_scan_topk(vectors, asked, k), k)
     return top(_block_topk(vectors, queries, k), k)
 
 
@@ -99,26 +102,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _scan_topk(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    asked = vectors.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
+def _scan_topk(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    given = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*asked.value, k)
+        best = {part: _Best(*own, k) for part, own in given.value.items()}
         for batch in batches:
-            if batch.num_rows and len(best.ids):
-                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
-        yield best.batch()
+            parts = batch.column(0).to_numpy()
+            for part in np.unique(parts).tolist():
+                if part in best:
+                    own = batch if (parts == part).all() else batch.filter(pa.array(parts == part))
+                    best[part].add(own.column(1).to_numpy(), _matrix(own.column(2)))
+        for found in best.values():
+            yield found.batch()
 
     return vectors.mapInArrow(run, _RANKED)
 
 
 def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Every block of queries with every block of vectors, each pair of blocks in a task of its own."""
+    """Every block of queries with every block of vectors of the same part, each pair of blocks in a task of its own."""
     n_docs, n_asked = (max(1, -(-df.count() // BLOCK)) for df in (vectors, queries))
     block = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = vectors.select(block("doc_id", n_docs).alias("v"), every(n_asked).alias("q"), "doc_id", "embedding")
-    right = queries.select(every(n_docs).alias("v"), block("query_id", n_asked).alias("q"), "query_id", "embedding")
+    left = vectors.select("part", block("doc_id", n_docs).alias("v"), every(n_asked).alias("q"), "doc_id", "embedding")
+    right = queries.select("part", every(n_docs).alias("v"), block("query_id", n_asked).alias("q"), "query_id", "embedding")
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         docs, asked = docs.combine_chunks(), asked.combine_chunks()
@@ -129,21 +136,26 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             best.add(docs.column("doc_id").to_numpy(), _matrix(flat(docs, "embedding")))
         return pa.Table.from_batches([best.batch()])
 
-    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(run, _RANKED)
+    return left.groupBy("part", "v", "q").cogroup(right.groupBy("part", "v", "q")).applyInArrow(run, _RANKED)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, by: str | None = None) -> DataFrame:
     """Okapi BM25 by an inverted index. docs: (doc_id, text); queries: (query_id, text).
 
     One pass over the texts counts terms and lengths, a second one meets the queries' terms; only postings of
-    these are shuffled. Documents without a query term are not ranked.
+    these are shuffled, and the terms with their weights are broadcast if the queries are few. Documents without a query
+    term are not ranked. ``by`` names a column of both sides whose few values are corpora of their own.
     """
-    asked = small(index.postings(queries, "query_id").withColumnRenamed("tf", "qtf"))
-    wanted = small(asked.select("term").distinct())
-    weights = index.idf(docs, epsilon, sizes=True).join(wanted, "term", "left_semi").select("term", "idf", "avgdl")
-    terms = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    hits = terms.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    scored = hits.join(asked.join(weights, "term"), "term")
+    own = [by] if by else []
+    asked = queries.select("query_id", *own, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", *own, "term").agg(F.count("*").alias("qtf"))
+    mark = F.broadcast if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else lambda df: df
+    key = [*own, "term"]
+    wanted = asked.select(*key).distinct()
+    weights = index.idf(docs, epsilon, sizes=True, by=by).join(mark(wanted), key, "left_semi").select(*key, "idf", "avgdl")
+    terms = docs.select("doc_id", *own, T.tokens(F.col("text")).alias("t")).select("doc_id", *own, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    hits = terms.join(mark(wanted), key, "left_semi").groupBy("doc_id", *own, "dl", "term").agg(F.count("*").alias("tf"))
+    # No more rows than the queries' terms: weights are one row per term.
+    scored = hits.join(mark(asked.join(weights, key)), key)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return out.withColumn("score", F.round("score", 6)) if k is None else top(out, k)

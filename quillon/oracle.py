@@ -58,29 +58,34 @@ def hash_vectors(source: str, id: str) -> str:
     return hashed(f"(select {id}, unnest({tok('text')}) as term from {source})", id)
 
 
-def text_vector(k: int, asked: str = ASKED) -> str:
-    pairs = f"(select query_id, doc_id, round(sum(d.weight * q.weight), 6) as score from {hash_vectors(DOCS, 'doc_id')} d join {hash_vectors(asked, 'query_id')} q using (bucket) group by query_id, doc_id)"
+def text_vector(k: int, asked: str = ASKED, docs: str = DOCS) -> str:
+    pairs = f"(select query_id, doc_id, round(sum(d.weight * q.weight), 6) as score from {hash_vectors(docs, 'doc_id')} d join {hash_vectors(asked, 'query_id')} q using (bucket) group by query_id, doc_id)"
     return top(pairs, k)
 
 
-IDF = f"""(with d as materialized (select {tok('text')} as t from documents), n as (select count(*) as n from d),
+def idf_of(docs: str) -> str:
+    return f"""(with d as materialized (select {tok('text')} as t from {docs}), n as (select count(*) as n from d),
 df as materialized (select term, count(*) as df from (select unnest(list_distinct(t)) as term from d) group by term),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, n)
 select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
 
 
-def bm25(k: int, asked: str = ASKED) -> str:
-    scored = f"""(with d as (select doc_id, {tok('text')} as t from documents),
+IDF = idf_of("documents")
+
+
+def bm25(k: int, asked: str = ASKED, docs: str = "documents") -> str:
+    scored = f"""(with d as (select doc_id, {tok('text')} as t from {docs}),
 st as (select avg(len(t)) as avgdl from d),
 tf as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from d) group by doc_id, term),
 q as (select query_id, term, count(*) as qtf from (select query_id, unnest({tok('text')}) as term from {asked}) group by query_id, term)
 select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
-from q join {IDF} i using (term) join tf using (term), st group by query_id, doc_id)"""
+from q join {idf_of(docs)} i using (term) join tf using (term), st group by query_id, doc_id)"""
     return top(scored, k)
 
 
-def hybrid(alpha: str, k: int = 10) -> str:
-    scored = f"""(with v as {text_vector(2 * k)}, b as (select query_id, doc_id, score / nullif(max(score) over (partition by query_id), 0) as t from {bm25(2 * k)})
+def hybrid(alpha: str, k: int = 10, asked: str = ASKED, docs: str | None = None) -> str:
+    vector_docs, docs = docs or DOCS, docs or "documents"
+    scored = f"""(with v as {text_vector(2 * k, asked, vector_docs)}, b as (select query_id, doc_id, score / nullif(max(score) over (partition by query_id), 0) as t from {bm25(2 * k, asked, docs)})
 select query_id, doc_id, round({alpha} * coalesce(v.score, 0) + (1 - {alpha}) * coalesce(b.t, 0) + 1e-9, 6) as score from v full join b using (query_id, doc_id))"""
     return top(scored, k)
 
@@ -352,7 +357,7 @@ from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list
     "ci95": f"select method, round(m, 6) as mean, round(m - h, 6) as low, round(m + h, 6) as high, n from (select method, avg(metric_mrr) as m, coalesce(1.96 * stddev_samp(metric_mrr) / sqrt(count(metric_mrr)), 0) as h, count(metric_mrr) as n from {RUNS} group by method)",
     "time_metric_corr": "select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as corr from lineitem group by l_returnflag",
     "median_quadrants": f"select method, experiment, case when seconds <= c then 'fast' else 'slow' end || '_' || case when metric_mrr >= v then 'good' else 'poor' end as quadrant from {GROUPED}, (select median(seconds) as c, median(metric_mrr) as v from {GROUPED})",
-    "config_grid": "select * from (values ('fixed'), ('paragraph'), ('sentence')) a(chunking), (values ('vector'), ('bm25'), ('hybrid')) b(retrieval), (values ('none'), ('jaccard')) c(rerank)",
+    "config_grid": "select * from (select distinct event_type from events), (select distinct coalesce(lang, 'und') as lang from documents), (select distinct o_orderpriority from orders)",
     "turn_pairing": f"select * from {PAIRS}",
     "latest_run_best": f"select seq, method, metric_mrr from {RUNS} where ts::date = (select max(ts::date) from events) and metric_mrr is not null order by metric_mrr desc, seq limit 1",
     "dedup_keep_first": f"select method, experiment, seq, seconds from (select *, row_number() over (partition by method, experiment order by seq) as n from {RUNS}) where n = 1",
@@ -375,7 +380,7 @@ from (select id, answer, {f1('answer', 'expected')} as r, {FAITH} as f, len(list
     "hyde_vector_topk": f"select * from {top(f"(select query_id, doc_id, round(sum(d.weight * q.weight), 6) as score from {hash_vectors(DOCS, 'doc_id')} d join {HYDE_MEAN} q using (bucket) group by query_id, doc_id)", 10)}",
     "index_build": f"select chunk_id, length(text) as chars, round(1.0::double, 6) as norm from ({fixed(256, 0)})",
     "cross_encoder_rerank": f"select * from {reranked(jacc(wset('query'), wset('text')), 10)}",
-    "llm_rerank": f"select * from {top(f"(select query_id, doc_id, 0.1::double as score from {candidates(20)})", 10)}",
+    "llm_rerank": f"select * from {reranked(f"floor(1 + 9 * ({jacc(wset('query'), wset('text'))}) + 0.5) / 10", 10)}",
     "fusion_vector_bm25": f"select * from {rrf(f'(select query_id, doc_id, rank from {_VECTOR20} union all select query_id, doc_id, rank from {_BM20})')}",
     "fusion_vector_cross_encoder": f"""with v as materialized {_VECTOR20}, p as (select v.query_id, v.doc_id, d.text, b.text as query from v join documents d using (doc_id) join benchmark b on b.item_id = v.query_id)
 select * from {rrf(f"(select query_id, doc_id, rank from v union all select query_id, doc_id, rank from {top(f"(select query_id, doc_id, round({jacc(wset('query'), wset('text'))}, 6) as score from p)", 100)})")}""",
@@ -388,14 +393,20 @@ select * from {rrf(f"(select query_id, doc_id, rank from v union all select quer
     "drop_null": f"select seq, metric_mrr from {RUNS} where metric_mrr is not null",
     "head_sample": "select doc_id, lang from documents order by doc_id limit 50",
     "empty_guard": f"select 'all' as name, count(*) > 0 as has_rows from {RUNS} union all select 'none', count(*) > 0 from {RUNS} where seq < 0",
-    "grid_size": "select count(*) as configurations from (values (1), (2), (3)) a, (values (1), (2), (3)) b, (values (1), (2)) c",
+    "answer_contexts_reranked": f"select query_id, string_agg(r.rank || ':' || doc_id || ':' || length(d.text), ',' order by r.rank) as contexts from {reranked(jacc(wset('query'), wset('text')), 3, 10)} r join documents d using (doc_id) group by query_id",
+    "bm25_index_topk": f"select * from {bm25(10)}",
+    "vector_index_topk": f"select * from {vector(10)}",
+    "grid_size": "select (select count(distinct event_type) from events) * (select count(distinct coalesce(lang, 'und')) from documents) * (select count(distinct o_orderpriority) from orders) as configurations",
     "plottable_columns": "select unnest(['seq', 'seconds', 'metric_mrr']) as name",
     "profile_first_five": "select doc_id, lang as category, source as difficulty from documents order by doc_id limit 5",
-    "config_merge": """select * from (values ('chunk_size', '256'), ('chunk_overlap', '200'), ('retrieval_method', '"bm25"'), ('retrieval_top_k', '5')) v(name, value)""",
-    "config_diff": "select * from (values ('chunk_size', true), ('retrieval_alpha', false), ('retrieval_method', true), ('embedding_model', true)) v(name, rebuild)",
-    "embedder_menu": "select * from (values ('Offline', 'hash', true), ('Lightweight (Fast)', 'all-MiniLM-L6-v2', false), ('Lightweight (Fast)', 'BAAI/bge-small-en-v1.5', false), ('Balanced', 'all-mpnet-base-v2', false), ('Specialized', 'multi-qa-mpnet-base-dot-v1', false), ('Commercial API', 'text-embedding-ada-002', false)) v(tier, name, registered)",
-    "experiment_grids": "select * from (values ('chunking', 33::bigint), ('embedding', 1), ('retrieval', 8), ('query_processing', 6), ('reranking', 7), ('generation', 12)) v(experiment, configurations)",
-    "config_compare": f"select method as config, round(avg(seconds), 6) as seconds, round(avg(metric_mrr), 6) as metric_mrr from {RUNS} where method in ('click', 'view') group by method",
+    "config_merge": "select user_id, event_type as name, arg_max(value, event_id) as value from events group by user_id, event_type",
+    "config_diff": """with e as (select user_id, event_type as name, arg_max(value, event_id) as value from events group by all), h as (select max(event_id) // 2 as half from events),
+f as (select user_id, event_type as name, arg_max(value, event_id) as value from events, h where event_id <= half group by all)
+select user_id, name, f.value as old, e.value as new from f full join e using (user_id, name) where f.value is distinct from e.value""",
+    "embedder_menu": f"""select v.*, case when registered then (select count(*) from documents) end as n_texts, case when registered then (select count(*) from documents where coalesce(len({tok('text')}), 0) = 0) end as n_empty
+from (values ('Offline', 'hash', true), ('Lightweight (Fast)', 'all-MiniLM-L6-v2', false), ('Lightweight (Fast)', 'BAAI/bge-small-en-v1.5', false), ('Balanced', 'all-mpnet-base-v2', false), ('Specialized', 'multi-qa-mpnet-base-dot-v1', false), ('Commercial API', 'text-embedding-ada-002', false)) v(tier, name, registered)""",
+    "experiment_grids": "select experiment, configurations, configurations * (select count(*) from benchmark) as answered from (values ('chunking', 33::bigint), ('embedding', 1), ('retrieval', 8), ('query_processing', 7), ('reranking', 7), ('generation', 12)) v(experiment, configurations)",
+    "config_compare": f"select method as config, round(avg(seconds), 6) as seconds, round(avg(metric_mrr), 6) as metric_mrr from {RUNS} group by method",
     "evaluation_report": f"select method as config_name, seq as question, metric_mrr as mrr, count(*) over (partition by method) as n from {RUNS}",
     "source_text": "select trim(p) as text from (select unnest(string_split(text, chr(10))) as p from documents) where trim(p) <> ''",
     "source_csv": "select 'Doc ' || doc_id as title, text from documents",
@@ -404,9 +415,9 @@ select * from {rrf(f"(select query_id, doc_id, rank from v union all select quer
     "document_struct": "select doc_id, case when doc_id % 2 = 0 then 'T' || doc_id else 'Untitled Document' end as title, text from documents",
     "questions_json": f"select 'turns' as name, * from {QUESTIONS}",
     "questions_csv": f"select * from {QUESTIONS}",
-    "questions_template": "select 'What is retrieval?' as question, 'Finding relevant documents.' as expected_answer, 'Document 1|Document 2' as relevant_docs, 'general' as category, 'medium' as difficulty",
-    "runs_csv": f"select seq, metric_mrr, method as experiment, '2025-04-18 17:08:53' as run_ts from {RUNS} where method in ('click', 'view')",
-    "runs_parquet": f"select method as experiment, seq, case when method = 'click' then seconds end as seconds, case when method = 'view' then metric_mrr end as metric_mrr from {RUNS} where method in ('click', 'view')",
+    "questions_template": f"select 'What is retrieval?' as question, 'Finding relevant documents.' as expected_answer, 'Document 1|Document 2' as relevant_docs, 'general' as category, 'medium' as difficulty union all select question, expected_answer, relevant_docs, category, difficulty from {QUESTIONS}",
+    "runs_csv": f"select seq, metric_mrr, method as experiment, '2025-04-18 17:08:53' as run_ts from {RUNS}",
+    "runs_parquet": f"select method as experiment, seq, case when method = 'click' then seconds end as seconds, case when method <> 'click' then metric_mrr end as metric_mrr from {RUNS}",
     "run_folders": "select event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000' as folder, event_type as experiment, strftime(d, '%Y-%m-%d') || ' 12:00:00' as run_ts, row_number() over (order by d desc, event_type || '_experiment_' || strftime(d, '%Y%m%d') || '_120000') as place from (select distinct event_type, ts::date as d from events)",
 }
 ORACLE_SQL["chunk_chars"] = """with recursive p as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as ps from documents),
@@ -424,3 +435,63 @@ r(id, i, best) as (select id, 0, list_transform(b, lambda x: 0) from w
   select r.id, r.i + 1 as i, list_transform(range(1, len(b) + 1), lambda k: case when b[k] = a[r.i + 1] then coalesce(r.best[k - 1], 0) + 1 else r.best[k] end) as v from r join w using (id) where r.i < len(a)))
 select id, round(case when n > 0 then 2.0 * n / (len(a) + len(b)) else 0 end, 6) as rouge_l from (select w.id, a, b, coalesce(r.best[len(b)], 0) as n from r join w using (id) where r.i = len(a))"""
 ORACLE_SQL["chunk_validate"] = f"select doc_id, coalesce(chunk_id, 'paragraphs_0_0_' || doc_id || '_' || chunk_index) as chunk_id, chunk_index, text from ({ORACLE_SQL['chunk_paragraph']})"
+
+
+def _chunk_rows(sql: str) -> str:
+    return f"(select doc_id * 2097152 + chunk_index as doc_id, doc_id as source_id, text from ({sql}))"
+
+
+def _means(config: str, ranking: str, chunks: str) -> str:
+    """One row: the mean ranking metrics of rankings of chunks, against the documents of ``pseudo_qrels``."""
+    cuts = (1, 3, 5)
+    part = lambda a, b: f"case when {b} > 0 then round({a}::double / {b}, 6) else 0 end"
+    names = [*(f"p_at_{k}" for k in cuts), *(f"r_at_{k}" for k in cuts), "mrr"]
+    return f"""select {text_of(config)} as config, {", ".join(f"round(avg({m}), 6) as {m}" for m in names)} from (
+select {", ".join(part(f"coalesce(h{k}, 0)", f"least({k}, coalesce(n, 0))") + f" as p_at_{k}" for k in cuts)}, {", ".join(part(f"coalesce(h{k}, 0)", "coalesce(n_relevant, 0)") + f" as r_at_{k}" for k in cuts)}, round(coalesce(1.0 / first, 0), 6) as mrr
+from (select item_id as query_id from benchmark) b left join (select query_id, count(*) as n, min(case when hit then rank end) as first, {", ".join(f"count(distinct case when hit and rank <= {k} then doc_id end) as h{k}" for k in cuts)}
+  from (select f.*, q.doc_id is not null as hit from (select query_id, source_id as doc_id, min(rank) as rank from {ranking} r join {chunks} c using (doc_id) group by query_id, source_id) f left join pq q using (query_id, doc_id)) group by query_id) using (query_id)
+left join (select query_id, count(*) as n_relevant from pq group by query_id) using (query_id))"""
+
+
+def _grid_sql(parts: list[tuple[str, str, str]]) -> str:
+    """parts: a configuration's changes, its ranking and its chunks."""
+    return f"with pq as materialized ({ORACLE_SQL['pseudo_qrels']}) " + " union all ".join(f"({_means(*p)})" for p in parts)
+
+
+def _retrieved(method: str, alpha: float, k: int, chunks: str, asked: str = ASKED) -> str:
+    plain = f"(select doc_id, text from {chunks})"
+    return bm25(k, asked, plain) if method == "bm25" else text_vector(k, asked, plain) if method == "vector" else hybrid(str(alpha), k, asked, plain)
+
+
+def _expanded(method: str, alpha: float, k: int, chunks: str) -> str:
+    """Rankings of a query's variants by synonyms, merged."""
+    asked = f"(select query_id * 1000000 + variant as query_id, variant_text as text from ({ORACLE_SQL['expand_synonyms']}))"
+    each = f"(select query_id // 1000000 as query_id, query_id % 1000000 as variant, doc_id, rank from {_retrieved(method, alpha, k, chunks, asked)})"
+    return f"(select query_id, doc_id, place as rank from ({merged(each, k)}))"
+
+
+def experiments(chunk_grid: list[dict], retrieval_grid: list[dict], rerank_grid: list[dict]) -> dict[str, str]:
+    """SQL of the experiments whose configurations are given; the last two grids are over paragraphs."""
+    import json
+
+    sql = {("paragraphs", None): ORACLE_SQL["chunk_paragraph"], ("fixed_tokens", 64): fixed(64, 0), ("fixed_tokens", 128): fixed(128, 32)}
+    name = lambda c: json.dumps(c, sort_keys=True)
+    own = lambda c: "chunks" + str(c.get("chunk_size", ""))
+    views = {own(c): _chunk_rows(sql[c.get("chunking_strategy", "paragraphs"), c.get("chunk_size")]) for c in chunk_grid}
+    with_chunks = lambda parts, names: "with " + ", ".join(f"{n} as materialized {views[n]}" for n in names) + " select * from (" + _grid_sql(parts) + ")"
+    chunk_parts = [(name(c), _retrieved(c["retrieval_method"], 0.5, 5, own(c)), own(c)) for c in chunk_grid]
+    found = lambda c: (_expanded if c.get("use_query_expansion") else _retrieved)(c["retrieval_method"], c.get("retrieval_alpha", 0.5), 5, "chunks")
+
+    def reranked_by(c: dict) -> str:
+        if not c.get("use_reranking", True):
+            return found(c)
+        first = _retrieved(c["retrieval_method"], 0.5, 20, "chunks")
+        if c["reranking_method"] == "fusion":
+            return rrf(f"(select query_id, doc_id, rank from {first} union all select query_id, doc_id, rank from {_retrieved('bm25', 0.5, 20, 'chunks')})", 5)
+        return top(f"(select query_id, doc_id, round({jacc(wset('b.text'), wset('d.text'))}, 6) as score from {first} r join chunks d using (doc_id) join benchmark b on b.item_id = r.query_id)", 5)
+
+    return {
+        "experiment_chunking_part": with_chunks(chunk_parts, views),
+        "experiment_retrieval": with_chunks([(name(c), found(c), "chunks") for c in retrieval_grid], ["chunks"]),
+        "experiment_reranking": with_chunks([(name(c), reranked_by(c), "chunks") for c in rerank_grid], ["chunks"]),
+    }

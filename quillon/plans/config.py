@@ -25,6 +25,7 @@ class Config:
     hyde_method: str = "standard"
     hyde_num_docs: int = 1
     hyde_weight: float = 0.3
+    hyde_prompts: str = "typed"
     use_reranking: bool = True
     reranking_method: str = "cross_encoder"
     reranking_stages: tuple[str, ...] = ("semantic", "keyword", "cross_encoder")
@@ -60,6 +61,39 @@ class Config:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
+    #: Strategies that take a size and an overlap.
+    SIZED = ("fixed_tokens", "token", "recursive_chars", "paragraph_chars", "chars")
+    #: Candidates that reach the rerankers.
+    FETCH = 20
+
+    # What configurations can share, as values: equal values need the work once.
+
+    def chunking(self) -> tuple:
+        return (self.chunking_strategy, self.chunk_size, self.chunk_overlap) if self.chunking_strategy in self.SIZED else (self.chunking_strategy, 0, 0)
+
+    def asking(self) -> tuple:
+        """How queries become variants."""
+        if self.query_transformation not in ("none", "hyde"):
+            model = self.language_model if self.query_transformation == "model" else ""
+            return self.query_transformation, False, self.num_variations if self.query_transformation == "multi_query" else 0, model
+        return "none", self.use_query_expansion, 0, ""
+
+    def hyde(self) -> tuple:
+        """How hypothetical documents make a query's vector."""
+        on = self.use_hyde or self.query_transformation == "hyde"
+        return (self.hyde_method, self.hyde_num_docs, self.hyde_weight, self.hyde_prompts, self.language_model) if on else ()
+
+    def depth(self) -> int:
+        """How many documents retrieval passes on."""
+        return max(self.FETCH, self.retrieval_top_k) if self.use_reranking else self.retrieval_top_k
+
+    def reranked(self) -> tuple:
+        """How candidates are reranked; stages that compare documents by their id alone keep to one chunking."""
+        if not self.use_reranking:
+            return ()
+        own = self.chunking() if self.reranking_method == "multi_stage" else ()
+        return self.reranking_method, self.reranking_stages, self.reranking_mode, self.diversity_alpha, self.scorer, self.language_model, self.retrieval_top_k, own
+
     def fingerprint(self) -> str:
         own = {k: getattr(self, k) for k in self.INDEXED}
         return hashlib.md5(json.dumps(own, sort_keys=True).encode()).hexdigest()

@@ -14,9 +14,11 @@ from pyspark.sql import types as ty
 from quillon import providers
 from quillon.operators import analytics, metrics
 from quillon.plans.config import Config
+from quillon.plans.grid import Chunks, Grid
 from quillon.plans.pipeline import Pipeline
 from quillon.sources import writers
 
+ANSWER_METRICS = ["rouge1", "rouge2", "rougel", "faithfulness", "answer_correctness", "citation_rate", "correctness", "lexical_diversity"]
 METRICS = [*(f"p_at_{k}" for k in metrics.CUTS), *(f"r_at_{k}" for k in metrics.CUTS), "mrr"]
 
 
@@ -52,18 +54,21 @@ def grid(**options: Iterable) -> list[dict]:
 def chunking_grid() -> list[dict]:
     fixed = [{"chunking_strategy": "fixed_tokens", "chunk_size": s, "chunk_overlap": o} for s in (64, 128, 256) for o in (0, s // 4)]
     other = [{"chunking_strategy": s} for s in ("paragraphs", "sentence_pack", "semantic_seg", "topic_seg", "sliding_coherent")]
-    return [c | {"retrieval_method": r} for c in fixed + other for r in ("vector", "bm25", "hybrid")]
+    return [c | {"retrieval_method": r, "use_reranking": False} for c in fixed + other for r in ("vector", "bm25", "hybrid")]
 
 
 def retrieval_grid() -> list[dict]:
+    """Retrieval alone, plain and with expanded queries."""
     plain = [{"retrieval_method": "vector"}, {"retrieval_method": "bm25"}, *({"retrieval_method": "hybrid", "retrieval_alpha": a} for a in (0.3, 0.5, 0.7))]
-    return plain + [c | {"use_query_expansion": True} for c in (plain[0], plain[1], plain[3])]
+    return [c | {"use_reranking": False} for c in plain + [c | {"use_query_expansion": True} for c in (plain[0], plain[1], plain[3])]]
 
 
 def query_grid() -> list[dict]:
+    """The query itself, expanded, rephrased by a model, and hypothetical documents: asked for in the same words, by the
+    query's type, several of them, and blended with the query."""
     vector = {"retrieval_method": "vector", "use_reranking": False}
     hyde = vector | {"use_hyde": True}
-    return [vector, vector | {"use_query_expansion": True}, vector | {"query_transformation": "model"}, hyde, hyde | {"hyde_num_docs": 4, "hyde_method": "hybrid"}, vector | {"query_transformation": "multi_query"}]
+    return [vector, vector | {"use_query_expansion": True}, vector | {"query_transformation": "model"}, hyde | {"hyde_prompts": "same"}, hyde, hyde | {"hyde_num_docs": 4}, hyde | {"hyde_method": "hybrid"}]
 
 
 def embedding_grid() -> list[dict]:
@@ -85,9 +90,9 @@ def generation_grid() -> list[dict]:
 GRIDS: dict[str, Callable[[], list[dict]]] = {"chunking": chunking_grid, "embedding": embedding_grid, "retrieval": retrieval_grid, "query_processing": query_grid, "reranking": reranking_grid, "generation": generation_grid}
 
 
-def evaluate(config: Config, docs: DataFrame, queries: DataFrame, qrels: DataFrame | None = None) -> DataFrame:
-    """Mean ranking metrics of a configuration, on documents: a chunk counts for its document. One row."""
-    pipeline = Pipeline(config, docs)
+def evaluate(config: Config, docs: DataFrame, queries: DataFrame, qrels: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """Mean ranking metrics of one configuration, on documents: a chunk counts for its document. One row."""
+    pipeline = Pipeline(config, docs, synonyms)
     found = pipeline.rank(queries).join(pipeline.chunks.select("doc_id", "source_id"), "doc_id")
     first = found.groupBy("query_id", F.col("source_id").alias("doc_id")).agg(F.min("rank").alias("rank"))
     wanted = qrels if qrels is not None else metrics.pseudo_qrels(docs, queries)
@@ -95,26 +100,54 @@ def evaluate(config: Config, docs: DataFrame, queries: DataFrame, qrels: DataFra
     return per_query.agg(*[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
-def run_experiment(tracker: Tracker, configs: list[dict], docs: DataFrame, queries: DataFrame, qrels: DataFrame | None = None, base: Config = Config()) -> DataFrame:
-    """Each configuration once; one that fails is recorded with its error."""
-    for changes in configs:
-        began = time.time()
-        try:
-            row = evaluate(base.with_(**changes), docs, queries, qrels).first().asDict()
-            tracker.log(changes, row, time.time() - began)
-        except Exception as problem:  # noqa: BLE001 - recorded in the results
-            tracker.log(changes, {}, time.time() - began, str(problem).splitlines()[0][:500])
+def evaluate_grid(configs: list[Config], corpus: Chunks, queries: DataFrame, qrels: DataFrame, synonyms: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """``evaluate`` of many configurations in one plan: config_id, the mean ranking metrics and, for questions (query_id,
+    expected_answer), the mean measures of the answers."""
+    grid = Grid(configs, corpus, queries, synonyms)
+    out = grid.means(qrels, METRICS)
+    if questions is None:
+        return out
+    scored = grid.answers(questions).groupBy("config_id").agg(*[F.round(F.avg(m), 6).alias(m) for m in ANSWER_METRICS])
+    return out.join(scored, "config_id", "left")
+
+
+def _measured(configs: list[Config], corpus: Chunks, *rest) -> list[tuple[dict, float, str | None]]:
+    """Of each configuration its measures, or its error: all in one action; if that fails, in halves down to the one at fault."""
+    began = time.time()
+    try:
+        rows = {r.config_id: r.asDict() for r in evaluate_grid(configs, corpus, *rest).collect()}
+        seconds = time.time() - began
+        return [({k: v for k, v in rows[i].items() if k != "config_id"}, seconds, None) for i in range(len(configs))]
+    except Exception as problem:  # noqa: BLE001 - recorded in the results
+        if len(configs) == 1:
+            return [({}, time.time() - began, (str(problem).splitlines() or [type(problem).__name__])[0][:500])]
+        half = len(configs) // 2
+        return _measured(configs[:half], corpus, *rest) + _measured(configs[half:], corpus, *rest)
+
+
+def run_experiment(tracker: Tracker, configs: list[dict], docs: DataFrame | Chunks, queries: DataFrame, qrels: DataFrame | None = None, base: Config = Config(), synonyms: DataFrame | None = None, questions: DataFrame | None = None, together: bool = True) -> DataFrame:
+    """All configurations in one action, or with ``together`` off one after the other, each with seconds of its own; one
+    that fails is recorded with its error. docs: (doc_id, text), or their ``Chunks`` to share them between experiments."""
+    corpus = docs if isinstance(docs, Chunks) else Chunks(docs, tracker.path + "-work")
+    wanted = qrels if qrels is not None else metrics.pseudo_qrels(corpus.docs, queries)
+    own: list[tuple[dict, Config]] = [(c, base.with_(**c)) for c in configs]
+    for some in [own] if together else [[one] for one in own]:
+        found = _measured([c for _, c in some], corpus, queries, wanted, synonyms, questions)
+        for (changes, _), (measured, seconds, error) in zip(some, found, strict=True):
+            tracker.log(changes, measured, seconds, error)
     return tracker.results()
 
 
-def run_all(spark: SparkSession, path: str, docs: DataFrame, queries: DataFrame, names: Iterable[str] = tuple(GRIDS)) -> DataFrame:
-    """All experiments after each other; the best configuration of one is the base of the next."""
-    base, frames = Config(), []
+def run_all(spark: SparkSession, path: str, docs: DataFrame, queries: DataFrame, names: Iterable[str] = tuple(GRIDS), synonyms: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """All experiments after each other, over chunks that are written once; the best configuration of one is the base of
+    the next. questions (query_id, expected_answer) let the generation experiment score its answers."""
+    base, frames, corpus = Config(), [], Chunks(docs, path + "-work")
+    qrels = metrics.pseudo_qrels(docs, queries)
     for name in names:
         tracker = Tracker(spark, name, path)
         configs = GRIDS[name]()
-        frames.append(run_experiment(tracker, configs, docs, queries, base=base))
-        best = tracker.best().select("seq").first()
+        frames.append(run_experiment(tracker, configs, corpus, queries, qrels, base, synonyms, questions if name == "generation" else None))
+        best = tracker.best("metric_correctness" if name == "generation" and questions is not None else "metric_mrr").select("seq").first()
         if best is not None:
             base = base.with_(**configs[best.seq])
     return analytics.union_runs(frames)
@@ -157,11 +190,10 @@ def report(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary, rows.drop(*[f.name for f in rows.schema.fields if isinstance(f.dataType, ty.ArrayType)])
 
 
-def labs(docs: DataFrame, queries: DataFrame, chunkings: list[dict], retrievals: list[dict], rerankings: list[dict]) -> DataFrame:
-    """Every combination of the three lists, all queries each: (config, query_id, doc_id, rank)."""
-    frames = []
-    for a, b, c in itertools.product(chunkings, retrievals, rerankings):
-        pipeline = Pipeline(Config().with_(**a, **b, **c), docs)
-        found = pipeline.rank(queries).join(pipeline.chunks.select("doc_id", "source_id"), "doc_id")
-        frames.append(found.select(F.lit(str(a | b | c)).alias("config"), "query_id", F.col("source_id").alias("doc_id"), "rank"))
-    return reduce(DataFrame.unionByName, frames)
+def labs(docs: DataFrame | Chunks, queries: DataFrame, chunkings: list[dict], retrievals: list[dict], rerankings: list[dict], work: str) -> DataFrame:
+    """Every combination of the three lists, all queries each, in one plan: (config, query_id, doc_id, rank)."""
+    corpus = docs if isinstance(docs, Chunks) else Chunks(docs, work)
+    changes = [a | b | c for a, b, c in itertools.product(chunkings, retrievals, rerankings)]
+    found = Grid([Config().with_(**c) for c in changes], corpus, queries).ranking()
+    names = corpus.docs.sparkSession.createDataFrame(list(enumerate(map(str, changes))), "config_id int, config string")
+    return found.join(F.broadcast(names), "config_id").select("config", "query_id", F.col("source_id").alias("doc_id"), "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,72 @@ from quillon.operators import answering, chunking, expansion, index, reranking,
 from quillon.plans.config import Config
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """Kept on the executors' disks and memory for the uses to come; lost parts are computed again."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+#: Numbers that a document's chunks may have.
+PLACES = 1 << 21
+
+
+def chunked(config: Config, docs: DataFrame) -> DataFrame:
+    """(doc_id, source_id, chunk_id, text): the rankers work on one integer id per chunk. It follows the document's id and
+    the chunk's place, so ties go to what comes first; where these are no such numbers, it is a hash."""
+    how = {"size": config.chunk_size, "overlap": config.chunk_overlap} if config.chunking_strategy in config.SIZED else {}
+    chunks = chunking.validate(chunking.chunk(docs, config.chunking_strategy, **how), config.chunking_strategy, config.chunk_size, config.chunk_overlap)
+    number, place = F.col("doc_id").try_cast("long"), F.col("chunk_index").cast("long")
+    fits = (F.abs(number) < 1 << 41) & place.between(0, PLACES - 1)
+    id = F.when(fits, number * PLACES + place).otherwise(F.xxhash64("chunk_id"))
+    return chunks.select(id.alias("doc_id"), F.col("doc_id").alias("source_id"), "chunk_id", "text")
+
+
+def variants_of(config: Config, queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(query_id, variant, variant_text). Expansion puts synonyms in, where a table of them is given, else templates."""
+    c = config
+    if c.query_transformation not in ("none", "hyde"):
+        how = {"multi_query": {"n": c.num_variations}, "model": {"model": c.language_model}}.get(c.query_transformation, {})
+        if c.query_transformation == "expansion" and synonyms is not None:
+            how = {"table": synonyms}
+        return expansion.transform(queries, c.query_transformation, **how)
+    if not c.use_query_expansion:
+        return expansion.transform(queries)
+    return expansion.templates(queries) if synonyms is None else expansion.synonyms(queries, synonyms)
+
+
+def embedded(rows: DataFrame, id: str, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns to keep, embedding)."""
+    if model == "hash":
+        return index.dense_vectors(rows, id, keep=keep)
+    return rows.select(id, *keep, providers.embed(F.col("text"), model).alias("embedding"))
+
+
+def asked_vectors(config: Config, queries: DataFrame) -> DataFrame:
+    """The queries' vectors: their own, or with HyDE the mean of their hypothetical documents, blended with the query's
+    own where the method says so."""
+    c = config
+    own = embedded(queries, "query_id", c.embedding_model)
+    if not c.hyde():
+        return own
+    made = expansion.hyde_documents(queries, c.hyde_num_docs, c.language_model, c.hyde_prompts == "typed").withColumn("id", F.xxhash64("query_id", "pos"))
+    mean = expansion.mean_vector(embedded(made, "id", c.embedding_model).join(made.select("id", "query_id"), "id").select("query_id", "embedding"))
+    return expansion.blend_vectors(own, mean, c.hyde_weight) if c.hyde_method == "hybrid" else mean
+
+
+def rerank(config: Config, candidates: DataFrame, found: DataFrame, lexical: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(query_id, doc_id, score, rank) by the configured reranker, cut to the wanted number. candidates: found rankings
+    with text and query; lexical: gives the plain query's BM25 ranking to be fused; keep: holds rows that are used twice."""
+    c, k = config, config.retrieval_top_k
+    if c.reranking_method == "diversity":
+        return reranking.mmr_words(candidates, c.diversity_alpha, k).withColumnRenamed("place", "rank")
+    if c.reranking_method == "multi_stage":
+        return reranking.multi_stage(candidates, found, c.reranking_stages, k, c.reranking_mode, keep)
+    if c.reranking_method == "keyword":
+        return reranking.keywords(candidates, k)
+    if c.reranking_method == "llm":
+        return reranking.model_rating(candidates, c.language_model, k)
+    if c.reranking_method == "fusion":
+        return reranking.fuse([found, lexical()], k)
+    if c.reranking_method == "cross_encoder_fusion":
+        return reranking.fuse([found, reranking.cross_encoder(candidates, c.scorer)], k)
+    if c.reranking_method in ("cross_encoder", "contextual"):
+        return reranking.cross_encoder(candidates, c.scorer, k)
+    return found.where(F.col("rank") <= k)
 
 
 class Pipeline:
@@ -22,48 +87,37 @@ class Pipeline:
     Variants, retrieval, fusion, reranking and answers compose as DataFrames; an action runs them.
     """
 
-    #: Candidates that reach the rerankers.
-    FETCH = 20
+    def __init__(self, config: Config, docs: DataFrame, synonyms: DataFrame | None = None):
+        self.config, self.docs, self.synonyms, self._kept = config, docs, synonyms, []
+        self.chunks = self._stored(chunked(config, docs))
+
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """Kept on the executors' disks and memory for the uses to come; lost parts are computed again."""
+        self._kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return rows
+
+    def close(self) -> None:
+        """Gives up what the executors keep for this pipeline."""
+        for rows in self._kept:
+            rows.unpersist()
+        self._kept.clear()
 
-    def __init__(self, config: Config, docs: DataFrame):
-        self.config, self.docs = config, docs
-        how = {}
-        if config.chunking_strategy in ("fixed_tokens", "token", "recursive_chars", "paragraph_chars", "chars"):
-            how = {"size": config.chunk_size, "overlap": config.chunk_overlap}
-        chunks = chunking.validate(chunking.chunk(docs, config.chunking_strategy, **how), config.chunking_strategy, config.chunk_size, config.chunk_overlap)
-        # The rankers work on one integer id per row.
-        self.chunks = chunks.select(F.xxhash64("chunk_id").alias("doc_id"), F.col("doc_id").alias("source_id"), "chunk_id", "text").transform(_stored)
+    def __enter__(self) -> Pipeline:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def variants(self, queries: DataFrame) -> DataFrame:
-        c = self.config
-        if c.query_transformation not in ("none", "hyde"):
-            how = {"multi_query": {"n": c.num_variations}, "model": {"model": c.language_model}}.get(c.query_transformation, {})
-            return expansion.transform(queries, c.query_transformation, **how)
-        return expansion.templates(queries) if c.use_query_expansion else expansion.transform(queries)
-
-    def _embedded(self, rows: DataFrame, id: str) -> DataFrame:
-        if self.config.embedding_model == "hash":
-            return index.dense_vectors(rows, id)
-        return rows.select(id, providers.embed(F.col("text"), self.config.embedding_model).alias("embedding"))
-
-    def _asked(self, queries: DataFrame) -> DataFrame:
-        """The queries' vectors: their own, or with HyDE the mean of their hypothetical documents, blended with the
-        query's own where the method says so."""
-        c = self.config
-        own = self._embedded(queries, "query_id")
-        if not c.use_hyde and c.query_transformation != "hyde":
-            return own
-        made = expansion.hyde_documents(queries, c.hyde_num_docs, c.language_model).withColumn("id", F.xxhash64("query_id", "pos"))
-        mean = expansion.mean_vector(self._embedded(made, "id").join(made.select("id", "query_id"), "id").select("query_id", "embedding"))
-        return expansion.blend_vectors(own, mean, c.hyde_weight) if c.hyde_method == "hybrid" else mean
+        return variants_of(self.config, queries, self.synonyms)
 
     def _vector(self, queries: DataFrame, k: int) -> DataFrame:
         c = self.config
-        chunks = self._embedded(self.chunks, "doc_id")
+        chunks = embedded(self.chunks, "doc_id", c.embedding_model)
         if not c.use_mmr:
-            return retrieval.vector_topk(chunks, self._asked(queries), k)
-        fetch = max(self.FETCH, 2 * k)
-        found = retrieval.vector_topk(chunks, self._asked(queries), fetch)
+            return retrieval.vector_topk(chunks, asked_vectors(c, queries), k)
+        fetch = max(c.FETCH, 2 * k)
+        found = retrieval.vector_topk(chunks, asked_vectors(c, queries), fetch)
         return reranking.mmr_vectors(found, chunks, c.diversity_alpha, k, fetch).withColumnRenamed("place", "rank")
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
@@ -93,31 +147,13 @@ class Pipeline:
             queries = self._with_history(queries, history)
         if not c.use_reranking:
             return self.retrieve(queries, c.retrieval_top_k)
-        found = self.retrieve(queries, max(self.FETCH, c.retrieval_top_k)).transform(_stored)
+        found = self._stored(self.retrieve(queries, c.depth()))
         texts = found.join(self.chunks.select("doc_id", "text"), "doc_id")
         asked = queries.select("query_id", F.col("text").alias("query"))
         if c.reranking_method == "contextual" and history is not None:
             asked = self._with_history(own, history).select("query_id", F.col("text").alias("query"))
-        candidates = texts.join(asked, "query_id")
-        k = c.retrieval_top_k
-        if c.reranking_method == "diversity":
-            out = reranking.mmr_words(candidates, c.diversity_alpha, k).withColumnRenamed("place", "rank")
-        elif c.reranking_method == "multi_stage":
-            out = reranking.multi_stage(candidates, found, c.reranking_stages, k, c.reranking_mode)
-        elif c.reranking_method == "keyword":
-            out = reranking.keywords(candidates, k)
-        elif c.reranking_method == "llm":
-            out = reranking.model_rating(candidates, c.language_model, k)
-        elif c.reranking_method == "fusion":
-            lexical = retrieval.bm25(self.chunks, queries, max(self.FETCH, k), c.bm25_k1, c.bm25_b)
-            out = reranking.fuse([found, lexical], k)
-        elif c.reranking_method == "cross_encoder_fusion":
-            out = reranking.fuse([found, reranking.cross_encoder(candidates, c.scorer)], k)
-        elif c.reranking_method in ("cross_encoder", "contextual"):
-            out = reranking.cross_encoder(candidates, c.scorer, k)
-        else:
-            out = found.where(F.col("rank") <= k)
-        return out.select("query_id", "doc_id", "score", "rank")
+        lexical = lambda: retrieval.bm25(self.chunks, queries, c.depth(), c.bm25_k1, c.bm25_b)
+        return rerank(c, texts.join(asked, "query_id"), found, lexical, self._stored).select("query_id", "doc_id", "score", "rank")
 
     def run(self, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """(query_id, query, contexts, answer); contexts keep their chunk and document ids. In a conversation the earlier

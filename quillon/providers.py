@@ -6,6 +6,7 @@ A provider is a Python callable on a batch; Spark calls it on Arrow batches, and
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -74,10 +75,39 @@ MENU = {
     "Commercial API": ["text-embedding-ada-002"],
 }
 SCORERS: dict[str, Callable[[], Callable[[list[str], list[str]], list[float]]]] = {}
-MODELS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {"echo": lambda: lambda prompts: [f"Response to: {p}" for p in prompts]}
+MODELS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {"echo": lambda: lambda prompts: [f"Response to: {p}" for p in prompts], "rating": lambda: rate, "extractive": lambda: quote}
 _loaded: dict[tuple[str, str], Callable] = {}
 
 
+def _words(text: str) -> set[str]:
+    return {w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w}
+
+
+def rate(prompts: list[str]) -> list[str]:
+    """An offline model that rates what follows ``Document:`` against the line after ``Query:``, by their words: 1 without a
+    common one, 10 for the same."""
+    out = []
+    for prompt in prompts:
+        query, _, document = prompt.partition("Query: ")[2].partition("\nDocument: ")
+        a, b = _words(query), _words(document)
+        out.append(str(math.floor(1 + 9 * (len(a & b) / len(a | b) if a and b else 0.0) + 0.5)))
+    return out
+
+
+def quote(prompts: list[str]) -> list[str]:
+    """An offline model that answers with the sentence of the context that shares most words with the question, the first
+    of equal ones; with nothing if none does."""
+    out = []
+    for prompt in prompts:
+        head, _, tail = prompt.rpartition("\n\nQuestion: ") if "\n\nQuestion: " in prompt else prompt.rpartition("\n\nUser: ")
+        asked = _words(re.split(r"\n\nAnswer", tail)[0])
+        context = head.partition("Context:")[2]
+        shared = [(len(asked & _words(s)), -i, s.strip()) for i, s in enumerate(re.split(r"[.!?]+\s+", context))]
+        best = max(shared, default=(0, 0, ""))
+        out.append(best[2] if best[0] else "")
+    return out
+
+
 def register(kind: str, name: str, load: Callable[[], Callable]) -> None:
     """kind: embedder, scorer or model. ``load`` runs once per worker and returns the callable."""
     {"embedder": EMBEDDERS, "scorer": SCORERS, "model": MODELS}[kind][name] = load

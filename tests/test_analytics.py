@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,14 @@ def test_shapes(spark, runs):
     assert pivot["e1"].a == 3.0 and pivot["e1"].c is None
     long = A.melt(runs.select("seq", "metric_mrr"), ["seq"], ["metric_mrr"])
     assert long.count() == 5 and long.first().metric == "Mrr"
-    assert A.config_grid(x=[1, 2], y=["a", "b", "c"]).count() == 6
+    options = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in (("x", "122"), ("y", "abc"))]
+    assert sorted((r.x, r.y) for r in A.config_grid(*options).collect()) == [(x, y) for x in "12" for y in "abc"]
+    assert A.grid_size(*options).first().configurations == 6
+    layers = spark.createDataFrame([(1, "size", 5.0, 1), (1, "size", 7.0, 2), (1, "k", 3.0, 1), (2, "size", 5.0, 9)], "user long, name string, value double, layer long")
+    merged = A.merged_settings(layers, "user")
+    assert {(r.user, r.name): r.value for r in merged.collect()} == {(1, "size"): 7.0, (1, "k"): 3.0, (2, "size"): 5.0}
+    changed = A.changed_settings(A.merged_settings(layers.where("layer = 1"), "user"), merged, "user")
+    assert sorted((r.user, r.name, r.old, r.new) for r in changed.collect()) == [(1, "size", 5.0, 7.0), (2, "size", None, 5.0)]
     assert A.keep_first(runs, ["experiment"], "seq").count() == 2
     assert A.quadrants(runs, "seconds", "seconds").where("quadrant = 'fast_good'").count() == 1
     assert A.best_per_experiment(runs, ["seconds"]).where("experiment = 'e2'").first().seconds == 5.0
@@ -121,3 +129,15 @@ def test_frontier_without_keys_equals_one_pass(spark):
             best = v
             want.append(i)
     assert got == sorted(want)
+
+
+def test_quantiles_with_infinities(spark):
+    inf = float("inf")
+    for values in ([1.0, 2.0, inf], [-inf, 1.0, 5.0, 9.0], [-inf, -inf, 3.0, inf, inf], [inf], [inf, inf], [1.0, float("nan"), -inf]):
+        got = A.quantiles(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], [0.0, 0.25, 0.5, 0.75, 1.0])["x"]
+        own = sorted(v for v in values if v == v)
+        for p, g in zip([0.0, 0.25, 0.5, 0.75, 1.0], got, strict=True):
+            low, high = (np.quantile(own, p, method=m) for m in ("lower", "higher"))
+            exact = p * (len(own) - 1)
+            want = low if exact == int(exact) or low == high else low * (1 - exact + int(exact)) + high * (exact - int(exact))
+            assert g == want or np.isnan(g) and np.isnan(want), (values, p)

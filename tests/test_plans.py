@@ -1,9 +1,13 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.plans.config import Config
 from quillon import providers
-from quillon.plans.experiments import GRIDS, Tracker, compare, evaluate, evaluate_answers, labs, report, run_experiment, stage_seconds
+from quillon.plans.experiments import GRIDS, METRICS, Tracker, compare, evaluate, evaluate_answers, labs, report, run_all, run_experiment, stage_seconds
+from quillon.plans.grid import Chunks, Grid
 from quillon.plans.pipeline import Pipeline
 
 TOPICS = ["the cat sat on the mat and slept all day long.", "dogs run in the park every single morning.", "the sun is a star made of hot burning gas.", "rivers carry water from mountains to the sea."]
@@ -51,10 +55,10 @@ def test_prompt_templates_reach_the_model(corpus):
     assert all(r.answer.startswith("Response to: System: You are a helpful assistant... Include citations") for r in got)
 
 
-def test_stages_labs_and_reports(spark, corpus):
+def test_stages_labs_and_reports(spark, corpus, tmp_path):
     docs, queries = corpus
     assert set(stage_seconds(BASE, docs, queries)) == {"chunking", "ranking", "answering"}
-    got = labs(docs, queries, [{"chunking_strategy": "sentence_pack"}], [{"retrieval_method": m} for m in ("vector", "bm25")], [{"use_reranking": False}])
+    got = labs(docs, queries, [{"chunking_strategy": "sentence_pack"}], [{"retrieval_method": m} for m in ("vector", "bm25")], [{"use_reranking": False}], str(tmp_path))
     assert got.select("config").distinct().count() == 2 and got.where("rank = 1").count() >= 3
     run = spark.createDataFrame([("a", [(1, [1.0])], (0.5,))], "config_name string, question_results array<struct<q: int, list: array<double>>>, aggregate_metrics struct<mrr: double>")
     summary, details = report(run)
@@ -89,6 +93,70 @@ def test_experiments(spark, corpus, tmp_path):
     assert compare({"a": scored, "b": scored}, ["rouge1"]).count() == 2
 
 
+MANY = [
+    {"retrieval_method": "vector", "use_reranking": False},
+    {"retrieval_method": "bm25", "use_reranking": False, "use_query_expansion": True},
+    {"retrieval_method": "hybrid", "retrieval_alpha": 0.3, "use_reranking": False},
+    {"retrieval_method": "hybrid", "retrieval_alpha": 0.7, "query_transformation": "multi_query"},
+    {"reranking_method": "fusion", "chunking_strategy": "fixed_tokens", "chunk_size": 4, "chunk_overlap": 0},
+    {"reranking_method": "keyword", "retrieval_method": "bm25"},
+    {"reranking_method": "multi_stage", "reranking_stages": ("semantic", "keyword", "diversity")},
+    {"reranking_method": "diversity", "chunking_strategy": "fixed_tokens", "chunk_size": 8, "chunk_overlap": 2},
+    {"reranking_method": "cross_encoder_fusion", "retrieval_top_k": 3},
+    {"reranking_method": "llm", "language_model": "rating"},
+    {"use_hyde": True, "hyde_num_docs": 2, "retrieval_method": "vector", "use_reranking": False},
+    {"use_hyde": True, "hyde_prompts": "same", "hyde_method": "hybrid", "retrieval_method": "vector", "use_reranking": False},
+]
+
+
+def test_a_grid_ranks_as_its_pipelines_do(spark, corpus, tmp_path):
+    docs, queries = corpus
+    table = spark.createDataFrame([("star", "sun", 1), ("made", "formed", 1), ("sleep", "rest", 1)], "term string, synonym string, rank int")
+    configs = [BASE.with_(**c) for c in MANY]
+    grid = Grid(configs, Chunks(docs, str(tmp_path)), queries, table)
+    got = {}
+    for r in grid.ranking().collect():
+        got.setdefault(r.config_id, []).append((r.query_id, r.doc_id, round(r.score, 5), r.rank))
+    for i, config in enumerate(configs):
+        with Pipeline(config, docs, table) as pipeline:
+            assert sorted(got[i]) == sorted((r.query_id, r.doc_id, round(r.score, 5), r.rank) for r in pipeline.rank(queries).collect()), MANY[i]
+    qrels = spark.createDataFrame([(1, 0), (2, 2)], "query_id long, doc_id long")
+    means = {r.config_id: r for r in grid.means(qrels, METRICS).collect()}
+    for i in (0, 3, 6):
+        assert means[i].asDict() == evaluate(configs[i], docs, queries, qrels, table).first().asDict() | {"config_id": i}
+
+
+def test_a_grid_scores_answers(spark, corpus, tmp_path):
+    docs, queries = corpus
+    questions = spark.createDataFrame([(1, "where did the cat sat sleep", "on the mat"), (2, "what is the sun made of", "hot gas")], "query_id long, text string, expected_answer string")
+    configs = [BASE.with_(answer_mode=m, prompt_template=t, language_model=x) for m, t, x in (("extractive", "plain", "echo"), ("model", "citation", "echo"), ("model", "basic", "extractive"))]
+    rows = Grid(configs, Chunks(docs, str(tmp_path)), queries).answers(questions).collect()
+    assert len(rows) == 6
+    for i, config in enumerate(configs):
+        want = {r.id: r for r in evaluate_answers(config, docs, questions).collect()}
+        for r in rows:
+            if r.config_id == i:
+                assert r.answer == want[r.query_id].answer and r.rouge1 == want[r.query_id].rouge1 and r.faithfulness == want[r.query_id].faithfulness
+    assert {r.answer for r in rows if r.config_id == 2 and r.query_id == 2} == {"the sun is a star made of hot burning gas"}
+
+
+def test_experiments_measure_what_they_name(spark, corpus, tmp_path):
+    assert all(c["use_reranking"] is False for name in ("chunking", "retrieval", "query_processing") for c in GRIDS[name]())
+    assert len(GRIDS["query_processing"]()) == 7 and len({str(c) for c in GRIDS["query_processing"]()}) == 7
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(30)) + ".") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(4))) for i in range(6)], "query_id long, text string")
+    grid = Grid([BASE.with_(**c) for c in GRIDS["retrieval"]()], Chunks(docs, str(tmp_path)), queries)
+    rankings = {}
+    for row in grid.ranking().collect():
+        rankings.setdefault(row.config_id, set()).add((row.query_id, row.source_id, row.rank))
+    assert rankings[0] != rankings[1] != rankings[2] and rankings[0] != rankings[3]
+    questions = queries.select("query_id", F.col("text").alias("expected_answer"))
+    out = run_all(spark, f"{tmp_path}/runs", docs, queries, ["retrieval", "generation"], questions=questions).collect()
+    assert sum(r.experiment == "retrieval" for r in out) == 8
+    assert all(r.metric_correctness is not None for r in out if r.experiment == "generation") and sum(r.experiment == "generation" for r in out) == 12
+
+
 def test_driver_contract(spark):
     queries, oracle = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert oracle.keys() <= queries.keys() and len(queries) > 80

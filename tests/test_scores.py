@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,22 @@ def test_keyword_density_in_batches_equals_the_expression(spark):
     got = {(r.query_id, r.doc_id): r.score for r in reranking.keywords(df).collect()}
     for r in df.select("query_id", "doc_id", F.round(S.keyword_density(F.col("query"), F.col("text")), 6).alias("score")).collect():
         assert got[r.query_id, r.doc_id] == r.score or got[r.query_id, r.doc_id] is None and r.score is None
+
+
+def test_common_subsequences_by_bits():
+    r = random.Random(7)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 90))] for _ in range(2))
+        assert metrics.common_subsequence(a, b) == table(a, b)
+    a, b = ([f"w{r.randrange(500)}" for _ in range(20_000)] for _ in range(2))
+    began = time.time()
+    assert metrics.common_subsequence(a, b) > 1000 and time.time() - began < 1
