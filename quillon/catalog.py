@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 from quillon import oracle, providers
 from quillon.functions import scores as S
 from quillon.operators import analytics as A
-from quillon.operators import answering, chunking, clustered, expansion, index, lexical, metrics, reranking, retrieval
+from quillon.operators import answering, chunking, clustered, expansion, index, latent, lexical, metrics, reranking, retrieval
 from quillon.oracle import ORACLE_SQL
 from quillon.plans import experiments
 from quillon.plans.config import Config
@@ -923,6 +924,35 @@ def experiment_retrieval(t):
     return _experiment(t, RETRIEVAL_GRID, PLAIN)
 
 
+@query
+def latent_topk(t):
+    """Search by the embedder that is learned from the documents themselves."""
+    latent_model = latent.fit(t.docs)
+    return retrieval.vector_topk(*(_embedded_by(latent_model, rows, id) for rows, id in ((t.docs, "doc_id"), (t.asked, "query_id"))), 10)
+
+
+def _embedded_by(model: latent.Latent, rows: DataFrame, id: str) -> DataFrame:
+    with _known("embedder", "latent", model):
+        return embedded(rows, id, "latent")
+
+
+@contextmanager
+def _known(kind: str, name: str, model: Callable) -> Iterator[None]:
+    """A provider under a name while a plan is made; the plan keeps it."""
+    providers.register(kind, name, lambda: model)
+    try:
+        yield
+    finally:
+        providers.EMBEDDERS.pop(name, None)
+
+
+@query
+def experiment_embedding(t):
+    """Dense retrieval by every embedder: the hashed one and the learned one."""
+    with _known("embedder", "latent", latent.fit(t.docs)):
+        return _experiment(t, experiments.embedding_grid(), PLAIN)
+
+
 @query
 def experiment_reranking(t):
     """No reranking, word overlap and fusion over paragraphs."""

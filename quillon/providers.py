@@ -54,12 +54,28 @@ def _place(term: str) -> tuple[int, int]:
     return got
 
 
+_wholes: dict[str, int] = {}
+
+
+def place(term: str) -> int:
+    """The first eight hex digits of a term's MD5, as a number."""
+    if (got := _wholes.get(term)) is None:
+        if len(_wholes) >= _PLACES:
+            _wholes.clear()
+        got = _wholes[term] = int(hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+    return got
+
+
+def terms(text: str | None) -> list[str]:
+    return _TOKEN.findall((text or "").lower())
+
+
 def hash_embed(texts: list[str]) -> np.ndarray:
     """The same vectors in numpy, dense."""
     out = np.zeros((len(texts), DIMENSIONS))
     for row, text in zip(out, texts, strict=True):
-        if terms := _TOKEN.findall((text or "").lower()):
-            at, sign = zip(*map(_place, terms), strict=True)
+        if own := terms(text):
+            at, sign = zip(*map(_place, own), strict=True)
             row += np.bincount(at, sign, DIMENSIONS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
