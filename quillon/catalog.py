@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from quillon import oracle, providers
 from quillon.functions import scores as S
 from quillon.operators import analytics as A
-from quillon.operators import answering, chunking, clustered, expansion, index, latent, lexical, metrics, reranking, retrieval
+from quillon.operators import answering, chunking, clustered, expansion, index, latent, lexical, metrics, ranker, reranking, retrieval
 from quillon.oracle import ORACLE_SQL
 from quillon.plans import experiments
 from quillon.plans.config import Config
@@ -440,6 +440,13 @@ def cross_encoder_rerank(t):
     return reranking.cross_encoder(t.candidates(20), None, 10)
 
 
+@query
+def trained_rerank(t):
+    """A scorer trained on the even queries, with documents that hold the whole query as relevant, over all queries."""
+    some, relevant = t.candidates(20), metrics.containment_qrels(t.docs, t.asked)
+    return ranker.rerank(some, ranker.fit(some.where("query_id % 2 = 0"), relevant), 10)
+
+
 @query
 def llm_rerank(t):
     """The offline rating model's ratings from 1 to 10."""

@@ -33,6 +33,8 @@ class Config:
     diversity_alpha: float = 0.5
     use_mmr: bool = False
     scorer: str | None = None
+    #: Weights of the trained scorer, from ``ranker.fit``.
+    ranker_weights: tuple[float, ...] = ()
     answer_mode: str = "extractive"
     prompt_template: str = "plain"
     language_model: str = "echo"
@@ -92,7 +94,7 @@ class Config:
         if not self.use_reranking:
             return ()
         own = self.chunking() if self.reranking_method == "multi_stage" else ()
-        return self.reranking_method, self.reranking_stages, self.reranking_mode, self.diversity_alpha, self.scorer, self.language_model, self.retrieval_top_k, own
+        return self.reranking_method, self.reranking_stages, self.reranking_mode, self.diversity_alpha, self.scorer, self.ranker_weights, self.language_model, self.retrieval_top_k, own
 
     def fingerprint(self) -> str:
         own = {k: getattr(self, k) for k in self.INDEXED}

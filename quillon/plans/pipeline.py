@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon import providers
-from quillon.operators import answering, chunking, expansion, index, reranking, retrieval
+from quillon.operators import answering, chunking, expansion, index, ranker, reranking, retrieval
 from quillon.plans.config import Config
 
 
@@ -70,6 +70,8 @@ def rerank(config: Config, candidates: DataFrame, found: DataFrame, lexical: Cal
         return reranking.multi_stage(candidates, found, c.reranking_stages, k, c.reranking_mode, keep)
     if c.reranking_method == "keyword":
         return reranking.keywords(candidates, k)
+    if c.reranking_method == "trained":
+        return ranker.rerank(candidates, c.ranker_weights, k)
     if c.reranking_method == "llm":
         return reranking.model_rating(candidates, c.language_model, k)
     if c.reranking_method == "fusion":
