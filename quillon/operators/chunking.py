@@ -5,13 +5,15 @@ The chunk id is the document id and a suffix, so documents of one title cannot c
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import providers
@@ -119,12 +121,18 @@ def semantic_segments(docs: DataFrame, target_sentences: int = 250, least_senten
 
 
 def _per_text(docs: DataFrame, split: Callable[[str], list[str]], suffix: str) -> DataFrame:
-    """Chunkers whose state has no column form, on Arrow batches. A text that a chunker fails on gives no chunk."""
+    """Chunkers whose state has no column form, on Arrow batches. A text that a chunker fails on gives no chunk; how many
+    did is counted in ``failures`` of the session."""
+    spark = docs.sparkSession
+    if _failed.get(id(spark.sparkContext)) is None:
+        _failed[id(spark.sparkContext)] = spark.sparkContext.accumulator(0)
+    failed = _failed[id(spark.sparkContext)]
 
     def parts(text: str | None) -> list[str]:
         try:
             return split(text or "")
         except Exception:  # noqa: BLE001 - one text must not stop the others
+            failed.add(1)
             return []
 
     def run(batches):
@@ -135,6 +143,15 @@ def _per_text(docs: DataFrame, split: Callable[[str], list[str]], suffix: str) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, CHUNK_SCHEMA)
 
 
+_failed: dict[int, Accumulator] = {}
+
+
+def failures(spark: SparkSession) -> int:
+    """Texts that chunkers failed on so far in this session; a task that runs again counts again."""
+    found = _failed.get(id(spark.sparkContext))
+    return found.value if found else 0
+
+
 #: Separators of the recursive splitter, and of the one that prefers paragraphs.
 SEPARATORS = ("\n\n", "\n", " ", "")
 PARAGRAPH_SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -210,11 +227,30 @@ def _topics(text: str, topics: int) -> list[str]:
     return ["\n\n".join(parts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _spans_alike(words: list[str], starts: list[int], size: int, stride: int) -> Callable[[int, int, int, int], float]:
+    """The cosine of two spans' offline vectors. These are sums over their words, so running sums at the places where
+    windows begin and end give any span's vector by one difference, however long it is."""
+    ends = [min(e, len(words)) for s in starts for e in (s + size, s + stride + size)]
+    places = sorted({0, len(words), *starts, *ends, *(min(i * stride, len(words)) for i in range(len(starts) + 1))})
+    row = {p: i for i, p in enumerate(places)}
+    sums = np.zeros((len(places), providers.DIMENSIONS))
+    for i, (a, b) in enumerate(zip(places, places[1:], strict=False)):
+        sums[i + 1] = sums[i] + providers.hashed_counts(" ".join(words[a:b]))
+
+    def alike(a: int, b: int, c: int, d: int) -> float:
+        x, y = sums[row[b]] - sums[row[a]], sums[row[d]] - sums[row[c]]
+        norm = math.sqrt((x @ x) * (y @ y))
+        return float(x @ y) / norm if norm else 0.0
+
+    return alike
+
+
 def sliding_coherent(docs: DataFrame, size: int = 200, stride: int = 100, threshold: float = 0.7, embed: str = "hash", compat: bool = False) -> DataFrame:
     """Sliding windows, each merged into the one before while their vectors' cosine reaches the threshold.
 
     ``compat`` ends a merged span one stride further, as the original rule did.
     """
+    load = providers.EMBEDDERS[embed]  # known here, not on the workers
 
     def split(text: str) -> list[str]:
         words = text.split()
@@ -223,12 +259,17 @@ def sliding_coherent(docs: DataFrame, size: int = 200, stride: int = 100, thresh
         starts = list(range(0, len(words) - size + 1, stride))
         if (len(words) - size) % stride:
             starts.append(len(words) - size)
-        provider = providers.embedder(embed)
+        alike = _spans_alike(words, starts, size, stride) if embed == "hash" else None
+        provider = providers.loaded("embedder", embed, load)
         spans: list[tuple[int, int]] = []
         begin, end = 0, size
         for i, s in enumerate(starts[1:], 1):
-            a, b = provider([" ".join(words[begin:end]), " ".join(words[s : s + size])])
-            if float(a @ b) >= threshold:
+            if alike is None:
+                a, b = provider([" ".join(words[begin:end]), " ".join(words[s : s + size])])
+                near = float(a @ b)
+            else:
+                near = alike(begin, end, s, s + size)
+            if near >= threshold:
                 if compat:
                     begin, end = len(spans) * stride, min((i + 1) * stride + size, len(words))
                 else:

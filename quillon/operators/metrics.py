@@ -39,14 +39,15 @@ def ranking_metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame | N
 def pseudo_qrels(docs: DataFrame, queries: DataFrame, least: int = 3) -> DataFrame:
     """Documents that share min(least, size) distinct tokens with the query; for a query without any, its two best."""
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    asked = asked.select("query_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    asked = small(asked.select("query_id", F.size("t").alias("size"), F.explode("t").alias("term")))
     terms = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     shared = terms.join(asked, "term").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("shared"))
-    enough = F.col("shared") >= F.least(F.lit(least), F.col("size"))
-    any_enough = F.max(enough.cast("int")).over(Window.partitionBy("query_id"))
+    enough = shared.where(F.col("shared") >= F.least(F.lit(least), F.col("size"))).select("query_id", "doc_id", "shared")
+    # One row per query says whether it has such a document; only the others' best two are ranked.
+    met = shared.groupBy("query_id").agg(F.max(F.col("shared") >= F.least(F.lit(least), F.col("size"))).alias("met")).where(~F.col("met")).select("query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "doc_id"))
-    rows = shared.withColumn("enough", enough).withColumn("any", any_enough).withColumn("place", place)
-    return rows.where(F.col("enough") | ((F.col("any") == 0) & (F.col("place") <= 2))).select("query_id", "doc_id", "shared")
+    best = shared.join(met, "query_id", "left_semi").withColumn("place", place).where(F.col("place") <= 2)
+    return enough.unionByName(best.select("query_id", "doc_id", "shared"))
 
 
 def containment_qrels(docs: DataFrame, queries: DataFrame) -> DataFrame:

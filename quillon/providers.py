@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -70,13 +71,17 @@ def terms(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def hashed_counts(text: str | None) -> np.ndarray:
+    """A text's signed hashed term counts, before they are brought to length one."""
+    if not (own := terms(text)):
+        return np.zeros(DIMENSIONS)
+    at, sign = zip(*map(_place, own), strict=True)
+    return np.bincount(at, sign, DIMENSIONS)
+
+
 def hash_embed(texts: list[str]) -> np.ndarray:
     """The same vectors in numpy, dense."""
-    out = np.zeros((len(texts), DIMENSIONS))
-    for row, text in zip(out, texts, strict=True):
-        if own := terms(text):
-            at, sign = zip(*map(_place, own), strict=True)
-            row += np.bincount(at, sign, DIMENSIONS)
+    out = np.array([hashed_counts(t) for t in texts]).reshape(len(texts), DIMENSIONS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
@@ -92,7 +97,7 @@ MENU = {
 }
 SCORERS: dict[str, Callable[[], Callable[[list[str], list[str]], list[float]]]] = {}
 MODELS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {"echo": lambda: lambda prompts: [f"Response to: {p}" for p in prompts], "rating": lambda: rate, "extractive": lambda: quote}
-_loaded: dict[tuple[str, str], Callable] = {}
+_loaded: dict[tuple[str, str, str], Callable] = {}
 
 
 def _words(text: str) -> set[str]:
@@ -124,21 +129,35 @@ def quote(prompts: list[str]) -> list[str]:
     return out
 
 
+class _Registered:
+    """A loader with a key of its own, so a worker that knows an earlier provider of the same name does not use that."""
+
+    def __init__(self, load: Callable[[], Callable]):
+        self.load, self.key = load, uuid.uuid4().hex
+
+    def __call__(self) -> Callable:
+        return self.load()
+
+
 def register(kind: str, name: str, load: Callable[[], Callable]) -> None:
     """kind: embedder, scorer or model. ``load`` runs once per worker and returns the callable."""
-    {"embedder": EMBEDDERS, "scorer": SCORERS, "model": MODELS}[kind][name] = load
+    {"embedder": EMBEDDERS, "scorer": SCORERS, "model": MODELS}[kind][name] = _Registered(load)
 
 
-def _once(kind: str, name: str, load: Callable[[], Callable]) -> Callable:
-    if (kind, name) not in _loaded:
-        _loaded[kind, name] = load()
-    return _loaded[kind, name]
+def loaded(kind: str, name: str, load: Callable[[], Callable]) -> Callable:
+    """What ``load`` returns, called once per worker."""
+    key = kind, name, getattr(load, "key", "")
+    if key not in _loaded:
+        for old in [k for k in _loaded if k[:2] == key[:2]]:
+            del _loaded[old]  # a worker holds one provider of a name
+        _loaded[key] = load()
+    return _loaded[key]
 
 
 def embedder(name: str) -> Callable[[list[str]], np.ndarray]:
     if name not in EMBEDDERS:
         raise KeyError(f"no embedder named {name}; registered: {sorted(EMBEDDERS)}")
-    return _once("embedder", name, EMBEDDERS[name])
+    return loaded("embedder", name, EMBEDDERS[name])
 
 
 def embed(text: Column, name: str = "hash") -> Column:
@@ -146,7 +165,7 @@ def embed(text: Column, name: str = "hash") -> Column:
 
     @F.pandas_udf("array<double>")
     def run(batches: pd.Series) -> pd.Series:
-        model = _once("embedder", name, load)
+        model = loaded("embedder", name, load)
         return pd.Series(list(np.asarray(model(batches.fillna("").tolist()), dtype="float64")))
 
     return run(text)
@@ -158,7 +177,7 @@ def pair_cosine(query: Column, text: Column, name: str = "hash") -> Column:
 
     @F.pandas_udf("double")
     def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        model = _once("embedder", name, load)
+        model = loaded("embedder", name, load)
         asked = queries.fillna("")
         own = {q: i for i, q in enumerate(asked.unique())}
         a, b = np.asarray(model(list(own)), float)[asked.map(own)], np.asarray(model(texts.fillna("").tolist()), float)
@@ -178,7 +197,7 @@ def generate(prompt: Column, name: str = "echo") -> Column:
 
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
-        model = _once("model", name, load)
+        model = loaded("model", name, load)
         return pd.Series(model(prompts.fillna("").tolist()))
 
     return run(prompt)
@@ -194,7 +213,7 @@ def pair_score(query: Column, text: Column, name: str | None = None) -> Column:
 
     @F.pandas_udf("double")
     def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        model = _once("scorer", name, load)
+        model = loaded("scorer", name, load)
         return pd.Series(model(queries.tolist(), texts.tolist()), dtype="float64")
 
     return run(query, text)

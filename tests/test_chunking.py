@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillon import providers
 from quillon.operators import chunking as C
 
 PARAGRAPH = "one two three four five six seven eight nine ten"
@@ -62,6 +64,23 @@ def test_sliding_coherent(spark):
     assert [t for _, t in rows(C.sliding_coherent(docs(spark, text), 4, 4, 0.7))] == [" ".join(["cat dog"] * 4), " ".join(["sun moon"] * 4)]
 
 
+def test_coherence_by_running_sums_equals_embedding_each_span(spark, monkeypatch):
+    monkeypatch.setitem(providers.EMBEDDERS, "same", lambda: providers.hash_embed)
+    r = random.Random(3)
+    texts = [" ".join(r.choice([f"t{r.randrange(4)}{i // 60 % 3}", "the", "x-y", "!", "É"]) for i in range(n)) for n in (0, 3, 20, 21, 45, 200, 333, 1200)]
+    for size, stride, threshold in ((20, 10, 0.7), (20, 7, 0.6), (30, 30, 0.8), (10, 15, 0.5)):
+        for compat in (False, True):
+            got = [rows(C.sliding_coherent(docs(spark, *texts), size, stride, threshold, embed, compat)) for embed in ("hash", "same")]
+            assert got[0] == got[1] and len(got[0]) > 8
+
+
+def test_coherence_of_a_very_long_text_in_linear_time(spark):
+    began = time.time()
+    text = " ".join(f"w{i % 50}" for i in range(400_000))
+    assert [len(t) for _, t in rows(C.sliding_coherent(docs(spark, text), 200, 100, 0.5))] == [len(text)]
+    assert time.time() - began < 60
+
+
 @given(st.text(alphabet="ab \n.", max_size=200), st.integers(5, 40))
 def test_recursive_split_keeps_all_and_bounds_size(text, size):
     parts = C.split_recursively(text, size, 0, C.SEPARATORS)
@@ -89,7 +108,9 @@ def test_a_text_that_fails_does_not_stop_the_others(spark, monkeypatch):
         return [text]
 
     docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "doc_id long, text string")
-    assert [r.doc_id for r in C._per_text(docs, split, "_x").orderBy("doc_id").collect()] == [1, 3]
+    before = C.failures(spark)
+    assert [r.doc_id for r in C._per_text(docs, split, "_x").collect()] == [1, 3]
+    assert C.failures(spark) == before + 1
 
 
 def test_long_texts_split_in_linear_time():

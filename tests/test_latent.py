@@ -55,5 +55,8 @@ def test_registered_by_name(spark):
         model = latent.register(frame, "learned", dimensions=4, columns=256)
         got = {r.doc_id: r.e for r in frame.select("doc_id", providers.embed(frame.text, "learned").alias("e")).collect()}
         assert np.allclose(got[3], model([texts(60)[3]])[0]) and "learned" in providers.EMBEDDERS
+        other = latent.register(frame.limit(20), "learned", dimensions=3, columns=256)  # workers must not use the first one
+        got = {r.doc_id: r.e for r in frame.select("doc_id", providers.embed(frame.text, "learned").alias("e")).collect()}
+        assert len(got[3]) == 3 and np.allclose(got[3], other([texts(60)[3]])[0])
     finally:
         providers.EMBEDDERS.pop("learned")
