@@ -2,7 +2,9 @@
 
 Chunks are written once per chunking. Each distinct processing of the queries, each distinct vector search and each
 distinct lexical search is one part of the plan; a small table says which configuration uses which. Rankings of all
-configurations are fused, merged, reranked and measured together, by (config_id, query_id), in one action.
+configurations are fused, merged, reranked and measured together, by (config_id, query_id). Without reranking that is one
+action; before several rerankers, which would each repeat the plan so far, the candidates are written once, and so is
+what they rank.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ class Chunks:
             self.paths[key] = path
         return self.docs.sparkSession.read.schema(_CHUNKS).parquet(self.paths[key])
 
+    def stored(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows written below the folder and read back, so plans that use them many times stay small."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 def _numbered(keys) -> dict:
     return {key: i for i, key in enumerate(dict.fromkeys(keys))}
@@ -155,7 +163,10 @@ class Grid:
         pairs = self.queries.crossJoin(F.broadcast(self.table.join(group, "config_id")))
         pairs = small(pairs.select(F.xxhash64("config_id", "query_id").alias("at"), "config_id", F.col("query_id").alias("asked"), F.col("text").alias("query"), "c", "g", "k", F.xxhash64("own", F.xxhash64("query_id", F.lit(0).cast("long"))).alias("lq")))
         asked = pairs.withColumnRenamed("at", "query_id")
-        texts = found.join(asked.select("query_id", "query", "c", "g"), "query_id").join(self.chunks.select("c", "doc_id", "text"), ["c", "doc_id"])
+        if any(c.use_reranking for c in self.configs):
+            found = self.corpus.stored(found, "found")
+        texts = found.join(asked.where(F.col("g").isin([g for key, g in groups.items() if key])).select("query_id", "query", "c", "g"), "query_id").join(self.chunks.select("c", "doc_id", "text"), ["c", "doc_id"])
+        texts = self.corpus.stored(texts, "candidates") if any(c.use_reranking for c in self.configs) else texts
         out = []
         for key, g in groups.items():
             config = next(c for c in self.configs if c.reranked() == key)
@@ -171,7 +182,8 @@ class Grid:
             out.append(rerank(config, own, ranked, lambda lexical=lexical: lexical, keep=lambda rows: rows).select("query_id", "doc_id", "score", "rank"))
         named = _union(out).join(asked.select("query_id", "config_id", "asked", "c"), "query_id")
         rows = named.join(self.chunks.select("c", "doc_id", "source_id"), ["c", "doc_id"])
-        self._ranked = rows.select("config_id", F.col("asked").alias("query_id"), "doc_id", "source_id", "score", "rank")
+        rows = rows.select("config_id", F.col("asked").alias("query_id"), "doc_id", "source_id", "score", "rank")
+        self._ranked = self.corpus.stored(rows, "ranking") if len(groups) > 1 else rows
         return self._ranked
 
     def metrics(self, qrels: DataFrame) -> DataFrame:

